@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scenewatch.llm import simhash
+from scenewatch.llm import mixing, resharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,5 +18,19 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex64(found.fp).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op5_simhash": op5_simhash}
+def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents from one shard a source (hashed into 40) to 40 shards of near equal bytes."""
+    docs = table(spark, sf_dir, "documents")
+    now = F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 40
+    found = resharding.reshard(docs, now, shards=40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix of 150 % of all words takes from each document."""
+    found = mixing.queue(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5)
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op4_reshard": op4_reshard, "op5_simhash": op5_simhash, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewatch.llm import mixing, resharding, simhash
+from scenewatch.llm import mixing, resharding, rules, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +26,17 @@ def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of each document and whether base rules and the learned list keep it."""
+    found = rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *rules.BASE, "base_failed", "kept")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mix of 150 % of all words takes from each document."""
     found = mixing.queue(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5)
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op4_reshard": op4_reshard, "op5_simhash": op5_simhash, "op10_mixing": op10_mixing}
+QUERIES = {"op4_reshard": op4_reshard, "op5_simhash": op5_simhash, "op9_rules": op9_rules, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewatch.llm import mixing, resharding, rules, simhash
+from scenewatch.llm import mixing, resharding, rules, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex64(found.fp).alias("fingerprint"), "component_id")
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's address."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents from one shard a source (hashed into 40) to 40 shards of near equal bytes."""
     docs = table(spark, sf_dir, "documents")
@@ -38,5 +43,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op4_reshard": op4_reshard, "op5_simhash": op5_simhash, "op9_rules": op9_rules, "op10_mixing": op10_mixing}
+QUERIES = {"op3_urls": op3_urls, "op4_reshard": op4_reshard, "op5_simhash": op5_simhash, "op9_rules": op9_rules, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewatch.llm import mixing, resharding, rules, simhash, urls
+from scenewatch.llm import bpe, mixing, resharding, rules, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,15 @@ def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document, encoded and decoded again."""
+    name = public_tokenizers.path("byte_bpe_50k.json")
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), name), name)
+    return found.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of each document and whether base rules and the learned list keep it."""
     found = rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -43,5 +53,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op3_urls": op3_urls, "op4_reshard": op4_reshard, "op5_simhash": op5_simhash, "op9_rules": op9_rules, "op10_mixing": op10_mixing}
+QUERIES = {"op3_urls": op3_urls, "op4_reshard": op4_reshard, "op5_simhash": op5_simhash, "op7_bpe": op7_bpe, "op9_rules": op9_rules, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewatch.llm import bpe, mixing, resharding, rules, simhash, urls
+from scenewatch.llm import bpe, langid, mixing, resharding, rules, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded again."""
     name = public_tokenizers.path("byte_bpe_50k.json")
@@ -53,5 +58,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op3_urls": op3_urls, "op4_reshard": op4_reshard, "op5_simhash": op5_simhash, "op7_bpe": op7_bpe, "op9_rules": op9_rules, "op10_mixing": op10_mixing}
+QUERIES = {"op3_urls": op3_urls, "op4_reshard": op4_reshard, "op5_simhash": op5_simhash, "op6_langid": op6_langid, "op7_bpe": op7_bpe, "op9_rules": op9_rules, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}

@@ -90,7 +90,7 @@ class Powers:
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = 1 << (n - 1).bit_length()
-            self.up, self.down = (np.cumprod(np.concatenate([[1], np.full(size - 1, b, np.uint64)]).astype(np.uint64)) for b in (self.BASE, self.inverse))
+            self.up, self.down = (np.cumprod(np.array([1] + [b] * (size - 1), np.uint64)) for b in (self.BASE, self.inverse))
         return self.up[:n], self.down[:n]
 
 
@@ -106,10 +106,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def tokens(data: np.ndarray, rows: np.ndarray, gap: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def tokens(data: np.ndarray, rows: np.ndarray, gap: np.ndarray, same: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of some rows' bytes: (start, end, row, 64-bit hash). Bytes with gap[b] part them, same[b] folds them.
 
     The hash is the polynomial of the folded bytes: a difference of prefix sums, divided by the power at the start.
+    With `most`, it is that of a token's first `most` bytes.
     """
     gaps = gap[data]
     first = np.zeros(len(data) + 1, bool)
@@ -124,7 +125,8 @@ def tokens(data: np.ndarray, rows: np.ndarray, gap: np.ndarray, same: np.ndarray
     prefix = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((same[data].astype(np.uint64) + np.uint64(1)) * up[:-1], out=prefix[1:])
     row = np.searchsorted(rows, starts, side="right") - 1
-    return starts, ends, row, mixed((prefix[ends] - prefix[starts]) * down[starts])
+    upto = ends if most is None else np.minimum(ends, starts + most)
+    return starts, ends, row, mixed((prefix[upto] - prefix[starts]) * down[starts])
 
 
 def fold_tables(parts: bytes) -> tuple[np.ndarray, np.ndarray]:

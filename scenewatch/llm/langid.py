@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenewatch.llm.common import byte_slices, held_out, need
+from scenewatch.llm.common import byte_slices, held_out
 
 UNITS = 12
 WINDOW = 128
@@ -172,14 +172,14 @@ def fit(labelled: DataFrame, per_language: int = 400, windows: int = 4, language
     return network
 
 
-def predict(docs: DataFrame, network: Network | None) -> DataFrame:
-    """(doc_id, lang_pred, score) for each document: the language of the greatest pooled probability, and that.
+def predict(docs: DataFrame, network: Network | None, keep: str = "doc_id") -> DataFrame:
+    """(keep, lang_pred, score) for each document: the language of the greatest pooled probability, and that.
 
     Null texts, and those without a letter, are `und` with score 0, as is all if the network is None. Whole texts are
-    read; rows with repeated or null ids stay rows.
+    read; rows with repeated or null ids stay rows. keep is one column of docs, of any type, that is passed on.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    letters = need(docs, "doc_id", "text").select("doc_id", F.when(F.col("text").rlike("\\p{L}"), F.lower(F.col("text").cast("string"))).alias("t"))
+    letters = docs.select(keep, F.when(F.col("text").rlike("\\p{L}"), F.lower(F.col("text").cast("string"))).alias("_t"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
@@ -192,9 +192,16 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
                 best = pooled.argmax(axis=1)
                 names = np.where(empty, UNKNOWN, np.array(net.languages, object)[best])
                 scores = np.where(empty, 0.0, np.minimum(pooled.max(axis=1), 1.0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=[keep, "lang_pred", "score"])
 
-    return letters.mapInArrow(of, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return letters.mapInArrow(of, f"`{keep}` {docs.schema[keep].dataType.simpleString()}, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, least: float = 0.4, **options) -> DataFrame:
+    """The documents, with all their columns, whose language is told with at least this probability."""
+    network = fit(docs.where(~held_out(F.col("doc_id"))), **options)
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), "text")
+    return predict(whole, network, "_doc").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_doc.*")
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewatch.llm import bpe, langid, mixing, resharding, rules, simhash, toxicity, urls
+from scenewatch.llm import binary_search, bpe, langid, mixing, resample, resharding, rules, simhash, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex64(found.fp).alias("fingerprint"), "component_id")
 
 
+def op1_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's importance and whether a draw of 85 % keeps it; the target are good documents."""
+    docs = table(spark, sf_dir, "documents")
+    return resample.resample(docs, resample.good_examples(docs, table(spark, sf_dir, "labels")), share=0.85)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chance that each document is toxic."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -51,6 +57,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes of every fiftieth embedding, among all."""
+    return binary_search.nearest(binary_search.codes_of(table(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0, k=10)
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of each document and whether base rules and the learned list keep it."""
     found = rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -63,5 +74,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_urls": op3_urls, "op4_reshard": op4_reshard, "op5_simhash": op5_simhash, "op6_langid": op6_langid, "op7_bpe": op7_bpe, "op9_rules": op9_rules, "op10_mixing": op10_mixing}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_resample": op1_resample, "op2_toxicity": op2_toxicity, "op3_urls": op3_urls, "op4_reshard": op4_reshard, "op5_simhash": op5_simhash, "op6_langid": op6_langid, "op7_bpe": op7_bpe, "op8_nearest": op8_nearest, "op9_rules": op9_rules, "op10_mixing": op10_mixing}
+#: Brute force: all pairs of sign codes.
+OP8_SQL = """
+WITH bits AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+c AS (SELECT id, list_transform(range(1, 65), i -> CASE WHEN e[i] > 0 THEN 1 ELSE 0 END) AS b FROM bits),
+d AS (SELECT q.id AS query_id, x.id AS neighbor_id, CAST(list_sum(list_transform(range(1, 65), i -> abs(q.b[i] - x.b[i]))) AS INT) AS distance
+      FROM c q JOIN c x ON x.id <> q.id WHERE q.id % 50 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, neighbor_id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d) WHERE rank <= 10
+"""
+ORACLES: dict[str, str] = {"op8_nearest": OP8_SQL}

@@ -181,3 +181,15 @@ def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     known = need(labels, "doc_id", "quality").where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("good"))
     rules = learn(stats.where("doc_id is not null").join(known, "doc_id").where(~base_failed()), **options)
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & keep_expression(rules))
+
+
+def passing(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, **options) -> DataFrame:
+    """The documents, with all their columns, that base rules and the learned list keep.
+
+    Learns from at most most_rows labelled documents, those with the least hashed ids.
+    """
+    known = need(labels, "doc_id", "quality").where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
+    chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows))
+    rules = learn(statistics(docs.join(chosen, "doc_id").select("doc_id", "text", "good"), "doc_id", "good").where(~base_failed()), most_rows, **options)
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), "text")
+    return statistics(whole, "_doc").where(~base_failed() & keep_expression(rules)).select("_doc.*")

@@ -46,8 +46,8 @@ def fingerprint(text: str | None, size: int) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 5) -> DataFrame:
-    """(doc_id, fp): the SimHash of each whole text.
+def fingerprints(docs: DataFrame, size: int = 5, *keep: str) -> DataFrame:
+    """(doc_id, keep..., fp): the SimHash of each whole text.
 
     A-Z are lower-cased, words are runs of other than ASCII white space, shingles are `size` words with repeats,
     joined by a space (fewer words: the whole sequence) and hashed by XXH64 with seed 42. A bit is 1 if it is set in
@@ -56,12 +56,13 @@ def fingerprints(docs: DataFrame, size: int = 5) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(0)
             fp = np.fromiter((fingerprint(t.as_py(), size) for t in texts), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fp)], names=["doc_id", *keep, "fp"])
 
-    kept = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return kept.mapInArrow(of, "doc_id long, fp long")
+    rows = need(docs, "text", "doc_id", *keep).select(F.col("text").cast("string"), F.col("doc_id").cast("long"), *keep)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[1:])
+    return rows.mapInArrow(of, f"{fields}fp long")
 
 
 def flips(bits: int, most: int, least: int = 0) -> list[int]:
@@ -116,6 +117,13 @@ def links(fps: DataFrame, radius: int = 4, bits: int | None = None) -> DataFrame
     return sent.groupBy("region").applyInArrow(meet, "a long, b long").distinct()
 
 
+def roots_of(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, root): each distinct fingerprint with one that stands for its component."""
+    classes = cut(prints.select("fp").distinct())
+    roots = connected(links(classes, radius))
+    return classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): each document with the least doc_id that links reach from it, its own included.
 
@@ -124,14 +132,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 4) -> DataFram
     null component_id. Other columns are ignored. Copies share one fingerprint, so they never form pairs.
     """
     prints = written(fingerprints(docs, size), "fingerprints")
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected(links(classes.select("fp"), radius))
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    first = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = named.select("fp", "root").join(first, "root").select("fp", "component_id")
+    roots = cut(roots_of(prints, radius))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    first = roots.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    known = roots.join(first, "root").select("fp", "component_id")
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
+def without_near_duplicates(docs: DataFrame, size: int = 5, radius: int = 4) -> DataFrame:
+    """docs with all columns, one document of each component: that of the least doc_id (null last), then text hash.
+
+    Rows alike in doc_id and text count as one document.
+    """
+    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    prints = written(fingerprints(keyed, size, "_h"), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")
+    least = prints.groupBy("fp").agg(F.min(order).alias("least"))
+    kept = cut(roots_of(prints, radius).join(least, "fp").groupBy("root").agg(F.min("least").alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x._h").alias("_k")))
+    staying = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (keyed["_h"] == kept["_k"]), "left_semi")
+    return staying.dropDuplicates(["doc_id", "_h"]).drop("_h")
+
+
 def hex64(fp: Column) -> Column:
     """16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -89,7 +89,7 @@ def interval_pick(scenes: DataFrame, n: int, start: Column, end: Column) -> Data
     A slice without a scene takes the one nearest to its middle, the least cloudy on ties, then in time order.
     """
     slots = scenes.select("*", F.explode(build_intervals(start, end, n)).alias("_s")).select("*", F.col("_s.i").alias("i"), F.col("_s.from_us").alias("_a"), F.col("_s.to_us").alias("_z"))
-    at = F.unix_micros("captured_at")
+    at = F.unix_micros(F.col("captured_at").cast("timestamp"))
     inside = (at >= F.col("_a")) & (at < F.col("_z"))
     far = F.abs(at - F.floor((F.col("_a") + F.col("_z")) / 2))
     order = [

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenewatch.functions.bands import linear_scale
+from scenewatch.functions.geo import lonlat_to_mercator, mercator_to_lonlat, utm_to_wgs84, wgs84_to_utm
 
 #: Limits of 16-bit values, and the scale without any.
 LEAST, MOST, FALLBACK = 1.0, 65535.0, (1.0, 10000.0)
@@ -54,3 +55,31 @@ def rgb_blocks(cells: DataFrame, block: int = 512) -> DataFrame:
     gaps = F.zip_with(F.concat(F.array(F.lit(-1)), F.transform("c", lambda s: s["p"])), F.concat("c", F.array(F.struct(F.lit(block * block).alias("p"), F.lit(0).alias("v")))), lambda a, s: F.concat(F.array_repeat(F.lit(0), s["p"] - a - 1), F.array(s["v"].cast("int"))))
     data = F.slice(F.flatten(gaps), 1, block * block)
     return grouped.select("band", "by", "bx", (F.col("by") * block).alias("y0"), (F.col("bx") * block).alias("x0"), F.lit(block).alias("h"), F.lit(block).alias("w"), data.alias("data"))
+
+
+def warp(values: DataFrame, grids: DataFrame, pixel: float = 20.0) -> DataFrame:
+    """(tile_id, band, ty, tx, v) in Web Mercator cells of `pixel` metres, aligned to its origin, from UTM pixels.
+
+    values: (tile_id, band, y, x, v); grids: (tile_id, zone, gt, h, w) without rotation. Every target cell over a tile is
+    mapped back to its source position; the value is bilinear there, by single-pixel centres, and 0 where a neighbour
+    is missing or empty. Target cells are made from the tile's outline, a row of them in each task.
+    """
+    g = F.col("gt")
+    corner = [(g[0] + i * F.col("w") * g[1], g[3] + j * F.col("h") * g[5]) for i in (0, 1) for j in (0, 1)]
+    world = [lonlat_to_mercator(*utm_to_wgs84(e, n, F.col("zone"))) for e, n in corner]
+    low = [F.floor(F.least(*[p[k] for p in world]) / pixel) for k in (0, 1)]
+    high = [F.ceil(F.greatest(*[p[k] for p in world]) / pixel) for k in (0, 1)]
+    rows = grids.select("tile_id", "zone", "gt", "h", "w", F.explode(F.sequence(low[1], high[1])).alias("ty"), low[0].alias("a"), high[0].alias("z")).repartition("tile_id", "ty")
+    cells = rows.select("tile_id", "zone", "gt", "h", "w", "ty", F.explode(F.sequence("a", "z")).alias("tx"))
+    lon, lat = mercator_to_lonlat((F.col("tx") + 0.5) * pixel, (F.col("ty") + 0.5) * pixel)
+    east, north = wgs84_to_utm(lon, lat, F.col("zone"))
+    sx, sy = (east - g[0]) / g[1] - 0.5, (north - g[3]) / g[5] - 0.5
+    inside = (F.col("sx") >= 0) & (F.col("sy") >= 0) & (F.col("sx") <= F.col("w") - 1) & (F.col("sy") <= F.col("h") - 1)
+    at = cells.select("tile_id", "ty", "tx", "h", "w", sx.alias("sx"), sy.alias("sy")).where(inside)
+    at = at.withColumns({"x": F.floor("sx"), "y": F.floor("sy")}).withColumns({"fx": F.col("sx") - F.col("x"), "fy": F.col("sy") - F.col("y")})
+    four = F.array(*[F.struct((F.col("y") + j).alias("y"), (F.col("x") + i).alias("x"), ((F.col("fy") if j else 1 - F.col("fy")) * (F.col("fx") if i else 1 - F.col("fx"))).alias("k")) for j in (0, 1) for i in (0, 1)])
+    need = at.select("tile_id", "ty", "tx", F.explode(four).alias("c")).where("c.k > 0").select("tile_id", "ty", "tx", F.col("c.y").alias("y"), F.col("c.x").alias("x"), F.col("c.k").alias("k"))
+    asked = need.groupBy("tile_id", "ty", "tx").agg(F.count("*").alias("asked"))
+    found = need.join(values.select("tile_id", "band", F.col("y").cast("long"), F.col("x").cast("long"), "v"), ["tile_id", "y", "x"])
+    mixed = found.groupBy("tile_id", "band", "ty", "tx").agg(F.sum(F.col("k") * F.col("v")).alias("v"), F.min("v").alias("least"), F.count("*").alias("got")).join(asked, ["tile_id", "ty", "tx"])
+    return mixed.select("tile_id", "band", "ty", "tx", F.when((F.col("least") == 0) | (F.col("got") < F.col("asked")), 0.0).otherwise(F.col("v")).alias("v"))

@@ -100,7 +100,7 @@ def resample_nearest_geo(src: DataFrame, ref: DataFrame, src_gt: list[float], re
     wx, wy = ref_gt[0] + (F.col("x") + 0.5) * ref_gt[1], ref_gt[3] + (F.col("y") + 0.5) * ref_gt[5]
     at = ref.select(*KEY, nearest_index(wy, F.lit(src_gt[3]), F.lit(src_gt[5])).alias("_y"), nearest_index(wx, F.lit(src_gt[0]), F.lit(src_gt[1])).alias("_x"))
     of = src.select("tile_id", F.col("y").cast("int").alias("_y"), F.col("x").cast("int").alias("_x"), F.col(value))
-    return at.join(of, ["tile_id", "_y", "_x"], "left").select(*KEY, F.coalesce(value, F.lit(0)).alias(value))
+    return at.join(of, ["tile_id", "_y", "_x"], "left").select(*KEY, F.coalesce(value, F.lit(0).cast(src.schema[value].dataType)).alias(value))
 
 
 def corners(at: Column, src: int, ref: int) -> tuple[Column, Column, Column]:

@@ -77,10 +77,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_resample": op1_resample, "op2_toxicity": op2_toxicity, "op3_urls": op3_urls, "op4_reshard": op4_reshard, "op5_simhash": op5_simhash, "op6_langid": op6_langid, "op7_bpe": op7_bpe, "op8_nearest": op8_nearest, "op9_rules": op9_rules, "op10_mixing": op10_mixing}
 #: Brute force: all pairs of sign codes.
 OP8_SQL = """
-WITH bits AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-c AS (SELECT id, list_transform(range(1, 65), i -> CASE WHEN e[i] > 0 THEN 1 ELSE 0 END) AS b FROM bits),
-d AS (SELECT q.id AS query_id, x.id AS neighbor_id, CAST(list_sum(list_transform(range(1, 65), i -> abs(q.b[i] - x.b[i]))) AS INT) AS distance
-      FROM c q JOIN c x ON x.id <> q.id WHERE q.id % 50 = 0)
+WITH bits AS (SELECT vec_id AS id, unnest(range(64)) AS i, unnest(embedding) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+c AS (SELECT id, string_agg(CASE WHEN e > 0 THEN '1' ELSE '0' END, '' ORDER BY i) AS b FROM bits GROUP BY id),
+d AS (SELECT q.id AS query_id, x.id AS neighbor_id, CAST(hamming(q.b, x.b) AS INT) AS distance FROM c q JOIN c x ON x.id <> q.id WHERE q.id % 50 = 0)
 SELECT query_id, CAST(rank AS INT) AS rank, neighbor_id, distance
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d) WHERE rank <= 10
 """

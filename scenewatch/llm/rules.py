@@ -157,6 +157,8 @@ def learn(labelled: DataFrame, most_rows: int = 20_000, longest: int = 4, most_r
     row = F.xxhash64(*BASE, *[c for c in ("doc_id",) if c in labelled.columns])
     sample = cut(labelled.where("good is not null").withColumn("_h", row).orderBy("_h").limit(most_rows).withColumn("bad", 1 - F.col("good").cast("int")).coalesce(4))
     cuts = thresholds(sample, steps)
+    if not any(cuts.values()):
+        return []
     rest, rules = sample, []
     while len(rules) < most_rules:
         growing, pruning = rest.where("pmod(_h, 3) < 2"), rest.where("pmod(_h, 3) = 2")

@@ -121,3 +121,29 @@ def reference_band(bands: DataFrame, level: str, low_resolution: bool = False, n
     other = bands.where(F.col("band") == ("B01" if low_resolution else "B05")).select("scene_id", F.struct(*bands.columns).alias("_o"))
     pick = chosen.join(first_of(other, ["scene_id"], [F.col("_o.nth")]), "scene_id", "left").withColumn("_big", (F.col("w") * F.col("h") > most) & F.col("_o").isNotNull())
     return pick.select("scene_id", *[F.when(F.col("_big"), F.col(f"_o.{c}")).otherwise(F.col(c)).alias(c) for c in bands.columns if c != "scene_id"])
+
+
+def resolve_band_file(files: DataFrame, resolution: str = "R10m", group: str = "scene_id", path: str = "path") -> DataFrame:
+    """(group, band, path): for each scene and band the file of the wanted resolution, else of the next, then the least path.
+
+    files has the band beside the path; a file says its resolution at its end, before the extension, or not at all.
+    """
+    order = {"R20m": ("20m", "10m", "60m"), "R60m": ("60m", "20m", "10m")}.get(resolution, ("10m", "20m", "60m"))
+    stem = F.regexp_replace(F.col(path), r"\.[^./]*$", "")
+    rank = F.coalesce(*[F.when(stem.endswith(f"_{r}"), F.lit(k)) for k, r in enumerate(order)], F.lit(len(order)))
+    return first_of(files.withColumn("_r", rank), [group, "band"], [F.col("_r"), F.col(path)]).select(group, "band", path)
+
+
+def first_image(files: DataFrame, group: str = "scene_id", path: str = "path") -> DataFrame:
+    """(group, path): the least image file that is not true colour or an atmosphere layer; it gives a scene's envelope."""
+    return files.where(~F.col(path).rlike(r"(?i)_(TCI|AOT|WVP)(_\d+m)?\.[^./]*$")).groupBy(group).agg(F.min(path).alias(path))
+
+
+def envelope(corners: DataFrame, by: str = "scene_id") -> DataFrame:
+    """(by, min_x, min_y, max_x, max_y) of corner points x, y."""
+    return corners.groupBy(by).agg(F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"))
+
+
+def pair_label(tile: Column, new: Column, old: Column) -> Column:
+    """`tile [old -> new]` with the days of both scenes."""
+    return F.concat(tile, F.lit(" ["), old.cast("string"), F.lit(" -> "), new.cast("string"), F.lit("]"))

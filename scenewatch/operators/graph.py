@@ -24,8 +24,10 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     the rounds grow with the logarithm of the longest path. Links of a node to itself are ignored, null ends dropped.
     """
     edges = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     before = None
-    for _ in range(0 if edges.isEmpty() else rounds):
+    for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
@@ -38,7 +40,6 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
         before = now
     else:
-        if not edges.isEmpty():
-            raise RuntimeError(f"components did not settle in {rounds} rounds")
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select("a").distinct().select(F.col("a").alias("node"), F.col("a").alias("root"))
     return edges.groupBy("b").agg(F.min("a").alias("root")).select(F.col("b").alias("node"), "root").unionByName(roots)

@@ -185,6 +185,15 @@ def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & keep_expression(rules))
 
 
+def where_once(stats: DataFrame, condition: Column) -> DataFrame:
+    """stats.where(condition), with each statistic computed once a row.
+
+    The optimizer would move the condition below the statistics and compute each again for every place that names it;
+    it leaves a condition above a column that is not deterministic where it is.
+    """
+    return stats.withColumn("_row", F.monotonically_increasing_id()).where((F.col("_row") >= 0) & condition).drop("_row")
+
+
 def passing(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, **options) -> DataFrame:
     """The documents, with all their columns, that base rules and the learned list keep.
 
@@ -192,6 +201,7 @@ def passing(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, **optio
     """
     known = need(labels, "doc_id", "quality").where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows))
-    rules = learn(statistics(docs.join(chosen, "doc_id").select("doc_id", "text", "good"), "doc_id", "good").where(~base_failed()), most_rows, **options)
+    sample = docs.join(chosen, "doc_id").select("doc_id", "text", "good")
+    rules = learn(where_once(statistics(sample, "doc_id", "good"), ~base_failed()), most_rows, **options)
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), "text")
-    return statistics(whole, "_doc").where(~base_failed() & keep_expression(rules)).select("_doc.*")
+    return where_once(statistics(whole, "_doc"), ~base_failed() & keep_expression(rules)).select("_doc.*")

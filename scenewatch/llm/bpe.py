@@ -22,7 +22,7 @@ NONE = np.int64(1) << np.int64(62)
 BLANK = r"\t-\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
 SHORT = 64
-CACHED = 400_000
+CACHED = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -193,22 +193,27 @@ def runs(texts: Iterator[str], most: int = 1 << 20) -> Iterator[list[str]]:
         yield out
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", back: str | None = None) -> DataFrame:
     """docs with its text column replaced by `ids`: the tokens of each whole text as little-endian 32-bit integers.
 
     vocabulary is the path of a byte-level BPE file that executors can open too (installed beside the library that
-    reads it). Null texts encode as empty. All other columns are passed on.
+    reads it). With `back`, a column of that name has what the ids decode to, made in the same pass over the rows. Null
+    texts encode as empty. All other columns are passed on. Pieces once encoded are remembered up to a bound, and
+    forgotten when a task ends.
     """
-    others = [c for c in docs.columns if c not in (text, ids)]
+    others = [c for c in docs.columns if c not in (text, ids, back)]
+    names = [*others, ids, *([back] if back else [])]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = loaded(vocabulary)
         for batch in batches:
             out = [b for run in runs(t.as_py() or "" for t in batch.column(0)) for b in table.encode(run)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.binary())], names=[*others, ids])
+            decoded = [pa.array((table.decode(b) for b in out), pa.string())] if back else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.binary()), *decoded], names=names)
+        table.known.clear()
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*others).schema)
-    return docs.select(F.col(text).cast("string"), *others).mapInArrow(of, f"{fields}`{ids}` binary")
+    return docs.select(F.col(text).cast("string"), *others).mapInArrow(of, f"{fields}`{ids}` binary" + (f", `{back}` string" if back else ""))
 
 
 def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -51,7 +51,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded again."""
     name = public_tokenizers.path("byte_bpe_50k.json")
-    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), name), name)
+    found = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), name, back="decoded")
     return found.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )

@@ -2,13 +2,14 @@
 
 A 64-bit code is cut into m segments, each indexed. A code within m(s+1)-1 bits of a query agrees with it to within s
 bits in some segment, so probing all segments at radius s proves every distance below m(s+1), and probing only the
-first a of them so far, every distance below ms + a. Radii grow, first for all segments at once and then one segment
-at a time, until the k-th distance found is proved; queries that are done leave. Equal codes are one entry with its
+first a of them so far, every distance below ms + a. Radii grow, small ones for all segments at once and then one
+segment at a time, until the k-th distance found is proved; queries that are done leave. Equal codes are one entry with its
 least ids.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,10 +41,20 @@ def parts(codes: int) -> int:
     return min((2, 4, 8), key=lambda m: abs(BITS / m - math.log2(max(codes, 2))))
 
 
-def schedule(m: int, together: int = 2) -> list[tuple[int, list[int], int]]:
-    """(radius, segments to probe at it, the greatest distance proved then): the rounds of a search."""
-    out = [(s, list(range(m)), m * (s + 1) - 1) for s in range(together)]
-    return out + [(s, [a], m * s + a) for s in range(together, BITS // m + 1) for a in range(m)]
+def schedule(m: int, first: int = 2, together: int = 4) -> list[tuple[list[int], list[int], int]]:
+    """(radii, segments to probe at them, the greatest distance proved then): the rounds of a search.
+
+    The first round takes all radii up to `first`; below `together` all segments go in one round.
+    """
+    most = BITS // m
+    out = [(list(range(min(first, most) + 1)), list(range(m)), m * (min(first, most) + 1) - 1)]
+    out += [([s], list(range(m)), m * (s + 1) - 1) for s in range(first + 1, min(together, most + 1))]
+    return out + [([s], [a], m * s + a) for s in range(max(together, first + 1), most + 1) for a in range(m)]
+
+
+def masks_of(width: int, radii: list[int]) -> Column:
+    """All masks with so many bits set, as one literal (text that is parsed once), however many there are."""
+    return F.from_json(F.lit(json.dumps([x for s in radii for x in flips(width, s, s)])), "array<bigint>")
 
 
 def nearest(rows: DataFrame, wanted: Column, k: int = 10) -> DataFrame:
@@ -65,8 +76,8 @@ def nearest(rows: DataFrame, wanted: Column, k: int = 10) -> DataFrame:
     best = None
     done = []
     rounds = schedule(m)
-    for s, some, proved in rounds:
-        masks = F.array(*[F.lit(x).cast("long") for x in flips(width, s, s)])
+    for radii, some, proved in rounds:
+        masks = masks_of(width, radii)
         cuts = F.array(*[F.struct(F.lit(a).alias("s"), segments(F.col("q"), m)[a].alias("v0")) for a in some])
         probes = open_.select("q", "bound", F.explode(cuts).alias("c")).select("q", "bound", F.col("c.s").alias("s"), F.explode(masks).alias("f"), F.col("c.v0").alias("v0"))
         probes = probes.select("q", "bound", "s", F.col("v0").bitwiseXOR(F.col("f")).alias("v"))
@@ -79,7 +90,7 @@ def nearest(rows: DataFrame, wanted: Column, k: int = 10) -> DataFrame:
         top = found.distinct().withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1)
         top = top.withColumn("upto", F.sum("size").over(near.rowsBetween(Window.unboundedPreceding, 0)) - 1)
         top = cut(top.withColumn("bound", F.coalesce(F.min(F.when(F.col("upto") >= k, F.col("d"))).over(Window.partitionBy("q")), F.lit(BITS))).where("d <= bound"))
-        last = s == width and some[-1] == m - 1
+        last = radii[-1] == width and some[-1] == m - 1
         done.append((top if last else top.where(F.col("bound") <= proved)).select("q", "code", "d"))
         if last:
             break

@@ -389,6 +389,8 @@ def test_bpe_tables(odd, none):
     tokens = bpe.encode(odd, NAME)
     back = bpe.decode(tokens, NAME)
     assert Counter((r.doc_id, r.decoded) for r in back.collect()) == Counter((r[0], r[1] or "") for r in odd_rows())
+    both = bpe.encode(odd, NAME, back="decoded")
+    assert Counter((r.doc_id, bytes(r.ids), r.decoded) for r in both.collect()) == Counter((r.doc_id, bytes(r.ids), r.decoded) for r in back.collect())
     assert {"score", "lang", "ids"} <= set(tokens.columns) and "text" not in tokens.columns
     assert bpe.decode(bpe.encode(none, NAME), NAME).count() == 0
 
@@ -446,8 +448,8 @@ def test_sign_codes(spark):
 def test_schedule_proves_what_it_says():
     for m in (2, 4, 8):
         last = -1
-        for s, _, proved in binary_search.schedule(m):
-            assert proved > last and proved <= m * (s + 1) - 1
+        for radii, _, proved in binary_search.schedule(m):
+            assert proved > last and proved <= m * (radii[-1] + 1) - 1
             last = proved
         assert last >= 64
 

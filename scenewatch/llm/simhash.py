@@ -4,13 +4,15 @@ Two fingerprints at most 2r bits apart have a third that is at most r bits from
 fingerprint emits every variant within r bits, and fingerprints that share a variant are exactly the linked ones.
 To shuffle less than all variants (2,081 for r = 2), a fingerprint is sent to each *region* (value of the leading
 bits) that its variants reach, with the flips left over; the variants of the other bits are made inside the
-region's task. Each region holds a bounded number of variants, as the number of leading bits grows with the data.
+region's task. Regions are counted first, and one with too many variants is parted by further bits, again with flips,
+so a task's work is bounded however the fingerprints cluster.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -23,6 +25,8 @@ from scenewatch.llm.common import cut, need, written
 from scenewatch.llm.components import connected
 
 SEED = 42
+#: Variants that a region may hold: some 200 MB in its task.
+MOST = 6_000_000
 
 
 def fingerprint(text: str | None, size: int) -> int:
@@ -75,7 +79,58 @@ def region_bits(count: int, per_region: int = 2000) -> int:
     return min(40, max(7, math.ceil(math.log2(max(1, count / per_region)))))
 
 
-def links(fps: DataFrame, radius: int = 4, bits: int | None = None) -> DataFrame:
+@lru_cache(maxsize=256)
+def masks_of(low: int, k: int) -> np.ndarray:
+    """All masks of `low` bits with k of them set."""
+    return np.array(flips(low, k, k), np.uint64).astype(np.uint64)
+
+
+def regions(fps: DataFrame, half: int, bits: int, most: int = MOST, step: int = 6) -> DataFrame:
+    """(fp, low, region, left): each fingerprint in every region that its variants within `half` bits reach.
+
+    A region is a value of the bits above the lowest `low` of 64 bits; `left` flips remain for those. The rows of
+    a region have at most `most` variants there; one with more is parted by `step` further bits, and so on. With no
+    bits left a region is one variant, which at most a ball's number of distinct fingerprints have.
+    """
+
+    def spread(rows: DataFrame, low: int, by: int) -> DataFrame:
+        masks = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(m.bit_count()).alias("n")) for m in flips(by, half)])
+        own = F.shiftrightunsigned("fp", low - by).bitwiseAND(F.lit((1 << by) - 1)).bitwiseXOR(F.col("m.mask"))
+        sent = rows.withColumn("m", F.explode(masks)).where(F.col("m.n") <= F.col("left"))
+        region = F.shiftleft("region", by).bitwiseOR(own)
+        return sent.select("fp", F.lit(low - by).alias("low"), region.alias("region"), (F.col("left") - F.col("m.n")).alias("left"))
+
+    rows = spread(fps.select("*", F.lit(0).cast("long").alias("region"), F.lit(half).alias("left")), 64, bits)
+    low, done = 64 - bits, []
+    while low:
+        ball = list(accumulate(math.comb(low, k) for k in range(half + 1)))
+        weight = F.element_at(F.array(*[F.lit(n).cast("long") for n in ball]), F.col("left") + 1)
+        heavy = cut(rows.groupBy("region").agg(F.sum(weight).alias("n")).where(F.col("n") > most).select("region"))
+        if heavy.isEmpty():
+            break
+        done.append(rows.join(heavy, "region", "left_anti").select(*rows.columns))
+        by = min(step, low)
+        rows = cut(spread(rows.join(heavy, "region", "left_semi"), low, by))
+        low -= by
+    return reduce(DataFrame.unionByName, done, rows)
+
+
+def variants(table: pa.Table, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, row): the variants in the low bits of each row of one region."""
+    low = table.column("low")[0].as_py()
+    fp, left = table.column("fp").to_numpy().view(np.uint64), table.column("left").to_numpy()
+    rest = fp & np.uint64((1 << low) - 1)
+    value, owner = [], []
+    for k in range(half + 1):
+        own = np.flatnonzero(left == k)
+        for j in range(min(k, low) + 1):
+            masks = masks_of(low, j)
+            value.append((rest[own, None] ^ masks[None, :]).ravel())
+            owner.append(np.repeat(own.astype(np.int32), len(masks)))
+    return np.concatenate(value), np.concatenate(owner)
+
+
+def links(fps: DataFrame, radius: int = 4, bits: int | None = None, most: int = MOST) -> DataFrame:
     """(a, b): links that connect the same fingerprints as all pairs at most `radius` (even) bits apart.
 
     fps has distinct, non-null values `fp`. In each variant's bucket every two members are linked, so a star from one
@@ -85,20 +140,10 @@ def links(fps: DataFrame, radius: int = 4, bits: int | None = None) -> DataFrame
     if radius != 2 * half:
         raise ValueError("the radius must be even: balls of half of it meet in the middle")
     bits = bits or region_bits(fps.count())
-    low = 64 - bits
-    balls = [[np.array(flips(low, k, k), np.uint64).astype(np.uint64) for k in range(left + 1)] for left in range(half + 1)]
 
     def meet(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().view(np.uint64)
-        left = table.column("left").to_numpy()
-        rest = fp & np.uint64((1 << low) - 1)
-        variants, owner = [], []
-        for k in range(half + 1):
-            own = np.flatnonzero(left == k)
-            for masks in balls[k]:
-                variants.append((rest[own, None] ^ masks[None, :]).ravel())
-                owner.append(np.repeat(own.astype(np.int32), len(masks)))
-        value, who = np.concatenate(variants), np.concatenate(owner)
+        value, who = variants(table, half)
         order = np.argsort(value)
         value, who = value[order], who[order]
         again = np.concatenate([[False], value[1:] == value[:-1]])
@@ -110,11 +155,7 @@ def links(fps: DataFrame, radius: int = 4, bits: int | None = None) -> DataFrame
         pair = pair[(apart > 0) & (apart <= radius)].view(np.int64)
         return pa.table({"a": pair.min(axis=1), "b": pair.max(axis=1)})
 
-    masks = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(half - m.bit_count()).alias("left")) for m in flips(bits, half)])
-    sent = fps.select("fp", F.explode(masks).alias("m")).select(
-        "fp", F.shiftrightunsigned("fp", low).bitwiseXOR(F.col("m.mask")).alias("region"), F.col("m.left").alias("left")
-    )
-    return sent.groupBy("region").applyInArrow(meet, "a long, b long").distinct()
+    return regions(fps.select("fp"), half, bits, most).groupBy("low", "region").applyInArrow(meet, "a long, b long").distinct()
 
 
 def roots_of(prints: DataFrame, radius: int) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables, and its edge cases: nulls, empty and long texts, repeats, no rows."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from scenewatch.llm import binary_search, bpe, common, langid, mixing, resample, resharding, rules, simhash, toxicity, urls
+from scenewatch.llm.components import connected
 from tests.compare import connect, rows_of, rows_of_sql
 
 NAME = public_tokenizers.path("byte_bpe_50k.json")
@@ -295,6 +297,22 @@ def test_links_connect_all_near_pairs(spark, bits):
     assert classes((r.a, r.b) for r in found) == classes(p for p in combinations(values, 2) if apart(*p) <= 4)
 
 
+def test_regions_of_a_cluster_are_bounded(spark):
+    rng = np.random.default_rng(15)
+    values = sorted({sum(1 << int(b) for b in rng.choice(48, rng.integers(1, 7), replace=False)) for _ in range(400)})
+    fps = spark.createDataFrame([(v,) for v in values], "fp long")
+    rows = simhash.regions(fps, 2, 7, most=50_000).collect()
+    held = Counter()
+    for r in rows:
+        held[r.low, r.region] += sum(math.comb(r.low, k) for k in range(r.left + 1))
+    assert sum(held.values()) == 2081 * len(values) and max(held.values()) <= 50_000
+    apart = lambda a, b: (a ^ b).bit_count()
+    found = {(r.a, r.b) for r in simhash.links(fps, 4, 7, most=50_000).collect()}
+    assert all(apart(a, b) <= 4 for a, b in found)
+    roots = [{r.node: r.root for r in connected(spark.createDataFrame(sorted(x), "a long, b long")).collect()} for x in (found, {p for p in combinations(values, 2) if apart(*p) <= 4})]
+    assert roots[0] == roots[1]
+
+
 def test_near_duplicates(odd, none):
     rows = simhash.near_duplicates(odd, 4).collect()
     assert len(rows) == odd.count()

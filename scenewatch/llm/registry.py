@@ -36,10 +36,10 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents from one shard a source (hashed into 40) to 40 shards of near equal bytes."""
+    """Documents from one shard a source (hashed into 40) to 40 shards of near equal bytes, as read from the rewritten shards."""
     docs = table(spark, sf_dir, "documents")
     now = F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 40
-    found = resharding.reshard(docs, now, shards=40)
+    found = resharding.resharded(docs, now, shards=40)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StructType, VariantType
 
-from scenewatch.llm.common import need, written
+from scenewatch.llm.common import cut, need, shared_dir, written
 
 HEADER = 16
 
@@ -130,14 +132,58 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 40, capacities: Se
     return slotted.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("nth")).alias("slot"))
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, root: str) -> list[int]:
+#: What tells documents apart where ids repeat or are null: all but `_copy`, which counts rows alike in these.
+KEY = ["_none", "_id", "_size", "_crc", "_old"]
+
+
+def keyed(rows: DataFrame, size: Column, crc: Column, old: Column) -> DataFrame:
+    id_ = F.col("doc_id")
+    return rows.select("*", id_.isNull().alias("_none"), F.coalesce(id_.cast("string"), F.lit("")).alias("_id"), size.alias("_size"), crc.alias("_crc"), old.alias("_old"))
+
+
+def rewrite(docs: DataFrame, plan: DataFrame, root: str, old_shard: Column | None = None) -> list[int]:
     """Writes the shards of a plan that lose or gain documents to root/shard=N, in slot order; returns their numbers.
 
-    docs and plan meet on doc_id, which must be unique and not null here. Other shards' files are left alone; the files
-    of affected shards are replaced, so docs must be read from elsewhere.
+    docs and plan meet on doc_id (null or not), text and, as given to reshard(), old_shard, and rows alike in these by a
+    copy number, so each document is written once. Without old_shard rows of one id and text in several shards are
+    taken as alike. Other shards' files are left alone; those of affected shards are replaced, and removed where the
+    shard has nothing left, so docs must be read from elsewhere.
     """
+    spark = docs.sparkSession
     moved = plan.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
     affected = sorted(r.shard for r in moved.collect())
-    rows = docs.join(plan.where(F.col("shard").isin(affected)).select("doc_id", "shard", "slot"), "doc_id")
+    if not affected:
+        return affected
+    old = F.coalesce(old_shard.cast("int"), F.lit(0)) if old_shard is not None else F.lit(0)
+    own = keyed(docs, doc_size(F.col("text")), F.crc32(F.coalesce("text", F.lit("")).cast("binary")), old)
+    place = keyed(plan, F.col("size"), F.col("text_crc32"), F.col("old_shard") if old_shard is not None else F.lit(0)).select(*KEY, "shard", "slot")
+    often = cut(place.groupBy(*KEY).count().where("count > 1").select(*KEY))
+    here = F.col("shard").isin(affected)
+    if often.isEmpty():
+        rows = own.join(place.where(here), KEY)
+    else:
+        alike = Window.partitionBy(*KEY)
+        rest = [F.col(f"`{f.name}`") for f in docs.schema if f.name != "text" and not isinstance(f.dataType, (MapType, VariantType))]
+        many = own.join(often, KEY, "left_semi").withColumn("_copy", F.row_number().over(alike.orderBy(F.xxhash64(*rest))))
+        spots = place.join(often, KEY, "left_semi").withColumn("_copy", F.row_number().over(alike.orderBy("shard", "slot")))
+        rows = own.join(place.where(here).join(often, KEY, "left_anti"), KEY).unionByName(many.join(spots.where(here), [*KEY, "_copy"]).drop("_copy"))
+    rows = rows.drop(*KEY)
     rows.sortWithinPartitions("shard", "slot").write.option("partitionOverwriteMode", "dynamic").partitionBy("shard").mode("overwrite").parquet(root)
+    for j in set(affected) - {r.shard for r in plan.select("shard").distinct().collect()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/shard={j}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return affected
+
+
+def resharded(docs: DataFrame, old_shard: Column, shards: int = 40) -> DataFrame:
+    """The rows of reshard(), those of affected shards read back from the files that rewrite() made of them."""
+    plan = written(reshard(docs, old_shard, shards), "shard-plan")
+    root = f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
+    affected = rewrite(docs, plan, root, old_shard)
+    if not affected:
+        return plan
+    fields = StructType([*docs.schema.fields, plan.schema["slot"], plan.schema["shard"]])
+    back = docs.sparkSession.read.schema(fields).parquet(root)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    found = back.select("doc_id", doc_size(F.col("text")).alias("size"), crc, F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"), "shard", "slot")
+    return found.unionByName(plan.where(~F.col("shard").isin(affected)))

@@ -245,6 +245,19 @@ def test_reshard(documents, odd, none, spark, tmp_path):
     assert resharding.reshard(none, F.lit(1), shards=3).count() == 0
 
 
+def test_rewrite_keeps_odd_rows_and_drops_emptied_shards(spark, odd, tmp_path):
+    docs = odd.withColumn("old", F.pmod(F.hash("doc_id", "text", "source"), F.lit(6)))
+    root = str(tmp_path / "in")
+    docs.withColumnRenamed("old", "shard").withColumn("slot", F.lit(0).cast("long")).write.partitionBy("shard").parquet(root)
+    plan = common.written(resharding.reshard(docs, F.col("old"), shards=2), "plan")
+    resharding.rewrite(docs, plan, root, F.col("old"))
+    back = spark.read.parquet(root).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter((r[0], r[1]) for r in odd_rows())
+    assert Counter((r.shard, r.slot) for r in back) == Counter((r.shard, r.slot) for r in plan.collect())
+    found = resharding.resharded(docs, F.col("old"), 2)
+    assert Counter(found.select(plan.columns).collect()) == Counter(plan.collect())
+
+
 # --- 5 ---
 
 

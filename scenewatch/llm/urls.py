@@ -8,6 +8,7 @@ spread of known addresses that the models have not seen.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -47,6 +48,19 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
     return F.lit(None).cast("struct<rule:string,verdict:string>") if out is None else out
 
 
+def read_by_models(host: Column, rest: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """The address without what rules name: a host's end that is a rule's host, a path's start that is a rule's path.
+
+    These go from every address, ruled or not, so that they do not decide by themselves; all else stays.
+    """
+    names = sorted({r[: r.index("/")] for r, _ in rules}, key=lambda n: (-len(n), n))
+    starts = sorted({r[r.index("/") :] for r, _ in rules} - {"/"}, key=lambda n: (-len(n), n))
+    quoted = ["|".join(re.sub(r"([^\w/-])", r"\\\1", n) for n in x) for x in (names, starts)]
+    own = F.regexp_replace(host, rf"(^|\.)({quoted[0]})$", "") if names else host
+    tail = F.regexp_replace(rest, f"^({quoted[1]})", "/") if starts else rest
+    return F.concat(own, F.lit(" "), F.lower(tail))
+
+
 def grams(rows: DataFrame, *keep: str) -> DataFrame:
     """(keep..., g): for each character of s, it and the four before it; s is padded at the start and ended by a mark."""
     padded = F.concat(F.lit(START * ORDER), F.col("s"), F.lit(END))
@@ -60,11 +74,14 @@ def suffixes(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def log_ratios(examples: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(g, ratio): log P(accepted) - log P(rejected) of each wanted gram's last character; examples has (s, accepted).
+    """(g, ratio): log P(accepted) - log P(rejected) of each wanted gram's last character; examples has (s, accepted)
+    and may have a weight w.
 
     The contexts with nothing seen leave the chance of the next shorter one as it is.
     """
-    seen = grams(examples, "accepted").groupBy("g").agg(F.sum(F.col("accepted").cast("long")).alias("a"), F.sum(1 - F.col("accepted").cast("long")).alias("r"))
+    w = F.col("w") if "w" in examples.columns else F.lit(1.0)
+    weighed = grams(examples.withColumn("w", w), "accepted", "w")
+    seen = weighed.groupBy("g").agg(F.sum(F.when(F.col("accepted"), F.col("w")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("accepted"), 0.0).otherwise(F.col("w"))).alias("r"))
     by = cut(suffixes(seen, "g", "a", "r").groupBy("k", "gram", "ctx").agg(F.sum("a").alias("a"), F.sum("r").alias("r")))
     after = by.groupBy("k", "ctx").agg(
         F.sum("a").alias("na"), F.count_if(F.col("a") > 0).alias("ta"), F.sum("r").alias("nr"), F.count_if(F.col("r") > 0).alias("tr")
@@ -89,14 +106,14 @@ def normalised(rows: DataFrame, ratios: DataFrame) -> DataFrame:
 def calibration(scored: DataFrame) -> tuple[float, float]:
     """(slope, offset) of the logit of acceptance: two normal laws of one variance, both kinds weighing alike.
 
-    scored has (accepted, score). Where a kind is missing or nothing varies, the logit is the score itself.
+    scored has (accepted, w, score), w a weight. Where a kind is missing or nothing varies, the logit is the score itself.
     """
-    kinds = {r.accepted: r for r in scored.groupBy("accepted").agg(F.count("*").alias("n"), F.avg("score").alias("m"), F.var_pop("score").alias("v")).collect()}
+    kinds = {r.accepted: r for r in scored.groupBy("accepted").agg(F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("score")) / F.sum("w")).alias("m"), (F.sum(F.col("w") * F.col("score") ** 2) / F.sum("w")).alias("q")).collect()}
     if len(kinds) < 2:
         return 1.0, 0.0
     a, r = kinds[True], kinds[False]
-    spread = (a.v * a.n + r.v * r.n) / (a.n + r.n)
-    if spread <= 0 or a.m <= r.m:
+    spread = ((a.q - a.m**2) * a.n + (r.q - r.m**2) * r.n) / (a.n + r.n)
+    if spread <= 1e-12 or a.m <= r.m:
         return 1.0, 0.0
     slope = (a.m - r.m) / spread
     return slope, -slope * (a.m + r.m) / 2
@@ -106,23 +123,25 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, rejected_w
     """(page_id, host, path, rule, verdict, score): the rule's verdict for each address, else the models'.
 
     Accepted examples are addresses that a rule allows, rejected ones those with a rejected word in their host;
-    all of them train or, a quarter by hash, calibrate. The models read the host without its last two labels, and
-    what follows the first part of the path up to #, so that what rules look at does not decide by itself. score is the chance of acceptance. Null addresses and
+    all of them train or, a quarter by hash, calibrate. The models read all of the address up to #, see
+    read_by_models(); a text that stands for accepted and for rejected addresses is an example of both, by their shares. score is the chance of acceptance. Null addresses and
     those without :// have empty host and path, no rule, and are judged as empty texts. Rows with repeated or null ids
     stay rows; without any examples of a kind everything without a rule is judged by the flat model: allowed.
     """
     url = F.col("url")
     host, path, rest = address(url)
     rows = need(pages, "page_id", "url").select("page_id", host.alias("host"), path.alias("path"), rest.alias("rest"))
-    rows = rows.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("s", F.concat(F.regexp_replace("host", r"\.?[^.]*\.?[^.]*$", ""), F.lit(" "), F.regexp_replace(F.lower("rest"), "^/[^/?]*", "")))
+    rows = rows.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("s", read_by_models(F.col("host"), F.col("rest"), rules))
     bad = F.col("host").rlike("|".join(w.replace(".", r"\.") for w in rejected_words)) if rejected_words else F.lit(False)
     rows = rows.withColumn("accepted", F.when(bad, False).when(F.col("hit.verdict") == "allow", True)).withColumn("u1", F.xxhash64("s")).withColumn("u2", F.hash("s"))
     rows = written(rows, "addresses")
-    texts = written(rows.groupBy("u1", "u2").agg(F.first("s").alias("s"), F.max("accepted").alias("accepted")), "address-texts")
+    texts = written(rows.groupBy("u1", "u2").agg(F.first("s").alias("s"), F.count_if(F.col("accepted")).alias("yes"), F.count_if(~F.col("accepted")).alias("no")), "address-texts")
     fold = F.pmod(F.xxhash64("u1", F.lit("fold")), F.lit(4))
-    ratios = log_ratios(texts.where("accepted is not null").where(fold != 0).select("s", "accepted"), grams(texts).distinct())
+    sides = F.array(*[F.struct(F.lit(ok).alias("accepted"), (F.col(n) / (F.col("yes") + F.col("no"))).alias("w")) for ok, n in ((True, "yes"), (False, "no"))])
+    known = texts.where("yes + no > 0").select("u1", "u2", "s", F.inline(sides)).where("w > 0")
+    ratios = log_ratios(known.where(fold != 0).select("s", "accepted", "w"), grams(texts).distinct())
     scored = cut(normalised(texts, ratios))
-    slope, offset = calibration(texts.where("accepted is not null").where(fold == 0).join(scored, ["u1", "u2"]).select("accepted", "score"))
+    slope, offset = calibration(known.where(fold == 0).join(scored, ["u1", "u2"]).select("accepted", "w", "score"))
     chance = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), slope * F.col("score") + offset))))
     return rows.join(scored, ["u1", "u2"]).withColumn("score", chance).select(
         "page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.when(F.col("score") >= limit, "allow").otherwise("block")).alias("verdict"), "score"

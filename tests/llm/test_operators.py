@@ -191,6 +191,16 @@ def test_models_equal_loops(spark):
         assert r.ratio == pytest.approx(np.log(witten_bell(good, r.g)) - np.log(witten_bell(bad, r.g)))
 
 
+def test_short_addresses_are_judged_by_their_own_host(spark):
+    good, bad = (["garden", "museum", "library", "weather"], ["casino-win", "pills-now", "spam-bets", "adult-ads-x"])
+    rows = [f"https://{w}{i}.example.net/en/" for w in good for i in range(15)] + [f"https://{w}{i}.com/" for w in bad for i in range(15)]
+    asked = ["https://casino-wim.com/", "https://pills-mow.com/de", "https://garden77.co.uk/", "https://museum.com"]
+    pages = spark.createDataFrame(list(enumerate(rows + asked)), "page_id long, url string")
+    got = {r.page_id: r.score for r in urls.judge(pages).where("rule is null").collect()}
+    scores = [got[len(rows) + i] for i in range(4)]
+    assert max(scores[:2]) < 0.5 < min(scores[2:])
+
+
 def test_spam_hosts_are_blocked(spark, sf_dir):
     rows = urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).where("rule is null").collect()
     bad = [r for r in rows if any(w in r.host for w in urls.REJECTED_WORDS)]

@@ -1,18 +1,35 @@
-"""Connected components of a graph given as links, by alternating large and small stars."""
+"""Connected components of a graph given as links, by alternating large and small stars; and cut lineage."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one set in spark.checkpoint.dir.
+
+    Where it is unset, a session on one machine gets a temporary folder; on a cluster that is an error, since executors
+    could not read it.
+    """
+    context = spark.sparkContext
+    if found := context.getCheckpointDir():
+        return found
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df by checkpoint(), in the folder that the session names in spark.checkpoint.dir; a temporary one if it names none."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """df written to the shared folder by checkpoint(), so that later steps neither recompute it nor hang on executors."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

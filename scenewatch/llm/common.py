@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scenewatch.operators.graph import cut, shared_dir
+
+__all__ = ["cut", "shared_dir"]
+
 #: Words are maximal runs of anything but these characters.
 SPACES = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACES}]+"
@@ -23,32 +26,24 @@ def need(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one set in spark.checkpoint.dir.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: for what is read more than once, by few of its columns.
 
-    Only where it is unset, as in tests on one machine, a temporary folder is made and set.
+    The table goes when the application ends.
     """
-    context = spark.sparkContext
-    if found := context.getCheckpointDir():
-        return found
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder by checkpoint(), so that later steps neither recompute it nor hang on executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: for what is read more than once, by few of its columns."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole(docs: DataFrame, *names: str) -> DataFrame:
+    """Columns in names, and `_doc` with all columns of docs, so that none of them can clash with one made on the way."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *names)
+
+
 def words(text: Column) -> Column:
     """The array of words of a text; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+"), lambda w: w != "")

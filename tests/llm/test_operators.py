@@ -562,9 +562,31 @@ def test_targets(spark, sizes):
     assert got == {s: pytest.approx(v) for s, v in want.items()}
 
 
-def test_queue_is_the_merged_prefix(documents):
+def slow_queue(docs, weights, share, seed):
+    """doc_id to its finish times: whole sources in one list each, in the order of the hashes that the engine gives."""
+    rows = docs.select("doc_id", "source", F.col("text"), *[F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed), F.lit(p)).alias(f"k{p}") for p in range(2)]).collect()
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows}
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += size[r.doc_id]
+    want, out = slow_targets(dict(sizes), weights, share, 2), {}
+    for s in sizes:
+        for p in range(2):
+            run = p * sizes[s]
+            for r in sorted((r for r in rows if r.source == s), key=lambda r: r[f"k{p}"] % (1 << 64)):
+                run += size[r.doc_id]
+                out.setdefault(r.doc_id, []).append(run / want[s] if want[s] else None)
+    return out
+
+
+def test_queue_is_the_merged_prefix(documents, monkeypatch):
+    for name, value in (("RANGES", 16), ("FEW", 3), ("BUCKET_ROWS", 10), ("GROUP", 4)):
+        monkeypatch.setattr(mixing, name, value)
     rows = mixing.queue(documents).collect()
     assert len(rows) == documents.count()
+    want = slow_queue(documents, (3, 1, 2), 1.5, 10)
+    order = lambda fs: {i: x for i, x in fs}
+    assert order((r.doc_id, pytest.approx(r.finish, rel=1e-9)) for r in rows) == want
     line = sorted((f, r["rank"], r["size"]) for r in rows if r["size"] for f in r.finish if f is not None)
     budget, total, cut = 1.5 * sum(r["size"] for r in rows), 0, None
     for f, rank, n in line:
@@ -580,6 +602,15 @@ def test_queue_is_the_merged_prefix(documents):
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({r.doc_id: r.taken // r["size"] for r in rows if r.taken})
 
 
+def test_many_sources_that_finish_at_once(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW", 5)
+    monkeypatch.setattr(mixing, "RANGES", 7)
+    docs = spark.range(120).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.format_string("s%03d", "id").alias("source"))
+    rows = mixing.queue(docs, (1,), 1.5).orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == list(range(120)) and [r.doc_id for r in rows] == list(range(120))
+    assert sum(r.taken for r in rows) == 360 and [r.taken for r in rows] == [4] * 60 + [2] * 60
+
+
 def test_queue_edges(odd, none):
     rows = mixing.queue(odd).collect()
     assert len(rows) == odd.count() and all(0 <= r.taken <= 2 * r["size"] for r in rows)

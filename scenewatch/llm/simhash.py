@@ -1,4 +1,4 @@
-"""Near-duplicates by 64-bit SimHash: meet-in-the-middle ball hashing finds all pairs within a Hamming radius.
+"""Near-duplicates by SimHash: meet-in-the-middle ball hashing finds all pairs within a Hamming radius.
 
 Two fingerprints at most 2r bits apart have a third that is at most r bits from both. So each distinct
 fingerprint emits every variant within r bits, and fingerprints that share a variant are exactly the linked ones.
@@ -6,6 +6,10 @@ To shuffle less than all variants (2,081 for r = 2), a fingerprint is sent to ea
 bits) that its variants reach, with the flips left over; the variants of the other bits are made inside the
 region's task. Regions are counted first, and one with too many variants is parted by further bits, again with flips,
 so a task's work is bounded however the fingerprints cluster.
+
+near_duplicates() links by one 64-bit fingerprint and its radius alone. without_near_duplicates() asks for a similarity
+of sets of word shingles: several shorter fingerprints of word pairs, which few changed words hardly move, give the
+candidates, and sketches of the shingles verify each of them.
 """
 
 from __future__ import annotations
@@ -18,15 +22,21 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
-from scenewatch.llm.common import cut, need, written
-from scenewatch.llm.components import connected
+from scenewatch.llm.common import SPACE_BYTES, byte_slices, cut, fold_tables, mixed, need, tokens, whole, written
+from scenewatch.operators.graph import connected
 
 SEED = 42
 #: Variants that a region may hold: some 200 MB in its task.
-MOST = 6_000_000
+MOST = 4_000_000
+#: Buckets of up to so many members make all their pairs, larger ones stars and a chain.
+SMALL = 6
+#: Least hashes of shingles in a sketch.
+SKETCH = 256
+GAP, SAME = fold_tables(SPACE_BYTES)
 
 
 def fingerprint(text: str | None, size: int) -> int:
@@ -85,12 +95,12 @@ def masks_of(low: int, k: int) -> np.ndarray:
     return np.array(flips(low, k, k), np.uint64).astype(np.uint64)
 
 
-def regions(fps: DataFrame, half: int, bits: int, most: int = MOST, step: int = 6) -> DataFrame:
-    """(fp, low, region, left): each fingerprint in every region that its variants within `half` bits reach.
+def regions(points: DataFrame, half: int, bits: int, most: int = MOST, step: int = 6, width: int = 64) -> DataFrame:
+    """points (t, key, fp, score) with low, region, left: each in every region that its variants within `half` bits reach.
 
-    A region is a value of the bits above the lowest `low` of 64 bits; `left` flips remain for those. The rows of
-    a region have at most `most` variants there; one with more is parted by `step` further bits, and so on. With no
-    bits left a region is one variant, which at most a ball's number of distinct fingerprints have.
+    Fingerprints of one table t have `width` bits. A region is a value of the bits above the lowest `low`; `left`
+    flips remain for those. The rows of a region have at most `most` variants there; one with more is parted by `step`
+    further bits, and so on. With no bits left a region is one variant.
     """
 
     def spread(rows: DataFrame, low: int, by: int) -> DataFrame:
@@ -98,19 +108,19 @@ def regions(fps: DataFrame, half: int, bits: int, most: int = MOST, step: int =
         own = F.shiftrightunsigned("fp", low - by).bitwiseAND(F.lit((1 << by) - 1)).bitwiseXOR(F.col("m.mask"))
         sent = rows.withColumn("m", F.explode(masks)).where(F.col("m.n") <= F.col("left"))
         region = F.shiftleft("region", by).bitwiseOR(own)
-        return sent.select("fp", F.lit(low - by).alias("low"), region.alias("region"), (F.col("left") - F.col("m.n")).alias("left"))
+        return sent.select("t", "key", "fp", "score", F.lit(low - by).alias("low"), region.alias("region"), (F.col("left") - F.col("m.n")).alias("left"))
 
-    rows = spread(fps.select("*", F.lit(0).cast("long").alias("region"), F.lit(half).alias("left")), 64, bits)
-    low, done = 64 - bits, []
+    rows = spread(points.select("t", "key", "fp", "score", F.lit(0).cast("long").alias("region"), F.lit(half).alias("left")), width, bits)
+    low, done = width - bits, []
     while low:
         ball = list(accumulate(math.comb(low, k) for k in range(half + 1)))
         weight = F.element_at(F.array(*[F.lit(n).cast("long") for n in ball]), F.col("left") + 1)
-        heavy = cut(rows.groupBy("region").agg(F.sum(weight).alias("n")).where(F.col("n") > most).select("region"))
+        heavy = cut(rows.groupBy("t", "region").agg(F.sum(weight).alias("n")).where(F.col("n") > most).select("t", "region"))
         if heavy.isEmpty():
             break
-        done.append(rows.join(heavy, "region", "left_anti").select(*rows.columns))
+        done.append(rows.join(heavy, ["t", "region"], "left_anti").select(*rows.columns))
         by = min(step, low)
-        rows = cut(spread(rows.join(heavy, "region", "left_semi"), low, by))
+        rows = cut(spread(rows.join(heavy, ["t", "region"], "left_semi"), low, by))
         low -= by
     return reduce(DataFrame.unionByName, done, rows)
 
@@ -130,38 +140,66 @@ def variants(table: pa.Table, half: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(value), np.concatenate(owner)
 
 
-def links(fps: DataFrame, radius: int = 4, bits: int | None = None, most: int = MOST) -> DataFrame:
-    """(a, b): links that connect the same fingerprints as all pairs at most `radius` (even) bits apart.
+def meetings(value: np.ndarray, who: np.ndarray, names: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Pairs (n, 2) of rows that share a value, each once: enough of them to connect all rows of every bucket.
 
-    fps has distinct, non-null values `fp`. In each variant's bucket every two members are linked, so a star from one
-    member to each other says the same; repeated links are dropped inside a region.
+    Buckets of up to SMALL rows give all their pairs. In larger ones the two rows of the greatest score (then with the
+    most company in the region, then of the least name) are paired with all others, and neighbours in that order with
+    each other.
+    """
+    order = np.argsort(value)
+    value, who = value[order], who[order]
+    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    size = np.diff(np.append(first, len(value)))
+    several = np.repeat(size > 1, size)
+    if not several.any():
+        return np.zeros((0, 2), np.int64)
+    size, value, who = size[size > 1], value[several], who[several].astype(np.int64)
+    company = np.bincount(who, np.repeat(size, size) - 1, len(names))
+    rank = np.empty(len(names), np.int64)
+    rank[np.lexsort((names, -company, -score))] = np.arange(len(names))
+    who = who[np.lexsort((rank[who], value))]
+    first = np.repeat(np.cumsum(size) - size, size)
+    place, many = np.arange(len(who)) - first, np.repeat(size, size)
+    pairs = []
+    for k in range(1, SMALL):
+        i = np.flatnonzero((many <= SMALL) & (place + k < many))
+        pairs.append((who[i], who[i + k]))
+    for k in (0, 1):
+        i = np.flatnonzero((many > SMALL) & (place > k))
+        pairs.append((who[first[i] + k], who[i]))
+    i = np.flatnonzero((many > SMALL) & (place > 2))
+    pairs.append((who[i - 1], who[i]))
+    a, b = (np.concatenate(x) for x in zip(*pairs))
+    packed = np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b))
+    return np.stack([packed // len(names), packed % len(names)], axis=1)
+
+
+def links(points: DataFrame, radius: int = 4, bits: int | None = None, most: int = MOST, width: int = 64) -> DataFrame:
+    """(a, b), a < b: keys whose fingerprints in one table are at most `radius` (even) bits apart.
+
+    points has distinct (t, key, fp, score) without nulls. All members of a variant's bucket are within the radius of each
+    other; the links of meetings() connect them all, and so connect what all pairs within the radius connect.
     """
     half = radius // 2
     if radius != 2 * half:
         raise ValueError("the radius must be even: balls of half of it meet in the middle")
-    bits = bits or region_bits(fps.count())
+    tables = max(1, points.select("t").distinct().count())
+    bits = bits or region_bits(points.count() / tables)
 
     def meet(table: pa.Table) -> pa.Table:
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        value, who = variants(table, half)
-        order = np.argsort(value)
-        value, who = value[order], who[order]
-        again = np.concatenate([[False], value[1:] == value[:-1]])
-        if not again.any():
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        head = np.maximum.accumulate(np.where(again, 0, np.arange(len(value))))[again]
-        pair = np.unique(np.stack([fp[who[head]], fp[who[again]]], axis=1), axis=0)
-        apart = np.bitwise_count(pair[:, 0] ^ pair[:, 1])
-        pair = pair[(apart > 0) & (apart <= radius)].view(np.int64)
+        key = table.column("key").to_numpy()
+        pair = key[meetings(*variants(table, half), key, table.column("score").to_numpy())]
+        pair = pair[pair[:, 0] != pair[:, 1]]
         return pa.table({"a": pair.min(axis=1), "b": pair.max(axis=1)})
 
-    return regions(fps.select("fp"), half, bits, most).groupBy("low", "region").applyInArrow(meet, "a long, b long").distinct()
+    return regions(points, half, bits, most, width=width).groupBy("t", "low", "region").applyInArrow(meet, "a long, b long").distinct()
 
 
 def roots_of(prints: DataFrame, radius: int) -> DataFrame:
     """(fp, root): each distinct fingerprint with one that stands for its component."""
     classes = cut(prints.select("fp").distinct())
-    roots = connected(links(classes, radius))
+    roots = connected(links(classes.select(F.lit(0).alias("t"), F.col("fp").alias("key"), "fp", F.lit(0).cast("long").alias("score")), radius))
     return classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -180,18 +218,143 @@ def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 4) -> DataFram
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, size: int = 5, radius: int = 4) -> DataFrame:
+def words_of(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the rows' words in order, where each row's begin (one more entry for the end), and each row's key.
+
+    A-Z count as a-z. The key stands for the whole sequence of words: rows with one key are copies, but for a chance
+    of 2**-64 a pair.
+    """
+    _, _, row, h = tokens(data, rows, GAP, SAME)
+    at = np.searchsorted(row, np.arange(len(rows)))
+    place = np.arange(len(h)) - at[row]
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * (mixed(place.astype(np.uint64) + np.uint64(1)) | np.uint64(1)), out=total[1:])
+    return h, at, mixed(total[at[1:]] - total[at[:-1]]).view(np.int64)
+
+
+def short_prints(h: np.ndarray, at: np.ndarray, tables: int, bits: int) -> np.ndarray:
+    """(rows, tables): SimHashes of `bits` bits of each row's pairs of neighbouring words (of its word if it has one)."""
+    n = np.diff(at)
+    out = np.zeros((len(n), tables), np.int64)
+    if not len(h):
+        return out
+    last = np.zeros(len(h), bool)
+    last[at[1:][n > 0] - 1] = True
+    single = np.zeros(len(h), bool)
+    single[at[:-1][n == 1]] = True
+    pair = mixed(h * np.uint64(3) + np.where(single, np.uint64(0), np.append(h[1:], np.uint64(0))))
+    kept = ~last | single
+    count = np.where(n == 1, 1, np.maximum(n - 1, 0))
+    some = np.flatnonzero(count)
+    start = (np.cumsum(count) - count)[some]
+    pair = pair[kept]
+    draws = -(-tables * bits // 64)
+    salts = mixed(np.arange(1, draws + 1, dtype=np.uint64) << np.uint64(32))
+    raw = mixed(pair[:, None] ^ salts[None, :]).view(np.uint8).reshape(len(pair), -1)
+    votes = np.add.reduceat(np.unpackbits(raw, axis=1, bitorder="little")[:, : tables * bits], start, axis=0, dtype=np.int32)
+    signs = (2 * votes > count[some, None]).reshape(len(some), tables, bits)
+    out[some] = (signs.astype(np.int64) << np.arange(bits)).sum(axis=2)
+    return out
+
+
+def sketches(h: np.ndarray, at: np.ndarray, size: int, most: int = SKETCH) -> list[bytes]:
+    """The `most` least 32-bit hashes of each row's distinct shingles of `size` words (all its words if it has fewer)."""
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        k = min(size, b - a)
+        x = h[a : b - k + 1] if k else h[a:b]
+        for j in range(1, k):
+            x = mixed(x * np.uint64(5)) + h[a + j : b - k + 1 + j]
+        out.append(np.unique((mixed(x) >> np.uint64(32)).astype("<u4"))[:most].tobytes())
+    return out
+
+
+def similarity(a: bytes, b: bytes, most: int = SKETCH) -> float:
+    """The share of common shingles by two sketches: exact if both texts have at most `most`, else by the least ones."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = np.union1d(x, y)
+    if max(len(x), len(y)) == most:
+        both = both[:most]
+    common = np.intersect1d(x, y, assume_unique=True)
+    return float(np.isin(both, common, assume_unique=True).sum() / len(both)) if len(both) else 1.0
+
+
+def shingled(docs: DataFrame, size: int, tables: int, bits: int) -> DataFrame:
+    """(doc_id, h, key, prints, sketch) of each whole text, h being a hash of the text as it is."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, prints, found = [], [], []
+            for _, _, data, rows in byte_slices(batch.column(0)):
+                h, at, key = words_of(data, rows)
+                keys.append(key)
+                prints.append(short_prints(h, at, tables, bits))
+                found += sketches(h, at, size)
+            flat = np.concatenate([p.ravel() for p in prints])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, tables, dtype=np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(keys)), lists, pa.array(found, pa.binary())], names=["doc_id", "h", "key", "prints", "sketch"])
+
+    rows = need(docs, "text", "doc_id").select(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"))
+    return rows.mapInArrow(of, "doc_id long, h long, key long, prints array<long>, sketch binary")
+
+
+def verified(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """Those of pairs (a, b) of keys whose sketches say a similarity of at least `least`."""
+    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    known = cut(prints.select("key", "sketch").join(ends, "key", "left_semi").groupBy("key").agg(F.first("sketch").alias("sketch")))
+    both = pairs.join(known.select(F.col("key").alias("a"), F.col("sketch").alias("x")), "a").join(known.select(F.col("key").alias("b"), F.col("sketch").alias("y")), "b")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = [similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(of, "a long, b long")
+
+
+def alike(prints: DataFrame, least: float, bits: int, radius: int = 4) -> DataFrame:
+    """(key, root): the keys of shingled() that verified links join, with one that stands for all of its component.
+
+    A key's score is the number of keys that share its fingerprints, over all tables: of copies of one text that differ
+    from each other more than from it, the text itself has the greatest, and all are paired with it. First each key is compared with that of its candidates which has the most candidates itself; then all pairs that
+    are not in one component yet. So a large group of copies of one text costs about a comparison a copy.
+    """
+    points = cut(prints.select("key", F.posexplode("prints").alias("t", "fp")).distinct())
+    shared = points.groupBy("t", "fp").agg(F.count("*").alias("n"))
+    score = points.join(shared, ["t", "fp"]).groupBy("key").agg(F.sum("n").alias("score"))
+    points = cut(points.join(score, "key"))
+    pairs = cut(links(points, radius, width=bits))
+    sides = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    company = sides.groupBy("a").agg(F.count("*").alias("n"))
+    best = sides.join(company.select(F.col("a").alias("b"), "n"), "b").groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    sure = cut(verified(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), prints, least))
+    roots = cut(connected(sure))
+    left, right = (roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab")
+    rest = pairs.join(left, "a", "left").join(right, "b", "left").where(~F.coalesce(F.col("a_root"), F.col("a")).eqNullSafe(F.coalesce(F.col("b_root"), F.col("b"))))
+    more = verified(cut(rest.select("a", "b").join(best, ["a", "b"], "left_anti")), prints, least)
+    return connected(sure.unionByName(more)).select(F.col("node").alias("key"), "root")
+
+
+def without_near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, tables: int = 6, bits: int = 48) -> DataFrame:
     """docs with all columns, one document of each component: that of the least doc_id (null last), then text hash.
 
-    Rows alike in doc_id and text count as one document.
+    Two texts are linked if they share `least` of all their distinct shingles of `size` words (A-Z count as a-z; fewer
+    words: the whole sequence), as sketches tell, and one of their `tables` SimHashes of pairs of words are within 4 of
+    `bits` bits; texts with equal words are copies, those without words among them. Rows alike in doc_id and text count
+    as one document; of such rows one stays, by the hash of its other columns. Null texts are empty ones.
     """
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    prints = written(fingerprints(keyed, size, "_h"), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")
-    least = prints.groupBy("fp").agg(F.min(order).alias("least"))
-    kept = cut(roots_of(prints, radius).join(least, "fp").groupBy("root").agg(F.min("least").alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x._h").alias("_k")))
-    staying = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (keyed["_h"] == kept["_k"]), "left_semi")
-    return staying.dropDuplicates(["doc_id", "_h"]).drop("_h")
+    prints = written(shingled(docs, size, tables, bits), "shingles")
+    roots = cut(alike(prints, least, bits))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    first = prints.groupBy("key").agg(F.min(order).alias("first"))
+    kept = first.join(roots, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.h").alias("_k"))
+    rest = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    rows = whole(docs, F.col("doc_id").cast("long").alias("_i"), F.xxhash64("text").alias("_h"), F.xxhash64(*rest).alias("_r"))
+    staying = rows.join(cut(kept), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")), "left_semi")
+    one = Window.partitionBy("_i", "_h").orderBy("_r")
+    return staying.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("_doc.*")
 
 
 def hex64(fp: Column) -> Column:

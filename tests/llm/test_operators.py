@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from scenewatch.llm import binary_search, bpe, common, langid, mixing, resample, resharding, rules, simhash, toxicity, urls
-from scenewatch.llm.components import connected
+from scenewatch.operators.graph import connected
 from tests.compare import connect, rows_of, rows_of_sql
 
 NAME = public_tokenizers.path("byte_bpe_50k.json")
@@ -298,7 +298,7 @@ def test_links_connect_all_near_pairs(spark, bits):
         for _ in range(30):
             values.add(int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 8), replace=False)))
     values = [v - (1 << 64) if v >= 1 << 63 else v for v in values] + [0]
-    found = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), 4, bits).collect()
+    found = simhash.links(spark.createDataFrame([(0, v, v, 0) for v in values], "t int, key long, fp long, score long"), 4, bits).collect()
     apart = lambda a, b: ((a ^ b) % (1 << 64)).bit_count()
     assert all(apart(r.a, r.b) <= 4 for r in found)
 
@@ -323,7 +323,7 @@ def test_links_connect_all_near_pairs(spark, bits):
 def test_regions_of_a_cluster_are_bounded(spark):
     rng = np.random.default_rng(15)
     values = sorted({sum(1 << int(b) for b in rng.choice(48, rng.integers(1, 7), replace=False)) for _ in range(400)})
-    fps = spark.createDataFrame([(v,) for v in values], "fp long")
+    fps = spark.createDataFrame([(0, v, v, 0) for v in values], "t int, key long, fp long, score long")
     rows = simhash.regions(fps, 2, 7, most=50_000).collect()
     held = Counter()
     for r in rows:
@@ -341,12 +341,92 @@ def test_near_duplicates(odd, none):
     assert len(rows) == odd.count()
     by = {r.doc_id: r.component_id for r in rows if r.doc_id is not None}
     assert by[0] == by[1] == by[2] == 0 and by[7] == by[8] == 7 and by[3] == 3
-    kept = simhash.without_near_duplicates(odd, 4)
+    kept = simhash.without_near_duplicates(odd)
     assert kept.columns == odd.columns
-    assert Counter(r.doc_id for r in kept.collect())[3] == 1
+    ids = Counter(r.doc_id for r in kept.collect())
+    assert ids == Counter([0, 3, 4, 5, 6, 7, 9, 10, 11, None])
     assert simhash.near_duplicates(none).count() == simhash.without_near_duplicates(none).count() == 0
 
 
+def shingles(text, size=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(ch) + 32) if "A" <= ch <= "Z" else ch for ch in text or ""))
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(text, rng, share):
+    w = text.split()
+    for i in rng.choice(len(w), max(1, int(share * len(w))), replace=False):
+        w[i] = f"new{rng.integers(1 << 40)}"
+    return " ".join(w)
+
+
+def vocabulary_text(rng, n):
+    return " ".join(f"w{k}" for k in rng.zipf(1.3, n) % 5000)
+
+
+def test_sketches_and_keys_of_words():
+    rng = np.random.default_rng(55)
+    texts = ["", " a ", "A b\tc", "a  B\nc", "a b", "b a", *[vocabulary_text(rng, 150) for _ in range(3)]]
+    texts += [edited(t, rng, 0.03) for t in texts[6:]] + [" ".join(str(i) for i in range(2000)), " ".join(str(i) for i in range(200, 2000))]
+    data = "".join(texts).encode()
+    h, at, key = simhash.words_of(np.frombuffer(data, np.uint8), np.cumsum([0, *[len(t.encode()) for t in texts]]))
+    assert len(set(key.tolist())) == len({tuple(t.lower().split()) for t in texts})
+    found = simhash.sketches(h, at, 5)
+    for i, j in combinations(range(len(texts)), 2):
+        want, got = jaccard(shingles(texts[i]), shingles(texts[j])), simhash.similarity(found[i], found[j])
+        assert got == pytest.approx(want, abs=0.08 if max(i, j) >= 12 else 1e-9)
+
+
+def test_copies_of_one_text_that_differ_from_each_other(spark):
+    rng = np.random.default_rng(56)
+    base = vocabulary_text(rng, 120)
+    docs = [(0, base)] + [(i, edited(base, rng, 0.017)) for i in range(1, 301)] + [(1000 + i, vocabulary_text(rng, 100)) for i in range(300)]
+    sets = {i: shingles(t) for i, t in docs}
+    near = [i for i in range(1, 301) if jaccard(sets[0], sets[i]) >= 0.8]
+    assert len(near) > 290 and np.mean([jaccard(sets[i], sets[j]) < 0.8 for i, j in combinations(near[:40], 2)]) > 0.5
+    kept = {r.doc_id for r in simhash.without_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    assert {i for i, _ in docs if i >= 1000} <= kept
+    gone = sum(i not in kept for i in near)
+    assert gone >= 0.95 * len(near)
+
+
+def classes_by_force(sets, least):
+    """Each document's least neighbour by all pairs that share a shingle, as components."""
+    root, by = {i: i for i in sets}, {}
+
+    def top(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, s in sets.items():
+        for x in s or {()}:
+            by.setdefault(x, []).append(i)
+    seen = set()
+    for group in by.values():
+        for pair in combinations(group, 2):
+            if pair not in seen:
+                seen.add(pair)
+                if jaccard(sets[pair[0]], sets[pair[1]]) >= least:
+                    a, b = sorted((top(pair[0]), top(pair[1])))
+                    root[b] = a
+    return {i: top(i) for i in sets}
+
+
+def test_without_near_duplicates_against_all_pairs(documents):
+    sets = {r.doc_id: shingles(r.text) for r in documents.collect()}
+    want = classes_by_force(sets, 0.8)
+    kept = {r.doc_id for r in simhash.without_near_duplicates(documents).collect()}
+    assert set(want.values()) <= kept
+    gone = [i for i, c in want.items() if i != c]
+    assert sum(i not in kept for i in gone) >= 0.95 * len(gone)
+
+
 # --- 6 ---
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenewatch.llm.common import byte_slices, held_out
+from scenewatch.llm.common import byte_slices, cut, held_out, whole
 
 UNITS = 12
 WINDOW = 128
@@ -152,17 +152,32 @@ class Network:
         return out / np.maximum(lens, 1)[:, None]
 
 
-def fit(labelled: DataFrame, per_language: int = 400, windows: int = 4, languages: int = 64, **options) -> Network | None:
+def sampled(labelled: DataFrame, per_language: int, most: int, parts: int = 64) -> DataFrame:
+    """(lang, h, t): distinct lower-cased texts with a letter and a language, the per_language least hashes of each.
+
+    Copies of a text count once. No task sees a whole language: each of `parts` ranges of hashes is cut first. With
+    more than most / per_language languages each gets fewer texts, so that at most `most` stay in all.
+    """
+    known = labelled.where("lang is not null").where(F.col("text").rlike("\\p{L}")).select("lang", F.xxhash64("text").alias("h"), "text")
+    keys = known.select("lang", "h").distinct()
+    part = F.pmod("h", F.lit(parts))
+    near = keys.withColumn("part", part).withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h"))).where(F.col("n") <= per_language)
+    chosen = cut(near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_language).select("lang", "h", "n"))
+    languages = chosen.select("lang").distinct().count()
+    if languages > most:
+        raise ValueError(f"{languages} languages are more than the {most} texts that are learned from")
+    few = chosen.where(F.col("n") <= min(per_language, most // max(1, languages))).select("lang", "h")
+    return known.join(F.broadcast(few), ["lang", "h"]).groupBy("lang", "h").agg(F.lower(F.min("text")).alias("t"))
+
+
+def fit(labelled: DataFrame, per_language: int = 400, windows: int = 4, most: int = 25_600, **options) -> Network | None:
     """A network trained on `windows` windows of each of per_language texts a language, those with the least hashes.
 
-    labelled has text and lang; rows with a null, or without any letter, are left out. At most `languages` languages
-    are learned. None where nothing is labelled.
+    labelled has text and lang; rows with a null, or without any letter, are left out. At most `most` texts are learned
+    from in all. None where nothing is labelled.
     """
-    known = labelled.where("lang is not null").where(F.col("text").rlike("\\p{L}")).select("lang", F.xxhash64("text").alias("h"), F.lower("text").alias("t"))
     spot = [F.expr(f"substring(t, cast(pmod(xxhash64(h, {k}), greatest(length(t) - {WINDOW // 2}, 1)) as int) + 1, {WINDOW})") for k in range(windows)]
-    first = Window.partitionBy("lang").orderBy("h")
-    sample = known.select("lang", "h", F.array(*spot).alias("parts")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
-    rows = sample.orderBy("lang", "n").limit(per_language * languages).collect()
+    rows = sampled(labelled.select("lang", F.col("text").cast("string")), per_language, most).select("lang", "h", F.array(*spot).alias("parts")).orderBy("lang", "h").collect()
     if not rows:
         return None
     network = Network(sorted({r.lang for r in rows}))
@@ -200,8 +215,7 @@ def predict(docs: DataFrame, network: Network | None, keep: str = "doc_id") -> D
 def recognised(docs: DataFrame, least: float = 0.4, **options) -> DataFrame:
     """The documents, with all their columns, whose language is told with at least this probability."""
     network = fit(docs.where(~held_out(F.col("doc_id"))), **options)
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), "text")
-    return predict(whole, network, "_doc").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_doc.*")
+    return predict(whole(docs, "text"), network, "_doc").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_doc.*")
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:

@@ -96,6 +96,25 @@ def test_kth_greatest_narrows_down(spark):
     assert resample.kth_greatest(rows, 3000) is None
 
 
+def test_weights_equal_counts_of_terms(spark):
+    texts, target = ["Ab cd ab cd", "cd x", "", None, "ab"], ["ab cd", "ab ab"]
+
+    def bag(t):
+        w = (t or "").lower().split()
+        return [(x,) for x in w] + list(zip(w, w[1:]))
+
+    raw, want = (Counter(x for t in some for x in bag(t)) for some in (texts, target))
+    buckets = 1 << 14  # no two of these terms share one
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    good = spark.createDataFrame([(t,) for t in target], "text string")
+    for r in resample.resample(docs, good, 0.5, buckets=buckets).collect():
+        total = 0.0
+        for x in bag(texts[r.doc_id]):
+            q = (raw[x] + 1) / (sum(raw.values()) + buckets)
+            total += math.log((want[x] + buckets * q) / (sum(want.values()) + buckets)) - math.log(q)
+        assert r.log_weight == pytest.approx(total, abs=1e-9)
+
+
 # --- 2 ---
 
 
@@ -467,6 +486,54 @@ def test_documents_pool_every_byte_once():
     assert np.allclose(got.sum(axis=1), [1, 0, 1, 1, 1], atol=1e-5)
 
 
+def slow_states(way, x):
+    """One direction over one window, a unit and a byte at a time."""
+    n, h, out = way.h, [0.0] * way.h, []
+    for b in x:
+        u = [sum(float(way.u[i, j]) * h[j] for j in range(n)) for i in range(3 * n)]
+        z = [min(1.0, max(0.0, float(way.w[i, b]) + u[i])) for i in range(n)]
+        r = [min(1.0, max(0.0, float(way.w[n + i, b]) + u[n + i])) for i in range(n)]
+        c = [min(1.0, max(-1.0, float(way.w[2 * n + i, b]) + r[i] * u[2 * n + i])) for i in range(n)]
+        h = [z[i] * h[i] + (1 - z[i]) * c[i] for i in range(n)]
+        out.append(h)
+    return out
+
+
+def slow_pooled(net, text):
+    """The mean distribution of a text's bytes, one at a time."""
+    data, total = list(text), np.zeros(len(net.languages))
+    size, step = len(data), langid.WINDOW
+    for k in range(-(-size // step)):
+        start = min(k * step, max(0, size - step))
+        x = (data[start : start + step] + [32] * step)[:step]
+        ahead, back = slow_states(net.ways[0], x), slow_states(net.ways[1], x[::-1])[::-1]
+        for t in range(k * step - start, min(step, size - start)):
+            e = [math.exp(sum(float(v) * s for v, s in zip(row, ahead[t] + back[t])) + float(b)) for row, b in zip(net.v, net.b[:, 0])]
+            total += np.array(e) / sum(e)
+    return total / max(1, size)
+
+
+def test_forward_pass_equals_loops(spark):
+    net = langid.Network(["a", "b", "c"], units=4, seed=3)
+    texts = ["hello wörld", "x" * 130 + " and more", "z" * 128, "q"]
+    rows = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()
+    for r in rows:
+        want = slow_pooled(net, texts[r.doc_id].encode())
+        assert r.lang_pred == net.languages[int(want.argmax())] and r.score == pytest.approx(want.max(), abs=1e-5)
+
+
+def test_sample_of_languages(spark):
+    rows = [(f"text {i}", "a") for i in range(90)] + [("hot text", "b")] * 300 + [("hot text", "a")] * 50 + [("B one", "b"), ("12", "b"), (None, "b"), ("x", None)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    got = {(r.lang, r.t): r.h for r in langid.sampled(docs, 40, 1000, parts=3).collect()}
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    want = sorted({t for t, g in rows if g == "a"}, key=hashes.get)[:40]
+    assert {t for g, t in got if g == "a"} == set(want) and {t for g, t in got if g == "b"} == {"hot text", "b one"}
+    assert Counter(g for g, _ in {(r.lang, r.t) for r in langid.sampled(docs, 40, 60, parts=3).collect()}) == Counter({"a": 30, "b": 2})
+    with pytest.raises(ValueError):
+        langid.sampled(docs, 40, 1)
+
+
 def test_languages(documents, odd, none):
     rows = langid.identify(documents, batches=150).collect()
     truth = {r.doc_id: r.lang for r in documents.collect()}

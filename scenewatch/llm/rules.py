@@ -1,8 +1,9 @@
 """Quality rules as a learned decision list: sequential covering over statistics of each text, applied as CASE WHEN.
 
-Everything runs in DataFrame functions. A rule is a conjunction of thresholds. Rules are grown on two thirds of a
-bounded sample of labelled documents, one condition at a time by information gain, cut back on the other third, and
-kept while they are precise there; documents that a rule covers leave the sample before the next one is grown.
+Everything runs in DataFrame functions. A rule is a conjunction of thresholds with a verdict, keep or reject. At each
+step one rule of either verdict is grown on two thirds of a bounded sample of labelled documents, one condition at a
+time by information gain, and cut back on the other third; the one with more evidence there joins the list, and the
+documents that it covers leave the sample. So a text is judged by the first rule that covers it, and the order decides.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenewatch.llm.common import cut, need, words, written
+from scenewatch.llm.common import cut, need, whole, words, written
 
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -83,44 +84,58 @@ class Condition:
         return f"{self.feature} {'>=' if self.above else '<'} {self.threshold:.6g}"
 
 
-Rule = tuple[Condition, ...]
+Conditions = tuple[Condition, ...]
 
 
-def covers(rule: Rule) -> Column:
+@dataclass(frozen=True)
+class Rule:
+    conditions: Conditions
+    keep: bool
+
+    def __str__(self) -> str:
+        return f"{'keep' if self.keep else 'reject'} if {' and '.join(map(str, self.conditions))}"
+
+
+def covers(conditions: Conditions) -> Column:
     out = F.lit(True)
-    for c in rule:
+    for c in conditions:
         out = out & c.column()
     return out
 
 
 def keep_expression(rules: list[Rule]) -> Column:
-    """The ordered list as one conditional expression: false at the first rule that covers a text, else true."""
-    if not rules:
-        return F.lit(True)
-    out = F.when(covers(rules[0]), False)
-    for rule in rules[1:]:
-        out = out.when(covers(rule), False)
-    return out.otherwise(True)
+    """The ordered list as one conditional expression: the verdict of the first rule that covers a text, else keep."""
+    out = None
+    for rule in rules:
+        out = (F.when if out is None else out.when)(covers(rule.conditions), rule.keep)
+    return F.lit(True) if out is None else out.otherwise(True)
 
 
 def thresholds(sample: DataFrame, steps: int) -> dict[str, list[float]]:
-    """Quantiles of each feature that part the sample."""
-    shares = F.array(*[F.lit(i / steps) for i in range(1, steps)])
-    row = sample.agg(*[F.percentile_approx(F.expr(e), shares, 10_000).alias(f) for f, e in FEATURES.items()]).first()
-    return {f: sorted(set(map(float, row[f] or []))) for f in FEATURES}
+    """Quantiles of each feature in each class, so that the rarer one has its own, and the middles between neighbours."""
+    shares = F.array(*[F.lit(i / steps) for i in range(steps)])
+    rows = sample.groupBy("bad").agg(*[F.percentile_approx(F.expr(e), shares, 10_000).alias(f) for f, e in FEATURES.items()]).collect()
+    found = {f: sorted({float(x) for row in rows for x in row[f] or []}) for f in FEATURES}
+    return {f: sorted({*ts, *((a + b) / 2 for a, b in zip(ts, ts[1:]))}) for f, ts in found.items()}
 
 
 def gain(p: float, n: float, p0: float, n0: float) -> float:
-    """FOIL's information gain of a condition that leaves p of p0 bad and n of n0 good texts."""
+    """FOIL's information gain of a condition that leaves p of p0 texts of a class and n of n0 others."""
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
 
 
-def grow(rows: DataFrame, cuts: dict[str, list[float]], longest: int, support: int) -> Rule:
-    """The rule that greedy gain finds on rows (bad: 0 or 1): each step is one small aggregate over all conditions."""
+def evidence(p: float, n: float, p0: float, n0: float) -> float:
+    """Bits by which knowing the shares of p and n tells their classes better than those of p0 and n0 do."""
+    return sum(x * math.log2(x / (p + n) * (p0 + n0) / x0) for x, x0 in ((p, p0), (n, n0)) if x)
+
+
+def grow(rows: DataFrame, cuts: dict[str, list[float]], longest: int, support: int, keep: bool) -> Conditions:
+    """The conditions that greedy gain finds for a class on rows (bad: 0 or 1), each by one small aggregate over all."""
     rule: list[Condition] = []
+    own, others = (1 - F.col("bad"), F.col("bad")) if keep else (F.col("bad"), 1 - F.col("bad"))
     while len(rule) < longest:
         bins = [F.struct(F.lit(f).alias("f"), F.expr(f"size(filter(array({', '.join(f'{t!r}D' for t in ts)}), t -> t <= {FEATURES[f]}))").alias("bin")) for f, ts in cuts.items() if ts]
-        found = rows.where(covers(tuple(rule))).select("bad", F.explode(F.array(*bins)).alias("x")).groupBy("x.f", "x.bin").agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n")).collect()
+        found = rows.where(covers(tuple(rule))).select(own.alias("own"), others.alias("others"), F.explode(F.array(*bins)).alias("x")).groupBy("x.f", "x.bin").agg(F.sum("own").alias("p"), F.sum("others").alias("n")).collect()
         counts = {f: {r["bin"]: (r.p, r.n) for r in found if r.f == f} for f in cuts}
         some = next((c for c in counts.values() if c), {})
         p0, n0 = (sum(x[k] for x in some.values()) for k in (0, 1))
@@ -139,20 +154,22 @@ def grow(rows: DataFrame, cuts: dict[str, list[float]], longest: int, support: i
     return tuple(rule)
 
 
-def prune(rows: DataFrame, rule: Rule) -> tuple[Rule, float, int]:
-    """The beginning of rule with the best (p - n) / (p + n) on rows; its precision there, and the bad texts it covers."""
-    parts = [rule[: k + 1] for k in range(len(rule))]
-    row = rows.agg(*[F.coalesce(F.sum(F.when(covers(r), F.col("bad") if y else 1 - F.col("bad"))), F.lit(0)) for r in parts for y in (1, 0)]).first()
-    scored = [((row[2 * k] - row[2 * k + 1]) / max(1, row[2 * k] + row[2 * k + 1]), -k) for k in range(len(parts))]
-    k = -max(scored)[1]
-    return parts[k], row[2 * k] / max(1, row[2 * k] + row[2 * k + 1]), row[2 * k]
+def prune(rows: DataFrame, rule: Conditions, keep: bool) -> tuple[Conditions, float, int, int]:
+    """The beginning of rule with the best (p - n) / (p + n) on rows, its evidence there, and the p and n it covers."""
+    parts = [(), *(rule[: k + 1] for k in range(len(rule)))]
+    row = rows.agg(*[F.coalesce(F.sum(F.when(covers(r), F.col("bad") if y else 1 - F.col("bad"))), F.lit(0)) for r in parts for y in (not keep, keep)]).first()
+    (p0, n0), *found = [(row[2 * k], row[2 * k + 1]) for k in range(len(parts))]
+    p, n, k = max(((p, n, -k) for k, (p, n) in enumerate(found)), key=lambda x: ((x[0] - x[1]) / max(1, x[0] + x[1]), x[2]))
+    return parts[1 - k], evidence(p, n, p0, n0), p, n
 
 
-def learn(labelled: DataFrame, most_rows: int = 20_000, longest: int = 4, most_rules: int = 8, precision: float = 0.8, support: int = 8, steps: int = 48) -> list[Rule]:
-    """Rules that reject, in order, from statistics with `good` (1 or 0; null rows are left out).
+def learn(labelled: DataFrame, most_rows: int = 20_000, longest: int = 4, most_rules: int = 12, purer: float = 5.0, support: int = 8, steps: int = 24) -> list[Rule]:
+    """An ordered list from statistics with `good` (1 or 0; null rows are left out).
 
     Learns from at most most_rows labelled rows, those with the least hashes. Without bad or good rows there are no
-    rules. A rule stays if at least `precision` of what it covers among the rows held back for pruning is bad.
+    rules. A rule may join the list if, of what it covers among the rows held back for pruning, the share of the other
+    class is at most 1 / `purer` of what it is among all that are left. What no rule covers is kept, or, where most of
+    the labelled rows that are left at the end are bad, rejected by a last rule without conditions.
     """
     row = F.xxhash64(*BASE, *[c for c in ("doc_id",) if c in labelled.columns])
     sample = cut(labelled.where("good is not null").withColumn("_h", row).orderBy("_h").limit(most_rows).withColumn("bad", 1 - F.col("good").cast("int")).coalesce(4))
@@ -162,15 +179,22 @@ def learn(labelled: DataFrame, most_rows: int = 20_000, longest: int = 4, most_r
     rest, rules = sample, []
     while len(rules) < most_rules:
         growing, pruning = rest.where("pmod(_h, 3) < 2"), rest.where("pmod(_h, 3) = 2")
-        rule = grow(growing, cuts, longest, support)
-        if not rule:
-            break
-        rule, right, bad = prune(pruning, rule)
-        if right < precision or bad < max(1, support // 4):
+        base = pruning.agg(F.avg("bad")).first()[0]
+        best = (0.0, None)
+        for keep in (False, True):
+            found = grow(growing, cuts, longest, support, keep)
+            if not found or base is None:
+                continue
+            found, value, p, n = prune(pruning, found, keep)
+            pure = n <= (p + n) * (base if keep else 1 - base) / purer
+            if pure and p >= max(1, support // 4) and value > best[0]:
+                best = (value, Rule(found, keep))
+        if best[1] is None:
             break
-        rules.append(rule)
-        rest = rest.where(~covers(rule))
-    return rules
+        rules.append(best[1])
+        rest = rest.where(~covers(best[1].conditions))
+    bad, all_ = rest.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.count("*")).first()
+    return [*rules, Rule((), False)] if rules and bad >= support and 2 * bad > all_ else rules
 
 
 def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -201,7 +225,6 @@ def passing(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, **optio
     """
     known = need(labels, "doc_id", "quality").where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows))
-    sample = docs.join(chosen, "doc_id").select("doc_id", "text", "good")
+    sample = need(docs, "doc_id", "text").join(chosen, "doc_id")
     rules = learn(where_once(statistics(sample, "doc_id", "good"), ~base_failed()), most_rows, **options)
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), "text")
-    return where_once(statistics(whole, "_doc"), ~base_failed() & keep_expression(rules)).select("_doc.*")
+    return where_once(statistics(whole(docs, "text"), "_doc"), ~base_failed() & keep_expression(rules)).select("_doc.*")

@@ -661,17 +661,89 @@ def test_statistics(odd, documents):
         assert Counter(map(tuple, rules.statistics(docs, "doc_id").select("doc_id", *rules.BASE).collect())) == want
 
 
+STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_upper long, n_digits long, good int"
+
+
+def labelled_statistics(spark, n, seed):
+    """Good: many capitals; of the others those with many symbols or short words are bad."""
+    rng, rows = np.random.default_rng(seed), []
+    for i in range(n):
+        k, sym, up, mean = int(rng.integers(60, 400)), float(rng.uniform(0, 0.4)), float(rng.uniform(0, 0.9)), int(rng.integers(2, 9))
+        good = up > 0.6 or not (sym > 0.1 or mean < 6)
+        rows.append((i, k, k * mean, int(k * mean * sym), 10, 0, 0, int(k * mean * up), 0, int(good)))
+    return spark.createDataFrame(rows, STATS)
+
+
+def slow_list(rows, cuts, values, longest=4, most_rules=12, purer=5.0, support=8):
+    """The list by loops over rows, classes, features and thresholds."""
+    met = lambda cs, r: all(values[r["doc_id"]][f] >= t if above else values[r["doc_id"]][f] < t for f, above, t in cs)
+    gained = lambda p, n, p0, n0: p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
+    out = []
+    while len(out) < most_rules:
+        growing, pruning = [r for r in rows if r["_h"] % 3 < 2], [r for r in rows if r["_h"] % 3 == 2]
+        best = (0.0, None)
+        for keep in (False, True):
+            own, rule = (lambda r, keep=keep: r["good"] == int(keep)), []
+            while len(rule) < longest:
+                left = [r for r in growing if met(rule, r)]
+                p0 = sum(map(own, left))
+                n0 = len(left) - p0
+                if p0 < support or not n0:
+                    break
+                found = (1e-9, None)
+                for f in sorted(cuts):
+                    for t in cuts[f]:
+                        for above in (True, False):
+                            some = [r for r in left if met([(f, above, t)], r)]
+                            p = sum(map(own, some))
+                            if p >= support and (g := gained(p, len(some) - p, p0, n0)) > found[0]:
+                                found = (g, (f, above, t))
+                if found[1] is None or found[1] in rule:
+                    break
+                rule.append(found[1])
+            if not rule or not pruning:
+                continue
+            p0 = sum(map(own, pruning))
+            parts = []
+            for k in range(1, len(rule) + 1):
+                some = [r for r in pruning if met(rule[:k], r)]
+                p = sum(map(own, some))
+                parts.append(((2 * p - len(some)) / max(1, len(some)), -k, p, len(some) - p))
+            _, k, p, n = max(parts)
+            bad = sum(r["good"] == 0 for r in pruning) / len(pruning)
+            value = sum(x * math.log2(x / (p + n) * len(pruning) / x0) for x, x0 in ((p, p0), (n, len(pruning) - p0)) if x)
+            if n <= (p + n) * (bad if keep else 1 - bad) / purer and p >= support // 4 and value > best[0]:
+                best = (value, (rule[:-k], keep))
+        if best[1] is None:
+            break
+        out.append(best[1])
+        rows = [r for r in rows if not met(best[1][0], r)]
+    bad = sum(r["good"] == 0 for r in rows)
+    return [*out, ([], False)] if out and bad >= support and 2 * bad > len(rows) else out
+
+
+def test_list_equals_brute_force(spark):
+    stats = labelled_statistics(spark, 260, 19)
+    names = list(rules.FEATURES)
+    row = F.xxhash64(*rules.BASE, "doc_id")
+    sample = stats.withColumn("_h", row).withColumn("bad", 1 - F.col("good"))
+    cuts = rules.thresholds(sample, 6)
+    values = {r.doc_id: r.asDict() for r in sample.select("doc_id", *[F.expr(e).alias(f) for f, e in rules.FEATURES.items()]).collect()}
+    assert set(cuts) == set(names)
+    want = slow_list([r.asDict() for r in sample.select("doc_id", "_h", "good").collect()], {f: ts for f, ts in cuts.items() if ts}, values)
+    got = [([(c.feature, c.above, c.threshold) for c in r.conditions], r.keep) for r in rules.learn(stats, steps=6)]
+    assert got == want and got
+
+
 def test_lists_are_learned_in_order(spark):
-    rng = np.random.default_rng(9)
-    rows = []
-    for i in range(900):
-        n, sym, up = int(rng.integers(60, 400)), float(rng.uniform(0, 0.4)), float(rng.uniform(0, 0.9))
-        rows.append((i, n, n * 5, int(n * 5 * sym), 10, 0, 0, int(n * 5 * up), 0, int(not (sym > 0.25 or up > 0.6))))
-    stats = spark.createDataFrame(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_upper long, n_digits long, good int")
+    stats = labelled_statistics(spark, 1500, 9)
     found = rules.learn(stats)
-    assert 1 <= len(found) <= 8 and {c.feature for r in found for c in r} <= set(rules.FEATURES)
-    right = stats.withColumn("kept", rules.keep_expression(found)).agg(F.avg((F.col("kept") == (F.col("good") == 1)).cast("double"))).first()[0]
-    assert right > 0.95
+    assert {r.keep for r in found} == {False, True} and {c.feature for r in found for c in r.conditions} <= set(rules.FEATURES)
+
+    def right(listed):
+        return stats.withColumn("kept", rules.keep_expression(listed)).agg(F.avg((F.col("kept") == (F.col("good") == 1)).cast("double"))).first()[0]
+
+    assert right(found) > 0.93 and right(found[::-1]) < right(found) - 0.05
     assert rules.learn(stats.where("good = 1")) == rules.learn(stats.where("false")) == []
 
 
@@ -681,7 +753,8 @@ def test_judged(odd, none, labels, documents):
     assert rules.judged(none, labels).count() == 0
     rows = rules.judged(documents, labels).join(labels, "doc_id").where("not base_failed").collect()
     assert np.mean([r.kept == (r.quality == 1) for r in rows]) > 0.9
-    assert rules.passing(odd, labels).columns == odd.columns
+    clash = odd.withColumns({c: F.lit(1) for c in ("good", "_doc", "_row", "n_words", "w", "t", "lines", "h")})
+    assert rules.passing(clash, labels).columns == clash.columns and rules.judged(clash, labels).count() == odd.count()
 
 
 # --- 10 ---

@@ -9,16 +9,17 @@ least ids.
 
 from __future__ import annotations
 
-import json
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenewatch.llm.common import cut, need
-from scenewatch.llm.simhash import flips
 
 BITS = 64
+#: Codes of a bucket from which on it is parted into blocks, at least.
+BLOCK = 20_000
 
 
 def sign_code(vector: Column) -> Column:
@@ -52,9 +53,27 @@ def schedule(m: int, first: int = 2, together: int = 4) -> list[tuple[list[int],
     return out + [([s], [a], m * s + a) for s in range(max(together, first + 1), most + 1) for a in range(m)]
 
 
-def masks_of(width: int, radii: list[int]) -> Column:
-    """All masks with so many bits set, as one literal (text that is parsed once), however many there are."""
-    return F.from_json(F.lit(json.dumps([x for s in radii for x in flips(width, s, s)])), "array<bigint>")
+def flipped(probes: DataFrame, width: int, radius: int) -> DataFrame:
+    """probes with a column v: a row for each value that differs from v0 in exactly `radius` of its `width` bits.
+
+    Each step chooses one more bit above those chosen, so masks are made by the tasks, and never listed anywhere.
+    """
+    rows = probes.withColumn("v", F.col("v0")).withColumn("_next", F.lit(0))
+    for k in range(radius):
+        free = F.sequence(F.col("_next"), F.lit(width - radius + k))
+        rows = rows.withColumn("_bit", F.explode(free))
+        rows = rows.withColumn("v", F.col("v").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit")))).withColumn("_next", F.col("_bit") + 1).drop("_bit")
+    return rows.drop("_next")
+
+
+def blocks_of(index: DataFrame, count: int) -> DataFrame:
+    """(s, v, blocks): the buckets of index (s, v, code) to be parted, and into how many blocks.
+
+    A bucket is parted if it holds over BLOCK codes and over a 10,000th of all, so there are at most 10,000 of each
+    segment, whatever the data.
+    """
+    most = max(BLOCK, count // 10_000)
+    return index.groupBy("s", "v").agg(F.count("*").alias("n")).where(F.col("n") > most).select("s", "v", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
 
 
 def nearest(rows: DataFrame, wanted: Column, k: int = 10) -> DataFrame:
@@ -62,6 +81,7 @@ def nearest(rows: DataFrame, wanted: Column, k: int = 10) -> DataFrame:
 
     rows has `id` and `code`; those with a null in either are neither found nor asked. Ties go to the lesser id. A query
     has fewer than k rows only if there are fewer others. Rows with a repeated id are taken once, by their least code.
+    Crowded buckets of the index are parted into blocks by a hash of the code, and a probe goes to each of them.
     """
     rows = rows.where("id is not null and code is not null").groupBy("id").agg(F.min("code").alias("code"))
     least = F.slice(F.array_sort(F.collect_list("id")), 1, k + 1)
@@ -71,18 +91,21 @@ def nearest(rows: DataFrame, wanted: Column, k: int = 10) -> DataFrame:
     m = parts(count)
     width = BITS // m
     index = cut(entries.select("code", "first", F.size("ids").alias("size"), F.posexplode(F.array(*segments(F.col("code"), m))).alias("s", "v")))
+    crowded = F.broadcast(cut(blocks_of(index, count)))
+    of_code = F.pmod(F.xxhash64("code"), F.coalesce("blocks", F.lit(1))).cast("int")
+    index = cut(index.join(crowded, ["s", "v"], "left").withColumn("block", of_code).drop("blocks"))
     asked = cut(rows.where(wanted).select(F.col("id").alias("query_id"), "code"))
     open_ = cut(asked.select(F.col("code").alias("q")).distinct().withColumn("bound", F.lit(BITS)))
     best = None
     done = []
     rounds = schedule(m)
     for radii, some, proved in rounds:
-        masks = masks_of(width, radii)
         cuts = F.array(*[F.struct(F.lit(a).alias("s"), segments(F.col("q"), m)[a].alias("v0")) for a in some])
-        probes = open_.select("q", "bound", F.explode(cuts).alias("c")).select("q", "bound", F.col("c.s").alias("s"), F.explode(masks).alias("f"), F.col("c.v0").alias("v0"))
-        probes = probes.select("q", "bound", "s", F.col("v0").bitwiseXOR(F.col("f")).alias("v"))
+        asking = open_.select("q", "bound", F.inline(cuts))
+        probes = reduce(DataFrame.unionByName, [flipped(asking, width, r) for r in radii]).drop("v0")
+        probes = probes.join(crowded, ["s", "v"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
         apart = F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int")
-        found = probes.join(index, ["s", "v"]).withColumn("d", apart).where("d <= bound").select("q", "code", "first", "size", "d")
+        found = probes.join(index, ["s", "v", "block"]).withColumn("d", apart).where("d <= bound").select("q", "code", "first", "size", "d")
         if best is not None:
             found = found.unionByName(best)
         # k + 1 codes are enough: each better one has a better row, and only one of those rows can be the query's own

@@ -608,16 +608,29 @@ def nearest_by_force(rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("kind", ["random", "clusters", "copies", "few"])
-def test_nearest(spark, kind):
+def test_flipped_gives_each_value_once(spark):
+    probes = spark.createDataFrame([(1, 5), (2, 0)], "q long, v0 long")
+    for width, radius in ((4, 0), (4, 2), (5, 5), (8, 3)):
+        got = Counter((r.q, r.v) for r in binary_search.flipped(probes, width, radius).collect())
+        assert got == Counter((q, v ^ m) for q, v in ((1, 5), (2, 0)) for m in range(1 << width) if m.bit_count() == radius)
+
+
+@pytest.mark.parametrize("kind", ["random", "clusters", "copies", "few", "crowded", "none"])
+def test_nearest(spark, kind, monkeypatch):
+    if kind == "crowded":
+        monkeypatch.setattr(binary_search, "BLOCK", 7)
+    if kind == "copies":
+        monkeypatch.setattr(binary_search, "parts", lambda codes: 2)
     rng = np.random.default_rng(8)
-    n = {"few": 4}.get(kind, 160)
+    n = {"few": 4, "none": 0}.get(kind, 160)
     codes = rng.integers(-(1 << 63), 1 << 63, n)
     if kind == "clusters":
         codes = codes[rng.integers(0, 6, n)] ^ (1 << rng.integers(0, 62, n))
     if kind == "copies":
-        codes[: n // 2] = codes[0]
-    rows = [(i, int(v)) for i, v in enumerate(codes)] + [(None, 3), (7, None), (1, int(codes[1])), (2, int(codes[0]))]
+        codes[: n // 2] = codes[0] ^ (1 << rng.integers(0, 3, n // 2))
+    if kind == "crowded":
+        codes[: n // 2] = (codes[: n // 2] & ~0xFF) | 9
+    rows = [(i, int(v)) for i, v in enumerate(codes)] + [(None, 3), (7, None)] + ([(1, int(codes[1])), (2, int(codes[0]))] if n else [])
     got = binary_search.nearest(spark.createDataFrame(rows, "id long, code long"), F.col("id") % 5 == 0, k=6)
     assert sorted(map(tuple, got.collect())) == nearest_by_force(rows, 6)
 

@@ -118,29 +118,137 @@ def test_weights_equal_counts_of_terms(spark):
 # --- 2 ---
 
 
-def test_grammar_weighs_clauses():
-    machine, lexicon = toxicity.grammar(), toxicity.Lexicon({w: (c, 3.0 if c == "insult" else 0.0) for c, t in toxicity.SEEDS.items() for w in t.split()})
-    tables = lexicon.tables()
+def seed_lexicon(**more):
+    return toxicity.Lexicon({w: (c, 3.0 if c == "insult" else 2.0 if c == "threat" else 0.0) for c, t in toxicity.SEEDS.items() for w in t.split()} | more)
+
+
+def clauses(text, lexicon, machine=None):
+    data = np.frombuffer(text.lower().encode(), np.uint8)
+    return toxicity.clauses_of(data, np.array([0, len(data)]), lexicon.tables(), machine or toxicity.grammar(), lexicon.reach)
+
+
+def marks_by_loops(text, lexicon):
+    """What clauses_of() marks, by loops over the words of each clause instead of a machine: (odds, what holds) of each mark."""
+    out, place, near = [], 0, None
+    for clause in re.split(r"[.!?;:\n\r]", text.lower()):
+        marks, waiting, target, negated, reported = [], None, False, False, False
+        for word in re.findall(r"[0-9a-z'\x80-\U0010ffff]+", clause):
+            place += 1
+            stems = [w for w in lexicon.words if w.endswith("*") and word.startswith(w[:-1]) and len(word) > len(w) - 1]
+            name, odds = lexicon.words.get(word) or (lexicon.words[max(stems, key=len)] if stems else (None, 0.0))
+            if name in ("insult", "threat"):
+                if near is not None and place - near[1] > lexicon.reach:
+                    near = (False, place)
+                near = (near[0] if near else False, place)
+                holds = ({"reported"} if reported else set()) | ({"negated"} if negated else set())
+                negated = False
+                if name == "insult":
+                    marks.append([odds, holds | ({"aimed"} if target is True else set())])
+                    target = target or "open"
+                elif target is True:
+                    marks.append([odds, holds | {"threat"}])
+                elif waiting is None:
+                    waiting = (odds, holds)
+                else:
+                    continue
+                if marks and (name == "insult" or target is True):
+                    marks[-1][1] |= ({"piled"} if len(marks) > 1 else set()) | ({"again"} if near[0] else set())
+            elif name == "target":
+                if waiting:
+                    marks.append([waiting[0], waiting[1] | {"threat"} | ({"piled"} if marks else set()) | ({"again"} if near[0] else set())])
+                    waiting = None
+                elif target == "open":
+                    marks[-1][1].add("aimed")
+                target = True
+            elif name == "negation":
+                negated = not negated
+            elif name == "report":
+                reported = True
+        if marks:
+            near = (True, near[1])
+        out += marks
+    return out
 
-    def weigh(text):
-        data = np.frombuffer(text.lower().encode(), np.uint8)
-        return [(m["kind"], m["weight"]) for m in toxicity.clauses_of(data, np.array([0, len(data)]), tables, machine)[0][0]]
 
-    assert weigh("a quiet day, you see") == []
-    assert weigh("what an idiot") == [("insult", 3.0)]
-    assert weigh("you are an idiot") == [("insult/aimed", 4.0)]
-    assert weigh("not an idiot") == [("insult/negated", 0.5)]
-    assert weigh("she said idiot")[0][1] == 3.0 - 2.0 + 1.0
-    assert weigh("i will kill you") == [("threat!", 2.0)]
-    assert weigh("kill the lights") == []
-    assert len(weigh("you idiot. you moron! nothing")) == 2
+def test_grammar_weighs_clauses():
+    lexicon = seed_lexicon()
+
+    def kinds(text):
+        return [m["kind"] for m in clauses(text, lexicon)[0][0]]
+
+    assert kinds("a quiet day, you see") == []
+    assert kinds("what an idiot") == ["insult"]
+    assert kinds("you are an idiot") == ["insult/aimed"]
+    assert kinds("an idiot you are") == ["insult/aimed"]
+    assert kinds("not an idiot") == ["insult/negated"]
+    assert kinds("she said idiot") == ["insult/reported/aimed"]
+    assert kinds("i will kill you") == ["threat!"]
+    assert kinds("you must die, we kill") == ["threat!"]
+    assert kinds("kill the lights") == []
+    assert kinds("you idiot. you moron! nothing") == ["insult/aimed", "insult/aimed/again"]
+    assert kinds("idiot " + "word " * 200 + ". moron") == ["insult", "insult"]
+    weights = [clauses(t, lexicon)[0][0][0]["weight"] for t in ("not an idiot", "she said idiot", "idiot", "you idiot", "you idiot, moron")]
+    assert weights == sorted(weights) and np.isclose(weights[2], 3.0)
+    one = clauses("so, you idiot, stop", lexicon)[0][0][0]
+    assert (one["start"], one["end"]) == (8, 13)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["idiot", "scum", "kill", "burn", "you", "they", "not", "never", "said", "grobian", "grob", "the", "day", ".", "!", "far"]), max_size=40))
+def test_marks_equal_loops(words):
+    text = " ".join(("so " * 12) if w == "far" else w for w in words)
+    lexicon = seed_lexicon(**{"grob*": ("insult", 2.0)})
+    lexicon.reach = 10
+    got = [(o, frozenset(n for n in toxicity.WEIGHTS if toxicity._holds(k, n))) for k, o in clauses(text, lexicon)[1][0]]
+    assert sorted(got, key=str) == sorted(((o, frozenset(h)) for o, h in marks_by_loops(text, lexicon)), key=str)
+
+
+def test_toxicity_score_equals_loops(documents, labels):
+    docs = documents.where("doc_id % 3 = 0")
+    lexicon = toxicity.fit(documents.where(~common.held_out(F.col("doc_id"))), labels.where(~common.held_out(F.col("doc_id"))))
+    got = {r.doc_id: r.score for r in toxicity.score(documents, labels).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        e = sum(o * math.exp(sum(lexicon.weights[h] for h in holds)) for o, holds in marks_by_loops(r.text or "", lexicon))
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-(lexicon.curve[0] + lexicon.curve[1] * math.log1p(e)))), rel=1e-6, abs=1e-12)
+
+
+def test_grammar_decides(spark):
+    """Clean texts have the same words, but quoted or negated; without weights on its arcs the grammar cannot tell."""
+    rng, rows = np.random.default_rng(5), []
+    for i in range(400):
+        word, other = rng.choice(toxicity.SEEDS["insult"].split()[:8], 2)
+        body, bad = [prose(12, 10 * i + k) for k in range(4)], i % 2
+        hit = [f"you {word}", f"they are {other}", "he said that", "not now"] if bad else [f"he said you {word}", f"they are not {other}", "he said that", "not now"]
+        rows.append((i, ". ".join(x for pair in zip(body, hit) for x in pair), bad))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    marks = {r.doc_id: [(m.kind, m.odds) for m in r.marks] for r in toxicity.match(docs, lexicon, "doc_id").collect()}
+
+    def right(weights, curve):
+        score = {i: curve[0] + curve[1] * math.log1p(sum(o * math.exp(sum(weights[n] for n in weights if toxicity._holds(k, n))) for k, o in m)) for i, m in marks.items()}
+        return np.mean([(score[i] > 0) == bool(t) for i, _, t in rows])
+
+    flat = {n: 0.0 for n in toxicity.WEIGHTS}
+    refitted = toxicity.fitted([(marks[i], t) for i, _, t in rows], flat, 1e-4)
+    assert right(lexicon.weights, lexicon.curve) > 0.98
+    assert right(*refitted) < 0.8
+
+
+def test_classes_are_learned(spark):
+    """Made-up words: an insult, a threat that is harmless without a target, and a target found beside insults."""
+    rng, rows = np.random.default_rng(6), []
+    for i in range(300):
+        bad = i % 3 == 0
+        hit = ["zomu grelk", "you vorpa"] if bad else ["vorpa", "they"]
+        rows.append((i, ". ".join(x for k in range(4) for x in (prose(10, 100 + 7 * i + k), hit[k % 2])), int(bad)))
+    found = toxicity.learned_words(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert found["grelk"][0] == "insult" and found["vorpa"][0] == "threat"
+    assert found.get("zomu", ("insult",))[0] in ("insult", "target")
 
 
 def test_stems_match_longer_words():
-    lexicon = toxicity.Lexicon({"grob*": ("insult", 2.0), "grobian": ("insult", 5.0)})
-    data = np.frombuffer("grobe grob grobian".encode(), np.uint8)
-    found = toxicity.clauses_of(data, np.array([0, len(data)]), lexicon.tables(), lexicon.machine)[0][0]
-    assert found[0]["weight"] == 7.0
+    lexicon = toxicity.Lexicon({"grob*": ("insult", 2.0), "grobian": ("insult", 5.0)}, {n: 0.0 for n in toxicity.WEIGHTS})
+    assert clauses("grobe grob grobian", lexicon, toxicity.grammar(lexicon.weights))[0][0][0]["weight"] == 7.0
 
 
 def test_toxicity_is_learned_and_never_reads_held_out_labels(documents, labels):
@@ -155,7 +263,8 @@ def test_toxicity_is_learned_and_never_reads_held_out_labels(documents, labels):
 
 
 def test_toxicity_edges(odd, none, labels):
-    rows = toxicity.score(odd, labels).collect()
+    clashing = odd.withColumns({c: F.lit(1) for c in ("toxic", "evidence", "matches", "marks", "held_out")})
+    rows = toxicity.score(clashing, labels.withColumn("text", F.lit("x"))).collect()
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
     assert toxicity.score(none, labels).count() == 0
     assert toxicity.score(odd, labels.where("false")).count() == odd.count()

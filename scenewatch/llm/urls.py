@@ -86,7 +86,10 @@ def log_ratios(examples: DataFrame, wanted: DataFrame) -> DataFrame:
     after = by.groupBy("k", "ctx").agg(
         F.sum("a").alias("na"), F.count_if(F.col("a") > 0).alias("ta"), F.sum("r").alias("nr"), F.count_if(F.col("r") > 0).alias("tr")
     )
-    parts = suffixes(wanted, "g").join(after, ["k", "ctx"], "left").join(by.drop("ctx"), ["k", "gram"], "left")
+    # contexts of at most one character are the keys that many grams share; there are no more of them than code points
+    asked = suffixes(wanted, "g")
+    short = asked.where("k < 2").join(F.broadcast(after.where("k < 2")), ["k", "ctx"], "left")
+    parts = short.unionByName(asked.where("k >= 2").join(after.where("k >= 2"), ["k", "ctx"], "left")).join(by.drop("ctx"), ["k", "gram"], "left")
     steps = F.array_sort(F.collect_list(F.struct("k", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("a", "na", "ta", "r", "nr", "tr")])))
 
     def mixed(p: Column, n: Column, all_: Column, kinds: Column) -> Column:
@@ -97,9 +100,18 @@ def log_ratios(examples: DataFrame, wanted: DataFrame) -> DataFrame:
     return parts.groupBy("g").agg(fold.alias("f")).select("g", (F.log("f.p") - F.log("f.q")).alias("ratio"))
 
 
-def normalised(rows: DataFrame, ratios: DataFrame) -> DataFrame:
-    """(u1, u2, score): the mean log ratio a character of each distinct s, under its two hashes."""
-    found = grams(rows, "u1", "u2").join(ratios, "g")
+def normalised(rows: DataFrame, ratios: DataFrame, most: int = 100_000) -> DataFrame:
+    """(u1, u2, score): the mean log ratio a character of each distinct s, under its two hashes.
+
+    ratios has g, ratio and n, the places where a gram occurs. Grams of over `most` places, and over a 10,000th of all,
+    such as those at the start of most addresses, are dealt to several tasks; so there are at most 10,000 of them.
+    """
+    all_ = ratios.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    share = max(most, all_ // 10_000)
+    hot = ratios.where(F.col("n") > share).select("g", F.ceil(F.col("n") / share).cast("int").alias("blocks"))
+    dealt = ratios.withColumn("block", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > share, F.ceil(F.col("n") / share).cast("int") - 1).otherwise(0)))).select("g", "block", "ratio")
+    block = F.pmod("u1", F.coalesce("blocks", F.lit(1))).cast("int")
+    found = grams(rows, "u1", "u2").join(F.broadcast(hot), "g", "left").withColumn("block", block).join(dealt, ["g", "block"])
     return found.groupBy("u1", "u2").agg(F.avg("ratio").alias("score"))
 
 
@@ -122,24 +134,27 @@ def calibration(scored: DataFrame) -> tuple[float, float]:
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, rejected_words: Sequence[str] = REJECTED_WORDS, limit: float = 0.5) -> DataFrame:
     """(page_id, host, path, rule, verdict, score): the rule's verdict for each address, else the models'.
 
-    Accepted examples are addresses that a rule allows, rejected ones those with a rejected word in their host;
-    all of them train or, a quarter by hash, calibrate. The models read all of the address up to #, see
-    read_by_models(); a text that stands for accepted and for rejected addresses is an example of both, by their shares. score is the chance of acceptance. Null addresses and
-    those without :// have empty host and path, no rule, and are judged as empty texts. Rows with repeated or null ids
-    stay rows; without any examples of a kind everything without a rule is judged by the flat model: allowed.
+    Accepted examples are addresses that a rule allows, rejected ones those with a rejected word in their host; examples
+    train or, a quarter by hash, calibrate. Addresses that a rule blocks are no examples: a rule names a place, and its
+    texts are ordinary ones, which the models would learn to block elsewhere. The models read
+    all of the address up to #, see read_by_models(); a text that stands for accepted and for rejected addresses is an
+    example of both, by their shares. score is the chance of acceptance. Null addresses and those without :// have
+    empty host and path, no rule, and are judged as empty texts. Rows with repeated or null ids stay rows, other columns
+    are ignored; without any examples of a kind everything without a rule is judged by the flat model: allowed.
     """
     url = F.col("url")
     host, path, rest = address(url)
     rows = need(pages, "page_id", "url").select("page_id", host.alias("host"), path.alias("path"), rest.alias("rest"))
     rows = rows.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("s", read_by_models(F.col("host"), F.col("rest"), rules))
     bad = F.col("host").rlike("|".join(w.replace(".", r"\.") for w in rejected_words)) if rejected_words else F.lit(False)
-    rows = rows.withColumn("accepted", F.when(bad, False).when(F.col("hit.verdict") == "allow", True)).withColumn("u1", F.xxhash64("s")).withColumn("u2", F.hash("s"))
-    rows = written(rows, "addresses")
+    accepted = F.when(bad, False).when(F.col("hit.verdict") == "allow", True)
+    rows = written(rows.withColumns({"accepted": accepted, "u1": F.xxhash64("s"), "u2": F.hash("s")}), "addresses")
     texts = written(rows.groupBy("u1", "u2").agg(F.first("s").alias("s"), F.count_if(F.col("accepted")).alias("yes"), F.count_if(~F.col("accepted")).alias("no")), "address-texts")
-    fold = F.pmod(F.xxhash64("u1", F.lit("fold")), F.lit(4))
     sides = F.array(*[F.struct(F.lit(ok).alias("accepted"), (F.col(n) / (F.col("yes") + F.col("no"))).alias("w")) for ok, n in ((True, "yes"), (False, "no"))])
     known = texts.where("yes + no > 0").select("u1", "u2", "s", F.inline(sides)).where("w > 0")
-    ratios = log_ratios(known.where(fold != 0).select("s", "accepted", "w"), grams(texts).distinct())
+    fold = F.pmod(F.xxhash64("u1", F.lit("fold")), F.lit(4))
+    places = cut(grams(texts).groupBy("g").agg(F.count("*").alias("n")))
+    ratios = cut(log_ratios(known.where(fold != 0).select("s", "accepted", "w"), places.select("g")).join(places, "g"))
     scored = cut(normalised(texts, ratios))
     slope, offset = calibration(known.where(fold == 0).join(scored, ["u1", "u2"]).select("accepted", "w", "score"))
     chance = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), slope * F.col("score") + offset))))

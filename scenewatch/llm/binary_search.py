@@ -38,8 +38,11 @@ def segments(code: Column, m: int) -> list[Column]:
 
 
 def parts(codes: int) -> int:
-    """A number of segments such that a bucket of one holds a few codes: a segment has about log2(codes) bits."""
-    return min((2, 4, 8), key=lambda m: abs(BITS / m - math.log2(max(codes, 2))))
+    """A number of segments such that a bucket of one holds a few codes: a segment has about log2(codes) bits.
+
+    Segments have 16 bits at most: one of 32 would have 601 million values within 16 flips of a query's.
+    """
+    return min((4, 8), key=lambda m: abs(BITS / m - math.log2(max(codes, 2))))
 
 
 def schedule(m: int, first: int = 2, together: int = 4) -> list[tuple[list[int], list[int], int]]:

@@ -136,9 +136,9 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 40, capacities: Se
 KEY = ["_none", "_id", "_size", "_crc", "_old"]
 
 
-def keyed(rows: DataFrame, size: Column, crc: Column, old: Column) -> DataFrame:
+def keyed(rows: DataFrame, size: Column, crc: Column, old: Column, *keep: str | Column) -> DataFrame:
     id_ = F.col("doc_id")
-    return rows.select("*", id_.isNull().alias("_none"), F.coalesce(id_.cast("string"), F.lit("")).alias("_id"), size.alias("_size"), crc.alias("_crc"), old.alias("_old"))
+    return rows.select(*keep, id_.isNull().alias("_none"), F.coalesce(id_.cast("string"), F.lit("")).alias("_id"), size.alias("_size"), crc.alias("_crc"), old.alias("_old"))
 
 
 def rewrite(docs: DataFrame, plan: DataFrame, root: str, old_shard: Column | None = None) -> list[int]:
@@ -146,7 +146,7 @@ def rewrite(docs: DataFrame, plan: DataFrame, root: str, old_shard: Column | Non
 
     docs and plan meet on doc_id (null or not), text and, as given to reshard(), old_shard, and rows alike in these by a
     copy number, so each document is written once. Without old_shard rows of one id and text in several shards are
-    taken as alike. Other shards' files are left alone; those of affected shards are replaced, and removed where the
+    taken as alike. Columns shard and slot of docs, if there, make way for the new ones; all others are kept. Other shards' files are left alone; those of affected shards are replaced, and removed where the
     shard has nothing left, so docs must be read from elsewhere.
     """
     spark = docs.sparkSession
@@ -155,19 +155,21 @@ def rewrite(docs: DataFrame, plan: DataFrame, root: str, old_shard: Column | Non
     if not affected:
         return affected
     old = F.coalesce(old_shard.cast("int"), F.lit(0)) if old_shard is not None else F.lit(0)
-    own = keyed(docs, doc_size(F.col("text")), F.crc32(F.coalesce("text", F.lit("")).cast("binary")), old)
-    place = keyed(plan, F.col("size"), F.col("text_crc32"), F.col("old_shard") if old_shard is not None else F.lit(0)).select(*KEY, "shard", "slot")
+    fields = [f for f in docs.schema if f.name not in ("shard", "slot")]
+    hashed = [F.col(f"`{f.name}`") for f in fields if f.name != "text" and not isinstance(f.dataType, (MapType, VariantType))]
+    doc = F.struct(*[F.col(f"`{f.name}`") for f in fields]).alias("_doc")
+    own = keyed(docs, doc_size(F.col("text")), F.crc32(F.coalesce("text", F.lit("")).cast("binary")), old, doc, F.xxhash64(*hashed).alias("_rest"))
+    place = keyed(plan, F.col("size"), F.col("text_crc32"), F.col("old_shard") if old_shard is not None else F.lit(0), "shard", "slot")
     often = cut(place.groupBy(*KEY).count().where("count > 1").select(*KEY))
     here = F.col("shard").isin(affected)
     if often.isEmpty():
         rows = own.join(place.where(here), KEY)
     else:
         alike = Window.partitionBy(*KEY)
-        rest = [F.col(f"`{f.name}`") for f in docs.schema if f.name != "text" and not isinstance(f.dataType, (MapType, VariantType))]
-        many = own.join(often, KEY, "left_semi").withColumn("_copy", F.row_number().over(alike.orderBy(F.xxhash64(*rest))))
+        many = own.join(often, KEY, "left_semi").withColumn("_copy", F.row_number().over(alike.orderBy("_rest")))
         spots = place.join(often, KEY, "left_semi").withColumn("_copy", F.row_number().over(alike.orderBy("shard", "slot")))
         rows = own.join(place.where(here).join(often, KEY, "left_anti"), KEY).unionByName(many.join(spots.where(here), [*KEY, "_copy"]).drop("_copy"))
-    rows = rows.drop(*KEY)
+    rows = rows.select("_doc.*", "slot", "shard")
     rows.sortWithinPartitions("shard", "slot").write.option("partitionOverwriteMode", "dynamic").partitionBy("shard").mode("overwrite").parquet(root)
     for j in set(affected) - {r.shard for r in plan.select("shard").distinct().collect()}:
         folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/shard={j}")
@@ -177,6 +179,8 @@ def rewrite(docs: DataFrame, plan: DataFrame, root: str, old_shard: Column | Non
 
 def resharded(docs: DataFrame, old_shard: Column, shards: int = 40) -> DataFrame:
     """The rows of reshard(), those of affected shards read back from the files that rewrite() made of them."""
+    if clashing := {"shard", "slot"} & set(docs.columns):  # they would give way in the files, and old_shard may name them
+        docs, old_shard = docs.withColumn("_old_shard", old_shard).drop(*clashing), F.col("_old_shard")
     plan = written(reshard(docs, old_shard, shards), "shard-plan")
     root = f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
     affected = rewrite(docs, plan, root, old_shard)

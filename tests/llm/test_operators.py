@@ -396,6 +396,18 @@ def test_rewrite_keeps_odd_rows_and_drops_emptied_shards(spark, odd, tmp_path):
     assert Counter(found.select(plan.columns).collect()) == Counter(plan.collect())
 
 
+def test_rewrite_takes_clashing_columns(spark, odd, tmp_path):
+    docs = odd.withColumn("shard", F.pmod(F.hash("doc_id", "text", "source"), F.lit(6))).withColumns({c: F.lit(7) for c in ("slot", "_id", "_copy", "_old", "_doc", "old_shard", "h", "size", "text_crc32")})
+    plan = common.written(resharding.reshard(docs, F.col("shard"), shards=2), "plan")
+    root = str(tmp_path / "out")
+    affected = resharding.rewrite(docs, plan, root, F.col("shard"))
+    back = spark.read.parquet(root)
+    assert set(back.columns) == set(docs.columns)
+    assert Counter((r.doc_id, r.shard, r.slot, r._copy) for r in back.collect()) == Counter((r.doc_id, r.shard, r.slot, 7) for r in plan.collect() if r.shard in affected)
+    found = resharding.resharded(docs, F.col("shard"), 2)
+    assert Counter(found.select(plan.columns).collect()) == Counter(plan.collect())
+
+
 # --- 5 ---
 
 
@@ -729,7 +741,7 @@ def test_nearest(spark, kind, monkeypatch):
     if kind == "crowded":
         monkeypatch.setattr(binary_search, "BLOCK", 7)
     if kind == "copies":
-        monkeypatch.setattr(binary_search, "parts", lambda codes: 2)
+        monkeypatch.setattr(binary_search, "parts", lambda codes: 4)
     rng = np.random.default_rng(8)
     n = {"few": 4, "none": 0}.get(kind, 160)
     codes = rng.integers(-(1 << 63), 1 << 63, n)

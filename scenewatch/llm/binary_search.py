@@ -115,7 +115,10 @@ def nearest(rows: DataFrame, wanted: Column, k: int = 10) -> DataFrame:
         near = Window.partitionBy("q").orderBy("d", "first")
         top = found.distinct().withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1)
         top = top.withColumn("upto", F.sum("size").over(near.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-        top = cut(top.withColumn("bound", F.coalesce(F.min(F.when(F.col("upto") >= k, F.col("d"))).over(Window.partitionBy("q")), F.lit(BITS))).where("d <= bound"))
+        whole = Window.partitionBy("q")
+        top = top.withColumns({"bound": F.coalesce(F.min(F.when(F.col("upto") >= k, F.col("d"))).over(whole), F.lit(BITS)), "codes": F.count("*").over(whole)}).where("d <= bound")
+        # whoever has found all codes there are is done
+        top = cut(top.withColumn("bound", F.when(F.col("codes") == count, -1).otherwise(F.col("bound"))))
         last = radii[-1] == width and some[-1] == m - 1
         done.append((top if last else top.where(F.col("bound") <= proved)).select("q", "code", "d"))
         if last:

@@ -154,11 +154,11 @@ def align_pairs(spark, d):
     """The odd tiles' grid lies three rows below and one column right of the even ones'."""
     rows = cube(spark, d)
     a, b = rows.where("tile_id % 2 = 0"), rows.where("tile_id % 2 = 1").withColumn("tile_id", F.col("tile_id") - 1)
-    size = rows.agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    h, w = rows.agg(F.max("y") + 1, F.max("x") + 1).first()
     tiles = a.select("tile_id").distinct()
 
     def grid(x0: float, y0: float):
-        return tiles.join(size).select("tile_id", F.array(*[F.lit(v) for v in (x0, 10.0, 0.0, y0, 0.0, -10.0)]).alias("gt"), F.col("h").cast("int"), F.col("w").cast("int"))
+        return tiles.select("tile_id", F.array(*[F.lit(v) for v in (x0, 10.0, 0.0, y0, 0.0, -10.0)]).alias("gt"), F.lit(h).cast("int").alias("h"), F.lit(w).cast("int").alias("w"))
 
     return raster.align_pairs(a, b, grid(0.0, 0.0), grid(10.0, -30.0), ["ndvi"])
 

@@ -77,14 +77,7 @@ def available_years(spark, d):
 
 @query(f"WITH {x.SCENES} SELECT event_id, row_number() OVER (ORDER BY captured_at, tile_id, scene_id, event_id) AS nth FROM scenes")
 def sort_scenes(spark, d):
-    from pyspark.sql import Window
-
-    # ranks within hours and the scenes of earlier hours: a total order without one task for all
-    rows = x.scenes(spark, d).withColumn("hour", F.date_trunc("hour", "captured_at"))
-    counts = rows.groupBy("hour").agg(F.count("*").alias("n"))
-    before = counts.select("hour", (F.sum("n").over(Window.orderBy("hour")) - F.col("n")).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("hour").orderBy("captured_at", "tile_id", "scene_id", "event_id"))
-    return rows.withColumn("nth", nth).join(before, "hour").select("event_id", (F.col("nth") + F.col("before")).alias("nth"))
+    return s.numbered(s.sort_scenes(x.scenes(spark, d))).select("event_id", "nth")
 
 
 PRODUCT = "'S2' || substr('ABC', CAST(event_id % 3 + 1 AS INT), 1) || '_MSIL1C_' || {ts} || '_N0511_R121_' || tile_id || '_20240201T000000.SAFE'"

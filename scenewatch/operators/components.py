@@ -6,6 +6,7 @@ task; then only cells on block borders are joined, and the labels that meet are
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,30 +15,61 @@ from scenewatch.operators.graph import connected, cut
 
 ROW = 1 << 31
 AHEAD = {4: ((0, 1), (1, 0)), 8: ((0, 1), (1, 0), (1, 1), (1, -1))}
+#: Blocks along one side of a square of blocks whose labels are merged in one task.
+SQUARE = 16
 
 
-def block_labels(pdf: pd.DataFrame, conn: int) -> list[int]:
-    """The label of each cell of a block: y * 2**31 + x of the first cell, in reading order, of its region there."""
-    cells = {(y, x): v for y, x, v in zip(pdf["y"], pdf["x"], pdf["v"])}
-    around = [s for dy, dx in AHEAD[conn] for s in ((dy, dx), (-dy, -dx))]
-    label: dict[tuple[int, int], int] = {}
-    for start in sorted(cells):
-        if start in label:
-            continue
-        name = start[0] * ROW + start[1]
-        label[start], stack = name, [start]
-        while stack:
-            y, x = stack.pop()
-            for dy, dx in around:
-                near = (y + dy, x + dx)
-                if near not in label and cells.get(near) == cells[start]:
-                    label[near] = name
-                    stack.append(near)
-    return [label[c] for c in zip(pdf["y"], pdf["x"])]
+def least_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least node of its component under links (a, b): hooking and pointer jumping."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        if not (x != y).any():
+            return root
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def block_labels(pdf: pd.DataFrame, conn: int) -> np.ndarray:
+    """The label of each cell of a block: y * 2**31 + x of the first cell, in reading order, of its region there.
+
+    Runs of equal cells in a row are merged with the runs that they touch in the next row, in NumPy throughout.
+    """
+    y, x, v = (pdf[c].to_numpy(np.int64) for c in ("y", "x", "v"))
+    if not len(y):
+        return np.zeros(0, np.int64)
+    width = int(x.max() - x.min()) + 3
+    place = (y - y.min()) * width + (x - x.min()) + 1
+    order = np.argsort(place, kind="stable")
+    p, w = place[order], v[order]
+    run = np.cumsum(np.concatenate([[True], (p[1:] != p[:-1] + 1) | (w[1:] != w[:-1])])) - 1
+    ends_a, ends_b = [], []
+    for dy, dx in AHEAD[conn][1:]:
+        at = np.minimum(np.searchsorted(p, p + dy * width + dx), len(p) - 1)
+        met = np.flatnonzero((p[at] == p + dy * width + dx) & (w[at] == w))
+        ends_a.append(run[met])
+        ends_b.append(run[at[met]])
+    root = least_linked(int(run[-1]) + 1, np.concatenate(ends_a), np.concatenate(ends_b))
+    first = order[np.searchsorted(run, np.arange(int(run[-1]) + 1))]
+    label = np.empty(len(y), np.int64)
+    label[order] = (y[first] * ROW + x[first])[root[run]]
+    return label
+
+
+def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(tile_id, label, root) of the links (tile_id, from, label) of one square of blocks."""
+    nodes, both = np.unique(np.concatenate([pdf["from"], pdf["label"]]), return_inverse=True)
+    root = least_linked(len(nodes), both[: len(pdf)], both[len(pdf) :])
+    return pd.DataFrame({"tile_id": [pdf["tile_id"].iloc[0]] * len(nodes), "label": nodes, "root": nodes[root]})
 
 
 def label_components(cells: DataFrame, conn: int = 4, block: int = 256) -> DataFrame:
-    """(tile_id, y, x, v, component): cells with v <> 0; component is the least label of its region of equal v."""
+    """(tile_id, y, x, v, component): cells with v <> 0; component is the least label of its region of equal v.
+
+    Blocks are labelled each in one task. Labels that meet across blocks are merged first inside squares of SQUARE x
+    SQUARE blocks, each in one task that sees border cells only, then across squares by connected().
+    """
     if conn not in AHEAD:
         raise ValueError(f"cells touch at 4 or 8 neighbours, not {conn}")
     kind = cells.schema["tile_id"].dataType.simpleString()
@@ -47,12 +79,22 @@ def label_components(cells: DataFrame, conn: int = 4, block: int = 256) -> DataF
         return pdf[["tile_id", "y", "x", "v"]].assign(label=block_labels(pdf, conn))
 
     local = cut(keyed.groupBy("tile_id", "by", "bx").applyInPandas(of, f"tile_id {kind}, y long, x long, v int, label long"))
-    edge = local.where(f"y % {block} in (0, {block - 1}) or x % {block} in (0, {block - 1})")
+    side = block * SQUARE
+    square = F.struct(F.floor(F.col("y") / side).alias("y"), F.floor(F.col("x") / side).alias("x"))
+    edge = local.where(f"y % {block} in (0, {block - 1}) or x % {block} in (0, {block - 1})").withColumn("to_square", square)
     steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in AHEAD[conn]])
-    sent = edge.select("tile_id", "y", "x", "v", "label", F.explode(steps).alias("s")).select("tile_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "v", F.col("label").alias("from"))
-    met = sent.join(edge, ["tile_id", "y", "x", "v"]).where("`from` <> label").select(F.struct("tile_id", F.col("from").alias("l")).alias("a"), F.struct("tile_id", F.col("label").alias("l")).alias("b"))
-    roots = connected(met).select(F.col("node.tile_id").alias("tile_id"), F.col("node.l").alias("label"), F.col("root.l").alias("root"))
-    return local.join(roots, ["tile_id", "label"], "left").select("tile_id", "y", "x", "v", F.coalesce("root", "label").alias("component"))
+    sent = edge.select("tile_id", "y", "x", "v", "label", F.col("to_square").alias("square"), F.explode(steps).alias("s"))
+    sent = sent.select("tile_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "v", F.col("label").alias("from"), "square")
+    met = cut(sent.join(edge, ["tile_id", "y", "x", "v"]).where("`from` <> label").select("tile_id", "from", "label", "square", "to_square").distinct())
+    inner = cut(met.where("square = to_square").groupBy("tile_id", "square").applyInPandas(lambda pdf: merged(pdf[["tile_id", "from", "label"]]), f"tile_id {kind}, label long, root long"))
+    across = met.where("square <> to_square").select("tile_id", "from", "label")
+    for end in ("from", "label"):
+        own = inner.select("tile_id", F.col("label").alias(end), F.col("root").alias("_root"))
+        across = across.join(own, ["tile_id", end], "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+    outer = connected(across.select(F.struct("tile_id", F.col("from").alias("l")).alias("a"), F.struct("tile_id", F.col("label").alias("l")).alias("b")))
+    roots = outer.select(F.col("node.tile_id").alias("tile_id"), F.col("node.l").alias("first"), F.col("root.l").alias("last"))
+    found = local.join(inner, ["tile_id", "label"], "left").withColumn("first", F.coalesce("root", "label")).join(roots, ["tile_id", "first"], "left")
+    return found.select("tile_id", "y", "x", "v", F.coalesce("last", "first").alias("component"))
 
 
 def component_sizes(labelled: DataFrame, pixel_area: float = 1.0) -> DataFrame:

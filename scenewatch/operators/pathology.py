@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenewatch.functions import bands
+from scenewatch.operators.graph import cut
 
 BINS = 100
+#: Tiles, of a few numbers each, that are sent to every task: some 10 MB.
+SENT = 200_000
 #: Fixed values of the recipe.
 PROMINENCE, PROMINENCE_REACH, PEAK_REACH, LEAST_DENSITY, WIDTH_SHARE = 10.0, 4, 15, 0.1, 0.75
 FOREST = (0.3, 1.5)
@@ -29,9 +32,9 @@ def vog1_pixels(pixels: DataFrame) -> DataFrame:
 
 
 def ranges(pixels: DataFrame) -> DataFrame:
-    """(tile_id, n_pixels, n, low, high): how many values a tile has, and their range; all tiles are kept."""
+    """(tile_id, n_pixels, n, low, high): how many values a tile has, and their range; all tiles are kept. Computed once."""
     v = F.col("vog1").cast("double")
-    return pixels.groupBy("tile_id").agg(F.count("*").alias("n_pixels"), F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"))
+    return cut(pixels.groupBy("tile_id").agg(F.count("*").alias("n_pixels"), F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")))
 
 
 def histogram(pixels: DataFrame, tiles: DataFrame, bins: int = BINS) -> DataFrame:
@@ -39,7 +42,7 @@ def histogram(pixels: DataFrame, tiles: DataFrame, bins: int = BINS) -> DataFram
     tiles = tiles.where("high > low").withColumn("w", (F.col("high") - F.col("low")) / F.lit(float(bins)))
     v = F.col("vog1").cast("double")
     b = F.least(F.floor((v - F.col("low")) / F.col("w")), F.lit(bins - 1)).cast("int")
-    counts = pixels.where("vog1 is not null").join(tiles.select("tile_id", "low", "w"), "tile_id").groupBy("tile_id", b.alias("b")).agg(F.count("*").alias("count"))
+    counts = of_tiles(pixels.where("vog1 is not null"), tiles.select("tile_id", "low", "w")).groupBy("tile_id", b.alias("b")).agg(F.count("*").alias("count"))
     every = tiles.select("tile_id", "low", "w", "n", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("b"))
     full = every.join(counts, ["tile_id", "b"], "left")
     count = F.coalesce("count", F.lit(0))
@@ -62,43 +65,57 @@ def argrelmax(value: Column, order: Window, bins: int = BINS) -> Column:
     return F.col("b").between(PEAK_REACH, bins - PEAK_REACH - 1) & (value > before) & (value > after)
 
 
-def thresholds(pixels: DataFrame) -> DataFrame:
-    """(tile_id, n_pixels, n_valid, threshold): threshold is single precision, -1 where the peak found cannot be forest."""
+def of_tiles(pixels: DataFrame, tiles: DataFrame) -> DataFrame:
+    """pixels joined with a row a tile; the tiles are sent to every task while there are no more than SENT of them."""
+    return pixels.join(F.broadcast(tiles) if tiles.count() <= SENT else tiles, "tile_id")
+
+
+def tile_statistics(pixels: DataFrame) -> DataFrame:
+    """(tile_id, n_pixels, n_valid, threshold, n_below): thresholds(), and how many values lie below each.
+
+    Three passes over pixels, each reduced to a few rows a tile in its tasks before they shuffle, and kept: the range
+    of values, their bins, and the guard together with the counts.
+    """
     tiles = ranges(pixels)
     order = Window.partitionBy("tile_id").orderBy("b")
     d = F.col("density")
     bins = histogram(pixels, tiles)
-    cut = bins.withColumn("modified", F.when(find_peaks(d, order) & (peak_prominence(d, order) > PROMINENCE), F.greatest(F.lit(0.0), d - peak_prominence(d, order))).otherwise(d))
-    cut = cut.withColumn("candidate", argrelmax(F.col("modified"), order))
+    flat = bins.withColumn("modified", F.when(find_peaks(d, order) & (peak_prominence(d, order) > PROMINENCE), F.greatest(F.lit(0.0), d - peak_prominence(d, order))).otherwise(d))
+    flat = flat.withColumn("candidate", argrelmax(F.col("modified"), order))
     best = F.max_by("left_edge", F.when(F.col("candidate"), F.struct("modified", (-F.col("b")).alias("k"))))
-    found = cut.groupBy("tile_id").agg(
+    found = flat.groupBy("tile_id").agg(
         best.alias("peak"), F.max_by("left_edge", F.struct("density", (-F.col("b")).alias("k"))).alias("mode"),
         F.min(F.when(d > LEAST_DENSITY, F.col("left_edge"))).alias("edge"), F.min("left_edge").alias("first"),
     )
     mode, edge = F.coalesce("peak", "mode"), F.coalesce("edge", "first")
-    found = found.select("tile_id", (mode - F.lit(WIDTH_SHARE) * (mode - edge)).alias("raw"))
+    found = cut(found.select("tile_id", (mode - F.lit(WIDTH_SHARE) * (mode - edge)).alias("raw")))
     v = F.col("vog1").cast("double")
     forest = v.between(F.lit(FOREST[0]), F.lit(FOREST[1]))
-    below = pixels.join(found, "tile_id").groupBy("tile_id").agg(F.first("raw").alias("raw"), F.count_if(forest).alias("n_forest"), F.count_if(forest & (v < F.col("raw"))).alias("n_below"))
+    sick = F.count_if(F.col("vog1") < F.col("raw").cast("float"))
+    below = cut(of_tiles(pixels, found).groupBy("tile_id").agg(F.count_if(forest).alias("n_forest"), F.count_if(forest & (v < F.col("raw"))).alias("n_under"), sick.alias("n_below")))
     # above the 75th percentile exactly if more values lie below than have a lower rank
-    anomalous = (F.col("n_forest") > 0) & (F.col("n_below") >= F.floor(F.col("n_forest") * 75 / 100) + 1)
-    one = tiles.join(below, "tile_id", "left")
+    anomalous = (F.col("n_forest") > 0) & (F.col("n_under") >= F.floor(F.col("n_forest") * 75 / 100) + 1)
+    one = tiles.join(found, "tile_id", "left").join(below, "tile_id", "left")
     value = F.when(F.col("n") == 0, F.lit(NO_VALUES)).when(F.col("high") == F.col("low"), F.col("low")).when(anomalous, F.lit(-1.0)).otherwise(F.col("raw"))
-    return one.select("tile_id", "n_pixels", F.col("n").alias("n_valid"), value.cast("float").alias("threshold"))
+    # a tile of one value has none below it
+    return one.select("tile_id", "n_pixels", F.col("n").alias("n_valid"), value.cast("float").alias("threshold"), F.coalesce("n_below", F.lit(0)).alias("n_below"))
+
+
+def thresholds(pixels: DataFrame) -> DataFrame:
+    """(tile_id, n_pixels, n_valid, threshold): threshold is single precision, -1 where the peak found cannot be forest."""
+    return tile_statistics(pixels).drop("n_below")
 
 
 def sick_pixels(pixels: DataFrame, found: DataFrame, least_valid: int = LEAST_VALID) -> DataFrame:
     """pixels of tiles with a usable threshold and enough values, with sick: below the threshold; null stays healthy."""
     usable = found.where((F.col("threshold") >= 0) & (F.col("n_valid") >= least_valid)).select("tile_id", "threshold")
-    return pixels.join(usable, "tile_id").withColumn("sick", F.coalesce(F.col("vog1") < F.col("threshold"), F.lit(False)))
+    return of_tiles(pixels, cut(usable)).withColumn("sick", F.coalesce(F.col("vog1") < F.col("threshold"), F.lit(False)))
 
 
 def pathology(pixels: DataFrame) -> DataFrame:
     """(tile_id, n_pixels, n_valid, threshold, n_sick) of every tile; n_sick is null where the tile is skipped."""
-    index = vog1_pixels(pixels)
-    found = thresholds(index)
-    sick = sick_pixels(index, found).groupBy("tile_id").agg(F.count_if("sick").alias("n_sick"))
-    return found.join(sick, "tile_id", "left").select("tile_id", "n_pixels", "n_valid", "threshold", "n_sick")
+    usable = (F.col("threshold") >= 0) & (F.col("n_valid") >= LEAST_VALID)
+    return tile_statistics(vog1_pixels(pixels)).select("tile_id", "n_pixels", "n_valid", "threshold", F.when(usable, F.col("n_below")).alias("n_sick"))
 
 
 def mask_diff(new: DataFrame, base: DataFrame, outside: str = "sick") -> DataFrame:
@@ -122,8 +139,9 @@ def pathology_diff(new: DataFrame, base: DataFrame) -> DataFrame:
     a, b = vog1_pixels(new), vog1_pixels(base)
     now, then = thresholds(a).where("threshold >= 0").select("tile_id", "threshold"), thresholds(b).select("tile_id", F.col("threshold").alias("own"))
     both = now.join(then, "tile_id").select("tile_id", "threshold", F.when(F.col("own") >= 0, F.col("own")).otherwise(F.col("threshold")).alias("base_threshold"))
-    sick = a.join(both.select("tile_id", "threshold"), "tile_id").withColumn("sick", F.coalesce(F.col("vog1") < F.col("threshold"), F.lit(False)))
-    was = b.join(both.select("tile_id", "base_threshold"), "tile_id").withColumn("sick", F.coalesce(F.col("vog1") < F.col("base_threshold"), F.lit(False)))
+    both = cut(both)
+    sick = of_tiles(a, both.select("tile_id", "threshold")).withColumn("sick", F.coalesce(F.col("vog1") < F.col("threshold"), F.lit(False)))
+    was = of_tiles(b, both.select("tile_id", "base_threshold")).withColumn("sick", F.coalesce(F.col("vog1") < F.col("base_threshold"), F.lit(False)))
     return mask_diff(sick, was)
 
 

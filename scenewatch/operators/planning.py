@@ -17,16 +17,22 @@ def day_bucket(day: Column) -> Column:
     return F.floor(F.datediff(day, F.lit("1970-01-01")) / BUCKET_DAYS)
 
 
-def plan_jobs(jobs: DataFrame, scenes: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+def plan_jobs(jobs: DataFrame, scenes: DataFrame, start: str = "start", end: str = "end", most: int = 100_000) -> DataFrame:
     """Each job with every scene of its days, both ends included, with at most its cloud.
 
-    A range join on buckets of a few days: a job is in each bucket that its period touches, a scene in one. Spark picks
-    how the two sides meet from their sizes.
+    A range join on buckets of a few days: a job is in each bucket that its period touches, a scene in one. A bucket of
+    over `most` scenes is parted by a hash, and its jobs go to each part; there is one bucket for eight days of the
+    calendar, so the table of parts is small whatever the data.
     """
+    dated = scenes.withColumn("_b", day_bucket(F.col("date")))
+    parts = F.broadcast(dated.groupBy("_b").agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")).where("_b is not null and _parts > 1"))
     spread = jobs.withColumn("_b", F.explode(F.sequence(day_bucket(F.col(start)), day_bucket(F.col(end))))).withColumnRenamed("cloud", "cloud_limit")
-    near = spread.alias("j").join(scenes.withColumn("_b", day_bucket(F.col("date"))).alias("s"), "_b")
+    sent = spread.join(parts, "_b", "left").withColumn("_p", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    part = F.pmod(F.xxhash64(*[c for c in ("captured_at", "tile_id", "img_data_path", "date") if c in scenes.columns]), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = dated.join(parts, "_b", "left").withColumn("_p", part).drop("_parts")
+    near = sent.alias("j").join(dealt.alias("s"), ["_b", "_p"])
     fit = F.col("s.date").between(F.col(f"j.{start}"), F.col(f"j.{end}")) & (F.col("s.cloud") <= F.col("j.cloud_limit"))
-    return near.where(fit).drop("_b")
+    return near.where(fit).drop("_b", "_p")
 
 
 def scenes_in_boxes(scenes: DataFrame, areas: DataFrame, cell: float = 1.0) -> DataFrame:
@@ -51,20 +57,25 @@ def pair_scenes(new: DataFrame, base: DataFrame) -> DataFrame:
     """(tile_id, new_key, new_at, base_key, base_at): for each new scene the latest base strictly before it.
 
     If none is before it, the latest base of the tile at all; tiles without a base give nulls. Equal times go to the
-    lesser key. One union and one window over each tile, so the work is that of sorting, not of pairing.
+    lesser key. The work is that of sorting, not of pairing, and no task sorts a whole tile: scenes are sorted inside
+    spans of a few days, and the last base of earlier spans is carried over by a window over the spans of a tile.
     """
     key = scene_key()
-    n = new.select("tile_id", F.col("captured_at").alias("at"), key.alias("key"), F.lit(1).alias("is_new"))
-    b = base.select("tile_id", F.col("captured_at").alias("at"), key.alias("key"), F.lit(0).alias("is_new"))
+    span = day_bucket(F.col("captured_at").cast("date"))
+    n = new.select("tile_id", F.col("captured_at").alias("at"), key.alias("key"), F.lit(1).alias("is_new"), span.alias("span"))
+    b = base.select("tile_id", F.col("captured_at").alias("at"), key.alias("key"), F.lit(0).alias("is_new"), span.alias("span"))
+    own = F.struct("at", "key")
+    latest_first = F.struct(-F.unix_micros(F.col("at").cast("timestamp")), F.col("key"))
+    spans = b.groupBy("tile_id", "span").agg(F.min_by(own, latest_first).alias("last"))
+    latest = spans.groupBy("tile_id").agg(F.max_by("last", "span").alias("latest"))
     # at equal times the new one comes first: a base must be strictly before it
-    sure = F.when(F.col("is_new") == 0, F.struct("at", "key"))
-    both = n.unionByName(b)
-    by = Window.partitionBy("tile_id")
-    ordered = by.orderBy("at", F.desc("is_new"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("_rank", F.when(F.col("is_new") == 0, F.struct(F.col("at").alias("a"), (-F.dense_rank().over(by.orderBy("key"))).alias("k"))))
-    before = F.last(sure, ignorenulls=True).over(ordered)
-    latest = F.max_by(sure, F.col("_rank")).over(by)
-    out = seen.withColumn("_base", F.coalesce(before, latest)).where("is_new = 1")
+    ordered = Window.partitionBy("tile_id", "span").orderBy("at", F.desc("is_new"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.last(F.when(F.col("is_new") == 0, own), ignorenulls=True).over(ordered)
+    found = n.unionByName(b).withColumn("before", before).where("is_new = 1")
+    known = n.select("tile_id", "span").unionByName(spans.select("tile_id", "span")).distinct().join(spans, ["tile_id", "span"], "left")
+    earlier = Window.partitionBy("tile_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = known.withColumn("carried", F.last("last", ignorenulls=True).over(earlier)).select("tile_id", "span", "carried")
+    out = found.join(carried, ["tile_id", "span"], "left").join(latest, "tile_id", "left").withColumn("_base", F.coalesce("before", "carried", "latest"))
     return out.select("tile_id", F.col("key").alias("new_key"), F.col("at").alias("new_at"), F.col("_base.key").alias("base_key"), F.col("_base.at").alias("base_at"))
 
 
@@ -84,19 +95,38 @@ def require_tiles(required: DataFrame, selected: DataFrame) -> tuple[DataFrame,
 
 
 def interval_pick(scenes: DataFrame, n: int, start: Column, end: Column) -> DataFrame:
-    """(tile_id, i, scene): for each tile and each of n slices of the period the least cloudy scene, latest on ties.
+    """(scene columns, i): for each tile and each of n slices of the period the least cloudy scene, latest on ties.
 
-    A slice without a scene takes the one nearest to its middle, the least cloudy on ties, then in time order.
+    A slice without a scene takes the one nearest to its middle, the least cloudy on ties, then in time order. Scenes
+    are reduced in their own slice first, to its pick and its first and last one, before they are shuffled; an empty
+    slice then chooses between the last scene before it and the first one after it.
     """
-    slots = scenes.select("*", F.explode(build_intervals(start, end, n)).alias("_s")).select("*", F.col("_s.i").alias("i"), F.col("_s.from_us").alias("_a"), F.col("_s.to_us").alias("_z"))
+    slices = build_intervals(start, end, n)
     at = F.unix_micros(F.col("captured_at").cast("timestamp"))
-    inside = (at >= F.col("_a")) & (at < F.col("_z"))
-    far = F.abs(at - F.floor((F.col("_a") + F.col("_z")) / 2))
-    order = [
-        F.desc(inside), F.when(inside, F.col("cloud")), F.when(inside, -at), F.when(~inside, far), F.col("cloud"), at, scene_key(), F.col("img_data_path"),
-    ]
-    ranked = slots.withColumn("_n", F.row_number().over(Window.partitionBy("tile_id", "i").orderBy(*order))).where("_n = 1")
-    return ranked.drop("_s", "_a", "_z", "_n")
+    # -1 before the period, n after it
+    own = F.when(at < slices[0]["from_us"], -1).otherwise(F.size(F.filter(slices, lambda s: s["to_us"] <= at)))
+    row = F.struct(*[F.col(f"`{c}`") for c in scenes.columns]).alias("_row")
+    rows = scenes.where(at.isNotNull()).select("tile_id", own.alias("i"), at.alias("_at"), "cloud", scene_key().alias("_key"), F.col("img_data_path").alias("_path"), row)
+    last_ones = (F.col("cloud"), F.col("_key"), F.col("_path"))
+
+    def least(*order: Column) -> Column:
+        return F.min_by(F.struct("_at", "cloud", "_key", "_path", "_row"), F.struct(*[c.alias(f"c{k}") for k, c in enumerate(order)]))
+
+    each = rows.groupBy("tile_id", "i").agg(least(F.col("cloud"), -F.col("_at"), F.col("_key"), F.col("_path")).alias("pick"), least(F.col("_at"), *last_ones).alias("first"), least(-F.col("_at"), *last_ones).alias("last"))
+    wanted = each.select("tile_id").distinct().select("tile_id", F.explode(F.sequence(F.lit(-1), F.lit(n))).alias("i"))
+    by = Window.partitionBy("tile_id").orderBy("i")
+    full = wanted.join(each, ["tile_id", "i"], "left").withColumns({
+        "before": F.last("last", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)),
+        "after": F.first("first", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing)),
+    }).where(F.col("i").between(0, n - 1))
+    slot = F.element_at(slices, F.col("i") + 1)
+    middle = F.floor((slot["from_us"] + slot["to_us"]) / 2)
+    sides = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}._at") - middle).alias("far"), F.col(f"{c}.cloud"), F.col(f"{c}._at"), F.col(f"{c}._key"), F.col(f"{c}._path"), F.col(f"{c}._row"))) for c in ("before", "after")]
+    # nothing orders rows by _row: before and after differ in time
+    nearer = F.when(sides[0].isNull(), sides[1]["_row"]).when(sides[1].isNull() | (sides[0]["far"] < sides[1]["far"]), sides[0]["_row"])
+    nearer = nearer.when(sides[0]["far"] > sides[1]["far"], sides[1]["_row"]).when(sides[1]["cloud"] < sides[0]["cloud"], sides[1]["_row"]).otherwise(sides[0]["_row"])
+    chosen = full.select(F.coalesce("pick._row", nearer).alias("_row"), "i").where("_row is not null")
+    return chosen.select("_row.*", "i")
 
 
 def is_time_series(preprocess: Column, channels: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenewatch.functions.names import blank, normalize_tile_id, scene_key, tile_id_from_path
+from scenewatch.operators.graph import cut
 
 
 def scene_defaults(scenes: DataFrame) -> DataFrame:
@@ -66,14 +67,28 @@ def mosaic_selection(candidates: DataFrame) -> DataFrame:
     The limit is the least whole number from 1 to 100 that admits a scene, which is max(1, ceil(least cloud)); the
     latest scene within it is taken, then the greatest product name. Tiles with nothing within 100 are left out.
     """
-    by = Window.partitionBy("tile_id")
-    limit = F.greatest(F.lit(1), F.ceil(F.min("cloud").over(by))).cast("int")
-    fit = candidates.withColumn("cloud_limit", limit).where((F.col("cloud_limit") <= 100) & (F.col("cloud") <= F.col("cloud_limit")))
+    limit = F.greatest(F.lit(1), F.ceil(F.min("cloud"))).cast("int")
+    limits = candidates.groupBy("tile_id").agg(limit.alias("cloud_limit")).where("cloud_limit <= 100")
+    fit = candidates.join(limits, "tile_id").where("cloud <= cloud_limit").select(*candidates.columns, "cloud_limit")
     return first_of(fit, ["tile_id"], [F.desc("captured_at"), F.desc("safe_name"), F.desc("img_data_path")])
 
 
 def sort_scenes(scenes: DataFrame) -> DataFrame:
-    return scenes.orderBy("captured_at", "tile_id", scene_key())
+    """Scenes by time, tile and key, then product name."""
+    return scenes.orderBy("captured_at", "tile_id", scene_key(), "safe_name")
+
+
+def numbered(ordered: DataFrame, name: str = "nth") -> DataFrame:
+    """The rows of a sorted table with their places from 1: that in a range plus the rows of the ranges before.
+
+    The driver holds one count a range, of which there are as many as shuffle partitions.
+    """
+    rows = cut(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = {r.p: r.n for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    before = [sum(n for q, n in counts.items() if q < p) for p in range(max(counts, default=0) + 1)]
+    first = F.element_at(F.array(*[F.lit(n).cast("long") for n in before]), (part + 1).cast("int"))
+    return rows.withColumn(name, first + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at")
 
 
 def sort_catalog(scenes: DataFrame) -> DataFrame:

@@ -30,13 +30,14 @@ BLOCK = "scene_id STRING, tile_id STRING, band STRING, level STRING, by INT, bx
 def read_catalog(spark: SparkSession, root: str, years: list[int] | None = None, mode: str | None = None) -> DataFrame:
     """Scenes of the yearly catalogs under root; years are whole folders, so others are never opened.
 
-    A version below 7, an unknown mode (or another than `mode`) and a catalog without scenes are errors.
+    A version below 7, an unknown mode (or another than `mode`) and a catalog without scenes are errors; a blank mode is
+    `sentinel`.
     """
     paths = [f"{root}/{y}/{CATALOG_FILE}" for y in years] if years else f"{root}/20[0-9][0-9]/{CATALOG_FILE}"
-    docs = spark.read.schema(CATALOG).option("multiLine", True).json(paths)
+    docs = spark.read.schema(CATALOG).option("multiLine", True).json(paths).withColumn("preprocess", F.coalesce(F.nullif(F.lower(F.trim("preprocess")), F.lit("")), F.lit("sentinel")))
     wrong = (
         F.when(F.coalesce("version", F.lit(0)) < LEAST_VERSION, F.concat(F.lit("catalog version "), F.coalesce(F.col("version").cast("string"), F.lit("?"))))
-        .when(~F.coalesce("preprocess", F.lit("")).isin(*([mode] if mode else MODES)), F.concat(F.lit("catalog mode "), F.coalesce("preprocess", F.lit("?"))))
+        .when(~F.col("preprocess").isin(*([mode] if mode else MODES)), F.concat(F.lit("catalog mode "), "preprocess"))
         .when(F.coalesce(F.size("tiles"), F.lit(0)) <= 0, "catalog without scenes")
     )
     checked = docs.withColumn("tiles", F.when(wrong.isNotNull(), F.raise_error(wrong).cast(docs.schema["tiles"].dataType)).otherwise(F.col("tiles")))

@@ -6,6 +6,8 @@ task; then only cells on block borders are joined, and the labels that meet are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,16 +33,29 @@ def least_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def block_labels(pdf: pd.DataFrame, conn: int) -> np.ndarray:
-    """The label of each cell of a block: y * 2**31 + x of the first cell, in reading order, of its region there.
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Runs of whole groups from batches sorted by keys, with the number of each row's group: many small groups at once."""
+    held = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        new = np.concatenate([[True], np.logical_or.reduce([pdf[k].to_numpy()[1:] != pdf[k].to_numpy()[:-1] for k in keys])])
+        last = int(np.flatnonzero(new)[-1])
+        if last:
+            yield pdf.iloc[:last], np.cumsum(new[:last]) - 1
+        held = pdf.iloc[last:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held, np.zeros(len(held), np.int64)
+
+
+def block_labels(y: np.ndarray, x: np.ndarray, v: np.ndarray, group: np.ndarray, block: int, conn: int) -> np.ndarray:
+    """The label of each cell of some blocks: y * 2**31 + x of the first cell, in reading order, of its region there.
 
     Runs of equal cells in a row are merged with the runs that they touch in the next row, in NumPy throughout.
     """
-    y, x, v = (pdf[c].to_numpy(np.int64) for c in ("y", "x", "v"))
-    if not len(y):
-        return np.zeros(0, np.int64)
-    width = int(x.max() - x.min()) + 3
-    place = (y - y.min()) * width + (x - x.min()) + 1
+    width = block + 2  # an empty column on both sides, and two empty rows below, part rows and blocks
+    place = (group * width + y % block) * width + x % block + 1
     order = np.argsort(place, kind="stable")
     p, w = place[order], v[order]
     run = np.cumsum(np.concatenate([[True], (p[1:] != p[:-1] + 1) | (w[1:] != w[:-1])])) - 1
@@ -57,11 +72,16 @@ def block_labels(pdf: pd.DataFrame, conn: int) -> np.ndarray:
     return label
 
 
-def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(tile_id, label, root) of the links (tile_id, from, label) of one square of blocks."""
-    nodes, both = np.unique(np.concatenate([pdf["from"], pdf["label"]]), return_inverse=True)
-    root = least_linked(len(nodes), both[: len(pdf)], both[len(pdf) :])
-    return pd.DataFrame({"tile_id": [pdf["tile_id"].iloc[0]] * len(nodes), "label": nodes, "root": nodes[root]})
+def merged(a: np.ndarray, b: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a member, label, root): each label of links (a, b) with the least label of its component in its group."""
+    label, own = np.concatenate([a, b]), np.concatenate([group, group])
+    order = np.lexsort((label, own))
+    new = np.concatenate([[True], (label[order][1:] != label[order][:-1]) | (own[order][1:] != own[order][:-1])])
+    node = np.empty(len(label), np.int64)
+    node[order] = np.cumsum(new) - 1
+    nodes = order[new]
+    root = least_linked(len(nodes), node[: len(a)], node[len(a) :])
+    return nodes % len(a), label[nodes], label[nodes][root]
 
 
 def label_components(cells: DataFrame, conn: int = 4, block: int = 256) -> DataFrame:
@@ -75,10 +95,18 @@ def label_components(cells: DataFrame, conn: int = 4, block: int = 256) -> DataF
     kind = cells.schema["tile_id"].dataType.simpleString()
     keyed = cells.where("v <> 0").select("tile_id", F.col("y").cast("long"), F.col("x").cast("long"), F.col("v").cast("int"), F.floor(F.col("y") / block).alias("by"), F.floor(F.col("x") / block).alias("bx"))
 
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[["tile_id", "y", "x", "v"]].assign(label=block_labels(pdf, conn))
+    def labelled(batches):
+        for pdf, group in whole_groups(batches, ["tile_id", "by", "bx"]):
+            y, x, v = (pdf[c].to_numpy(np.int64) for c in ("y", "x", "v"))
+            yield pdf[["tile_id", "y", "x", "v"]].assign(label=block_labels(y, x, v, group, block, conn))
+
+    def joined(batches):
+        for pdf, group in whole_groups(batches, ["tile_id", "sy", "sx"]):
+            row, label, root = merged(pdf["from"].to_numpy(np.int64), pdf["label"].to_numpy(np.int64), group)
+            yield pd.DataFrame({"tile_id": pdf["tile_id"].to_numpy()[row], "label": label, "root": root})
 
-    local = cut(keyed.groupBy("tile_id", "by", "bx").applyInPandas(of, f"tile_id {kind}, y long, x long, v int, label long"))
+    keys = ["tile_id", "by", "bx"]
+    local = cut(keyed.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(labelled, f"tile_id {kind}, y long, x long, v int, label long"))
     side = block * SQUARE
     square = F.struct(F.floor(F.col("y") / side).alias("y"), F.floor(F.col("x") / side).alias("x"))
     edge = local.where(f"y % {block} in (0, {block - 1}) or x % {block} in (0, {block - 1})").withColumn("to_square", square)
@@ -86,7 +114,9 @@ def label_components(cells: DataFrame, conn: int = 4, block: int = 256) -> DataF
     sent = edge.select("tile_id", "y", "x", "v", "label", F.col("to_square").alias("square"), F.explode(steps).alias("s"))
     sent = sent.select("tile_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "v", F.col("label").alias("from"), "square")
     met = cut(sent.join(edge, ["tile_id", "y", "x", "v"]).where("`from` <> label").select("tile_id", "from", "label", "square", "to_square").distinct())
-    inner = cut(met.where("square = to_square").groupBy("tile_id", "square").applyInPandas(lambda pdf: merged(pdf[["tile_id", "from", "label"]]), f"tile_id {kind}, label long, root long"))
+    keys = ["tile_id", "sy", "sx"]
+    near = met.where("square = to_square").select("tile_id", "from", "label", F.col("square.y").alias("sy"), F.col("square.x").alias("sx"))
+    inner = cut(near.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(joined, f"tile_id {kind}, label long, root long"))
     across = met.where("square <> to_square").select("tile_id", "from", "label")
     for end in ("from", "label"):
         own = inner.select("tile_id", F.col("label").alias(end), F.col("root").alias("_root"))

@@ -85,10 +85,18 @@ def envelopes_touch(a: dict[str, Column], b: dict[str, Column]) -> Column:
 
 
 def as_multipolygon(kind: Column, coordinates: Column) -> Column:
-    """Coordinates text of a Polygon wrapped as that of a MultiPolygon; others null."""
+    """Coordinates text of a Polygon wrapped as that of a MultiPolygon; others null. See collection_parts() for collections."""
     return F.when(kind == "Polygon", F.concat(F.lit("["), coordinates, F.lit("]"))).when(kind == "MultiPolygon", coordinates)
 
 
+def collection_parts(geometries: Column) -> Column:
+    """The polygons of a collection's geometries (type, coordinates as text), each as an array of rings; others are left out."""
+    rings = "array<array<array<double>>>"
+    one = F.transform(F.filter(geometries, lambda g: g["type"] == "Polygon"), lambda g: F.from_json(F.concat(F.lit("["), g["coordinates"], F.lit("]")), f"array<{rings}>"))
+    many = F.transform(F.filter(geometries, lambda g: g["type"] == "MultiPolygon"), lambda g: F.from_json(g["coordinates"], f"array<{rings}>"))
+    return F.flatten(F.concat(one, many))
+
+
 def sieve_pixels(min_area: Column, pixel: Column) -> Column:
     """The least size in pixels that a sieve keeps: that of min_area, eight at least."""
     return F.when(F.coalesce(min_area, F.lit(0.0)) <= 0, 8).otherwise(F.greatest(F.lit(8), F.ceil(min_area / (pixel * pixel)))).cast("int")

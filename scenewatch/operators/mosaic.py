@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scenewatch.functions.bands import linear_scale
 from scenewatch.functions.geo import lonlat_to_mercator, mercator_to_lonlat, utm_to_wgs84, wgs84_to_utm
+from scenewatch.operators.graph import cut
 
 #: Limits of 16-bit values, and the scale without any.
 LEAST, MOST, FALLBACK = 1.0, 65535.0, (1.0, 10000.0)
@@ -57,6 +58,17 @@ def rgb_blocks(cells: DataFrame, block: int = 512) -> DataFrame:
     return grouped.select("band", "by", "bx", (F.col("by") * block).alias("y0"), (F.col("bx") * block).alias("x0"), F.lit(block).alias("h"), F.lit(block).alias("w"), data.alias("data"))
 
 
+def build_mosaic(values: DataFrame, grids: DataFrame, order: DataFrame, pixel: float = 20.0, block: int = 512, stride: int = 10) -> DataFrame:
+    """Blocks (see rgb_blocks) of one mosaic from UTM pixels: warp, common scale, bytes, overlay of the tiles in `order`.
+
+    values: (tile_id, band, y, x, v); grids as for warp(); order: (tile_id, tile_order), later tiles lie above. The scale
+    comes from every stride-th row and column of the source, so tiles look alike.
+    """
+    scale = cut(global_scale(band_stats(values, stride)))
+    shown = normalize_tiles(warp(values, grids, pixel), scale).join(order, "tile_id")
+    return rgb_blocks(overlay_last_wins(shown, ["band", "ty", "tx"], "tile_order"), block)
+
+
 def warp(values: DataFrame, grids: DataFrame, pixel: float = 20.0) -> DataFrame:
     """(tile_id, band, ty, tx, v) in Web Mercator cells of `pixel` metres, aligned to its origin, from UTM pixels.
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenewatch.functions import bands
-from scenewatch.functions.geo import nearest_index
+from scenewatch.functions.geo import nearest_index, pixel_to_world
+from scenewatch.operators.selection import reference_band
 
 KEY = ("tile_id", "y", "x")
 INVALID_SHARE = 99.9
@@ -48,6 +49,25 @@ def build_cube(pixels: DataFrame, channels: list[str], level: str = "L1C", cloud
     return cube.select(*KEY, *[value[n].alias(n) for n in names], "valid")
 
 
+def on_reference_grid(values: DataFrame, grids: DataFrame, level: str = "L1C", **choice) -> DataFrame:
+    """(tile_id, y, x, gt, a column a band) of each scene on the grid of its reference band, bands resampled to the nearest.
+
+    values: (tile_id, band, y, x, v), tile_id standing for a scene; grids: (tile_id, nth, band, w, h, gt) without
+    rotation. choice goes to selection.reference_band(). Where a band has no pixel its value is 0. Band names become
+    lower-case columns; there is a handful of them.
+    """
+    chosen = reference_band(grids.withColumnRenamed("tile_id", "scene_id"), level, **choice).select(F.col("scene_id").alias("tile_id"), "band", F.col("gt").alias("ref_gt"))
+    names = sorted(r.band for r in grids.select("band").distinct().collect())
+    ref = values.join(chosen, ["tile_id", "band"]).select(*KEY, "ref_gt")
+    wanted = ref.join(grids.select("tile_id", "band", "gt"), "tile_id")
+    wx, wy = pixel_to_world(F.col("ref_gt"), F.col("x") + 0.5, F.col("y") + 0.5)
+    at = wanted.select(*KEY, "ref_gt", "band", nearest_index(wy, F.col("gt")[3], F.col("gt")[5]).alias("_y"), nearest_index(wx, F.col("gt")[0], F.col("gt")[1]).alias("_x"))
+    of = values.select("tile_id", "band", F.col("y").cast("int").alias("_y"), F.col("x").cast("int").alias("_x"), "v")
+    found = at.join(of, ["tile_id", "band", "_y", "_x"], "left")
+    columns = [F.coalesce(F.max(F.when(F.col("band") == n, F.col("v"))), F.lit(0).cast(values.schema["v"].dataType)).alias(n.lower()) for n in names]
+    return found.groupBy(*KEY).agg(F.first("ref_gt").alias("gt"), *columns)
+
+
 def combine_valid(cubes: list[DataFrame]) -> DataFrame:
     """Pixels that all cubes have, valid where all are."""
     parts = [c.select(*KEY, F.col("valid").alias(f"_v{i}")) for i, c in enumerate(cubes)]

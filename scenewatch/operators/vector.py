@@ -6,6 +6,8 @@ cell is (y, x) of a grid with origin x0, y0 and pixel size px, and belongs to an
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -111,6 +113,11 @@ def dissolve(cells: DataFrame) -> DataFrame:
     return cells.select(F.when(F.col("dn") <= 0, 1).otherwise(F.col("dn")).alias("dn"), "y", "x").dropDuplicates(["dn", "y", "x"])
 
 
+def union_tiles(parts: list[DataFrame]) -> DataFrame:
+    """The features of all parts as one set; columns that a part lacks are null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def filter_features(features: DataFrame, min_area: float = 0.0) -> DataFrame:
     """Features of a class above 0 and, where min_area is positive, at least that large."""
     out = features.where("dn > 0")

@@ -143,3 +143,24 @@ def test_window_owner_is_the_last_that_writes(spark, tile, bound, size):
 
 def test_sieve_pixels(spark):
     assert [one(spark, v=geo.sieve_pixels(F.lit(a), F.lit(p))) for a, p in ((0.0, 10.0), (100.0, 10.0), (5000.0, 10.0), (5001.0, 20.0))] == [8, 8, 50, 13]
+
+
+def test_boa_and_places(spark):
+    from scenewatch.functions import bands, geo
+
+    rows = spark.createDataFrame([(0.0,), (5000.0,), (20000.0,)], "v float")
+    assert [r[0] for r in rows.select(bands.boa(F.col("v"))).collect()] == [0.0, 0.5, 1.0]
+    gt = F.array(*[F.lit(v) for v in (100.0, 10.0, 0.0, 50.0, 0.0, -10.0)])
+    x, y = geo.pixel_to_world(gt, F.lit(3.5), F.lit(2.5))
+    col, row = geo.world_to_pixel(gt, x, y)
+    ring = geo.rect_ring(F.lit(0.0), F.lit(1.0), F.lit(2.0), F.lit(3.0))
+    got = spark.range(1).select(x, y, col, row, F.transform(ring, lambda p: F.array(p["x"], p["y"]))).first()
+    assert tuple(got) == (135.0, 25.0, 3, 2, [[0.0, 1.0], [2.0, 1.0], [2.0, 3.0], [0.0, 3.0], [0.0, 1.0]])
+
+
+def test_collections_keep_their_polygons(spark):
+    from scenewatch.functions import geo
+
+    ring = "[[0,0],[1,0],[1,1],[0,0]]"
+    rows = spark.createDataFrame([([("Point", "[1,2]"), ("Polygon", f"[{ring}]"), ("MultiPolygon", f"[[{ring}],[{ring},{ring}]]")],), ([],)], "g array<struct<type:string,coordinates:string>>")
+    assert [[len(p) for p in r[0]] for r in rows.select(geo.collection_parts(F.col("g"))).collect()] == [[1, 1, 2], []]

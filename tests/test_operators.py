@@ -1,5 +1,5 @@
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -325,3 +325,135 @@ def test_stream_jobs(spark, tmp_path):
     stream.stream_jobs(jobs, rows, str(tmp_path / "p"), str(tmp_path / "r"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert [r.job_id for r in spark.read.parquet(str(tmp_path / "r")).collect()] == [1]
     assert [(r.job_id, r.scene_id) for r in spark.read.parquet(str(tmp_path / "p")).collect()] == [(1, "x")]
+
+
+def test_interval_pick_equals_all_pairs(spark):
+    """Every slice against every scene, by loops."""
+    rng, at0 = np.random.default_rng(3), datetime(2024, 1, 1)
+    rows = [(f"t{rng.integers(3)}", at0 + timedelta(minutes=int(m)), float(rng.integers(3)), f"s{k}") for k, m in enumerate(rng.choice([0, 700, 1440, 5000, 9000, 14399, 14400, 20000, 31000], 25))]
+    df = spark.createDataFrame(rows, "tile_id string, captured_at timestamp, cloud double, safe_name string").withColumns({"scene_id": F.col("safe_name"), "img_data_path": F.col("safe_name"), "date": F.to_date("captured_at")})
+    n, start, end = 6, datetime(2024, 1, 2), datetime(2024, 1, 11)
+    got = {(r.tile_id, r.i): r.safe_name for r in planning.interval_pick(df, n, F.lit("2024-01-02").cast("date"), F.lit("2024-01-11").cast("date")).collect()}
+    step = (end + timedelta(days=1) - start) / n
+    want = {}
+    for t in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == t]
+        for i in range(n):
+            a, z = start + i * step, start + (i + 1) * step
+            inside = sorted((r[2], -(r[1] - at0).total_seconds(), r[3]) for r in own if a <= r[1] < z)
+            near = sorted((abs((r[1] - (a + (z - a) / 2)).total_seconds()), r[2], r[1], r[3]) for r in own)
+            want[t, i] = inside[0][-1] if inside else near[0][-1]
+    assert got == want
+
+
+def test_pairs_equal_all_pairs(spark):
+    rng, at0 = np.random.default_rng(4), datetime(2024, 1, 1)
+    rows = [(f"t{rng.integers(4)}", at0 + timedelta(days=int(d)), f"s{k:03d}") for k, d in enumerate(rng.integers(0, 60, 80))]
+    df = spark.createDataFrame(rows, "tile_id string, captured_at timestamp, safe_name string").withColumns({"scene_id": F.col("safe_name"), "img_data_path": F.col("safe_name"), "date": F.to_date("captured_at")})
+    new, base = rows[:40], rows[40:70]
+    got = {r.new_key: r.base_key for r in planning.pair_scenes(df.where("safe_name < 's040'"), df.where("safe_name >= 's040' and safe_name < 's070'")).collect()}
+    for t, at, name in new:
+        own = [(b[1], b[2]) for b in base if b[0] == t]
+        pool = [b for b in own if b[0] < at] or own
+        last = max((b[0] for b in pool), default=None)
+        assert got[name] == min((b[1] for b in pool if b[0] == last), default=None)
+
+
+def test_busy_days_are_parted(spark):
+    rows = scenes(spark, [("a", f"2024-01-{1 + k % 20:02d}", k % 90, f"s{k}") for k in range(60)])
+    jobs = spark.createDataFrame([(1, "2024-01-03", "2024-01-12", 40), (2, "2024-01-01", "2024-01-20", 100)], "job_id int, start string, end string, cloud int").select("job_id", F.to_date("start").alias("start"), F.to_date("end").alias("end"), "cloud")
+    few, many = (sorted((r.job_id, r.safe_name) for r in planning.plan_jobs(jobs, rows, most=m).collect()) for m in (3, 1000))
+    assert few == many and len([x for x in few if x[0] == 2]) == 60
+
+
+def test_numbered_and_catalog_order(spark):
+    rows = scenes(spark, [("b", "2024-01-02", 1, "x"), ("a", "2024-01-02", 1, "z"), ("a", "2024-01-02", 1, "y"), ("c", "2024-01-01", 1, "w")])
+    want = ["w", "y", "z", "x"]
+    assert [r.safe_name for r in selection.sort_catalog(rows).collect()] == want
+    assert [r.safe_name for r in sorted(selection.numbered(selection.sort_scenes(rows)).collect(), key=lambda r: r.nth)] == want
+
+
+def test_defaults_of_scenes(spark):
+    rows = spark.createDataFrame([(None, "2024-01-02", " ", "x"), ("2024-01-03 04:00:00", "2024-01-02", "id", "y")], "at string, day string, scene_id string, safe_name string")
+    got = selection.scene_defaults(rows.select(F.to_timestamp("at").alias("captured_at"), F.to_date("day").alias("date"), "scene_id", "safe_name")).collect()
+    assert [(r.captured_at, r.scene_id) for r in got] == [(datetime(2024, 1, 2), "x"), (datetime(2024, 1, 3, 4), "id")]
+
+
+def test_newest_first(spark):
+    from scenewatch.operators.job_queue import newest_first
+
+    rows = spark.createDataFrame([("a", "2024-01-02 10:00"), ("b", "soon"), ("c", "2024-02-01 09:00")], "id string, time string")
+    assert [r.id for r in newest_first(rows).collect()] == ["c", "a", "b"]
+
+
+def test_reference_band_of_l2a_and_large_grids(spark):
+    rows = spark.createDataFrame([(1, 0, "B02", 4, 4), (1, 1, "B05", 2, 2), (1, 2, "B03", 4, 4), (2, 0, "B02", 9, 9), (2, 1, "B01", 1, 1)], "scene_id int, nth int, band string, w int, h int")
+    pick = lambda **k: {r.scene_id: r.band for r in selection.reference_band(rows, **k).collect()}
+    assert pick(level="L2A", native=True) == {1: "B03", 2: "B02"}
+    assert pick(level="L1C", most=10) == {1: "B05", 2: "B02"}
+    assert pick(level="L1C", low_resolution=True, most=10) == {1: "B02", 2: "B01"}
+
+
+def test_band_files_by_resolution(spark):
+    files = ["a_B04_60m.jp2", "a_B04_20m.jp2", "b_B04_60m.jp2", "c_B04.jp2", "d_B04_10m.jp2"]
+    rows = spark.createDataFrame([(1, "B04", f) for f in files[:3]] + [(2, "B04", f) for f in files[2:4]] + [(3, "B04", f) for f in files], "scene_id int, band string, path string")
+    pick = lambda r: {x.scene_id: x.path for x in selection.resolve_band_file(rows, r).collect()}
+    assert pick("R10m") == {1: "a_B04_20m.jp2", 2: "b_B04_60m.jp2", 3: "d_B04_10m.jp2"}
+    assert pick("R60m") == {1: "a_B04_60m.jp2", 2: "b_B04_60m.jp2", 3: "a_B04_60m.jp2"}
+
+
+def test_valid_in_all_cubes_and_newer_only(spark):
+    a = spark.createDataFrame([(1, 0, 0, 1.0, True), (1, 0, 1, 2.0, True)], "tile_id int, y int, x int, v double, valid boolean")
+    b = spark.createDataFrame([(1, 0, 0, 5.0, False), (1, 9, 9, 5.0, True)], "tile_id int, y int, x int, v double, valid boolean")
+    assert [tuple(r) for r in raster.combine_valid([a, b]).collect()] == [(1, 0, 0, False)]
+    assert sorted(tuple(r) for r in raster.concat_inputs(a, b, ["v"], "newer_only").collect()) == [(1, 0, 0, 5.0, False), (1, 9, 9, 5.0, True)]
+
+
+def test_simplify_and_union_of_features(spark):
+    ring = [[0.0, 0.0], [1.0, 0.01], [2.0, 0.0], [2.0, 2.0], [0.0, 2.0], [0.0, 0.0]]
+    one = spark.createDataFrame([(1, [ring])], "dn int, rings array<array<array<double>>>")
+    assert vector.simplify(one, 0.1).first().rings == [[p for p in ring if p != [1.0, 0.01]]]
+    assert vector.simplify(one, 0.0).first().rings == [ring]
+    both = vector.union_tiles([one, spark.createDataFrame([(2,)], "dn int")])
+    assert sorted((r.dn, r.rings is None) for r in both.collect()) == [(1, False), (2, True)]
+
+
+def test_bands_meet_on_the_reference_grid(spark):
+    """A fine band 4 x 4 and a coarse one 2 x 2 of twice the pixel size."""
+    fine = [(1, "B04", y, x, float(10 * y + x + 1)) for y in range(4) for x in range(4)]
+    coarse = [(1, "B11", y, x, float(100 + 2 * y + x)) for y in range(2) for x in range(2)]
+    values = spark.createDataFrame(fine + coarse, "tile_id int, band string, y int, x int, v float")
+    grids = spark.createDataFrame([(1, 0, "B04", 4, 4, [0.0, 10.0, 0.0, 0.0, 0.0, -10.0]), (1, 1, "B11", 2, 2, [0.0, 20.0, 0.0, 0.0, 0.0, -20.0])], "tile_id int, nth int, band string, w int, h int, gt array<double>")
+    got = {(r.y, r.x): (r.b04, r.b11) for r in raster.on_reference_grid(values, grids, native=True).collect()}
+    at = lambda p: int((p + 0.5) / 2 - 0.5 + 0.5)
+    assert got == {(y, x): (10.0 * y + x + 1, 100.0 + 2 * at(y) + at(x)) for y in range(4) for x in range(4)}
+
+
+def test_mosaic_from_tiles(spark):
+    """Two tiles over one place: the later one lies above; every block is full."""
+    px = [(t, "b02", y, x, 1000.0 + 500 * t + y) for t in (1, 2) for y in range(30) for x in range(30)]
+    values = spark.createDataFrame(px, "tile_id int, band string, y int, x int, v double")
+    east, north = 500000.0, 6300000.0
+    grids = spark.createDataFrame([(t, 40, [east, 20.0, 0.0, north, 0.0, -20.0], 30, 30) for t in (1, 2)], "tile_id int, zone int, gt array<double>, h int, w int")
+    order = spark.createDataFrame([(1, 0), (2, 1)], "tile_id int, tile_order int")
+    blocks = mosaic.build_mosaic(values, grids, order, pixel=40.0, block=16, stride=1).collect()
+    assert blocks and all(len(r.data) == 256 for r in blocks)
+    scale = mosaic.global_scale(mosaic.band_stats(values, 1)).first()
+    seen = [v for r in blocks for v in r.data if v]
+    low, high = (min(255, max(1, int((v - scale.src_min) / (scale.src_max - scale.src_min) * 254 + 1.5))) for v in (2000.0, 2029.0))
+    assert seen and min(seen) >= low and max(seen) <= high
+
+
+def test_single_period(spark):
+    """From a catalog of two scenes a tile to polygons: the clearer scene is scored, a bright square is found."""
+    from scenewatch.operators.runs import single_period
+
+    catalog = scenes(spark, [(t, f"2024-01-{d:02d}", cl, f"{t}{d}") for t in "ab" for d, cl in ((1, 50), (2, 5))] + [("a", "2024-03-01", 0, "late")])
+    bands = {"b02": 0, "b03": 0, "b08": 3000, "b10": 0, "b11": 2000, "b12": 2000}
+    rows = [(t, f"{t}{d}", y, x, 9000.0 if d == 2 and 3 <= y < 6 and 4 <= x < 8 else 100.0) for t in "ab" for d in (1, 2) for y in range(12) for x in range(12)]
+    pixels = spark.createDataFrame(rows, "tile_id string, scene_id string, y int, x int, b04 float").withColumns({"date": F.lit("2021-01-01").cast("date"), **{b: F.lit(float(v)).cast("float") for b, v in bands.items()}})
+    found = single_period(catalog, pixels, "2024-01-01", "2024-01-31", 60.0, ["B04"], lambda w: w, tile=8, bound=2, cloud_mask="simple").collect()
+    assert sorted((r.tile_id, r.area) for r in found) == [("a", 12.0), ("b", 12.0)]
+    area = spark.createDataFrame([("a", y, x) for y in range(12) for x in range(6)], "tile_id string, y int, x int")
+    inside = single_period(catalog, pixels, "2024-01-01", "2024-01-31", 60.0, ["B04"], lambda w: w, tile=8, bound=2, cloud_mask="simple", area=area).collect()
+    assert [(r.tile_id, r.area) for r in inside] == [("a", 6.0)]

@@ -112,3 +112,26 @@ def test_years(spark):
     assert [r.name for r in files.year_dirs(names, "2024").collect()] == ["2024"]
     with pytest.raises(ValueError):
         files.year_dirs(names, "24")
+
+
+def test_blank_catalog_mode_is_sentinel(spark, tmp_path):
+    tile = {"tile_id": "40VDP", "date": "2025-01-02", "safe_name": "x", "cloud": 1.0}
+    for k, mode in enumerate(["", "  ", None, "Sentinel"]):
+        folder = tmp_path / str(k) / "2025"
+        folder.mkdir(parents=True)
+        (folder / files.CATALOG_FILE).write_text(json.dumps({"version": 7, "preprocess": mode, "year": 2025, "tiles": [tile]}))
+        assert [r.preprocess for r in files.read_catalog(spark, str(tmp_path / str(k))).collect()] == ["sentinel"]
+
+
+def test_blocks_are_written_and_read(spark, tmp_path):
+    row = ("s", "t", "B04", "L1C", 0, 1, 1, 2, [0.0, 10.0, 0.0, 0.0, 0.0, -10.0], 32640, [0.0, 2.0])
+    blocks = spark.createDataFrame([row], files.BLOCK)
+    blocks.write.parquet(str(tmp_path / "in"))
+    assert [tuple(r) for r in files.read_band_blocks(spark, str(tmp_path / "in")).collect()] == [row]
+    files.write_mask_blocks(blocks, str(tmp_path / "mask"))
+    assert (tmp_path / "mask" / "tile_id=t").is_dir()
+    assert [r.data for r in spark.read.parquet(str(tmp_path / "mask")).collect()] == [[0.0, 2.0]]
+    mosaic = spark.createDataFrame([("b02", 3, 4, [1, 0])], "band string, by int, bx int, data array<int>")
+    files.write_mosaic(mosaic, str(tmp_path / "m"))
+    assert (tmp_path / "m" / "band=b02" / "by=3").is_dir()
+    assert [(r.band, r.by, r.bx, r.data) for r in spark.read.parquet(str(tmp_path / "m")).collect()] == [("b02", 3, 4, [1, 0])]

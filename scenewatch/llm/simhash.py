@@ -96,7 +96,7 @@ def masks_of(low: int, k: int) -> np.ndarray:
 
 
 def regions(points: DataFrame, half: int, bits: int, most: int = MOST, step: int = 6, width: int = 64) -> DataFrame:
-    """points (t, key, fp, score) with low, region, left: each in every region that its variants within `half` bits reach.
+    """points (t, key, fp and others) with low, region, left: each in every region that its variants within `half` bits reach.
 
     Fingerprints of one table t have `width` bits. A region is a value of the bits above the lowest `low`; `left`
     flips remain for those. The rows of a region have at most `most` variants there; one with more is parted by `step`
@@ -108,9 +108,9 @@ def regions(points: DataFrame, half: int, bits: int, most: int = MOST, step: int
         own = F.shiftrightunsigned("fp", low - by).bitwiseAND(F.lit((1 << by) - 1)).bitwiseXOR(F.col("m.mask"))
         sent = rows.withColumn("m", F.explode(masks)).where(F.col("m.n") <= F.col("left"))
         region = F.shiftleft("region", by).bitwiseOR(own)
-        return sent.select("t", "key", "fp", "score", F.lit(low - by).alias("low"), region.alias("region"), (F.col("left") - F.col("m.n")).alias("left"))
+        return sent.select(*points.columns, F.lit(low - by).alias("low"), region.alias("region"), (F.col("left") - F.col("m.n")).alias("left"))
 
-    rows = spread(points.select("t", "key", "fp", "score", F.lit(0).cast("long").alias("region"), F.lit(half).alias("left")), width, bits)
+    rows = spread(points.select("*", F.lit(0).cast("long").alias("region"), F.lit(half).alias("left")), width, bits)
     low, done = width - bits, []
     while low:
         ball = list(accumulate(math.comb(low, k) for k in range(half + 1)))
@@ -140,27 +140,51 @@ def variants(table: pa.Table, half: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(value), np.concatenate(owner)
 
 
-def meetings(value: np.ndarray, who: np.ndarray, names: np.ndarray, score: np.ndarray) -> np.ndarray:
-    """Pairs (n, 2) of rows that share a value, each once: enough of them to connect all rows of every bucket.
+def ranked(value: np.ndarray, who: np.ndarray, names: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(who, size, first, place, rank, company) of the rows that share a value with others, bucket by bucket and by rank.
 
-    Buckets of up to SMALL rows give all their pairs. In larger ones the two rows of the greatest score (then with the
-    most company in the region, then of the least name) are paired with all others, and neighbours in that order with
-    each other.
+    Rank goes by the greatest score, then the most company in the region, then the least name.
     """
     order = np.argsort(value)
     value, who = value[order], who[order]
     first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
     size = np.diff(np.append(first, len(value)))
     several = np.repeat(size > 1, size)
-    if not several.any():
-        return np.zeros((0, 2), np.int64)
     size, value, who = size[size > 1], value[several], who[several].astype(np.int64)
     company = np.bincount(who, np.repeat(size, size) - 1, len(names))
     rank = np.empty(len(names), np.int64)
     rank[np.lexsort((names, -company, -score))] = np.arange(len(names))
     who = who[np.lexsort((rank[who], value))]
     first = np.repeat(np.cumsum(size) - size, size)
-    place, many = np.arange(len(who)) - first, np.repeat(size, size)
+    return who, np.repeat(size, size), first, np.arange(len(who)) - first, rank, company
+
+
+def best_meetings(value: np.ndarray, who: np.ndarray, names: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, partner, partner's company): for each row that shares a value the row of the first rank that it meets."""
+    who, _, first, place, rank, company = ranked(value, who, names, score)
+    if not len(who):
+        return who, who, who
+    partner = np.where(place > 0, who[first], who[first + 1])
+    order = np.lexsort((rank[partner], who))
+    own = order[np.concatenate([[True], who[order][1:] != who[order][:-1]])]
+    return who[own], partner[own], company[partner[own]].astype(np.int64)
+
+
+def meetings(value: np.ndarray, who: np.ndarray, names: np.ndarray, score: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """Pairs (n, 2) of rows that share a value, each once: enough of them to connect all rows of every bucket.
+
+    With root, pairs of rows of one root are left out, as they are connected already. Buckets of up to SMALL rows give all their pairs. In larger ones the two rows of the greatest score (then with the
+    most company in the region, then of the least name) are paired with all others, and neighbours in that order with
+    each other.
+    """
+    who, many, first, place, _, _ = ranked(value, who, names, score)
+    if not len(who):
+        return np.zeros((0, 2), np.int64)
+    if root is not None:  # buckets of one root only say nothing new
+        begin = np.flatnonzero(place == 0)
+        new = np.repeat(np.minimum.reduceat(root[who], begin) != np.maximum.reduceat(root[who], begin), many[begin])
+        moved = np.cumsum(~new)[first]
+        who, many, first, place = who[new], many[new], (first - moved)[new], place[new]
     pairs = []
     for k in range(1, SMALL):
         i = np.flatnonzero((many <= SMALL) & (place + k < many))
@@ -171,29 +195,46 @@ def meetings(value: np.ndarray, who: np.ndarray, names: np.ndarray, score: np.nd
     i = np.flatnonzero((many > SMALL) & (place > 2))
     pairs.append((who[i - 1], who[i]))
     a, b = (np.concatenate(x) for x in zip(*pairs))
+    if root is not None:
+        a, b = a[root[a] != root[b]], b[root[a] != root[b]]
     packed = np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b))
     return np.stack([packed // len(names), packed % len(names)], axis=1)
 
 
-def links(points: DataFrame, radius: int = 4, bits: int | None = None, most: int = MOST, width: int = 64) -> DataFrame:
+def links(points: DataFrame, radius: int = 4, bits: int | None = None, most: int = MOST, width: int = 64, best: bool = False, ratio: float = 0.0) -> DataFrame:
     """(a, b), a < b: keys whose fingerprints in one table are at most `radius` (even) bits apart.
 
     points has distinct (t, key, fp, score) without nulls. All members of a variant's bucket are within the radius of each
-    other; the links of meetings() connect them all, and so connect what all pairs within the radius connect.
+    other; the links of meetings() connect them all, and so connect what all pairs within the radius connect. Where
+    points has a root, keys of one root are not linked again, and where it has a size, shingles, only keys whose lesser size is
+    `ratio` of the greater at least, as sets that share so much have. With `best` the rows are (a, b, score, company): for each
+    key a and region only the foremost key b that it meets.
     """
     half = radius // 2
     if radius != 2 * half:
         raise ValueError("the radius must be even: balls of half of it meet in the middle")
     tables = max(1, points.select("t").distinct().count())
     bits = bits or region_bits(points.count() / tables)
+    rooted, sized = "root" in points.columns, "shingles" in points.columns
 
     def meet(table: pa.Table) -> pa.Table:
         key = table.column("key").to_numpy()
-        pair = key[meetings(*variants(table, half), key, table.column("score").to_numpy())]
+        root = table.column("root").to_numpy() if rooted else None
+        found = meetings(*variants(table, half), key, table.column("score").to_numpy(), root)
+        if sized:
+            n = table.column("shingles").to_numpy()[found]
+            found = found[n.min(axis=1) >= ratio * n.max(axis=1)]
+        pair = key[found]
         pair = pair[pair[:, 0] != pair[:, 1]]
         return pa.table({"a": pair.min(axis=1), "b": pair.max(axis=1)})
 
-    return regions(points, half, bits, most, width=width).groupBy("t", "low", "region").applyInArrow(meet, "a long, b long").distinct()
+    def meet_best(table: pa.Table) -> pa.Table:
+        key, score = table.column("key").to_numpy(), table.column("score").to_numpy()
+        row, partner, company = best_meetings(*variants(table, half), key, score)
+        return pa.table({"a": key[row], "b": key[partner], "score": score[partner], "company": company}).filter(pa.array(key[row] != key[partner]))
+
+    grouped = regions(points, half, bits, most, width=width).groupBy("t", "low", "region")
+    return grouped.applyInArrow(meet_best, "a long, b long, score long, company long") if best else grouped.applyInArrow(meet, "a long, b long").distinct()
 
 
 def roots_of(prints: DataFrame, radius: int) -> DataFrame:
@@ -257,16 +298,19 @@ def short_prints(h: np.ndarray, at: np.ndarray, tables: int, bits: int) -> np.nd
     return out
 
 
-def sketches(h: np.ndarray, at: np.ndarray, size: int, most: int = SKETCH) -> list[bytes]:
-    """The `most` least 32-bit hashes of each row's distinct shingles of `size` words (all its words if it has fewer)."""
-    out = []
+def hashes(h: np.ndarray, at: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The 32-bit hashes, in order, of each row's distinct shingles of `size` words (all its words if it has fewer)."""
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         k = min(size, b - a)
         x = h[a : b - k + 1] if k else h[a:b]
         for j in range(1, k):
             x = mixed(x * np.uint64(5)) + h[a + j : b - k + 1 + j]
-        out.append(np.unique((mixed(x) >> np.uint64(32)).astype("<u4"))[:most].tobytes())
-    return out
+        yield np.unique((mixed(x) >> np.uint64(32)).astype("<u4"))
+
+
+def sketches(h: np.ndarray, at: np.ndarray, size: int, most: int = SKETCH) -> list[bytes]:
+    """The `most` least hashes of each row."""
+    return [x[:most].tobytes() for x in hashes(h, at, size)]
 
 
 def similarity(a: bytes, b: bytes, most: int = SKETCH) -> float:
@@ -280,24 +324,26 @@ def similarity(a: bytes, b: bytes, most: int = SKETCH) -> float:
 
 
 def shingled(docs: DataFrame, size: int, tables: int, bits: int) -> DataFrame:
-    """(doc_id, h, key, prints, sketch) of each whole text, h being a hash of the text as it is."""
+    """(doc_id, h, key, prints, sketch, shingles) of each whole text, h being a hash of the text as it is, shingles its number of distinct ones."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, prints, found = [], [], []
+            keys, prints, found, counts = [], [], [], []
             for _, _, data, rows in byte_slices(batch.column(0)):
                 h, at, key = words_of(data, rows)
                 keys.append(key)
                 prints.append(short_prints(h, at, tables, bits))
-                found += sketches(h, at, size)
+                for x in hashes(h, at, size):
+                    found.append(x[:SKETCH].tobytes())
+                    counts.append(len(x))
             flat = np.concatenate([p.ravel() for p in prints])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, tables, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(keys)), lists, pa.array(found, pa.binary())], names=["doc_id", "h", "key", "prints", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(keys)), lists, pa.array(found, pa.binary()), pa.array(counts, pa.int64())], names=["doc_id", "h", "key", "prints", "sketch", "shingles"])
 
     rows = need(docs, "text", "doc_id").select(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"))
-    return rows.mapInArrow(of, "doc_id long, h long, key long, prints array<long>, sketch binary")
+    return rows.mapInArrow(of, "doc_id long, h long, key long, prints array<long>, sketch binary, shingles long")
 
 
 def verified(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
@@ -318,22 +364,20 @@ def alike(prints: DataFrame, least: float, bits: int, radius: int = 4) -> DataFr
     """(key, root): the keys of shingled() that verified links join, with one that stands for all of its component.
 
     A key's score is the number of keys that share its fingerprints, over all tables: of copies of one text that differ
-    from each other more than from it, the text itself has the greatest, and all are paired with it. First each key is compared with that of its candidates which has the most candidates itself; then all pairs that
-    are not in one component yet. So a large group of copies of one text costs about a comparison a copy.
+    from each other more than from it, the text itself has the greatest, and all are paired with it. First each key is
+    compared with the foremost of its candidates; then the balls are met again, and only pairs that are not in one
+    component yet are made and compared. So a large group of copies of one text costs about a comparison a copy.
     """
-    points = cut(prints.select("key", F.posexplode("prints").alias("t", "fp")).distinct())
+    points = cut(prints.select("key", "shingles", F.posexplode("prints").alias("t", "fp")).distinct())
     shared = points.groupBy("t", "fp").agg(F.count("*").alias("n"))
     score = points.join(shared, ["t", "fp"]).groupBy("key").agg(F.sum("n").alias("score"))
     points = cut(points.join(score, "key"))
-    pairs = cut(links(points, radius, width=bits))
-    sides = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    company = sides.groupBy("a").agg(F.count("*").alias("n"))
-    best = sides.join(company.select(F.col("a").alias("b"), "n"), "b").groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-    sure = cut(verified(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), prints, least))
-    roots = cut(connected(sure))
-    left, right = (roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab")
-    rest = pairs.join(left, "a", "left").join(right, "b", "left").where(~F.coalesce(F.col("a_root"), F.col("a")).eqNullSafe(F.coalesce(F.col("b_root"), F.col("b"))))
-    more = verified(cut(rest.select("a", "b").join(best, ["a", "b"], "left_anti")), prints, least)
+    near = links(points.drop("shingles"), radius, width=bits, best=True).groupBy("a", "b").agg(F.max("score").alias("score"), F.sum("company").alias("company"))
+    best = cut(near.groupBy("a").agg(F.max_by("b", F.struct("score", "company", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    sure = cut(verified(best, prints, least))
+    roots = connected(sure).select(F.col("node").alias("key"), "root")
+    apart = points.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    more = verified(cut(links(cut(apart), radius, width=bits, ratio=least).join(best, ["a", "b"], "left_anti")), prints, least)
     return connected(sure.unionByName(more)).select(F.col("node").alias("key"), "root")
 
 

@@ -373,10 +373,12 @@ def alike(prints: DataFrame, least: float, bits: int, radius: int = 4) -> DataFr
     score = points.join(shared, ["t", "fp"]).groupBy("key").agg(F.sum("n").alias("score"))
     points = cut(points.join(score, "key"))
     near = links(points.drop("shingles"), radius, width=bits, best=True).groupBy("a", "b").agg(F.max("score").alias("score"), F.sum("company").alias("company"))
-    best = cut(near.groupBy("a").agg(F.max_by("b", F.struct("score", "company", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    foremost = cut(near.groupBy("a").agg(F.max_by("b", F.struct("score", "company", "b")).alias("b")))
+    best = cut(foremost.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     sure = cut(verified(best, prints, least))
     roots = connected(sure).select(F.col("node").alias("key"), "root")
-    apart = points.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    # keys that met nobody meet nobody the second time
+    apart = points.join(foremost.select(F.col("a").alias("key")), "key", "left_semi").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     more = verified(cut(links(cut(apart), radius, width=bits, ratio=least).join(best, ["a", "b"], "left_anti")), prints, least)
     return connected(sure.unionByName(more)).select(F.col("node").alias("key"), "root")
 

@@ -41,8 +41,8 @@ def histogram(pixels: DataFrame, tiles: DataFrame, bins: int = BINS) -> DataFram
     """(tile_id, b, left_edge, count, density): every bin of every tile whose values differ, empty ones too."""
     tiles = tiles.where("high > low").withColumn("w", (F.col("high") - F.col("low")) / F.lit(float(bins)))
     v = F.col("vog1").cast("double")
-    # no value is bin -1: a filter for values would be moved below the index and compute it again
-    b = F.coalesce(F.least(F.floor((v - F.col("low")) / F.col("w")), F.lit(bins - 1)), F.lit(-1)).cast("int")
+    # no value is bin -1: a filter for values would be moved below the index and compute it again; least() skips nulls
+    b = F.when(v.isNotNull(), F.least(F.floor((v - F.col("low")) / F.col("w")), F.lit(bins - 1))).otherwise(-1).cast("int")
     counts = of_tiles(pixels, tiles.select("tile_id", "low", "w")).groupBy("tile_id", b.alias("b")).agg(F.count("*").alias("count"))
     every = tiles.select("tile_id", "low", "w", "n", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("b"))
     full = every.join(counts, ["tile_id", "b"], "left")

@@ -94,6 +94,24 @@ def test_thresholds_equal_loops(spark):
         assert got[t] == pytest.approx(np.float32(want), abs=1e-6), t
 
 
+@pytest.mark.parametrize("first_bins", [False, True])
+def test_clouds_do_not_move_a_threshold(spark, first_bins):
+    """Pixels without a value are in no bin; here they are most of a tile. With first_bins its peak is none of argrelmax."""
+    rng = np.random.default_rng(5)
+    parts = [rng.normal(0.55, 0.03, 3000), rng.uniform(0.5, 2.5, 300)] if first_bins else [rng.normal(0.9, 0.05, 3000), rng.uniform(0.4, 1.6, 300)]
+    values = [float(np.float32(v)) for v in np.concatenate(parts)]
+    rows = [("clear", i, 0, v) for i, v in enumerate(values)] + [("cloudy", i, 0, v) for i, v in enumerate(values)] + [("cloudy", i, 1, None) for i in range(30000)]
+    px = spark.createDataFrame(rows, "tile_id string, y int, x int, vog1 float")
+    got = {r.tile_id: r for r in pathology.tile_statistics(px).collect()}
+    assert got["clear"].threshold == got["cloudy"].threshold == pytest.approx(np.float32(scalar_threshold(values)), abs=1e-6)
+    assert (got["cloudy"].threshold < 0) == first_bins and got["cloudy"].n_below == got["clear"].n_below > 0
+    bins = pathology.histogram(px, pathology.ranges(px))
+    assert {r.tile_id: r.n for r in bins.groupBy("tile_id").agg(F.sum("count").alias("n")).collect()} == {"clear": len(values), "cloudy": len(values)}
+    usable = spark.createDataFrame([("cloudy", 0.6, 3300), ("clear", 0.6, 99)], "tile_id string, threshold float, n_valid long")
+    sick = pathology.sick_pixels(px, usable)
+    assert sick.count() == 33300 and sick.where("sick").count() == sum(v < np.float32(0.6) for v in map(np.float32, values))
+
+
 def test_outside_the_base_grid(spark):
     new = spark.createDataFrame([("a", 0, 0, True), ("a", 0, 1, True), ("a", 0, 2, True)], "tile_id string, y int, x int, sick boolean")
     base = spark.createDataFrame([("a", 0, 0, False), ("a", 0, 1, True)], "tile_id string, y int, x int, sick boolean")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewatch.llm import binary_search, bpe, collocations, interactions, langid, mixing, resample, resharding, rules, simhash, toxicity, urls
+from scenewatch.llm import binary_search, bpe, collocations, interactions, langid, mixing, pages, resample, resharding, rules, simhash, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,9 +84,15 @@ def op12_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), interactions.text_filters(F.col("text")), copies="E").drop("filter")
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_resample": op1_resample, "op2_toxicity": op2_toxicity, "op3_urls": op3_urls, "op4_reshard": op4_reshard, "op5_simhash": op5_simhash, "op6_langid": op6_langid, "op7_bpe": op7_bpe, "op8_nearest": op8_nearest,
     "op9_rules": op9_rules, "op10_mixing": op10_mixing, "op11_collocations": op11_collocations, "op12_interactions": op12_interactions,
+    "op13_main_text": op13_main_text,
 }
 #: Brute force: all pairs of sign codes.
 OP8_SQL = """

@@ -324,6 +324,18 @@ def polygonize(spark, d):
     return vector.filter_features(found, 400.0).select("tile_id", "component", "dn", "area")
 
 
+@query(
+    f"""WITH RECURSIVE {CELLS}, {regions(4)}, at AS (SELECT tile_id, component, y + j AS vy, x + i AS vx, 1 - j AS j, 1 - i AS i FROM labelled, (SELECT unnest([0, 1]) AS j), (SELECT unnest([0, 1]) AS i)),
+    v AS (SELECT tile_id, component, vy, vx, CASE count(*) WHEN 1 THEN 1 WHEN 3 THEN 1 WHEN 2 THEN CASE WHEN count(DISTINCT j) = 2 AND count(DISTINCT i) = 2 THEN 2 ELSE 0 END ELSE 0 END AS n FROM at GROUP BY ALL)
+    SELECT tile_id, component, sum(n)::BIGINT AS corners, (min(vx) FILTER (WHERE n > 0) * 10)::DOUBLE AS left_x FROM v GROUP BY tile_id, component"""
+)
+def polygon_corners(spark, d):
+    """Corners of all rings of a region, and where its outer ring begins, with regions spread over blocks of 3 cells."""
+    found = vector.polygonize(c.label_components(patch_cells(spark, d), 4, block=3), [0.0, 10.0, 0.0, 0.0, 0.0, -10.0], block=3)
+    corners = F.aggregate("rings", F.lit(0).cast("long"), lambda n, ring: n + F.size(ring) - 1)
+    return found.select("tile_id", "component", corners.alias("corners"), F.element_at(F.element_at("rings", 1), 1)[0].alias("left_x"))
+
+
 @query(f"WITH {x.PATCHES} SELECT DISTINCT dn, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) + 8 * (vec_id % 50) AS x FROM patches WHERE dn > 0")
 def dissolve(spark, d):
     rows = x.patches(spark, d).where("dn > 0").select("dn", F.col("y").cast("long"), (F.col("x") + 8 * (F.col("vec_id") % 50)).alias("x"))

@@ -13,6 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scenewatch.operators.outlines import polygonize
+
+__all__ = ["polygonize"]
+
 
 def inside_rings(px: np.ndarray, py: np.ndarray, rings: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Whether points lie in the even-odd interior of closed rings."""
@@ -130,56 +134,6 @@ def feature_count(features: DataFrame, by: str = "job_id") -> DataFrame:
     return features.groupBy(by).agg(n.alias("n"), F.when(n == 0, "no polygons").alias("error"))
 
 
-def trace(cells: set[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Closed rings (x, y) around cells, outer ones with positive area, holes with negative; corners only.
-
-    Edges run with their cell on one side; where two cells touch only at a corner the ring turns so as to keep them
-    apart, as 4-connected regions do.
-    """
-    after: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for y, x in cells:
-        for gone, a, b in (((y - 1, x), (x, y), (x + 1, y)), ((y, x + 1), (x + 1, y), (x + 1, y + 1)), ((y + 1, x), (x + 1, y + 1), (x, y + 1)), ((y, x - 1), (x, y + 1), (x, y))):
-            if gone not in cells:
-                after.setdefault(a, []).append(b)
-    rings = []
-    for start in sorted(after):
-        while after.get(start):
-            ring, at, to = [start], start, after[start].pop()
-            while to != start:
-                ring.append(to)
-                ways = after[to]
-                dx, dy = to[0] - at[0], to[1] - at[1]
-                # the turn towards the cell's own side first
-                way = next((w for w in ways if (w[0] - to[0], w[1] - to[1]) == (-dy, dx)), ways[0])
-                ways.remove(way)
-                at, to = to, way
-            n = len(ring)
-            rings.append([p for i, p in enumerate(ring) if (ring[i - 1][0] == p[0]) != (p[0] == ring[(i + 1) % n][0])])
-    return rings
-
-
-def ring_area(ring: list[tuple[float, float]]) -> float:
-    xs, ys = np.array([p[0] for p in ring], float), np.array([p[1] for p in ring], float)
-    return float((xs * np.roll(ys, -1) - np.roll(xs, -1) * ys).sum() / 2)
-
-
-def polygonize(labelled: DataFrame, gt: list[float] | None = None) -> DataFrame:
-    """(tile_id, component, dn, area, rings) of 4-connected regions (tile_id, y, x, v, component).
-
-    rings: the outer ring first, then holes, closed, in world units by the affine transform gt (no rotation); area is
-    that of the cells. A region is one task's group: keep regions bounded by tiles.
-    """
-    g = gt or [0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
-    kind = labelled.schema["tile_id"].dataType.simpleString()
-
-    def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = sorted(trace(set(zip(pdf["y"], pdf["x"]))), key=lambda r: -ring_area(r))
-        world = [[[g[0] + x * g[1], g[3] + y * g[5]] for x, y in [*r, r[0]]] for r in found]
-        return pd.DataFrame({"tile_id": [key[0]], "component": [key[1]], "dn": [int(pdf["v"].iloc[0])], "area": [len(pdf) * abs(g[1] * g[5])], "rings": [world]})
-
-    return labelled.groupBy("tile_id", "component").applyInPandas(of, f"tile_id {kind}, component long, dn int, area double, rings array<array<array<double>>>")
-
-
 def simplify_ring(points: np.ndarray, tolerance: float) -> np.ndarray:
     """Douglas and Peucker's simplification of a closed ring; it keeps at least a triangle, else the ring as it is."""
     keep = np.zeros(len(points), bool)

@@ -2,13 +2,14 @@ import json
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from scenewatch.functions.geo import wgs84_to_utm
 from scenewatch.operators import components as c
-from scenewatch.operators import mosaic, pathology, planning, raster, scoring, selection, vector
+from scenewatch.operators import mosaic, outlines, pathology, planning, raster, scoring, selection, vector
 from scenewatch.operators.graph import connected
 from scenewatch.streaming import catalog as stream
 
@@ -246,6 +247,70 @@ def test_connected_chain(spark):
     assert {r.node: r.root for r in connected(links).collect()} == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
 
 
+def trace(cells: set[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Closed rings (x, y) around cells, outer ones with positive area, holes with negative; corners only.
+
+    Edges run with their cell on one side; where two cells touch only at a corner the ring turns so as to keep them
+    apart, as 4-connected regions do.
+    """
+    after: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for y, x in cells:
+        for gone, a, b in (((y - 1, x), (x, y), (x + 1, y)), ((y, x + 1), (x + 1, y), (x + 1, y + 1)), ((y + 1, x), (x + 1, y + 1), (x, y + 1)), ((y, x - 1), (x, y + 1), (x, y))):
+            if gone not in cells:
+                after.setdefault(a, []).append(b)
+    rings = []
+    for start in sorted(after):
+        while after.get(start):
+            ring, at, to = [start], start, after[start].pop()
+            while to != start:
+                ring.append(to)
+                ways = after[to]
+                dx, dy = to[0] - at[0], to[1] - at[1]
+                # the turn towards the cell's own side first
+                way = next((w for w in ways if (w[0] - to[0], w[1] - to[1]) == (-dy, dx)), ways[0])
+                ways.remove(way)
+                at, to = to, way
+            n = len(ring)
+            rings.append([p for i, p in enumerate(ring) if (ring[i - 1][0] == p[0]) != (p[0] == ring[(i + 1) % n][0])])
+    return rings
+
+
+def ring_area(ring: list[tuple[float, float]]) -> float:
+    xs, ys = np.array([p[0] for p in ring], float), np.array([p[1] for p in ring], float)
+    return float((xs * np.roll(ys, -1) - np.roll(xs, -1) * ys).sum() / 2)
+
+
+@pytest.mark.parametrize(("block", "share"), [(4, 0.6), (5, 0.5), (7, 0.85), (64, 0.6)])
+def test_outlines_equal_a_walk(spark, block, share):
+    """Rings by ranked chains are those of a walk around all cells of a region, whatever the blocks."""
+    rng = np.random.default_rng(block)
+    a = (rng.random((33, 29)) < share).astype(int)
+    a[10:30, 3] = a[10:30, 25] = a[10, 3:26] = a[29, 3:26] = 1  # a ring through many blocks
+    labels = flood(a, 4)
+    rows = [("t", int(y), int(x), 3, int(labels[y, x])) for y, x in zip(*np.nonzero(a))]
+    table = spark.createDataFrame(rows, "tile_id string, y int, x int, v int, component long").repartition(3)
+    gt = [100.0, 10.0, 0.0, 50.0, 0.0, -5.0]
+    got = {r.component: r for r in vector.polygonize(table, gt, block).collect()}
+    assert set(got) == set(labels[a > 0].tolist())
+    for k, r in got.items():
+        cells = set(zip(*(w.tolist() for w in np.nonzero(labels == k))))
+        want = sorted(trace(cells), key=lambda ring: (-ring_area(ring), ring))
+        assert [[(int((x - 100) / 10), int((y - 50) / -5)) for x, y in ring] for ring in r.rings] == [[*ring, ring[0]] for ring in want]
+        assert (r.dn, r.area, r.tile_id) == (3, len(cells) * 50.0, "t")
+    assert vector.polygonize(table.where("false")).isEmpty()
+
+
+def test_a_ring_of_many_chains_settles_in_log_rounds(spark):
+    """A serpentine through 300 blocks: each block passes on chains, never the region."""
+    y, x = np.divmod(np.arange(60 * 60), 60)
+    on = (y % 2 == 0) | (x == np.where(y % 4 == 1, 59, 0))
+    table = spark.createDataFrame(pd.DataFrame({"tile_id": 1, "y": y[on], "x": x[on], "v": 1, "component": 0}))
+    parts = outlines.chains(table, 3)
+    assert parts.agg(F.max(F.size("xs"))).first()[0] <= 12
+    (row,) = vector.polygonize(table, block=3).collect()
+    assert row.area == on.sum() and [[tuple(map(int, p)) for p in ring[:-1]] for ring in row.rings] == trace(set(zip(y[on].tolist(), x[on].tolist())))
+
+
 def test_polygonize_hole_and_diagonal(spark):
     a = np.ones((5, 5), int)
     a[2, 2] = 0
@@ -253,14 +318,14 @@ def test_polygonize_hole_and_diagonal(spark):
     rows = {r.component: r for r in vector.polygonize(c.label_components(grid(spark, a), 4)).collect()}
     assert len(rows) == 2
     big = rows[0]
-    areas = [vector.ring_area([tuple(p) for p in ring[:-1]]) for ring in big.rings]
+    areas = [ring_area([tuple(p) for p in ring[:-1]]) for ring in big.rings]
     assert areas[0] > 0 and areas[1:] == [-1] and sum(areas) == big.area == (a == 1).sum() - 1
 
 
 def test_random_polygons_have_the_area_of_their_cells(spark):
     a = np.random.default_rng(8).integers(0, 2, (14, 14))
     for r in vector.polygonize(c.label_components(grid(spark, a), 4, 5), [100.0, 10.0, 0.0, 50.0, 0.0, -10.0]).collect():
-        rings = [vector.ring_area([tuple(p) for p in ring[:-1]]) for ring in r.rings]
+        rings = [ring_area([tuple(p) for p in ring[:-1]]) for ring in r.rings]
         assert abs(sum(rings)) == pytest.approx(r.area)
         assert all(ring[0] == ring[-1] for ring in r.rings)
 

@@ -325,8 +325,8 @@ def polygonize(spark, d):
 
 
 @query(
-    f"""WITH RECURSIVE {CELLS}, {regions(4)}, at AS (SELECT tile_id, component, y + j AS vy, x + i AS vx, 1 - j AS j, 1 - i AS i FROM labelled, (SELECT unnest([0, 1]) AS j), (SELECT unnest([0, 1]) AS i)),
-    v AS (SELECT tile_id, component, vy, vx, CASE count(*) WHEN 1 THEN 1 WHEN 3 THEN 1 WHEN 2 THEN CASE WHEN count(DISTINCT j) = 2 AND count(DISTINCT i) = 2 THEN 2 ELSE 0 END ELSE 0 END AS n FROM at GROUP BY ALL)
+    f"""WITH RECURSIVE {CELLS}, {regions(4)}, corner AS (SELECT tile_id, component, y + j AS vy, x + i AS vx, 1 - j AS j, 1 - i AS i FROM labelled, (SELECT unnest([0, 1]) AS j), (SELECT unnest([0, 1]) AS i)),
+    v AS (SELECT tile_id, component, vy, vx, CASE count(*) WHEN 1 THEN 1 WHEN 3 THEN 1 WHEN 2 THEN CASE WHEN count(DISTINCT j) = 2 AND count(DISTINCT i) = 2 THEN 2 ELSE 0 END ELSE 0 END AS n FROM corner GROUP BY ALL)
     SELECT tile_id, component, sum(n)::BIGINT AS corners, (min(vx) FILTER (WHERE n > 0) * 10)::DOUBLE AS left_x FROM v GROUP BY tile_id, component"""
 )
 def polygon_corners(spark, d):

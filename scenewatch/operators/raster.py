@@ -26,27 +26,47 @@ def reject_empty_scenes(pixels: DataFrame, by: str = "tile_id", limit: float = I
     return pixels.join(nodata_percent(pixels, by).where(F.col("nodata_pct") < limit).select(by), by, "left_semi")
 
 
-def build_cube(pixels: DataFrame, channels: list[str], level: str = "L1C", cloud: str = "full", scl: str | None = None) -> DataFrame:
-    """(tile_id, y, x, one column a channel, valid) from digital numbers on one grid.
+def channel_names(channels: list[str]) -> list[str]:
+    return [c.strip().lower() for c in channels]
 
-    Bands become reflectances by level; a channel NDVI is made from b04 and b08. A pixel is valid if some channel is
-    positive (for NDVI, red or infrared), it is not cloudy and its scene class, if given, is clear.
-    """
-    names = [c.strip().lower() for c in channels]
-    have = [c for c in pixels.columns if c.startswith("b") and c[1:3].isdigit()]
-    r = {b: bands.toa(F.col(b), F.col("date")) if level == "L1C" else bands.boa(F.col(b)) for b in have}
+
+def is_ndvi(name: str) -> bool:
+    return name.startswith("ndvi") or name == "ndvog"
+
+
+def reflectances(raw: dict[str, Column], day: Column | None, level: str) -> dict[str, Column]:
+    """Bands by name as reflectances of the level."""
+    return {b: bands.toa(v, day) if level == "L1C" else bands.boa(v) for b, v in raw.items()}
+
+
+def validity(r: dict[str, Column], channels: list[str], level: str, cloud: str, scl: Column | None = None) -> Column:
+    """Whether a pixel of reflectances r is valid for these channels: some positive one, no cloud, a clear scene class."""
     mode = bands.cloud_mask_mode(channels, cloud)
     cloudy = None
     if mode != "none" and level == "L1C" and {"b10", "b11", "b12"} <= r.keys():
         more = [r.get(b) for b in ("b02", "b03", "b04")] if mode == "full" else []
         cloudy = bands.cloud_mask(r["b10"], r["b11"], r["b12"], *more)
-    used = [c for n in names for c in ([r["b04"], r["b08"]] if n.startswith("ndvi") or n == "ndvog" else [r[n]])]
+    used = [c for n in channel_names(channels) for c in ([r["b04"], r["b08"]] if is_ndvi(n) else [r[n]])]
     valid = bands.valid_pixel(used, cloudy)
-    if scl:
-        valid = valid & bands.scl_valid(F.col(scl))
+    return valid if scl is None else valid & bands.scl_valid(scl)
+
+
+def channel(name: str, r: dict[str, Column], valid: Column) -> Column:
+    return F.when(valid, bands.ndvi_unit(r["b04"], r["b08"])).otherwise(bands.f32(0)) if is_ndvi(name) else r[name]
+
+
+def build_cube(pixels: DataFrame, channels: list[str], level: str = "L1C", cloud: str = "full", scl: str | None = None) -> DataFrame:
+    """(tile_id, y, x, one column a channel, valid) from digital numbers on one grid.
+
+    Bands become reflectances by level; a channel NDVI is made from b04 and b08. A pixel is valid if some channel is
+    positive (for NDVI, red or infrared), it is not cloudy and its scene class, if given, is clear.
+    """
+    have = [c for c in pixels.columns if c.startswith("b") and c[1:3].isdigit()]
+    r = reflectances({b: F.col(b) for b in have}, F.col("date") if level == "L1C" else None, level)
+    valid = validity(r, channels, level, cloud, F.col(scl) if scl else None)
     cube = pixels.select(*KEY, *[r[b].alias(f"_{b}") for b in have], valid.alias("valid"))
-    value = {n: F.when(F.col("valid"), bands.ndvi_unit(F.col("_b04"), F.col("_b08"))).otherwise(bands.f32(0)) if n.startswith("ndvi") or n == "ndvog" else F.col(f"_{n}") for n in names}
-    return cube.select(*KEY, *[value[n].alias(n) for n in names], "valid")
+    made = {b: F.col(f"_{b}") for b in have}
+    return cube.select(*KEY, *[channel(n, made, F.col("valid")).alias(n) for n in channel_names(channels)], "valid")
 
 
 def on_reference_grid(values: DataFrame, grids: DataFrame, level: str = "L1C", **choice) -> DataFrame:

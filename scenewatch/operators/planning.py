@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,22 +19,51 @@ def day_bucket(day: Column) -> Column:
     return F.floor(F.datediff(day, F.lit("1970-01-01")) / BUCKET_DAYS)
 
 
-def plan_jobs(jobs: DataFrame, scenes: DataFrame, start: str = "start", end: str = "end", most: int = 100_000) -> DataFrame:
+def day_nodes(first: Column, last: Column, levels: int) -> Column:
+    """Nodes (level, at) of a tree of days, 8 children a node, that cover first..last exactly: at most 14 a level below the top one."""
+    low, high = F.unix_date(first), F.unix_date(last) + 1
+
+    def at_level(k: int) -> Callable[[Column], Column]:
+        return lambda at: F.struct(F.lit(k).alias("level"), at.alias("at"))
+
+    def span(a: Column, b: Column) -> Column:
+        return F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
+
+    out = []
+    for k in range(levels):
+        size, up = 8**k, 8 ** (k + 1)
+        a, b = F.ceil(low / size).cast("int"), F.floor(high / size).cast("int")
+        above, below = F.ceil(low / up).cast("int"), F.floor(high / up).cast("int")
+        here = span(a, b) if k == levels - 1 else F.when(above < below, F.concat(span(a, 8 * above), span(8 * below, b))).otherwise(span(a, b))
+        out.append(F.transform(here, at_level(k)))
+    return F.concat(*out)
+
+
+def plan_jobs(jobs: DataFrame, scenes: DataFrame, start: str = "start", end: str = "end", most: int = 100_000, sent: int = 100_000) -> DataFrame:
     """Each job with every scene of its days, both ends included, with at most its cloud.
 
-    A range join on buckets of a few days: a job is in each bucket that its period touches, a scene in one. A bucket of
-    over `most` scenes is parted by a hash, and its jobs go to each part; there is one bucket for eight days of the
-    calendar, so the table of parts is small whatever the data.
+    A period is cut into nodes of a tree of days, and a scene lies in one node of each level, so an equality join meets exactly the scenes of
+    the period; levels are as many as the longest period needs, two for up to 63 days. Up to `sent` jobs, counted first, go to
+    every task, and scenes are not shuffled. More jobs are joined by a shuffle, in which a day of over `most` scenes is parted by a hash
+    and its jobs go to each part; days are few whatever the data.
     """
-    dated = scenes.withColumn("_b", day_bucket(F.col("date")))
-    parts = F.broadcast(dated.groupBy("_b").agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")).where("_b is not null and _parts > 1"))
-    spread = jobs.withColumn("_b", F.explode(F.sequence(day_bucket(F.col(start)), day_bucket(F.col(end))))).withColumnRenamed("cloud", "cloud_limit")
-    sent = spread.join(parts, "_b", "left").withColumn("_p", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    part = F.pmod(F.xxhash64(*[c for c in ("captured_at", "tile_id", "img_data_path", "date") if c in scenes.columns]), F.coalesce("_parts", F.lit(1))).cast("int")
-    dealt = dated.join(parts, "_b", "left").withColumn("_p", part).drop("_parts")
-    near = sent.alias("j").join(dealt.alias("s"), ["_b", "_p"])
-    fit = F.col("s.date").between(F.col(f"j.{start}"), F.col(f"j.{end}")) & (F.col("s.cloud") <= F.col("j.cloud_limit"))
-    return near.where(fit).drop("_b", "_p")
+    n, longest = jobs.agg(F.count("*"), F.max(F.datediff(end, start))).first()
+    levels = 1
+    while 8**levels <= (longest or 0) + 1:
+        levels += 1
+    nodes = jobs.withColumn("_n", F.explode(day_nodes(F.col(start), F.col(end), levels))).withColumnRenamed("cloud", "cloud_limit")
+    at = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.unix_date("date") / 8**k).cast("int").alias("at")) for k in range(levels)])
+    dated = scenes.where("date is not null").withColumn("_n", F.explode(at))
+    if n <= sent:
+        near = F.broadcast(nodes).alias("j").join(dated.alias("s"), "_n")
+    else:
+        days = scenes.where("date is not null").groupBy("date").agg(F.count("*").alias("n"))
+        busy = days.withColumn("_n", F.explode(at)).groupBy("_n").agg(F.ceil(F.sum("n") / most).cast("int").alias("_parts")).where("_parts > 1")
+        parts = F.broadcast(busy)  # nodes of a calendar, not of scenes
+        dealt = nodes.join(parts, "_n", "left").withColumn("_p", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+        part = F.pmod(F.xxhash64(*[c for c in ("captured_at", "tile_id", "img_data_path", "date") if c in scenes.columns]), F.coalesce("_parts", F.lit(1))).cast("int")
+        near = dealt.alias("j").join(dated.join(parts, "_n", "left").withColumn("_p", part).drop("_parts").alias("s"), ["_n", "_p"]).drop("_p")
+    return near.where(F.col("s.cloud") <= F.col("j.cloud_limit")).drop("_n")
 
 
 def scenes_in_boxes(scenes: DataFrame, areas: DataFrame, cell: float = 1.0) -> DataFrame:

@@ -449,6 +449,22 @@ def test_busy_days_are_parted(spark):
     assert few == many and len([x for x in few if x[0] == 2]) == 60
 
 
+@pytest.mark.parametrize(("sent", "most"), [(100, 100), (0, 3), (0, 1000)])
+def test_plans_equal_all_pairs(spark, sent, most):
+    """Periods of one day to three years, some the wrong way round or open; the join makes no pair outside a period."""
+    rng = np.random.default_rng(11)
+    day = lambda n: (datetime(2023, 1, 1) + timedelta(days=int(n))).strftime("%Y-%m-%d")
+    rows = scenes(spark, [("a", day(n), int(c), f"s{k}") for k, (n, c) in enumerate(zip(rng.integers(0, 1200, 300), rng.integers(0, 100, 300)))])
+    raw = [(k, day(a), day(a + n), int(c)) for k, (a, n, c) in enumerate(zip(rng.integers(0, 800, 40), [0, 1, 6, 7, 8, 9, 15, 16, 63, 64, 65, 511, 513, 1100, -3] * 3, rng.integers(0, 101, 40)))] + [(99, None, "2024-01-01", 100)]
+    jobs = spark.createDataFrame(raw, "job_id int, start string, end string, cloud int").select("job_id", F.to_date("start").alias("start"), F.to_date("end").alias("end"), "cloud")
+    got = sorted((r.job_id, r.safe_name) for r in planning.plan_jobs(jobs, rows, most=most, sent=sent).collect())
+    every = rows.select(F.col("date").cast("string"), "cloud", "safe_name").collect()
+    assert got == sorted((j, s.safe_name) for j, a, z, c in raw for s in every if a and a <= s.date <= z and s.cloud <= c)
+    nodes = jobs.where("start <= end").select("job_id", F.datediff("end", "start").alias("n"), F.explode(planning.day_nodes(F.col("start"), F.col("end"), 4)).alias("d"))
+    covered = nodes.groupBy("job_id", "n").agg(F.sum(F.pow(F.lit(8), F.col("d.level"))).alias("days"), F.count("*").alias("k")).collect()
+    assert all(r.days == r.n + 1 and r.k <= 14 * 4 for r in covered) and len(covered) == 36 + 2
+
+
 def test_numbered_and_catalog_order(spark):
     rows = scenes(spark, [("b", "2024-01-02", 1, "x"), ("a", "2024-01-02", 1, "z"), ("a", "2024-01-02", 1, "y"), ("c", "2024-01-01", 1, "w")])
     want = ["w", "y", "z", "x"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scenewatch.jobs import fixtures as x
 from scenewatch.jobs import grid_queries as g
+from scenewatch.jobs import scene_queries as sc
 from scenewatch.operators import blocks, scoring
 
 QUERIES, ORACLES = {}, {}
@@ -22,8 +23,8 @@ def query(sql: str):
 
 
 def grid_blocks(spark, d):
-    """Digital numbers of eight tiles as blocks of 64 x 64 pixels."""
-    return blocks.to_blocks(x.grid_pixels(spark, d), list(x.BANDS), 64, ("date",))
+    """Digital numbers of eight tiles as blocks of 8 x 8 pixels, as the grid is seven pixels wide."""
+    return blocks.to_blocks(x.grid_pixels(spark, d), list(x.BANDS), 8, ("date",))
 
 
 @query(g.ORACLES["build_cube"])
@@ -38,7 +39,7 @@ def block_cloud_masks(spark, d):
 
 @query(g.ORACLES["ndvi_series"])
 def block_ndvi_series(spark, d):
-    made = blocks.to_blocks(x.grid_pixels(spark, d), ["b04", "b08"], 64)
+    made = blocks.to_blocks(x.grid_pixels(spark, d), ["b04", "b08"], 8)
     picked = made.select((F.col("tile_id") % 2).alias("tile_id"), "by", "bx", "y0", "x0", "h", "w", "there", F.floor(F.col("tile_id") / 2).alias("i"), F.col("b04").alias("red"), F.col("b08").alias("nir"))
     return blocks.cells(blocks.ndvi_series(picked, 4), *[f"ndvi_{i}" for i in range(4)], "valid")
 
@@ -89,3 +90,12 @@ def on_reference_grid(spark, d):
     tiles = at.select("tile_id").distinct()
     grids = tiles.select("tile_id", F.explode(F.array(*[F.struct(F.lit(k).alias("nth"), F.lit(b).alias("band"), F.lit(n).alias("w"), F.lit(n).alias("h"), F.array(*[F.lit(v) for v in (0.0, p, 0.0, 0.0, 0.0, -p)]).alias("gt")) for k, (b, n, p) in enumerate((("B04", 8, 10.0), ("B11", 4, 20.0)))])).alias("g")).select("tile_id", "g.*")
     return blocks.cells(blocks.on_reference_blocks(cut, grids, ["b04", "b11"], native=True, block=3), "b04", "b11")
+
+
+@query(sc.ORACLES["pathology_diff"])
+def block_pathology_diff(spark, d):
+    grid = x.grid_pixels(spark, d)
+    even, odd = grid.where("tile_id % 2 = 0"), grid.where("tile_id % 2 = 1").withColumn("tile_id", F.col("tile_id") - 1)
+    years = [blocks.to_blocks(year, list(x.BANDS), 8, ("date",)) for year in (even, odd)]
+    found = blocks.cells(blocks.pathology_diff(*years, buckets=8), "sick", "newly_sick")
+    return found.groupBy("tile_id").agg(F.count("*").alias("n"), F.count_if("sick").alias("sick"), F.count_if("newly_sick").alias("newly_sick"))

@@ -8,6 +8,7 @@ size) gets strips of the blocks around it and is NumPy in tasks.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -22,6 +23,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from scenewatch.functions import bands
 from scenewatch.operators import raster
 from scenewatch.operators.components import whole_groups
+from scenewatch.operators.graph import cut, shared_dir
+from scenewatch.operators.pathology import of_tiles, thresholds
 from scenewatch.operators.scoring import Scorer, step_of
 from scenewatch.operators.selection import reference_band
 
@@ -321,3 +324,63 @@ def on_reference_blocks(blocks: DataFrame, grids: DataFrame, names: list[str], l
 
     fields = f"tile_id {kind}, by int, bx int, y0 int, x0 int, h int, w int, gt array<double>, " + ", ".join(f"`{n}` array<float>" for n in names)
     return sent.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInPandas(put, fields)
+
+
+# --- the forest index as tables of blocks, and the difference between two years ---
+
+
+def index_blocks(blocks: DataFrame) -> DataFrame:
+    """(FRAME, vog1) of digital numbers: pathology.vog1_pixels() on blocks; null under clouds and where there is no data."""
+    names = ["b05", "b06", "b10", "b11", "b12"]
+
+    def index(p: dict[str, Column]) -> Column:
+        r = raster.reflectances(p, F.col("date"), "L1C")
+        return bands.vog1(r["b05"], r["b06"], bands.cloud_mask(r["b10"], r["b11"], r["b12"]))
+
+    return blocks.select(*frame(blocks), each(names, index).alias("vog1"))
+
+
+def bucketed(blocks: DataFrame, buckets: int = 64) -> DataFrame:
+    """blocks as a table in the shared folder, dealt to buckets by PLACE and sorted there: joins of such tables by PLACE shuffle nothing."""
+    spark = blocks.sparkSession
+    name = f"blocks_{uuid.uuid4().hex}"
+    blocks.repartition(buckets, *PLACE).write.bucketBy(buckets, *PLACE).sortBy(*PLACE).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def mask_diff(new: DataFrame, base: DataFrame, limits: DataFrame) -> DataFrame:
+    """(FRAME, sick, newly_sick) of the new year's blocks: pathology.mask_diff() where both years have blocks of one grid.
+
+    new and base have vog1, as bucketed() tables of index_blocks(); limits has tile_id, threshold, base_threshold. A pixel that the
+    base lacks counts as sick before; one under clouds there was not sick.
+    """
+    there = "there" in new.columns
+    size = F.size("vog1")
+    before = base.select(*PLACE, F.col("vog1").alias("was"), *([F.col("there").alias("was_there")] if there else []))
+    both = of_tiles(new.join(before, list(PLACE), "left"), limits)
+    both = both.withColumn("has", F.coalesce("was_there" if there else F.lit(None).cast("array<boolean>"), F.array_repeat(F.col("was").isNotNull(), size))).withColumn("was", F.coalesce("was", F.array_repeat(F.lit(None).cast("float"), size)))
+
+    def masks(p: dict[str, Column]) -> Column:
+        sick = F.coalesce(p["vog1"] < F.col("threshold"), F.lit(False))
+        was = ~p["has"] | F.coalesce(p["was"] < F.col("base_threshold"), F.lit(False))
+        return F.struct(sick.alias("sick"), (sick & ~was).alias("newly_sick"))
+
+    told = both.withColumn("_m", each(["vog1", "was", "has"], masks))
+    return told.select(*frame(new), *[each_member("_m", n) for n in ("sick", "newly_sick")])
+
+
+def each_member(array: str, name: str) -> Column:
+    return F.transform(array, lambda s: s[name]).alias(name)
+
+
+def pathology_diff(new: DataFrame, base: DataFrame, buckets: int = 64) -> DataFrame:
+    """(FRAME, sick, newly_sick): pathology.pathology_diff() on blocks of digital numbers of two years, on one grid a tile.
+
+    The index of each year is computed once and written as a bucketed table; thresholds read its one column, and the difference joins
+    blocks where they lie.
+    """
+    years = [bucketed(index_blocks(blocks), buckets) for blocks in (new, base)]
+    now, then = (thresholds(cells(t, "vog1")).select("tile_id", "threshold") for t in years)
+    both = now.where("threshold >= 0").join(then.withColumnRenamed("threshold", "own"), "tile_id")
+    limits = cut(both.select("tile_id", "threshold", F.when(F.col("own") >= 0, F.col("own")).otherwise(F.col("threshold")).alias("base_threshold")))
+    return mask_diff(*years, limits)

@@ -116,3 +116,24 @@ def test_stacked(spark):
     wide = blocks.stacked(band_blocks(spark, {(1, "B04"): a, (1, "B08"): b, (2, "B04"): a}, 2), ["b04", "b08"], block=2)
     got = {(r.tile_id, r.y, r.x): (r.b04, r.b08) for r in blocks.cells(wide, "b04", "b08").collect()}
     assert got == {(t, y, x): (a[y, x], b[y, x] if t == 1 else 0) for t in (1, 2) for y in range(3) for x in range(4)}
+
+
+def test_years_of_blocks_differ_without_a_shuffle(spark):
+    """Base blocks that are missing count as sick before; the join of both years has no exchange below it."""
+    rng = np.random.default_rng(4)
+    y, x = np.divmod(np.arange(20 * 20), 20)
+    frame = pd.DataFrame({"tile_id": 1, "y": y, "x": x, "v": rng.uniform(0.5, 1.5, 400).astype(np.float32)})
+    base = frame[(frame.y < 12) & (rng.random(400) < 0.8)].assign(v=rng.uniform(0.5, 1.5, 400).astype(np.float32)[: len(frame)][(frame.y < 12).to_numpy().nonzero()[0][0]])
+    made = [blocks.to_blocks(spark.createDataFrame(f), ["v"], 4).withColumn("vog1", F.transform("v", lambda v: F.when(v > 0.6, v))).drop("v") for f in (frame, base)]
+    tables = [blocks.bucketed(m, 4) for m in made]
+    limits = spark.createDataFrame([(1, 0.9, 0.8)], "tile_id long, threshold float, base_threshold float")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = blocks.mask_diff(*tables, limits)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = {(r.y, r.x): (r.sick, r.newly_sick) for r in blocks.cells(got, "sick", "newly_sick").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+    was = {(r.y, r.x): np.float32(0.6) < np.float32(r.v) < np.float32(0.8) for r in base.itertuples()}
+    assert rows == {(r.y, r.x): ((s := bool(np.float32(0.6) < r.v < np.float32(0.9))), s and not was.get((r.y, r.x), True)) for r in frame.itertuples()}

@@ -59,13 +59,15 @@ def rgb_blocks(cells: DataFrame, block: int = 512) -> DataFrame:
 
 
 def build_mosaic(values: DataFrame, grids: DataFrame, order: DataFrame, pixel: float = 20.0, block: int = 512, stride: int = 10) -> DataFrame:
-    """Blocks (see rgb_blocks) of one mosaic from UTM pixels: warp, common scale, bytes, overlay of the tiles in `order`.
+    """Blocks (see rgb_blocks) of one mosaic from UTM pixels: common scale, bytes, warp, overlay of the tiles in `order`.
 
     values: (tile_id, band, y, x, v); grids as for warp(); order: (tile_id, tile_order), later tiles lie above. The scale
     comes from every stride-th row and column of the source, so tiles look alike.
     """
     scale = cut(global_scale(band_stats(values, stride)))
-    shown = normalize_tiles(warp(values, grids, pixel), scale).join(order, "tile_id")
+    # bytes are warped, not scaled afterwards: rounding and cells without data come out as in a mosaic of finished tiles
+    shown = warp(normalize_tiles(values, scale).withColumn("v", F.col("v").cast("double")), grids, pixel).join(order, "tile_id")
+    shown = shown.withColumn("v", F.floor(F.col("v") + 0.5).cast("int"))
     return rgb_blocks(overlay_last_wins(shown, ["band", "ty", "tx"], "tile_order"), block)
 
 

@@ -556,3 +556,71 @@ def test_single_period(spark):
     area = spark.createDataFrame([("a", y, x) for y in range(12) for x in range(6)], "tile_id string, y int, x int")
     inside = single_period(catalog, pixels, "2024-01-01", "2024-01-31", 60.0, ["B04"], lambda w: w, tile=8, bound=2, cloud_mask="simple", area=area).collect()
     assert [(r.tile_id, r.area) for r in inside] == [("a", 6.0)]
+
+
+def test_slivers_of_large_features_stay(spark):
+    """Least area is asked of whole features, before they are clipped; the area then cuts them."""
+    from scenewatch.operators.runs import counted, single_period
+
+    catalog = scenes(spark, [("a", "2024-01-02", 5, "a2")])
+    rows = [("a", "a2", y, x, 9000.0 if 3 <= y < 6 and 4 <= x < 8 or (y, x) == (10, 10) else 100.0) for y in range(12) for x in range(12)]
+    fixed = {"b02": 0, "b03": 0, "b08": 3000, "b10": 0, "b11": 2000, "b12": 2000}
+    pixels = spark.createDataFrame(rows, "tile_id string, scene_id string, y int, x int, b04 float").withColumns({"date": F.lit("2021-01-01").cast("date"), **{b: F.lit(float(v)).cast("float") for b, v in fixed.items()}})
+    area = spark.createDataFrame([("a", y, x) for y in range(12) for x in (4, 10)], "tile_id string, y int, x int")
+    args = (catalog, pixels, "2024-01-01", "2024-01-31", 60.0, ["B04"], lambda w: w)
+    found = single_period(*args, tile=8, bound=2, cloud_mask="simple", area=area, min_area=12.0)
+    assert [(r.tile_id, r.area) for r in found.collect()] == [("a", 3.0)] and tuple(counted(found).first()) == (1, None)
+    none = single_period(*args, tile=8, bound=2, cloud_mask="simple", area=area, min_area=13.0)
+    assert tuple(counted(none).first()) == (0, "no polygons")
+
+
+def run_tables(spark):
+    """Two tiles, a scene a week; a bright square that moves right by one with each scene."""
+    days = ["2024-01-02", "2024-01-09", "2024-01-16"]
+    catalog = scenes(spark, [(t, d, 5, f"{t}{k}") for t in "ab" for k, d in enumerate(days)]).withColumns({"min_x": F.when(F.col("tile_id") == "a", 0.0).otherwise(10.0), "min_y": F.lit(0.0)}).withColumns({"max_x": F.col("min_x") + 5, "max_y": F.lit(5.0)})
+    rows = [(t, f"{t}{k}", y, x, 9000.0 if 3 <= y < 6 and 4 + k <= x < 8 + k else 100.0) for t in "ab" for k in range(3) for y in range(12) for x in range(12)]
+    fixed = {"b02": 0, "b03": 0, "b08": 3000, "b10": 0, "b11": 2000, "b12": 2000}
+    return catalog, spark.createDataFrame(rows, "tile_id string, scene_id string, y int, x int, b04 float").withColumns({"date": F.lit("2021-01-01").cast("date"), **{b: F.lit(float(v)).cast("float") for b, v in fixed.items()}})
+
+
+@pytest.mark.parametrize("mode", ["concat", "newer_only", "union"])
+def test_paired_run(spark, mode):
+    """The model finds what is bright in the new scene and was not in the older one, or what is bright."""
+    from scenewatch.operators.runs import Finding, paired_periods
+
+    catalog, pixels = run_tables(spark)
+    model = (lambda w: w[:, 1:2] - w[:, :1]) if mode == "concat" else (lambda w: w[:, :1])
+    ring = spark.createDataFrame([("area", 0, 0, [(11.0, 1.0), (12.0, 1.0), (12.0, 2.0), (11.0, 1.0)])], "aoi_id string, poly int, ring int, points array<struct<x:double,y:double>>")
+    run = lambda **k: paired_periods(catalog, pixels, ("2024-01-08", "2024-01-31"), ("2024-01-01", "2024-01-07"), 60.0, ["B04"], model, Finding(tile=8, bound=2), mode, cloud_mask="simple", **k)
+    got = sorted((r.tile_id, r.area) for r in run().collect())
+    pairs = [(f"{t}{k}||{t}0", k) for t in "ab" for k in (1, 2)]
+    assert got == sorted({"concat": [(p, 3.0 * k) for p, k in pairs], "newer_only": [(p, 12.0) for p, _ in pairs], "union": [(p, 12.0) for p, _ in pairs * 2]}[mode])
+    assert {r.tile_id[0] for r in run(rings=ring).collect()} == {"b"}
+
+
+def test_series_run_and_merge(spark):
+    """Slices of three weeks give three NDVI channels; with merge what overlaps on the common grid is one feature."""
+    from scenewatch.operators.runs import Finding, series
+
+    catalog, pixels = run_tables(spark)
+    model = lambda w: (w[:, :1] < 0.2).astype(np.float32) * (w[:, 2:3] > 0.2)
+    one = series(catalog, pixels, "2024-01-01", "2024-01-21", 60.0, 3, model, Finding(tile=8, bound=2)).collect()
+    assert sorted((r.tile_id, r.area) for r in one) == [("a", 6.0), ("b", 6.0)]  # low NDVI in the first slice, not in the last
+    places = spark.createDataFrame([("a", 0, 0), ("b", 1, 0)], "tile_id string, dy int, dx int")
+    both = series(catalog, pixels, "2024-01-01", "2024-01-21", 60.0, 3, model, Finding(tile=8, bound=2, merge=True, places=places)).collect()
+    assert [(r.tile_id, r.area) for r in both] == [("all", 8.0)]  # 3 x 2 cells twice, a row apart
+
+
+def test_mosaic_scales_before_it_warps(spark):
+    """A cell's byte is the mean of its neighbours' bytes, and none where a neighbour has no data."""
+    px = [(1, "b02", y, x, 0.0 if (y, x) == (5, 5) else 1000.0 + 97 * ((7 * y + 3 * x) % 11)) for y in range(30) for x in range(30)]
+    values = spark.createDataFrame(px, "tile_id int, band string, y int, x int, v double")
+    grids = spark.createDataFrame([(1, 40, [500000.0, 20.0, 0.0, 6300000.0, 0.0, -20.0], 30, 30)], "tile_id int, zone int, gt array<double>, h int, w int")
+    order = spark.createDataFrame([(1, 0)], "tile_id int, tile_order int")
+    blocks_ = mosaic.build_mosaic(values, grids, order, pixel=40.0, block=16, stride=1).collect()
+    got = {(r.y0 + i // 16, r.x0 + i % 16): v for r in blocks_ for i, v in enumerate(r.data) if v}
+    scale = mosaic.global_scale(mosaic.band_stats(values, 1)).first()
+    as_byte = lambda v: 0 if v == 0 else min(255, max(1, int((v - scale.src_min) / (scale.src_max - scale.src_min) * 254 + 1.5)))
+    data = spark.createDataFrame([(*p[:4], float(as_byte(p[4]))) for p in px], "tile_id int, band string, y int, x int, v double")
+    want = {(r.ty, r.tx): int(r.v + 0.5) for r in mosaic.warp(data, grids, 40.0).collect() if int(r.v + 0.5)}
+    assert got == want and len(want) > 100

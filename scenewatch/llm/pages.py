@@ -51,6 +51,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 CLOSED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"}}
 HOLDERS = frozenset("ul ol dl menu table tbody thead select article section div body".split())
+#: Raw content that is no text, so that it parts no block either.
+SILENT = frozenset(["script", "style"])
 # What names of elements, classes, ids and roles say.
 UNSEEN = frozenset("head script style noscript template iframe svg object title noembed noframes audio video canvas".split())
 GONE = frozenset("nav footer aside form button select textarea dialog menu".split())
@@ -108,7 +110,7 @@ class Page:
         return re.compile(rf"<(?P<end>/)(?P<name>{raw})(?P<more>[^>]*)(?:>|$)", re.I).search(source, at) if raw else TAG.search(source, at)
 
     def say(self, text: str, raw: str) -> None:
-        if text and raw not in ("script", "style"):
+        if text and raw not in SILENT:
             text = entities.unescape(text)
             self.text.append(text)
             self.links += len(text) if self.in_links else 0
@@ -132,7 +134,7 @@ class Page:
             self.close({"p"}, INLINE)
         if name in CLOSED:
             self.close(CLOSED[name], None)
-        if name in VOID:
+        if name in VOID or name in SILENT:
             return
         marks = {k.lower(): a or b or c for k, a, b, c in MARK.findall(more)} if more else {}
         around = self.open[-1]

@@ -6,8 +6,9 @@ names in the place of pairs. A name's row keeps the two names that it was made o
 both sides of a cut, and the longer phrases that hold a phrase, are looked up by joins on ids, never on text.
 
 Counts are exact: a phrase with `least` occurrences has parts with at least as many, so nothing frequent is lost by
-naming only frequent pairs. A block's own distinct names are joined with the global ones, not each occurrence, and the
-joins are between a row per block and name, so a frequent word is a row a block.
+naming only frequent pairs. A block's own distinct names are joined with the global ones, not each occurrence, so a
+frequent word is a row a block. Most names are rare: a table of bits of fixed size, one for the hash of each frequent name, is
+sent to every task and turns most rare ones away before they are shuffled to the join, which then decides.
 """
 
 from __future__ import annotations
@@ -21,24 +22,28 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenewatch.llm.common import cut, need, written
+from scenewatch.llm.common import cut, need, removed, written
 
 #: Bytes of text in a block, unless one text alone is longer.
 BLOCK = 8 << 20
+#: Bits of the table of frequent names, a power of 2: at most a 64th of it in rows of 16 bytes.
+BITS = 1 << 26
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
 #: Rows of one Arrow batch of names.
 ROWS = 20_000
-LEVEL = "block long, seq binary, i int, lang string, word string, a long, b long, n long"
+LEVEL = "block long, seq binary, i int, word string, a long, b long, n long"
+#: Up to so many names, an id is an integer of 32 bits and a pair one of 64.
+SMALL = 1 << 31
 
 
 def emitted(block: int, seq: np.ndarray, **names: list | np.ndarray) -> Iterator[pa.RecordBatch]:
     """A block's row with its sequence, then a row for each of its names, at place i."""
-    schema = pa.schema([("block", pa.int64()), ("seq", pa.binary()), ("i", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("block", pa.int64()), ("seq", pa.binary()), ("i", pa.int32()), ("word", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def batch(rows: int, **have) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(have[f.name], f.type) if f.name in have else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
-    yield batch(1, block=[block], seq=[seq.astype("<i4").tobytes()])
+    yield batch(1, block=[block], seq=[pa.compress(seq.astype("<i4").tobytes(), "zstd", asbytes=True)], n=[len(seq)])
     total = len(names["n"])
     for at in range(0, total, ROWS):
         part = {k: v[at : at + ROWS] for k, v in names.items()}
@@ -70,13 +75,12 @@ class Block:
             at += len(own) - 2
         parts = [np.where(t == 0, -1, t - 2 + start[lang]) for lang, t in self.texts]
         seq = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        words = [w.decode() for own in self.names.values() for w in list(own)[2:]]
-        langs = [lang for lang, own in self.names.items() for _ in range(len(own) - 2)]
-        yield from emitted(block, seq, lang=langs, word=words, n=np.bincount(seq[seq >= 0], minlength=at))
+        words = [f"{lang} {w.decode()}" for lang, own in self.names.items() for w in list(own)[2:]]
+        yield from emitted(block, seq, word=words, n=np.bincount(seq[seq >= 0], minlength=at))
 
 
 def first_level(docs: DataFrame, size: int = BLOCK) -> DataFrame:
-    """LEVEL of words: A-Z lower-cased, pieces parted at `[.,;:!?\\x0A-\\x0D]` and words at spaces and tabs."""
+    """LEVEL of words with their languages before them: A-Z lower-cased, pieces parted at `[.,;:!?\\x0A-\\x0D]` and words at spaces and tabs."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, open_ = TaskContext.get().partitionId() << 32, Block()
@@ -90,25 +94,36 @@ def first_level(docs: DataFrame, size: int = BLOCK) -> DataFrame:
             yield from open_.rows(number)
 
     rows = need(docs, "lang", "text").select(F.coalesce(F.col("lang").cast("string"), F.lit("und")), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return written(rows.mapInArrow(of, LEVEL), "names")
+    return written(rows.mapInArrow(of, LEVEL), "names", "zstd")
 
 
-def next_level(level: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
-    """LEVEL of pairs: each block's sequence with its places turned to pairs of names (ids of `names`, by keys) that are adjacent.
+def likely(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """rows without most of those whose key is not in names: none that is there goes."""
+    at = F.xxhash64(key).bitwiseAND(F.lit(BITS - 1))
+    place, bit = F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    table = names.groupBy(place.alias("_place")).agg(F.bit_or(bit).alias("_bits"))
+    return rows.withColumn("_place", place).join(F.broadcast(table), "_place").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_place", "_bits")
 
-    A place is the pair that begins there, or none where either name is not frequent, so adjacent places share a name.
+
+def next_level(level: DataFrame, key: Column, names: DataFrame, last: bool = False) -> DataFrame:
+    """LEVEL of pairs: each block's sequence with its places turned to pairs of names (ids of `names`, by key) that are adjacent.
+
+    A place is the pair that begins there, or none where either name is not frequent, so adjacent places share a name. The
+    `last` level keeps no sequences.
     """
-    known = level.where("i is not null").select("block", "i", *keys).join(names.select(*keys, "id"), keys).select("block", "i", "id")
-    texts = level.where("seq is not null").select(F.col("block").alias("of"), "seq")
+    own = likely(level.where("i is not null").select("block", "i", key.alias("key")), names, "key")
+    # the names of a block are gathered in tasks before they shuffle; a block bounds them
+    known = own.join(names.select("key", "id"), "key").groupBy("block").agg(F.collect_list("i").alias("i"), F.collect_list("id").alias("id"))
+    texts = level.where("seq is not null").select(F.col("block").alias("of"), "seq", "n")
 
     def of(sequences: pa.Table, own: pa.Table) -> pa.Table:
         # one block a group
-        batches = [b for k in range(sequences.num_rows) for b in paired(sequences.column("of")[k].as_py(), sequences.column("seq")[k].as_py(), own)]
-        return pa.Table.from_batches(batches)
+        place, ids = (own.column(k).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in ("i", "id"))
+        batches = [b for block, seq, n in zip(*(c.to_pylist() for c in sequences.columns)) for b in paired(block, seq, n, place, ids)]
+        return pa.Table.from_batches(batches[1:] if last and len(batches) > 1 else batches)
 
-    def paired(block: int, seq: bytes, own: pa.Table) -> Iterator[pa.RecordBatch]:
-        at = np.frombuffer(seq, "<i4").astype(np.int64)
-        place, ids = own.column("i").to_numpy(), own.column("id").to_numpy()
+    def paired(block: int, seq: bytes, n: int, place: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = np.frombuffer(pa.decompress(seq, 4 * n, "zstd"), "<i4").astype(np.int64)
         order = np.argsort(place)
         place, ids = place[order], ids[order]
         here = np.full(max(int(at.max(initial=0)), int(place.max(initial=0))) + 2, -1)
@@ -116,19 +131,38 @@ def next_level(level: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame
         at = here[at]  # -1, a break, reads the last entry, which is -1
         a, b = at[:-1], at[1:]
         ok = (a >= 0) & (b >= 0)
-        packed, inverse, n = np.unique(a[ok] * (len(place) + 1) + b[ok], return_inverse=True, return_counts=True)
+        packed, inverse, count = np.unique(a[ok] * (len(place) + 1) + b[ok], return_inverse=True, return_counts=True)
         out = np.full(len(ok), -1)
         out[ok] = inverse
         first, second = packed // (len(place) + 1), packed % (len(place) + 1)
-        return emitted(block, out, a=ids[first], b=ids[second], n=n)
+        return emitted(block, out, a=ids[first], b=ids[second], n=count)
+
+    return written(texts.groupBy("of").cogroup(known.groupBy("block")).applyInArrow(of, LEVEL), "names", "zstd")
 
-    return written(texts.groupBy("of").cogroup(known.groupBy("block")).applyInArrow(of, LEVEL), "names")
 
+def frequent(level: DataFrame, key: Column, least: int) -> tuple[DataFrame, int]:
+    """((key, f, id) of names with at least `least` occurrences in the corpus, a bound of the ids); fixed once they are written.
+
+    Ids are near 0 to the number of names: places in a part of the table, dealt in turn over the parts.
+    """
+    found = level.where("i is not null").groupBy(key.alias("key")).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    table = written(found.withColumn("at", F.monotonically_increasing_id()), "frequent")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    parts, rows = table.agg(F.coalesce(F.max(part), F.lit(0)) + 1, F.coalesce(F.max(place), F.lit(0)) + 1).first()
+    bound = parts * rows
+    return table.select("key", "f", (place * F.lit(parts) + part).alias("id")), bound
 
-def frequent(level: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """(keys, f, id): names with at least `least` occurrences in the corpus, numbered; fixed once they are written."""
-    found = level.where("i is not null").groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return written(found.withColumn("id", F.monotonically_increasing_id()), "frequent")
+
+def pair(bound: int) -> Column:
+    """A pair of names with ids under bound as one value."""
+    return F.col("a") * F.lit(1 << 32) + F.col("b") if bound <= SMALL else F.struct("a", "b")
+
+
+def ends(pairs: DataFrame, bound: int, *columns: str) -> DataFrame:
+    """pairs with the ids a and b of both names of their key."""
+    key = F.col("key")
+    a, b = (F.shiftright(key, 32), key.bitwiseAND(F.lit((1 << 32) - 1))) if bound <= SMALL else (key["a"], key["b"])
+    return pairs.select(*columns, a.alias("a"), b.alias("b"))
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
@@ -147,15 +181,22 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
     each; an empty table gives no rows. Other columns are ignored. `size` is the text of a block, and changes no result.
     """
     words_at = first_level(docs, size)
-    words = frequent(words_at, ["lang", "word"], least)
-    pairs_at = next_level(words_at, words, ["lang", "word"])
-    pairs = frequent(pairs_at, ["a", "b"], least)
-    triples = frequent(next_level(pairs_at, pairs, ["a", "b"]), ["a", "b"], least).drop("id")
-    totals = words_at.where("i is not null").groupBy("lang").agg(F.sum("n").alias("total"))
-
+    own = F.substring_index("word", " ", -1)
+    lang = F.expr("left(word, length(word) - length(substring_index(word, ' ', -1)) - 1)")
+    totals = cut(words_at.where("i is not null").groupBy(lang.alias("lang")).agg(F.sum("n").alias("total")))
+    words, n_words = frequent(words_at, F.col("word"), least)
+    pairs_at = next_level(words_at, F.col("word"), words)
+    removed(words_at)
+    pairs, n_pairs = frequent(pairs_at, pair(n_words), least)
+    triples_at = next_level(pairs_at, pair(n_words), pairs, last=True)
+    removed(pairs_at)
+    triples = ends(frequent(triples_at, pair(n_pairs), least)[0], n_pairs, "f")
+    removed(triples_at)
+
+    words = words.select("id", "f", F.col("key").alias("word")).select("id", "f", lang.alias("lang"), own.alias("word"))
     left = words.select(F.col("id").alias("a"), "lang", F.col("word").alias("a_word"), F.col("f").alias("a_f"))
     right = words.select(F.col("id").alias("b"), F.col("word").alias("b_word"), F.col("f").alias("b_f"))
-    named = cut(pairs.join(left, "a").join(right, "b").select("id", "lang", "f", "a_word", "a_f", "b_word", "b_f"))
+    named = cut(ends(pairs, n_words, "id", "f").join(left, "a").join(right, "b").select("id", "lang", "f", "a_word", "a_f", "b_word", "b_f"))
     two = named.select("id", "lang", F.concat_ws(" ", "a_word", "b_word").alias("phrase"), F.col("f").alias("a"), F.col("a_f").alias("l"), F.col("b_f").alias("r"))
     front = named.select(F.col("id").alias("a"), "lang", F.col("f").alias("front"), F.col("a_f").alias("first"), F.concat_ws(" ", "a_word", "b_word").alias("head"))
     back = named.select(F.col("id").alias("b"), F.col("f").alias("back"), F.col("b_f").alias("last"), F.col("b_word").alias("tail"))

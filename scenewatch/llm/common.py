@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 from scenewatch.operators.graph import cut, shared_dir
 
@@ -26,24 +27,40 @@ def need(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: for what is read more than once, by few of its columns.
 
-    The table goes when the application ends.
+    The table goes when the application ends, or by removed().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(table: DataFrame) -> None:
+    """Deletes the folder of a table of written(), once nothing that is still to be computed reads it."""
+    spark = table.sparkSession
+    if files := table.inputFiles():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def whole(docs: DataFrame, *names: str) -> DataFrame:
     """Columns in names, and `_doc` with all columns of docs, so that none of them can clash with one made on the way."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *names)
 
 
+def whole_id(docs: DataFrame) -> Column:
+    """doc_id as a long; a type of other than whole numbers is an error, since its values would silently become null."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType | NullType):
+        raise ValueError(f"doc_id must be a whole number, not {kind.simpleString()}")
+    return F.col("doc_id").cast("long")
+
+
 def words(text: Column) -> Column:
     """The array of words of a text; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+"), lambda w: w != "")

@@ -159,17 +159,50 @@ def drop_old_components(new: DataFrame, old: DataFrame, ratio: float, block: int
     return labelled.join(share.where(F.col("share") < ratio), ["tile_id", "component"], "left_semi").select("tile_id", "y", "x", "v")
 
 
+def neighbours(labelled: DataFrame, of: DataFrame) -> DataFrame:
+    """(tile_id, a, b): the regions b that touch each region a of `of` (tile_id, component) at 8 neighbours, each pair once."""
+    steps = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for dy, dx in AHEAD[8] for a, b in ((dy, dx), (-dy, -dx))])
+    own = labelled.join(of, ["tile_id", "component"], "left_semi")
+    sent = own.select("tile_id", F.col("component").alias("a"), "y", "x", F.explode(steps).alias("s")).select("tile_id", "a", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
+    return sent.join(labelled.select("tile_id", "y", "x", F.col("component").alias("b")), ["tile_id", "y", "x"]).where("a <> b").select("tile_id", "a", "b").distinct()
+
+
+def contracted(regions: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(regions, roots) after linked regions (tile_id, a, b) became one, with the value of its largest member; roots: (tile_id, id, root)."""
+    ends = [F.struct("tile_id", F.col(c).alias("l")).alias(c) for c in ("a", "b")]
+    roots = cut(connected(links.select(*ends)).select(F.col("node.tile_id").alias("tile_id"), F.col("node.l").alias("id"), F.col("root.l").alias("root")))
+    moved = regions.join(roots, ["tile_id", "id"], "left").withColumn("to", F.coalesce("root", "id"))
+    grown = moved.groupBy("tile_id", F.col("to").alias("id")).agg(F.max_by("v", F.struct("n", -F.col("id"))).alias("v"), F.sum("n").alias("n"))
+    return cut(grown), roots
+
+
 def sieve(cells: DataFrame, px: int, block: int = 256) -> DataFrame:
-    """All cells, background included, with regions under px cells (8 neighbours) given the value of their largest neighbour.
+    """All cells, background included, with no region under px cells (8 neighbours) left that touches another one.
 
-    cells has every cell of the grid. Among neighbours of one size the lesser component wins; a region without any
-    keeps its value.
+    cells has every cell of the grid. Regions are merged in rounds on the graph of regions, as Boruvka's steps: each small one is tied to its
+    largest neighbour, the lesser component on ties, and what is tied becomes one region with the value of its largest member. Neighbours that
+    have come to one value count as one region before the next step. Pixels take part at the start and the end only; rounds
+    grow with the logarithm of the longest chain of small regions.
     """
     labelled = cut(label_components(cells.withColumn("v", F.col("v") + 1), 8, block))
-    sizes = cut(component_sizes(labelled).select("tile_id", "component", "v", "n"))
-    steps = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for dy, dx in AHEAD[8] for a, b in ((dy, dx), (-dy, -dx))])
-    small = labelled.join(sizes.where(F.col("n") < px).select("tile_id", "component"), ["tile_id", "component"], "left_semi")
-    sent = small.select("tile_id", "component", "y", "x", F.explode(steps).alias("s")).select("tile_id", F.col("component").alias("own"), (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
-    near = sent.join(labelled, ["tile_id", "y", "x"]).where("own <> component").select("tile_id", "own", "component").distinct().join(sizes, ["tile_id", "component"])
-    best = near.groupBy("tile_id", F.col("own").alias("component")).agg(F.max_by("v", F.struct("n", -F.col("component"))).alias("taken"))
-    return labelled.join(best, ["tile_id", "component"], "left").select("tile_id", "y", "x", (F.coalesce("taken", "v") - 1).alias("v"))
+    regions = cut(component_sizes(labelled).select("tile_id", F.col("component").alias("id"), "v", "n"))
+    # a group that stays small has small members only, so their links are all that is ever needed
+    links = cut(neighbours(labelled, regions.where(F.col("n") < px).select("tile_id", F.col("id").alias("component"))))
+    place = regions.select("tile_id", F.col("id").alias("component"), "id")
+    while True:
+        side = lambda k: regions.select("tile_id", F.col("id").alias(k), F.col("v").alias(f"{k}_v"), F.col("n").alias(f"{k}_n"))
+        known = cut(links.join(side("a"), ["tile_id", "a"]).join(side("b"), ["tile_id", "b"]))
+        equal = known.where("a_v = b_v").select("tile_id", "a", "b")
+        small = known.where(F.col("a_n") < px)
+        best = small.groupBy("tile_id", "a").agg(F.max_by("b", F.struct("b_n", -F.col("b"))).alias("b"))
+        tied = equal if not equal.isEmpty() else best
+        if tied.isEmpty():
+            break
+        regions, roots = contracted(regions, tied)
+        for end in ("a", "b"):
+            own = roots.select("tile_id", F.col("id").alias(end), F.col("root").alias("_root"))
+            links = links.join(own, ["tile_id", end], "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+        links = cut(links.where("a <> b").select("tile_id", "a", "b").distinct())
+        place = cut(place.join(roots, ["tile_id", "id"], "left").select("tile_id", "component", F.coalesce("root", "id").alias("id")))
+    final = place.join(regions.select("tile_id", "id", F.col("v").alias("taken")), ["tile_id", "id"]).select("tile_id", "component", "taken")
+    return labelled.join(final, ["tile_id", "component"]).select("tile_id", "y", "x", (F.col("taken") - 1).alias("v"))

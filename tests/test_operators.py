@@ -242,6 +242,25 @@ def test_sieve(spark):
     assert (got == want).all()
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_no_small_region_remains(spark, seed):
+    """Chains of small regions, stripes and noise: whatever touches another region is large in the end."""
+    rng = np.random.default_rng(seed)
+    a = np.kron(rng.integers(0, 4, (3, 4)), np.ones((4, 3), int))
+    noise = rng.random(a.shape) < 0.4
+    a = np.where(noise, rng.integers(0, 9, a.shape), a)
+    got = np.zeros(a.shape, int)
+    for r in c.sieve(grid(spark, a), 6, block=5).collect():
+        got[r.y, r.x] = r.v
+    label = flood(got + 1, 8)
+    sizes = np.unique(label, return_counts=True)[1]
+    assert len(sizes) == 1 or sizes.min() >= 6
+    stripes = np.arange(6)[None, :]  # a chain of single cells: all merge, though none is large
+    assert len({r.v for r in c.sieve(grid(spark, stripes), 6, block=4).collect()}) == 1
+    far = np.array([[1, 1, 1, 1, 2, 3, 4, 4, 4, 4, 4]])  # both ends are large: each small one goes to the largest it touches
+    assert [r.v for r in sorted(c.sieve(grid(spark, far), 4, block=4).collect(), key=lambda r: r.x)] == [1, 1, 1, 1, 1, 4, 4, 4, 4, 4, 4]
+
+
 def test_connected_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     assert {r.node: r.root for r in connected(links).collect()} == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}

@@ -156,12 +156,26 @@ def read_geojson(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rings.select("path", "feature", "poly", "ring", (F.col("ring") > 0).alias("is_hole"), F.transform("r", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("points"))
 
 
-def read_listing(spark: SparkSession, manifest: str) -> DataFrame:
-    """(path, size, name, tile_id) of a listing's objects: from a Parquet manifest of path and size."""
-    rows = spark.read.schema("path STRING, size BIGINT").parquet(manifest)
+def listed(objects: DataFrame) -> DataFrame:
+    """objects (path, size) with the product name and tile_id that their paths say, null where they say none."""
     where = F.regexp_extract("path", r"tiles/(\d+)/([A-Z])/([A-Z]{2})/([^/]+\.SAFE)", 4)
     tile = F.regexp_replace(F.regexp_extract("path", r"tiles/(\d+/[A-Z]/[A-Z]{2})/", 1), "/", "")
-    return rows.withColumns({"name": F.nullif(where, F.lit("")), "tile_id": F.nullif(tile, F.lit(""))})
+    return objects.withColumns({"name": F.nullif(where, F.lit("")), "tile_id": F.nullif(tile, F.lit(""))})
+
+
+def read_listing(spark: SparkSession, manifest: str) -> DataFrame:
+    """(path, size, name, tile_id) of a listing's objects: from a Parquet manifest of path and size."""
+    return listed(spark.read.schema("path STRING, size BIGINT").parquet(manifest))
+
+
+def read_folder(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
+    """(path, size, name, tile_id) of the files under a folder of a bucket or disk, of all depths; none of them is opened.
+
+    Empty files are left out: to new_files() they count as missing.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(folder)
+    return listed(files.select("path", F.col("length").alias("size")))
 
 
 def read_band_blocks(spark: SparkSession, path: str) -> DataFrame:

@@ -643,3 +643,26 @@ def test_mosaic_scales_before_it_warps(spark):
     data = spark.createDataFrame([(*p[:4], float(as_byte(p[4]))) for p in px], "tile_id int, band string, y int, x int, v double")
     want = {(r.ty, r.tx): int(r.v + 0.5) for r in mosaic.warp(data, grids, 40.0).collect() if int(r.v + 0.5)}
     assert got == want and len(want) > 100
+
+
+def onnx_identity() -> bytes:
+    """A model file of one Identity node, in the wire format of its protocol buffers."""
+    def field(number: int, value: bytes | int) -> bytes:
+        if isinstance(value, int):
+            return bytes([number << 3]) + bytes([value])
+        return bytes([number << 3 | 2]) + bytes([len(value)]) + value
+
+    shape = b"".join(field(1, field(2, b"nchw"[k : k + 1])) for k in range(4))
+    value = lambda name: field(1, name) + field(2, field(1, field(1, 1) + field(2, shape)))
+    node = field(1, b"input") + field(2, b"output") + field(4, b"Identity")
+    graph = field(1, node) + field(2, b"g") + field(11, value(b"input")) + field(12, value(b"output"))
+    return field(1, 8) + field(7, graph) + field(8, field(2, 13))
+
+
+def test_onnx_scorer(spark, tmp_path):
+    """A model file gives what the same function gives, opened by the tasks themselves."""
+    (tmp_path / "m.onnx").write_bytes(onnx_identity())
+    rows = spark.createDataFrame([("t", y, x, float(y * 7 + x), (y + x) % 3 > 0) for y in range(9) for x in range(9)], "tile_id string, y int, x int, v float, valid boolean")
+    windows = scoring.make_windows(rows, 4, 1)
+    score = lambda model: sorted(map(tuple, scoring.score_windows(windows, model, ["v"], 4, [0.5]).collect()))
+    assert score(scoring.OnnxScorer(str(tmp_path / "m.onnx"))) == score(lambda w: w) != []

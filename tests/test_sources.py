@@ -135,3 +135,13 @@ def test_blocks_are_written_and_read(spark, tmp_path):
     files.write_mosaic(mosaic, str(tmp_path / "m"))
     assert (tmp_path / "m" / "band=b02" / "by=3").is_dir()
     assert [(r.band, r.by, r.bx, r.data) for r in spark.read.parquet(str(tmp_path / "m")).collect()] == [("b02", 3, 4, [1, 0])]
+
+
+def test_folder_listing(spark, tmp_path):
+    product = "S2A_MSIL1C_20250601T081531_N0511_R121_T40VEP_20250601T102233.SAFE"
+    for name, size in ((f"tiles/40/V/EP/{product}/GRANULE/a.jp2", 3), (f"tiles/40/V/EP/{product}/b.xml", 1), (f"tiles/40/V/EP/{product}/empty.xml", 0), ("other/c.jp2", 5)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * size)
+    rows = {(r.path.split("/")[-1], r.size, r.name, r.tile_id) for r in files.read_folder(spark, str(tmp_path)).collect()}
+    assert rows == {("a.jp2", 3, product, "40VEP"), ("b.xml", 1, product, "40VEP"), ("c.jp2", 5, None, None)}
+    assert files.read_folder(spark, str(tmp_path), "*.jp2").count() == 2

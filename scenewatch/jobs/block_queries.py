@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scenewatch.jobs import fixtures as x
 from scenewatch.jobs import grid_queries as g
 from scenewatch.jobs import scene_queries as sc
-from scenewatch.operators import blocks, scoring
+from scenewatch.operators import areas, blocks, scoring
 
 QUERIES, ORACLES = {}, {}
 
@@ -99,3 +99,11 @@ def block_pathology_diff(spark, d):
     years = [blocks.to_blocks(year, list(x.BANDS), 8, ("date",)) for year in (even, odd)]
     found = blocks.cells(blocks.pathology_diff(*years, buckets=8), "sick", "newly_sick")
     return found.groupBy("tile_id").agg(F.count("*").alias("n"), F.count_if("sick").alias("sick"), F.count_if("newly_sick").alias("newly_sick"))
+
+
+@query(g.ORACLES["clip_to_aoi"])
+def clip_by_cover(spark, d):
+    """Detections inside a ring with a hole, met by squares of 64 x 64 cells."""
+    rings = spark.createDataFrame([("a", 0, k, [{"x": a, "y": b} for a, b in r]) for k, r in enumerate((g.SQUARE, g.HOLE))], "aoi_id string, poly int, ring int, points array<struct<x:double,y:double>>")
+    rows = x.patches(spark, d).where("dn > 0").select(F.col("vec_id").alias("tile_id"), "dn", F.col("y").cast("long"), (F.col("x") + 8 * (F.col("vec_id") % 50)).alias("x"))
+    return areas.clip(rows, areas.cover(rings, 0.0, 0.0, 1.0)).select("tile_id", "dn", "y", "x")

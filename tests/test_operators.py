@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scenewatch.functions.geo import wgs84_to_utm
 from scenewatch.operators import components as c
-from scenewatch.operators import mosaic, outlines, pathology, planning, raster, scoring, selection, vector
+from scenewatch.operators import areas, mosaic, outlines, pathology, planning, raster, scoring, selection, vector
 from scenewatch.operators.graph import connected
 from scenewatch.streaming import catalog as stream
 
@@ -666,3 +666,26 @@ def test_onnx_scorer(spark, tmp_path):
     windows = scoring.make_windows(rows, 4, 1)
     score = lambda model: sorted(map(tuple, scoring.score_windows(windows, model, ["v"], 4, [0.5]).collect()))
     assert score(scoring.OnnxScorer(str(tmp_path / "m.onnx"))) == score(lambda w: w) != []
+
+
+def test_covers_hold_the_cells_of_areas(spark):
+    """Stars with holes, two of them overlapping, some left of the origin: the same cells as strips of rows give, few of them tested."""
+    rng = np.random.default_rng(12)
+
+    def star(cx, cy, r):
+        turn = np.linspace(0, 2 * np.pi, 30)[:-1]
+        far = r * rng.uniform(0.6, 1, 29)
+        return ring(*zip(cx + far * np.cos(turn), cy + far * np.sin(turn)))
+
+    rows = [("a", 0, 0, star(500, 420, 380)), ("a", 0, 1, star(520, 400, 90)), ("a", 1, 0, star(800, 500, 200)), ("b", 0, 0, star(-200, 90, 150)), ("c", 0, 0, ring((3, 3), (4, 3), (4, 4), (3, 3)))]
+    rings = spark.createDataFrame(rows, "aoi_id string, poly int, ring int, points array<struct<x:double,y:double>>")
+    area = areas.cover(rings, -10.0, 5.0, 2.0).cache()
+    want = {(r.aoi_id, r.y, r.x) for r in vector.rings_in_cells(rings, -10.0, 5.0, 2.0).collect()}
+    got = set()
+    for r in area.collect():
+        bits = np.ones(4096, bool) if r.bits is None else np.unpackbits(np.array(r.bits, np.int64).view(np.uint8), bitorder="little").astype(bool)
+        got |= {(r.aoi_id, r.qy * 64 + int(i) // 64, r.qx * 64 + int(i) % 64) for i in np.flatnonzero(bits)}
+    assert got == want and area.where("bits is null").count() > 3
+    cells = spark.range(-150, 500).select(F.col("id").alias("x"), F.explode(F.sequence(F.lit(-20), F.lit(420), F.lit(7))).alias("y"), F.lit("k").alias("kind"))
+    inside = {(r.y, r.x) for r in areas.clip(cells, area).collect()}
+    assert inside == {(y, x) for _, y, x in want if (y + 20) % 7 == 0 and -20 <= y <= 420 and -150 <= x < 500}

@@ -319,6 +319,24 @@ def test_outlines_equal_a_walk(spark, block, share):
     assert vector.polygonize(table.where("false")).isEmpty()
 
 
+@pytest.mark.parametrize("block", [5, 64])
+def test_neighbours_share_their_thinned_border(spark, block):
+    """Every edge inside is run through once each way, islands and crossings included; fewer points than before."""
+    rng = np.random.default_rng(9)
+    y, x = np.mgrid[:40, :44]
+    a = (np.hypot(y - 12 + rng.integers(-1, 2, y.shape), x - 14) < 10).astype(int) + 2 * (x + rng.integers(0, 3, y.shape) > 27) + 4 * (y > 30)
+    a[20:26, 30:36] = 9
+    labels = flood(a + 1, 4)
+    cells = spark.createDataFrame(pd.DataFrame({"tile_id": "t", "y": y.ravel(), "x": x.ravel(), "v": a.ravel() + 1, "component": labels.ravel()}))
+    plain, thin = (vector.polygonize(cells, None, block, k).collect() for k in (0.0, 1.5))
+    sides = lambda rows: [(tuple(p), tuple(q)) for r in rows for ring in r.rings for p, q in zip(ring, ring[1:])]
+    found = sides(thin)
+    inner = [(p, q) for p, q in found if not any(p[k] == q[k] in (0, (44, 40)[k]) for k in (0, 1))]
+    assert len(set(found)) == len(found) and all((q, p) in set(found) for p, q in inner)
+    assert len(found) < 0.8 * len(sides(plain)) and {r.component: r.area for r in thin} == {r.component: r.area for r in plain}
+    assert all(ring[0] == ring[-1] and len(ring) >= 4 for r in thin for ring in r.rings)
+
+
 def test_a_ring_of_many_chains_settles_in_log_rounds(spark):
     """A serpentine through 300 blocks: each block passes on chains, never the region."""
     y, x = np.divmod(np.arange(60 * 60), 60)

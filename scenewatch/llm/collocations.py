@@ -150,7 +150,7 @@ def frequent(level: DataFrame, key: Column, least: int) -> tuple[DataFrame, int]
     part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     parts, rows = table.agg(F.coalesce(F.max(part), F.lit(0)) + 1, F.coalesce(F.max(place), F.lit(0)) + 1).first()
     bound = parts * rows
-    return table.select("key", "f", (place * F.lit(parts) + part).alias("id")), bound
+    return table.select("key", "f", (place * F.lit(parts) + part).cast("int" if bound <= SMALL else "long").alias("id")), bound
 
 
 def pair(bound: int) -> Column:

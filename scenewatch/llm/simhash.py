@@ -9,7 +9,8 @@ so a task's work is bounded however the fingerprints cluster.
 
 near_duplicates() links by one 64-bit fingerprint and its radius alone. without_near_duplicates() asks for a similarity
 of sets of word shingles: several shorter fingerprints of word pairs, which few changed words hardly move, give the
-candidates, and sketches of the shingles verify each of them.
+candidates, a word of 64 bits turns the unlike ones away inside the region's task, sketches of the shingles decide clear cases,
+and all shingles the rest. A fingerprint that very many texts share (a template) is parted by their shingles' least hashes.
 """
 
 from __future__ import annotations
@@ -26,16 +27,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from scenewatch.llm.common import SPACE_BYTES, byte_slices, cut, fold_tables, mixed, need, tokens, whole, written
+from scenewatch.llm.common import SPACE_BYTES, byte_slices, cut, fold_tables, mixed, need, removed, tokens, whole, whole_id, written
 from scenewatch.operators.graph import connected
 
 SEED = 42
-#: Variants that a region may hold: some 200 MB in its task.
-MOST = 4_000_000
+#: Variants that a region may hold, and how many of them its task sorts at once: some 200 MB.
+MOST, AT_ONCE = 4_000_000, 1_000_000
 #: Buckets of up to so many members make all their pairs, larger ones stars and a chain.
 SMALL = 6
-#: Least hashes of shingles in a sketch.
-SKETCH = 256
+#: Least hashes of shingles in a sketch; how far from the limit an estimate by sketches decides (six deviations at most).
+SKETCH, MARGIN = 256, 0.15
+#: Keys that may share a fingerprint before they are parted by bands of least hashes; bands, and hashes in each.
+SHARED, BANDS, BAND = 2000, 16, 4
+#: Keys that are sent to every task, 8 bytes each; more are joined by a shuffle.
+SENT = 2_000_000
 GAP, SAME = fold_tables(SPACE_BYTES)
 
 
@@ -74,7 +79,7 @@ def fingerprints(docs: DataFrame, size: int = 5, *keep: str) -> DataFrame:
             fp = np.fromiter((fingerprint(t.as_py(), size) for t in texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fp)], names=["doc_id", *keep, "fp"])
 
-    rows = need(docs, "text", "doc_id", *keep).select(F.col("text").cast("string"), F.col("doc_id").cast("long"), *keep)
+    rows = need(docs, "text", "doc_id", *keep).select(F.col("text").cast("string"), whole_id(docs).alias("doc_id"), *keep)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[1:])
     return rows.mapInArrow(of, f"{fields}fp long")
 
@@ -140,6 +145,14 @@ def variants(table: pa.Table, half: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(value), np.concatenate(owner)
 
 
+def portions(value: np.ndarray, who: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """value and who in portions of about AT_ONCE, all rows of one value in one portion."""
+    parts = -(-len(value) // AT_ONCE)
+    for k in range(parts):
+        own = value % np.uint64(parts) == k if parts > 1 else slice(None)
+        yield value[own], who[own]
+
+
 def ranked(value: np.ndarray, who: np.ndarray, names: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
     """(who, size, first, place, rank, company) of the rows that share a value with others, bucket by bucket and by rank.
 
@@ -201,13 +214,14 @@ def meetings(value: np.ndarray, who: np.ndarray, names: np.ndarray, score: np.nd
     return np.stack([packed // len(names), packed % len(names)], axis=1)
 
 
-def links(points: DataFrame, radius: int = 4, bits: int | None = None, most: int = MOST, width: int = 64, best: bool = False, ratio: float = 0.0) -> DataFrame:
+def links(points: DataFrame, radius: int = 4, bits: int | None = None, most: int = MOST, width: int = 64, best: bool = False, ratio: float = 0.0, apart: int = 64) -> DataFrame:
     """(a, b), a < b: keys whose fingerprints in one table are at most `radius` (even) bits apart.
 
     points has distinct (t, key, fp, score) without nulls. All members of a variant's bucket are within the radius of each
     other; the links of meetings() connect them all, and so connect what all pairs within the radius connect. Where
     points has a root, keys of one root are not linked again, and where it has a size, shingles, only keys whose lesser size is
-    `ratio` of the greater at least, as sets that share so much have. With `best` the rows are (a, b, score, company): for each
+    `ratio` of the greater at least, as sets that share so much have, and where it has a sig, only keys whose sigs differ in at
+    most `apart` bits. With `best` the rows are (a, b, score, company): for each
     key a and region only the foremost key b that it meets.
     """
     half = radius // 2
@@ -215,22 +229,27 @@ def links(points: DataFrame, radius: int = 4, bits: int | None = None, most: int
         raise ValueError("the radius must be even: balls of half of it meet in the middle")
     tables = max(1, points.select("t").distinct().count())
     bits = bits or region_bits(points.count() / tables)
-    rooted, sized = "root" in points.columns, "shingles" in points.columns
+    rooted, sized, signed = ("root" in points.columns, "shingles" in points.columns, "sig" in points.columns)
 
     def meet(table: pa.Table) -> pa.Table:
-        key = table.column("key").to_numpy()
+        key, score = table.column("key").to_numpy(), table.column("score").to_numpy()
         root = table.column("root").to_numpy() if rooted else None
-        found = meetings(*variants(table, half), key, table.column("score").to_numpy(), root)
+        found = np.unique(np.concatenate([meetings(*part, key, score, root) for part in portions(*variants(table, half))]), axis=0)
         if sized:
             n = table.column("shingles").to_numpy()[found]
             found = found[n.min(axis=1) >= ratio * n.max(axis=1)]
+        if signed:
+            sig = table.column("sig").to_numpy()[found]
+            found = found[np.bitwise_count(sig[:, 0] ^ sig[:, 1]) <= apart]
         pair = key[found]
         pair = pair[pair[:, 0] != pair[:, 1]]
         return pa.table({"a": pair.min(axis=1), "b": pair.max(axis=1)})
 
     def meet_best(table: pa.Table) -> pa.Table:
         key, score = table.column("key").to_numpy(), table.column("score").to_numpy()
-        row, partner, company = best_meetings(*variants(table, half), key, score)
+        row, partner, company = (np.concatenate(c) for c in zip(*(best_meetings(*part, key, score) for part in portions(*variants(table, half)))))
+        order = np.lexsort((key[partner], -company, -score[partner], row))
+        row, partner, company = (c[order][np.flatnonzero(np.diff(row[order], prepend=-1))] for c in (row, partner, company))
         return pa.table({"a": key[row], "b": key[partner], "score": score[partner], "company": company}).filter(pa.array(key[row] != key[partner]))
 
     grouped = regions(points, half, bits, most, width=width).groupBy("t", "low", "region")
@@ -313,54 +332,137 @@ def sketches(h: np.ndarray, at: np.ndarray, size: int, most: int = SKETCH) -> li
     return [x[:most].tobytes() for x in hashes(h, at, size)]
 
 
-def similarity(a: bytes, b: bytes, most: int = SKETCH) -> float:
-    """The share of common shingles by two sketches: exact if both texts have at most `most`, else by the least ones."""
+def least_hashes(x: np.ndarray) -> np.ndarray:
+    """The least of some ordered hashes in each 64th of their range; a range without any has 0."""
+    edges = np.arange(64, dtype=np.uint64) << np.uint64(26)
+    at = np.searchsorted(x, edges)
+    found = x[np.minimum(at, len(x) - 1)].astype(np.uint64) if len(x) else edges
+    return np.where((at < len(x)) & (found >> np.uint64(26) == np.arange(64, dtype=np.uint64)), found + np.uint64(1), np.uint64(0))
+
+
+def signature(lows: np.ndarray) -> int:
+    """A bit of each of least_hashes(): sets that share s of all their shingles differ in some 32 * (1 - s) bits."""
+    return int(np.packbits((mixed(lows) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64)[0])
+
+
+def bits_apart(least: float) -> int:
+    """Bits that signatures of sets of this similarity differ in: the mean and five deviations more."""
+    p = (1 - least) / 2
+    return min(64, math.ceil(64 * p + 5 * math.sqrt(64 * p * (1 - p))))
+
+
+def bands(lows: np.ndarray) -> list[int]:
+    """Keys of BANDS groups of least_hashes(): sets that share 0.8 have one in common but for 1 of 4,000 pairs."""
+    x = lows[: BANDS * BAND].reshape(BANDS, BAND)
+    total = np.arange(BANDS, dtype=np.uint64)
+    for k in range(BAND):
+        total = mixed(total * np.uint64(31) + x[:, k])
+    return total.view(np.int64).tolist()
+
+
+def shared(x: np.ndarray, y: np.ndarray) -> float:
+    """The share of common hashes of two whole sets; two empty ones are equal."""
+    both = len(x) + len(y)
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (both - common) if both else 1.0
+
+
+def similarity(a: bytes, b: bytes, m: int, n: int, most: int = SKETCH) -> tuple[float, bool]:
+    """(share of common shingles by sketches of sets of m and n, whether it is exact): it is if both sketches are whole."""
     x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = np.union1d(x, y)
-    if max(len(x), len(y)) == most:
-        both = both[:most]
+    if m <= most and n <= most:
+        return shared(x, y), True
+    least = np.union1d(x, y)[:most]
     common = np.intersect1d(x, y, assume_unique=True)
-    return float(np.isin(both, common, assume_unique=True).sum() / len(both)) if len(both) else 1.0
+    return float(np.isin(least, common, assume_unique=True).sum() / len(least)), False
+
+
+PRINTS = "key long, prints array<long>, sketch binary, rest binary, shingles long, sig long, bands array<long>"
 
 
 def shingled(docs: DataFrame, size: int, tables: int, bits: int) -> DataFrame:
-    """(doc_id, h, key, prints, sketch, shingles) of each whole text, h being a hash of the text as it is, shingles its number of distinct ones."""
+    """(doc_id, h, PRINTS) of each whole text: h is a hash of the text as it is, shingles its number of distinct ones.
+
+    sketch and rest hold the hashes of all shingles in order: the SKETCH least, and the others.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, prints, found, counts = [], [], [], []
+            keys, prints, found = [], [], []
             for _, _, data, rows in byte_slices(batch.column(0)):
                 h, at, key = words_of(data, rows)
                 keys.append(key)
                 prints.append(short_prints(h, at, tables, bits))
                 for x in hashes(h, at, size):
-                    found.append(x[:SKETCH].tobytes())
-                    counts.append(len(x))
+                    lows = least_hashes(x)
+                    found.append((x[:SKETCH].tobytes(), x[SKETCH:].tobytes(), len(x), signature(lows), bands(lows)))
             flat = np.concatenate([p.ravel() for p in prints])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, tables, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(keys)), lists, pa.array(found, pa.binary()), pa.array(counts, pa.int64())], names=["doc_id", "h", "key", "prints", "sketch", "shingles"])
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            made = [pa.array(np.concatenate(keys)), lists, *(pa.array(list(c), k) for c, k in zip(zip(*found), kinds))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=["doc_id", "h", "key", "prints", "sketch", "rest", "shingles", "sig", "bands"])
+
+    rows = need(docs, "text", "doc_id").select(F.coalesce(F.col("text").cast("string"), F.lit("")), whole_id(docs).alias("doc_id"), F.xxhash64("text").alias("h"))
+    return rows.mapInArrow(of, f"doc_id long, h long, {PRINTS}")
 
-    rows = need(docs, "text", "doc_id").select(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"))
-    return rows.mapInArrow(of, "doc_id long, h long, key long, prints array<long>, sketch binary, shingles long")
+
+def few(keys: DataFrame) -> DataFrame:
+    """keys, marked to be sent to every task if they are at most SENT."""
+    return F.broadcast(keys) if keys.count() <= SENT else keys
 
 
 def verified(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
-    """Those of pairs (a, b) of keys whose sketches say a similarity of at least `least`."""
-    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    known = cut(prints.select("key", "sketch").join(ends, "key", "left_semi").groupBy("key").agg(F.first("sketch").alias("sketch")))
-    both = pairs.join(known.select(F.col("key").alias("a"), F.col("sketch").alias("x")), "a").join(known.select(F.col("key").alias("b"), F.col("sketch").alias("y")), "b")
+    """Those of pairs (a, b) of keys that share at least `least` of their shingles.
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Whole sketches decide exactly, and estimates by sketches where they are MARGIN from the limit; all hashes of both texts decide
+    the other pairs.
+    """
+
+    def of_keys(pairs: DataFrame, *columns: str) -> DataFrame:
+        ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+        known = cut(prints.select("key", *columns).join(few(ends), "key", "left_semi").groupBy("key").agg(F.first(F.struct(*columns)).alias("x")))
+        return pairs.join(known.select(F.col("key").alias("a"), F.col("x")), "a").join(known.select(F.col("key").alias("b"), F.col("x").alias("y")), "b").select("a", "b", *[F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in "xy" for c in columns])
+
+    def roughly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [similarity(x.as_py(), y.as_py(), m.as_py(), n.as_py()) for x, m, y, n in zip(*batch.columns[2:])]
+            open_ = [not exact and abs(value - least) <= MARGIN for value, exact in told]
+            alike = pa.array([None if o else value >= least for (value, _), o in zip(told, open_)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], alike], names=["a", "b", "alike"])
+
+    def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = [similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3))]
+            sets = [[np.frombuffer(x.as_py() + more.as_py(), "<u4") for x, more in zip(batch.column(k), batch.column(k + 1))] for k in (2, 4)]
+            alike = [shared(x, y) >= least for x, y in zip(*sets)]
             yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(of, "a long, b long")
+    told = cut(of_keys(pairs, "sketch", "shingles").mapInArrow(roughly, "a long, b long, alike boolean"))
+    sure = told.where("alike").select("a", "b")
+    return sure.unionByName(of_keys(told.where("alike is null").select("a", "b"), "sketch", "rest").mapInArrow(exactly, "a long, b long"))
+
 
+def crowded(points: DataFrame, prints: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(points without crowds, pairs (a, b) of crowded keys): a crowd is over `most` keys with one fingerprint in a table.
 
-def alike(prints: DataFrame, least: float, bits: int, radius: int = 4) -> DataFrame:
+    Two keys of a crowd stay in its place. Its members meet all keys with which they share a band of least hashes: each bucket ties its
+    keys to the one of most distinct shingles, by aggregates, so that no task holds a crowd.
+    """
+    none = points.sparkSession.createDataFrame([], "a long, b long")
+    hot = cut(points.groupBy("t", "fp").agg(F.count("*").alias("n")).where(F.col("n") > most).select("t", "fp"))
+    if hot.isEmpty():
+        return points, none
+    crowd = points.join(hot, ["t", "fp"], "left_semi")
+    first = crowd.withColumn("_n", F.row_number().over(Window.partitionBy("t", "fp").orderBy(F.desc("score"), "key"))).where("_n <= 2").drop("_n")
+    rows = cut(prints.select("key", "shingles", F.posexplode("bands").alias("i", "band")).distinct())
+    met = rows.join(rows.join(crowd.select("key").distinct(), "key", "left_semi").select("i", "band").distinct(), ["i", "band"], "left_semi")
+    hubs = met.groupBy("i", "band").agg(F.max_by("key", F.struct("shingles", "key")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    stars = met.join(hubs, ["i", "band"]).where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+    return points.join(hot, ["t", "fp"], "left_anti").select(*points.columns).unionByName(first.select(*points.columns)), cut(stars)
+
+
+def alike(prints: DataFrame, least: float, bits: int, radius: int = 4, most_shared: int = SHARED) -> DataFrame:
     """(key, root): the keys of shingled() that verified links join, with one that stands for all of its component.
 
     A key's score is the number of keys that share its fingerprints, over all tables: of copies of one text that differ
@@ -368,18 +470,19 @@ def alike(prints: DataFrame, least: float, bits: int, radius: int = 4) -> DataFr
     compared with the foremost of its candidates; then the balls are met again, and only pairs that are not in one
     component yet are made and compared. So a large group of copies of one text costs about a comparison a copy.
     """
-    points = cut(prints.select("key", "shingles", F.posexplode("prints").alias("t", "fp")).distinct())
-    shared = points.groupBy("t", "fp").agg(F.count("*").alias("n"))
-    score = points.join(shared, ["t", "fp"]).groupBy("key").agg(F.sum("n").alias("score"))
-    points = cut(points.join(score, "key"))
-    near = links(points.drop("shingles"), radius, width=bits, best=True).groupBy("a", "b").agg(F.max("score").alias("score"), F.sum("company").alias("company"))
+    points = cut(prints.select("key", "shingles", "sig", F.posexplode("prints").alias("t", "fp")).distinct())
+    counts = points.groupBy("t", "fp").agg(F.count("*").alias("n"))
+    score = points.join(counts, ["t", "fp"]).groupBy("key").agg(F.sum("n").alias("score"))
+    points, banded = crowded(cut(points.join(score, "key")), prints, most_shared)
+    near = links(points.drop("shingles", "sig"), radius, width=bits, best=True).groupBy("a", "b").agg(F.max("score").alias("score"), F.sum("company").alias("company"))
     foremost = cut(near.groupBy("a").agg(F.max_by("b", F.struct("score", "company", "b")).alias("b")))
-    best = cut(foremost.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    best = cut(foremost.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(banded).distinct())
     sure = cut(verified(best, prints, least))
     roots = connected(sure).select(F.col("node").alias("key"), "root")
     # keys that met nobody meet nobody the second time
     apart = points.join(foremost.select(F.col("a").alias("key")), "key", "left_semi").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    more = verified(cut(links(cut(apart), radius, width=bits, ratio=least).join(best, ["a", "b"], "left_anti")), prints, least)
+    met = links(cut(apart), radius, width=bits, ratio=least, apart=bits_apart(least))
+    more = verified(cut(met.join(best, ["a", "b"], "left_anti")), prints, least)
     return connected(sure.unionByName(more)).select(F.col("node").alias("key"), "root")
 
 
@@ -387,20 +490,22 @@ def without_near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8,
     """docs with all columns, one document of each component: that of the least doc_id (null last), then text hash.
 
     Two texts are linked if they share `least` of all their distinct shingles of `size` words (A-Z count as a-z; fewer
-    words: the whole sequence), as sketches tell, and one of their `tables` SimHashes of pairs of words are within 4 of
-    `bits` bits; texts with equal words are copies, those without words among them. Rows alike in doc_id and text count
-    as one document; of such rows one stays, by the hash of its other columns. Null texts are empty ones.
+    words: the whole sequence), and one of their `tables` SimHashes of pairs of words are within 4 of `bits` bits; texts with
+    equal words are copies, those without words among them. Rows alike in doc_id and text count as one document; of such rows one
+    stays, by the hash of its other columns. Null texts are empty ones; an empty table gives no rows.
     """
     prints = written(shingled(docs, size, tables, bits), "shingles")
     roots = cut(alike(prints, least, bits))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     first = prints.groupBy("key").agg(F.min(order).alias("first"))
     kept = first.join(roots, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.h").alias("_k"))
+    kept = cut(kept)
+    removed(prints)
     rest = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (MapType, VariantType))]
-    rows = whole(docs, F.col("doc_id").cast("long").alias("_i"), F.xxhash64("text").alias("_h"), F.xxhash64(*rest).alias("_r"))
-    staying = rows.join(cut(kept), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")), "left_semi")
-    one = Window.partitionBy("_i", "_h").orderBy("_r")
-    return staying.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("_doc.*")
+    rows = whole(docs, whole_id(docs).alias("_i"), F.xxhash64("text").alias("_h"), F.xxhash64(*rest).alias("_r"))
+    staying = rows.join(kept, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")), "left_semi")
+    # repeated rows are reduced in tasks before they shuffle
+    return staying.groupBy("_i", "_h").agg(F.min_by("_doc", "_r").alias("_doc")).select("_doc.*")
 
 
 def hex64(fp: Column) -> Column:

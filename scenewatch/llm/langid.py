@@ -126,7 +126,7 @@ class Network:
                 v += 0.01 * (g * g - v)
                 p -= step * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
 
-    def documents(self, data: np.ndarray, rows: np.ndarray, width: int = 2048) -> np.ndarray:
+    def documents(self, data: np.ndarray, rows: np.ndarray, width: int = 1024) -> np.ndarray:
         """(rows, languages): the mean distribution of the bytes of each row; rows are offsets into data."""
         lens = np.diff(rows)
         count = -(-lens // WINDOW)
@@ -213,7 +213,11 @@ def predict(docs: DataFrame, network: Network | None, keep: str = "doc_id") -> D
 
 
 def recognised(docs: DataFrame, least: float = 0.4, **options) -> DataFrame:
-    """The documents, with all their columns, whose language is told with at least this probability."""
+    """The documents, with all their columns, whose language is told with at least this probability.
+
+    Null and empty texts and those without letters go. A document's own lang, source and id are no inputs of its prediction; a null
+    lang or id does no harm. Repeated rows are told alike, a tie of two languages by their order. An empty table gives no rows.
+    """
     network = fit(docs.where(~held_out(F.col("doc_id"))), **options)
     return predict(whole(docs, "text"), network, "_doc").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_doc.*")
 

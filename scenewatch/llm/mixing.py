@@ -170,7 +170,11 @@ def cutoff(timed: DataFrame, share: float) -> tuple[float, int]:
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, seed: int = 10) -> DataFrame:
-    """The documents of the mix with all their columns, as often as they are taken, in the order of finish times."""
+    """The documents of the mix with all their columns, as often as they are taken, in the order of finish times.
+
+    Texts without words, null ones too, have no size and are never taken; a null source is a source, the last one. Repeated rows, and rows
+    of a null id, are documents of their own; equal finish times go by source, id and text. An empty table gives no rows.
+    """
     plan = queue(docs, weights, share, seed).where("taken > 0")
     same = Window.partitionBy("doc_id", "h").orderBy("taken")
     plan = plan.withColumn("copy", F.row_number().over(same)).select(F.col("doc_id").alias("id"), F.col("h").alias("hash"), "copy", F.slice("finish", 1, (F.col("taken") / F.col("size")).cast("int")).alias("finish"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StructType, VariantType
 
-from scenewatch.llm.common import cut, need, shared_dir, written
+from scenewatch.llm.common import cut, need, shared_dir, until_exit, written
 
 HEADER = 16
 
@@ -178,7 +178,10 @@ def rewrite(docs: DataFrame, plan: DataFrame, root: str, old_shard: Column | Non
 
 
 def resharded(docs: DataFrame, old_shard: Column, shards: int = 40) -> DataFrame:
-    """The rows of reshard(), those of affected shards read back from the files that rewrite() made of them."""
+    """The rows of reshard(), those of affected shards read back from the files that rewrite() made of them.
+
+    The files go when the application ends.
+    """
     if clashing := {"shard", "slot"} & set(docs.columns):  # they would give way in the files, and old_shard may name them
         docs, old_shard = docs.withColumn("_old_shard", old_shard).drop(*clashing), F.col("_old_shard")
     plan = written(reshard(docs, old_shard, shards), "shard-plan")
@@ -186,6 +189,7 @@ def resharded(docs: DataFrame, old_shard: Column, shards: int = 40) -> DataFrame
     affected = rewrite(docs, plan, root, old_shard)
     if not affected:
         return plan
+    until_exit(docs.sparkSession, root)
     fields = StructType([*docs.schema.fields, plan.schema["slot"], plan.schema["shard"]])
     back = docs.sparkSession.read.schema(fields).parquet(root)
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")

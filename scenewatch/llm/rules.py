@@ -201,7 +201,8 @@ def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """(doc_id, statistics, base_failed, kept) for each document; labels has (doc_id, quality 1 or 0).
 
     kept is false where the base rules fail, else the verdict of the list learned from the labelled documents. Null
-    and empty texts have all statistics 0 and fail. Labels of unknown documents, and null ones, count for nothing.
+    and empty texts have all statistics 0 and fail. Labels of unknown documents, and null ones, count for nothing; of labels of one id the
+    greatest counts. Repeated rows give a row each, with one verdict; an empty table gives none.
     """
     stats = written(statistics(docs, "doc_id"), "text-statistics")
     known = need(labels, "doc_id", "quality").where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("good"))
@@ -221,7 +222,9 @@ def where_once(stats: DataFrame, condition: Column) -> DataFrame:
 def passing(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, **options) -> DataFrame:
     """The documents, with all their columns, that base rules and the learned list keep.
 
-    Learns from at most most_rows labelled documents, those with the least hashed ids.
+    Learns from at most most_rows labelled documents, those with the least hashed ids. Null and empty texts fail the base rules; a null
+    doc_id is judged by its text and never learned from; each of repeated rows is judged alone and alike; of labels of one id the
+    greatest counts. An empty table gives no rows; without labels the base rules alone decide.
     """
     known = need(labels, "doc_id", "quality").where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows))

@@ -386,23 +386,21 @@ def shingled(docs: DataFrame, size: int, tables: int, bits: int) -> DataFrame:
     sketch and rest hold the hashes of all shingles in order: the SKETCH least, and the others.
     """
 
+    names = ["doc_id", "h", "key", "prints", "sketch", "rest", "shingles", "sig", "bands"]
+    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, prints, found = [], [], []
-            for _, _, data, rows in byte_slices(batch.column(0)):
+            for first, end, data, rows in byte_slices(batch.column(0)):  # a slice at a time, so that little is held
                 h, at, key = words_of(data, rows)
-                keys.append(key)
-                prints.append(short_prints(h, at, tables, bits))
+                found = []
                 for x in hashes(h, at, size):
                     lows = least_hashes(x)
                     found.append((x[:SKETCH].tobytes(), x[SKETCH:].tobytes(), len(x), signature(lows), bands(lows)))
-            flat = np.concatenate([p.ravel() for p in prints])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, tables, dtype=np.int32)), pa.array(flat))
-            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            made = [pa.array(np.concatenate(keys)), lists, *(pa.array(list(c), k) for c, k in zip(zip(*found), kinds))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=["doc_id", "h", "key", "prints", "sketch", "rest", "shingles", "sig", "bands"])
+                flat = short_prints(h, at, tables, bits).ravel()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, tables, dtype=np.int32)), pa.array(flat))
+                own = [c.slice(first, end - first) for c in batch.columns[1:]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(key), lists, *(pa.array(list(c), k) for c, k in zip(zip(*found), kinds))], names=names)
 
     rows = need(docs, "text", "doc_id").select(F.coalesce(F.col("text").cast("string"), F.lit("")), whole_id(docs).alias("doc_id"), F.xxhash64("text").alias("h"))
     return rows.mapInArrow(of, f"doc_id long, h long, {PRINTS}")

@@ -33,6 +33,8 @@ from scenewatch.operators.graph import connected
 SEED = 42
 #: Variants that a region may hold, and how many of them its task sorts at once: some 200 MB.
 MOST, AT_ONCE = 4_000_000, 1_000_000
+#: The same for fingerprints of 64 bits, of which an even region has some 4 million variants at any size: only clusters have more.
+WIDE = 6_000_000
 #: Buckets of up to so many members make all their pairs, larger ones stars and a chain.
 SMALL = 6
 #: Least hashes of shingles in a sketch; how far from the limit an estimate by sketches decides (six deviations at most).
@@ -259,7 +261,7 @@ def links(points: DataFrame, radius: int = 4, bits: int | None = None, most: int
 def roots_of(prints: DataFrame, radius: int) -> DataFrame:
     """(fp, root): each distinct fingerprint with one that stands for its component."""
     classes = cut(prints.select("fp").distinct())
-    roots = connected(links(classes.select(F.lit(0).alias("t"), F.col("fp").alias("key"), "fp", F.lit(0).cast("long").alias("score")), radius))
+    roots = connected(links(classes.select(F.lit(0).alias("t"), F.col("fp").alias("key"), "fp", F.lit(0).cast("long").alias("score")), radius, most=WIDE))
     return classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 

@@ -124,7 +124,8 @@ def required_tiles(spark, d):
 
 @query(f"""WITH {x.SCENES}, {x.JOBS} SELECT j.job_id, s.event_id FROM jobs j JOIN scenes s ON s.date BETWEEN j."start" AND j."end" AND s.cloud <= j.cloud""")
 def plan_jobs(spark, d):
-    return plan.plan_jobs(x.jobs(spark, d), x.scenes(spark, d)).select("job_id", "event_id")
+    jobs = x.jobs(spark, d).select("job_id", "start", "end", "cloud")
+    return plan.plan_jobs(jobs, x.scenes(spark, d)).select("job_id", "event_id")
 
 
 TOUCH = "a.min_x <= s.max_x AND a.max_x >= s.min_x AND a.min_y <= s.max_y AND a.max_y >= s.min_y"

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from scenewatch.functions.geo import envelopes_touch
 from scenewatch.functions.names import scene_key, scene_label
@@ -39,22 +40,32 @@ def day_nodes(first: Column, last: Column, levels: int) -> Column:
     return F.concat(*out)
 
 
-def plan_jobs(jobs: DataFrame, scenes: DataFrame, start: str = "start", end: str = "end", most: int = 100_000, sent: int = 100_000) -> DataFrame:
+def plan_jobs(jobs: DataFrame, scenes: DataFrame, start: str = "start", end: str = "end", most: int = 100_000, sent: int = 100_000, alike: int = 1000, even: int = 1000) -> DataFrame:
     """Each job with every scene of its days, both ends included, with at most its cloud.
 
+    Jobs of one period and cloud have the same scenes: some `alike` of them go through the join as one bundle, and are told apart after
+    it, so that the join's work is that of distinct requests and only the pairs themselves grow with both tables.
     A period is cut into nodes of a tree of days, and a scene lies in one node of each level, so an equality join meets exactly the scenes of
     the period; levels are as many as the longest period needs, two for up to 63 days. Up to `sent` jobs, counted first, go to
-    every task, and scenes are not shuffled. More jobs are joined by a shuffle, in which a day of over `most` scenes is parted by a hash
+    every task; up to `even` of them leave scenes where they are, more make so many pairs a scene that scenes are dealt out evenly first. More jobs are joined by a shuffle, in which a day of over `most` scenes is parted by a hash
     and its jobs go to each part; days are few whatever the data.
     """
-    n, longest = jobs.agg(F.count("*"), F.max(F.datediff(end, start))).first()
+    same = [start, end, "cloud"]
+    n, longest, largest = jobs.groupBy(*same).agg(F.count("*").alias("n")).agg(F.sum("n"), F.max(F.datediff(end, start)), F.max("n")).first()
     levels = 1
     while 8**levels <= (longest or 0) + 1:
         levels += 1
-    nodes = jobs.withColumn("_n", F.explode(day_nodes(F.col(start), F.col(end), levels))).withColumnRenamed("cloud", "cloud_limit")
-    at = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.unix_date("date") / 8**k).cast("int").alias("at")) for k in range(levels)])
+    own = [c for c in jobs.columns if c not in same]
+    hashed = [F.col(f"`{f.name}`") for f in jobs.schema if f.name in own and not isinstance(f.dataType, (MapType, VariantType))]
+    salt = F.pmod(F.xxhash64(*hashed), F.lit(-(-(largest or 1) // alike))) if hashed else F.lit(0)
+    bundles = jobs.groupBy(*same, salt.alias("_salt")).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in own or same])).alias("_jobs"))
+    node = lambda level, at: at.cast("long") * 32 + level
+    nodes = bundles.select(*same, "_salt", "_jobs", F.explode(day_nodes(F.col(start), F.col(end), levels)).alias("_d")).select("*", node(F.col("_d.level"), F.col("_d.at")).alias("_n")).drop("_d").withColumnRenamed("cloud", "cloud_limit")
+    at = F.array(*[node(F.lit(k), F.floor(F.unix_date("date") / 8**k)) for k in range(levels)])
     dated = scenes.where("date is not null").withColumn("_n", F.explode(at))
-    if n <= sent:
+    if even < (n or 0) <= sent:
+        dated = scenes.where("date is not null").repartition(int(scenes.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn("_n", F.explode(at))
+    if (n or 0) <= sent:
         near = F.broadcast(nodes).alias("j").join(dated.alias("s"), "_n")
     else:
         days = scenes.where("date is not null").groupBy("date").agg(F.count("*").alias("n"))
@@ -62,8 +73,11 @@ def plan_jobs(jobs: DataFrame, scenes: DataFrame, start: str = "start", end: str
         parts = F.broadcast(busy)  # nodes of a calendar, not of scenes
         dealt = nodes.join(parts, "_n", "left").withColumn("_p", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
         part = F.pmod(F.xxhash64(*[c for c in ("captured_at", "tile_id", "img_data_path", "date") if c in scenes.columns]), F.coalesce("_parts", F.lit(1))).cast("int")
-        near = dealt.alias("j").join(dated.join(parts, "_n", "left").withColumn("_p", part).drop("_parts").alias("s"), ["_n", "_p"]).drop("_p")
-    return near.where(F.col("s.cloud") <= F.col("j.cloud_limit")).drop("_n")
+        near = dealt.alias("j").join(dated.join(parts, "_n", "left").withColumn("_p", part).drop("_parts").alias("s"), ["_n", "_p"])
+    theirs = [F.col(f"s.`{c}`") for c in scenes.columns]
+    pairs = near.where(F.col("s.cloud") <= F.col("j.cloud_limit")).select(F.explode("j._jobs").alias("_job"), *[F.col(f"j.`{c}`").alias(f"_{k}") for k, c in enumerate([start, end, "cloud_limit"])], *theirs)
+    whose = {start: F.col("_0").alias(start), end: F.col("_1").alias(end), "cloud": F.col("_2").alias("cloud_limit")}
+    return pairs.select(*[whose.get(c, F.col(f"_job.`{c}`")) for c in jobs.columns], *[F.col(f"`{c}`") for c in scenes.columns])
 
 
 def scenes_in_boxes(scenes: DataFrame, areas: DataFrame, cell: float = 1.0) -> DataFrame:

@@ -502,6 +502,20 @@ def test_plans_equal_all_pairs(spark, sent, most):
     assert all(r.days == r.n + 1 and r.k <= 14 * 4 for r in covered) and len(covered) == 36 + 2
 
 
+def test_jobs_alike_are_joined_as_bundles(spark):
+    """What the join itself gives grows with distinct requests, not with jobs; jobs are told apart after it, repeated rows too."""
+    rows = scenes(spark, [("a", f"2024-01-{1 + k % 20:02d}", k % 90, f"s{k}") for k in range(60)])
+    raw = [(k % 500, f"2024-01-{3 + k % 2:02d}", "2024-01-12", 40, {"k": k}) for k in range(600)]
+    jobs = spark.createDataFrame(raw, "job_id int, start string, end string, cloud int, note map<string,int>").withColumns({"start": F.to_date("start"), "end": F.to_date("end")})
+    every = rows.select(F.dayofmonth("date").alias("day"), "cloud", "safe_name").collect()
+    want = sorted((j, s.safe_name) for j, a, _, c, _ in raw for s in every if int(a[-2:]) <= s.day <= 12 and s.cloud <= c)
+    for options in ({}, {"alike": 7}, {"sent": 0}, {"even": 10}):
+        found = planning.plan_jobs(jobs, rows, **options)
+        assert sorted((r.job_id, r.safe_name) for r in found.collect()) == want
+        assert found.columns == ["job_id", "start", "end", "cloud_limit", "note", *rows.columns]
+    assert "Generate explode" in planning.plan_jobs(jobs, rows)._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
 def test_numbered_and_catalog_order(spark):
     rows = scenes(spark, [("b", "2024-01-02", 1, "x"), ("a", "2024-01-02", 1, "z"), ("a", "2024-01-02", 1, "y"), ("c", "2024-01-01", 1, "w")])
     want = ["w", "y", "z", "x"]

@@ -34,13 +34,13 @@ def least_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    """Runs of whole groups from batches sorted by keys, with the number of each row's group: many small groups at once."""
+    """Runs of whole groups from batches sorted by keys, with the number of each row's group: many small groups at once. Nulls are equal."""
     held = None
     for pdf in batches:
         pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
         if not len(pdf):
             continue
-        new = np.concatenate([[True], np.logical_or.reduce([pdf[k].to_numpy()[1:] != pdf[k].to_numpy()[:-1] for k in keys])])
+        new = np.concatenate([[True], np.logical_or.reduce([(v[1:] != v[:-1]) & ~(pd.isna(v[1:]) & pd.isna(v[:-1])) for v in (pdf[k].to_numpy() for k in keys)])])
         last = int(np.flatnonzero(new)[-1])
         if last:
             yield pdf.iloc[:last], np.cumsum(new[:last]) - 1

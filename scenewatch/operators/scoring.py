@@ -6,7 +6,7 @@ edge is context only, with an overlap every window counts and means are taken.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenewatch.functions.geo import window_owner
+from scenewatch.operators.components import whole_groups
 
 
 class Scorer(Protocol):
@@ -66,26 +67,34 @@ def make_windows(pixels: DataFrame, tile: int, bound: int = 0, overlap: int = 0)
 def score_windows(windows: DataFrame, scorer: Scorer | Callable[[np.ndarray], np.ndarray], channels: list[str], tile: int, means: list[float] | None = None, keys: tuple[str, ...] = ("tile_id",), batch: int = 4) -> DataFrame:
     """(keys, wy, wx, y, x, k, score) of the valid pixels of every window and each of the model's outputs k.
 
-    Windows of a row of `batch` share a task and a call. Padding and invalid pixels are the channel means, or 0.
+    The model gets `batch` windows a call. A task fills many windows at once, a few million values at most; windows without a
+    valid pixel are left out before the shuffle. Padding and invalid pixels are the channel means, or 0.
     """
     fill = np.array(means if means else [0.0] * len(channels), np.float32)
     predict = scorer.predict if hasattr(scorer, "predict") else scorer
     fields = ", ".join(f"`{k}` {windows.schema[k].dataType.simpleString()}" for k in keys)
-
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(pdf["wx"].unique())
-        place = {w: i for i, w in enumerate(names)}
-        n = pdf["wx"].map(place).to_numpy()
-        py, px, ok = pdf["py"].to_numpy(), pdf["px"].to_numpy(), pdf["valid"].to_numpy(bool)
-        input_ = np.broadcast_to(fill[None, :, None, None], (len(names), len(channels), tile, tile)).copy()
+    window = [*keys, "wy", "wx"]
+    at_once = batch * max(1, (1 << 21) // (batch * len(channels) * tile * tile))
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, group in whole_groups(batches, window):
+            bounds = np.searchsorted(group, np.arange(0, int(group[-1]) + at_once + 1, at_once))
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                if a < b:
+                    yield scored(pdf.iloc[a:b], group[a:b] - group[a])
+
+    def scored(pdf: pd.DataFrame, n: np.ndarray) -> pd.DataFrame:
+        py, px = pdf["py"].to_numpy(), pdf["px"].to_numpy()
+        input_ = np.broadcast_to(fill[None, :, None, None], (int(n[-1]) + 1, len(channels), tile, tile)).copy()
         for c, name in enumerate(channels):
-            input_[n[ok], c, py[ok], px[ok]] = pdf[name].to_numpy(np.float32)[ok]
-        out = np.asarray(predict(input_), np.float32)
-        rows = pdf.loc[ok, [*keys, "wy", "wx", "y", "x"]]
-        return pd.concat([rows.assign(k=np.int32(k), score=out[n[ok], k, py[ok], px[ok]]) for k in range(out.shape[1])])
-
-    grouped = windows.withColumn("_g", F.floor(F.col("wx") / batch)).groupBy(*keys, "wy", "_g")
-    return grouped.applyInPandas(of, f"{fields}, wy int, wx int, y {windows.schema['y'].dataType.simpleString()}, x {windows.schema['x'].dataType.simpleString()}, k int, score float")
+            input_[n, c, py, px] = pdf[name].to_numpy(np.float32)
+        out = np.concatenate([np.asarray(predict(input_[k : k + batch]), np.float32) for k in range(0, len(input_), batch)])
+        rows = pdf[[*window, "y", "x"]]
+        return pd.concat([rows.assign(k=np.int32(k), score=out[n, k, py, px]) for k in range(out.shape[1])])
+
+    needed = windows.where("valid").select(*window, "y", "x", "py", "px", *channels)
+    dealt = needed.repartition(*window).sortWithinPartitions(*window)
+    return dealt.mapInPandas(of, f"{fields}, wy int, wx int, y {windows.schema['y'].dataType.simpleString()}, x {windows.schema['x'].dataType.simpleString()}, k int, score float")
 
 
 def binary_threshold(score: Column, limit: float) -> Column:

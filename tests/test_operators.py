@@ -516,6 +516,26 @@ def test_jobs_alike_are_joined_as_bundles(spark):
     assert "Generate explode" in planning.plan_jobs(jobs, rows)._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
 
 
+def test_many_small_windows_are_scored_in_one_call_of_a_task(spark):
+    """A group is no call of its own: rows of many windows come together, a null key is a scene too, invalid pixels are the mean."""
+    rng = np.random.default_rng(5)
+    raw = [(t, y, x, float(rng.integers(1, 9)), bool(rng.random() < 0.7)) for t in (None, 1, 2, 3) for y in range(7) for x in range(5)]
+    pixels = spark.createDataFrame(raw, "tile_id long, y int, x int, v float, valid boolean")
+    found = scoring.score_windows(scoring.make_windows(pixels, 4, bound=1), lambda w: w + w.sum(axis=(2, 3), keepdims=True), ["v"], 4, [0.5], batch=3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInPandas" in plan
+    want = []
+    for t in (None, 1, 2, 3):
+        own = {(y, x): v for k, y, x, v, ok in raw if k == t and ok}
+        for wy, wx in {(y // 2 - a, x // 2 - b) for y in range(7) for x in range(5) for a in (0, 1) for b in (0, 1)}:
+            if min(wy, wx) >= 0:
+                cells = [(wy * 2 + y, wx * 2 + x) for y in range(4) for x in range(4)]
+                total = sum(own.get(c, 0.5) for c in cells)
+                want += [(t, wy, wx, *c, 0, own[c] + total) for c in cells if c in own]
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    assert sorted((tuple(r) for r in found.collect()), key=key) == sorted(want, key=key)
+
+
 def test_numbered_and_catalog_order(spark):
     rows = scenes(spark, [("b", "2024-01-02", 1, "x"), ("a", "2024-01-02", 1, "z"), ("a", "2024-01-02", 1, "y"), ("c", "2024-01-01", 1, "w")])
     want = ["w", "y", "z", "x"]

@@ -41,21 +41,38 @@ def to_blocks(pixels: DataFrame, names: list[str], block: int = SIDE, once: tupl
     kinds = {f.name: f.dataType.simpleString() for f in pixels.schema}
     rows = pixels.select("tile_id", F.floor(F.col("y") / block).cast("int").alias("by"), F.floor(F.col("x") / block).cast("int").alias("bx"), F.col("y").cast("long"), F.col("x").cast("long"), *once, *[F.coalesce(n, F.lit(0).cast(kinds[n])).alias(n) for n in names])
 
-    def of(batches):
+    fields = [*(f"`{n}` {kinds[n]}" for n in ("tile_id",)), "by int, bx int", *(f"`{n}` {kinds[n]}" for n in once), "y0 int, x0 int, h int, w int"]
+    arrays = to_arrow_schema(T.StructType.fromDDL(", ".join(["there boolean", *(f"`{n}` {kinds[n]}" for n in names)])))
+    numbers = {f.name: np.dtype(f.type.to_pandas_dtype()) for f in arrays}
+
+    def packed(batches):
+        """The arrays of a block as bytes: pandas would hand lists to Spark number by number."""
         for pdf, group in whole_groups(batches, list(PLACE)):
             first = np.flatnonzero(np.diff(group, prepend=-1))
             at = group * block * block + (pdf["y"].to_numpy() % block) * block + pdf["x"].to_numpy() % block
             out = pdf.iloc[first][[*PLACE, *once]].reset_index(drop=True)
             out = out.assign(y0=out["by"] * block, x0=out["bx"] * block, h=np.int32(block), w=np.int32(block))
-            for name in ("there", *names):
-                values = np.ones(len(pdf), bool) if name == "there" else pdf[name].to_numpy()
-                full = np.zeros(len(first) * block * block, values.dtype)
-                full[at] = values
-                out[name] = list(full.reshape(len(first), -1))
-            yield out
-
-    fields = [*(f"`{n}` {kinds[n]}" for n in ("tile_id",)), "by int, bx int", *(f"`{n}` {kinds[n]}" for n in once), "y0 int, x0 int, h int, w int, there array<boolean>", *(f"`{n}` array<{kinds[n]}>" for n in names)]
-    return rows.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInPandas(of, ", ".join(fields))
+            parts = []
+            for name, kind in numbers.items():
+                full = np.zeros(len(first) * block * block, kind)
+                full[at] = True if name == "there" else pdf[name].to_numpy()
+                parts.append(full.reshape(len(first), -1).view(np.uint8))
+            yield out.assign(_data=[row.tobytes() for row in np.concatenate(parts, axis=1)])
+
+    def unpacked(batches):
+        for batch in batches:
+            *frame_, data = batch.columns
+            n, size, begin, lists = len(data), block * block, 0, []
+            ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + n + 1]
+            raw = np.frombuffer(data.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(n, -1) if n else np.zeros((0, 0), np.uint8)
+            for kind in numbers.values():
+                values = np.ascontiguousarray(raw[:, begin : begin + size * kind.itemsize]).view(kind).ravel()
+                lists.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(values)))
+                begin += size * kind.itemsize
+            yield pa.RecordBatch.from_arrays([*frame_, *lists], names=[*batch.schema.names[:-1], *numbers])
+
+    made = rows.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInPandas(packed, ", ".join([*fields, "_data binary"]))
+    return made.mapInArrow(unpacked, ", ".join([*fields, "there array<boolean>", *(f"`{n}` array<{kinds[n]}>" for n in names)]))
 
 
 def stacked(blocks: DataFrame, names: list[str], once: tuple[str, ...] = (), block: int = SIDE) -> DataFrame:
@@ -65,8 +82,10 @@ def stacked(blocks: DataFrame, names: list[str], once: tuple[str, ...] = (), blo
     return wide.select(*PLACE, (F.col("by") * block).alias("y0"), (F.col("bx") * block).alias("x0"), "h", "w", *once, *[F.coalesce(n, F.array_repeat(bands.f32(0), (F.col("h") * F.col("w")).cast("int"))).alias(n) for n in names])
 
 
-def each(names: list[str], f: Callable[[dict[str, Column]], Column]) -> Column:
-    """The array of f over the pixels of arrays of these names."""
+def each(names: list[str], f: Callable[[dict[str, Column]], Column], there: bool = False) -> Column:
+    """The array of f over the pixels of arrays of these names; with `there` null, and no work, where no pixel is."""
+    if there:
+        return F.transform(F.arrays_zip("there", *[F.col(n) for n in names]), lambda s: F.when(s["there"], f({n: s[n] for n in names})))
     return F.transform(F.arrays_zip(*[F.col(n) for n in names]), lambda s: f({n: s[n] for n in names}))
 
 
@@ -96,18 +115,24 @@ def cube(blocks: DataFrame, channels: list[str], level: str = "L1C", cloud: str
         return F.struct(*[v.alias(b) for b, v in r.items()], raster.validity(r, channels, level, cloud, p[scl] if scl else None).alias("valid"))
 
     def made(name: str) -> Column:
-        return F.transform("_p", lambda s: raster.channel(name, {b: s[b] for b in have}, s["valid"]))
+        return F.transform("_p", lambda s: F.when(s.isNull(), bands.f32(0)).otherwise(raster.channel(name, {b: s[b] for b in have}, s["valid"])))
 
-    lit = blocks.withColumn("_p", each([*have, *([scl] if scl else [])], seen))
-    return lit.select(*frame(blocks), *[made(n).alias(n) for n in names], F.transform("_p", lambda s: s["valid"]).alias("valid"))
+    lit = blocks.withColumn("_p", each([*have, *([scl] if scl else [])], seen, "there" in blocks.columns))
+    return lit.select(*frame(blocks), *[made(n).alias(n) for n in names], F.transform("_p", lambda s: F.when(s.isNull(), False).otherwise(s["valid"])).alias("valid"))
 
 
 def cloud_masks(blocks: DataFrame) -> DataFrame:
-    """(FRAME, b04, b08, simple, full) of digital numbers: reflectances, and both cloud tests."""
+    """(FRAME, b04, b08, simple, full) of digital numbers: reflectances, and both cloud tests; 0 and false where no pixel is."""
     have = bands_of(blocks)
-    lit = blocks.select(*frame(blocks), *[each([b], lambda p, b=b: bands.toa(p[b], F.col("date"))).alias(b) for b in have])
     tests = {"simple": ("b10", "b11", "b12"), "full": ("b10", "b11", "b12", "b02", "b03", "b04")}
-    return lit.select(*frame(blocks), "b04", "b08", *[each(list(t), lambda p, t=t: bands.cloud_mask(*[p[b] for b in t])).alias(n) for n, t in tests.items()])
+    used = [b for b in have if b in {"b04", "b08", *tests["full"]}]
+    lit = blocks.withColumn("_p", each(used, lambda p: F.struct(*[bands.toa(p[b], F.col("date")).alias(b) for b in used]), "there" in blocks.columns))
+
+    def told(f: Callable[[Column], Column], nothing: Column) -> Column:
+        return F.transform("_p", lambda s: F.when(s.isNull(), nothing).otherwise(f(s)))
+
+    masks = [told(lambda s, t=t: bands.cloud_mask(*[s[b] for b in t]), F.lit(False)).alias(n) for n, t in tests.items()]
+    return lit.select(*frame(blocks), *[told(lambda s, b=b: s[b], bands.f32(0)).alias(b) for b in ("b04", "b08")], *masks)
 
 
 def ndvi_series(picked: DataFrame, n: int) -> DataFrame:
@@ -337,7 +362,7 @@ def index_blocks(blocks: DataFrame) -> DataFrame:
         r = raster.reflectances(p, F.col("date"), "L1C")
         return bands.vog1(r["b05"], r["b06"], bands.cloud_mask(r["b10"], r["b11"], r["b12"]))
 
-    return blocks.select(*frame(blocks), each(names, index).alias("vog1"))
+    return blocks.select(*frame(blocks), each(names, index, "there" in blocks.columns).alias("vog1"))
 
 
 def bucketed(blocks: DataFrame, buckets: int = 64) -> DataFrame:
@@ -365,12 +390,12 @@ def mask_diff(new: DataFrame, base: DataFrame, limits: DataFrame) -> DataFrame:
         was = ~p["has"] | F.coalesce(p["was"] < F.col("base_threshold"), F.lit(False))
         return F.struct(sick.alias("sick"), (sick & ~was).alias("newly_sick"))
 
-    told = both.withColumn("_m", each(["vog1", "was", "has"], masks))
+    told = both.withColumn("_m", each(["vog1", "was", "has"], masks, there))
     return told.select(*frame(new), *[each_member("_m", n) for n in ("sick", "newly_sick")])
 
 
 def each_member(array: str, name: str) -> Column:
-    return F.transform(array, lambda s: s[name]).alias(name)
+    return F.transform(array, lambda s: F.coalesce(s[name], F.lit(False))).alias(name)
 
 
 def pathology_diff(new: DataFrame, base: DataFrame, buckets: int = 64) -> DataFrame:

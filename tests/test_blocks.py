@@ -137,3 +137,16 @@ def test_years_of_blocks_differ_without_a_shuffle(spark):
     assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
     was = {(r.y, r.x): np.float32(0.6) < np.float32(r.v) < np.float32(0.8) for r in base.itertuples()}
     assert rows == {(r.y, r.x): ((s := bool(np.float32(0.6) < r.v < np.float32(0.9))), s and not was.get((r.y, r.x), True)) for r in frame.itertuples()}
+
+
+def test_pixels_that_are_not_there_cost_nothing(pixels):
+    """Arrays reach Spark as Arrow lists, and band maths skips holes: what no pixel is has no reflectance, is 0 and not valid."""
+    made = blocks.to_blocks(pixels, BANDS, 8, ("date",))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("MapInPandas")
+    for found, name in ((blocks.cube(made, ["B04"], "L1C", "none"), "b04"), (blocks.cloud_masks(made), "b04")):
+        seen = found.select(F.explode(F.arrays_zip("there", name, *[c for c in ("valid", "simple", "full") if c in found.columns])).alias("p")).select("p.*")
+        holes = seen.where("not there").drop("there").distinct().collect()
+        assert len(holes) == 1 and not any(holes[0])
+    maths = blocks.cube(made, ["B04"], "L1C", "none")._jdf.queryExecution().optimizedPlan().toString()
+    assert ".there THEN" in maths

@@ -107,9 +107,15 @@ PIXELS = """pixels AS (WITH b AS (SELECT l_suppkey % 8 AS tile_id, l_orderkey, l
 BANDS = ("b02", "b03", "b04", "b05", "b06", "b08", "b10", "b11", "b12")
 
 
-def grid_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pixels with one row a position: the least of each band."""
-    return pixels(spark, sf_dir).groupBy("tile_id", "y", "x").agg(F.min("date").alias("date"), *[F.min(b).alias(b) for b in BANDS])
+def grid_pixels(spark: SparkSession, sf_dir: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """pixels with one row a position: the least of each band.
+
+    With some of the position in `by` pixels are dealt by it first, to all shuffle partitions: a position is seldom there twice, so that
+    tasks that reduce before the shuffle would only hold their pixels.
+    """
+    rows = pixels(spark, sf_dir)
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *by) if by else rows
+    return dealt.groupBy("tile_id", "y", "x").agg(F.min("date").alias("date"), *[F.min(b).alias(b) for b in BANDS])
 
 
 GRID = PIXELS + ", grid AS (SELECT tile_id, y, x, min(date) AS date, " + ", ".join(f"min({b}) AS {b}" for b in BANDS) + " FROM pixels GROUP BY tile_id, y, x)"

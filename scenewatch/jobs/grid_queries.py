@@ -218,7 +218,7 @@ def global_scale(spark, d):
 
 @query(f"WITH {VALUES} SELECT band, y, x, v FROM (SELECT *, row_number() OVER (PARTITION BY band, y, x ORDER BY tile_id DESC) AS rn FROM vals WHERE v <> 0) WHERE rn = 1")
 def overlay(spark, d):
-    return mosaic.overlay_last_wins(values(spark, d), ["band", "y", "x"], "tile_id")
+    return mosaic.overlay_bands(x.grid_pixels(spark, d, ("y", "x")), ["y", "x"], ["b02", "b03", "b04"], "tile_id")
 
 
 @query(f"WITH {VALUES} SELECT tile_id, band, y, x, CAST(CASE WHEN v = 0 THEN 0 ELSE least(255, greatest(1, floor((CAST(v AS DOUBLE) - 200) / (1500.0 - 200) * 254.0 + 1.5))) END AS INT) AS v FROM vals")

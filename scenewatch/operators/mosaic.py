@@ -47,6 +47,15 @@ def overlay_last_wins(values: DataFrame, by: list[str | Column], order: str = "t
     return values.where(F.col(v) != 0).groupBy(*by).agg(F.max_by(v, order).alias(v))
 
 
+def overlay_bands(pixels: DataFrame, by: list[str], bands: list[str], order: str = "tile_order") -> DataFrame:
+    """(band, by, v): overlay_last_wins() from one column a band: a cell is one row of the aggregate, not one a band.
+
+    Where pixels are dealt by `by` already, nothing is shuffled.
+    """
+    found = pixels.groupBy(*by).agg(*[F.max_by(b, F.when(F.col(b) != 0, F.col(order))).alias(b) for b in bands])
+    return found.unpivot(by, bands, "band", "v").where("v is not null").select("band", *by, "v")
+
+
 def rgb_blocks(cells: DataFrame, block: int = 512) -> DataFrame:
     """(band, by, bx, y0, x0, h, w, data): cells (band, ty, tx, v) gathered into blocks; cells without a value are 0."""
     at = cells.select("band", F.floor(F.col("ty") / block).alias("by"), F.floor(F.col("tx") / block).alias("bx"), F.pmod("ty", F.lit(block)).cast("int").alias("y"), F.pmod("tx", F.lit(block)).cast("int").alias("x"), "v")

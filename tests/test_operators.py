@@ -536,6 +536,19 @@ def test_many_small_windows_are_scored_in_one_call_of_a_task(spark):
     assert sorted((tuple(r) for r in found.collect()), key=key) == sorted(want, key=key)
 
 
+def test_overlay_of_bands_is_that_of_values(spark, sf_dir):
+    """The same cells from a column a band, and one shuffle in the query's plan."""
+    from scenewatch.jobs import grid_queries
+
+    rng = np.random.default_rng(8)
+    raw = [(t, y, x, int(rng.integers(0, 3)), int(rng.integers(0, 2))) for t in range(4) for y in range(5) for x in range(5) if rng.random() < 0.7]
+    pixels = spark.createDataFrame(raw, "tile_order int, y int, x int, b02 int, b03 int")
+    got = mosaic.overlay_bands(pixels, ["y", "x"], ["b02", "b03"])
+    want = mosaic.overlay_last_wins(pixels.unpivot(["tile_order", "y", "x"], ["b02", "b03"], "band", "v"), ["band", "y", "x"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert grid_queries.overlay(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_numbered_and_catalog_order(spark):
     rows = scenes(spark, [("b", "2024-01-02", 1, "x"), ("a", "2024-01-02", 1, "z"), ("a", "2024-01-02", 1, "y"), ("c", "2024-01-01", 1, "w")])
     want = ["w", "y", "z", "x"]

@@ -1027,3 +1027,17 @@ def test_queue_edges(odd, none):
     assert mixing.queue(none).count() == mixing.mix(none).count() == 0
     assert sum(r["size"] for r in rows) == sum(len((r[1] or "").split()) for r in odd_rows())
     assert mixing.mix(odd).columns == odd.columns
+
+
+def test_only_texts_go_to_the_network(spark):
+    """Documents stay in Spark while their language is told: the column function gets one column, and the same are kept."""
+    words = {"x": "aba kara", "y": "zuzo piwo"}
+    rows = [(k, f"{words[lang]} {k}" if k % 7 else None, lang, "s" * 9) for k, lang in enumerate("xy" * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, note string")
+    found = langid.recognised(docs, least=0.4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    network = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    kept = langid.predict(docs, network).where("lang_pred <> 'und' and score >= 0.4")
+    assert sorted(r.doc_id for r in found.collect()) == sorted(r.doc_id for r in kept.collect()) != []
+    assert found.columns == docs.columns

@@ -56,9 +56,8 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is an empty one, without tokens; a null id stays null; repeated rows give a row each; no documents give none.
     """
     name = public_tokenizers.path("byte_bpe_50k.json")
-    rows = docs.select("doc_id", "lang", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
-    found = bpe.encode(rows, name, back="decoded")
-    return found.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.xxhash64("decoded") == F.col("h")).alias("exact"))
+    found = bpe.encode(docs.select("doc_id", "lang", "source", "text"), name, exact="exact")
+    return found.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "exact")
 
 
 STAGES = [("language", language), ("quality", quality), ("near_duplicates", near_duplicates), ("mixture", mixture), ("encoding", encoding)]

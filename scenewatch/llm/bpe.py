@@ -193,27 +193,41 @@ def runs(texts: Iterator[str], most: int = 1 << 20) -> Iterator[list[str]]:
         yield out
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", back: str | None = None) -> DataFrame:
+def encoded(table: Vocabulary, batch: pa.RecordBatch, names: list[str], back: bool, exact: bool) -> Iterator[pa.RecordBatch]:
+    """A batch whose first column is texts as batches of the other columns and what encode() adds, a run of texts at a time.
+
+    So no more than a run's ids and decoded texts are held beside the batch.
+    """
+    at = 0
+    for run in runs(t.as_py() or "" for t in batch.column(0)):
+        out = table.encode(run)
+        own = [c.slice(at, len(run)) for c in batch.columns[1:]]
+        at += len(run)
+        more = [pa.array([table.decode(b) for b in out], pa.string())] if back else []
+        more += [pa.array([table.decode(b) == t for b, t in zip(out, run)], pa.bool_())] if exact else []
+        yield pa.RecordBatch.from_arrays([*own, pa.array(out, pa.binary()), *more], names=names)
+
+
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", back: str | None = None, exact: str | None = None) -> DataFrame:
     """docs with its text column replaced by `ids`: the tokens of each whole text as little-endian 32-bit integers.
 
     vocabulary is the path of a byte-level BPE file that executors can open too (installed beside the library that
-    reads it). With `back`, a column of that name has what the ids decode to, made in the same pass over the rows. Null
-    texts encode as empty. All other columns are passed on. Pieces once encoded are remembered up to a bound, and
-    forgotten when a task ends.
+    reads it). With `back`, a column of that name has what the ids decode to, made in the same pass over the rows; with
+    `exact`, one has whether that is the text again. Null texts encode as empty. All other columns are passed on. Pieces once
+    encoded are remembered up to a bound, and forgotten when a task ends.
     """
-    others = [c for c in docs.columns if c not in (text, ids, back)]
-    names = [*others, ids, *([back] if back else [])]
+    others = [c for c in docs.columns if c not in (text, ids, back, exact)]
+    names = [*others, ids, *[n for n in (back, exact) if n]]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = loaded(vocabulary)
         for batch in batches:
-            out = [b for run in runs(t.as_py() or "" for t in batch.column(0)) for b in table.encode(run)]
-            decoded = [pa.array((table.decode(b) for b in out), pa.string())] if back else []
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.binary()), *decoded], names=names)
+            yield from encoded(table, batch, names, bool(back), bool(exact))
         table.known.clear()
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*others).schema)
-    return docs.select(F.col(text).cast("string"), *others).mapInArrow(of, f"{fields}`{ids}` binary" + (f", `{back}` string" if back else ""))
+    added = (f", `{back}` string" if back else "") + (f", `{exact}` boolean" if exact else "")
+    return docs.select(F.col(text).cast("string"), *others).mapInArrow(of, f"{fields}`{ids}` binary{added}")
 
 
 def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

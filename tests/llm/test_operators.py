@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -758,6 +759,19 @@ def test_bpe_tables(odd, none):
     assert Counter((r.doc_id, bytes(r.ids), r.decoded) for r in both.collect()) == Counter((r.doc_id, bytes(r.ids), r.decoded) for r in back.collect())
     assert {"score", "lang", "ids"} <= set(tokens.columns) and "text" not in tokens.columns
     assert bpe.decode(bpe.encode(none, NAME), NAME).count() == 0
+    told = bpe.encode(odd, NAME, exact="same")
+    assert told.columns == [*tokens.columns, "same"] and told.where("not same").isEmpty() and told.count() == odd.count()
+
+
+def test_a_batch_is_encoded_a_run_of_texts_at_a_time():
+    """Beside a batch of texts only some 2**20 characters of it are held as ids and decoded again; runs() hands a run on before the next is read."""
+    texts = [None, "", *[LONG] * 40, "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(range(len(texts)))], names=["text", "doc_id"])
+    parts = bpe.encoded(bpe.loaded(NAME), batch, ["doc_id", "ids", "decoded", "exact"], True, True)
+    first = next(parts)
+    assert 0 < first.num_rows < 15
+    rows = pa.Table.from_batches([first, *parts]).to_pylist()
+    assert [r["doc_id"] for r in rows] == list(range(len(texts))) and all(r["exact"] and r["decoded"] == (t or "") for r, t in zip(rows, texts))
 
 
 def test_bpe_query_digests(spark, sf_dir, library):

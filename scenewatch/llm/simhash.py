@@ -10,7 +10,8 @@ so a task's work is bounded however the fingerprints cluster.
 near_duplicates() links by one 64-bit fingerprint and its radius alone. without_near_duplicates() asks for a similarity
 of sets of word shingles: several shorter fingerprints of word pairs, which few changed words hardly move, give the
 candidates, a word of 64 bits turns the unlike ones away inside the region's task, sketches of the shingles decide clear cases,
-and all shingles the rest. A fingerprint that very many texts share (a template) is parted by their shingles' least hashes.
+and all shingles the rest. A fingerprint that very many texts share (a template) is parted by their shingles' least hashes. Both and the
+stars of large buckets only join most at little cost: all_links() makes every pair that is left.
 """
 
 from __future__ import annotations
@@ -185,12 +186,12 @@ def best_meetings(value: np.ndarray, who: np.ndarray, names: np.ndarray, score:
     return who[own], partner[own], company[partner[own]].astype(np.int64)
 
 
-def meetings(value: np.ndarray, who: np.ndarray, names: np.ndarray, score: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+def meetings(value: np.ndarray, who: np.ndarray, names: np.ndarray, score: np.ndarray, root: np.ndarray | None = None, marked: bool = False) -> np.ndarray:
     """Pairs (n, 2) of rows that share a value, each once: enough of them to connect all rows of every bucket.
 
     With root, pairs of rows of one root are left out, as they are connected already. Buckets of up to SMALL rows give all their pairs. In larger ones the two rows of the greatest score (then with the
     most company in the region, then of the least name) are paired with all others, and neighbours in that order with
-    each other.
+    each other; `marked` adds a pair of itself for each row of such a bucket.
     """
     who, many, first, place, _, _ = ranked(value, who, names, score)
     if not len(who):
@@ -212,18 +213,20 @@ def meetings(value: np.ndarray, who: np.ndarray, names: np.ndarray, score: np.nd
     a, b = (np.concatenate(x) for x in zip(*pairs))
     if root is not None:
         a, b = a[root[a] != root[b]], b[root[a] != root[b]]
+    if marked:
+        a, b = (np.concatenate([x, who[many > SMALL]]) for x in (a, b))
     packed = np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b))
     return np.stack([packed // len(names), packed % len(names)], axis=1)
 
 
-def links(points: DataFrame, radius: int = 4, bits: int | None = None, most: int = MOST, width: int = 64, best: bool = False, ratio: float = 0.0, apart: int = 64) -> DataFrame:
+def links(points: DataFrame, radius: int = 4, bits: int | None = None, most: int = MOST, width: int = 64, best: bool = False, ratio: float = 0.0, apart: int = 64, marked: bool = False) -> DataFrame:
     """(a, b), a < b: keys whose fingerprints in one table are at most `radius` (even) bits apart.
 
     points has distinct (t, key, fp, score) without nulls. All members of a variant's bucket are within the radius of each
     other; the links of meetings() connect them all, and so connect what all pairs within the radius connect. Where
     points has a root, keys of one root are not linked again, and where it has a size, shingles, only keys whose lesser size is
     `ratio` of the greater at least, as sets that share so much have, and where it has a sig, only keys whose sigs differ in at
-    most `apart` bits. With `best` the rows are (a, b, score, company): for each
+    most `apart` bits. With `marked` there is a row (a, a) for each key of a bucket of which not all pairs are made. With `best` the rows are (a, b, score, company): for each
     key a and region only the foremost key b that it meets.
     """
     half = radius // 2
@@ -236,7 +239,7 @@ def links(points: DataFrame, radius: int = 4, bits: int | None = None, most: int
     def meet(table: pa.Table) -> pa.Table:
         key, score = table.column("key").to_numpy(), table.column("score").to_numpy()
         root = table.column("root").to_numpy() if rooted else None
-        found = np.unique(np.concatenate([meetings(*part, key, score, root) for part in portions(*variants(table, half))]), axis=0)
+        found = np.unique(np.concatenate([meetings(*part, key, score, root, marked) for part in portions(*variants(table, half))]), axis=0)
         if sized:
             n = table.column("shingles").to_numpy()[found]
             found = found[n.min(axis=1) >= ratio * n.max(axis=1)]
@@ -244,7 +247,7 @@ def links(points: DataFrame, radius: int = 4, bits: int | None = None, most: int
             sig = table.column("sig").to_numpy()[found]
             found = found[np.bitwise_count(sig[:, 0] ^ sig[:, 1]) <= apart]
         pair = key[found]
-        pair = pair[pair[:, 0] != pair[:, 1]]
+        pair = pair if marked else pair[pair[:, 0] != pair[:, 1]]
         return pa.table({"a": pair.min(axis=1), "b": pair.max(axis=1)})
 
     def meet_best(table: pa.Table) -> pa.Table:
@@ -443,14 +446,66 @@ def verified(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
     return sure.unionByName(of_keys(told.where("alike is null").select("a", "b"), "sketch", "rest").mapInArrow(exactly, "a long, b long"))
 
 
+def crowds(points: DataFrame, most: int) -> DataFrame:
+    """(t, fp): the fingerprints of more than `most` keys."""
+    return cut(points.groupBy("t", "fp").agg(F.count("*").alias("n")).where(F.col("n") > most).select("t", "fp"))
+
+
+def near_crowds(points: DataFrame, roots: DataFrame, radius: int, width: int, most: int) -> DataFrame | None:
+    """(key): the keys near the fingerprint of a crowd, its own among them, where they have several roots; None without crowds."""
+    hot = crowds(points, most)
+    if hot.isEmpty():
+        return None
+    edges = [width * k // (radius + 1) for k in range(radius + 2)]
+    # fingerprints within the radius agree in one of radius + 1 parts
+    part = F.explode(F.array(*[F.struct(F.lit(k).alias("i"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << b - a) - 1)).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:]))]))
+    spots = few(hot.select("t", F.col("fp").alias("spot"), part.alias("part")))
+    near = points.select("t", "key", "fp", part.alias("part")).join(spots, ["t", "part"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("spot"))) <= radius)
+    near = cut(near.select("t", "key", "spot").distinct().join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
+    several = near.groupBy("t", "spot").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("t", "spot")
+    return near.join(several, ["t", "spot"], "left_semi").select("key")
+
+
+def all_links(keys: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: all pairs of keys (key, root) of different roots that can share `least` of their shingles, whatever their number.
+
+    Hashes are put in one order, the rarest first. Sets that share so much have a hash in common among the first of each, as many as a set
+    may lack and one more; and behind the first that they have in common each has enough left for what they must share. So pairs come
+    from a join by those hashes. Of the roots that meet in a hash the largest does not meet itself.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, *parts in zip(*batch.columns):
+                x = np.frombuffer(b"".join(p.as_py() for p in parts), "<u4").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), key.as_py(), np.int64)), pa.array(x)], names=["key", "hash"])
+
+    own = prints.join(few(keys.select("key")), "key", "left_semi").groupBy("key").agg(F.first(F.struct("sketch", "rest", "shingles", "sig")).alias("x"))
+    own = cut(own)
+    rows = cut(own.select("key", "x.sketch", "x.rest").mapInArrow(listed, "key long, hash long"))
+    order = Window.partitionBy("key").orderBy("n", "hash")
+    rare = rows.join(rows.groupBy("hash").agg(F.count("*").alias("n")), "hash").withColumn("rank", F.row_number().over(order))
+    size = F.col("shingles")
+    known = own.select("key", "x.shingles", "x.sig").join(keys, "key")
+    head = cut(rare.join(known, "key").where((F.col("n") > 1) & (F.col("rank") <= size - F.ceil(size * least - 1e-6) + 1)).select("hash", "rank", "key", "root", "shingles", "sig"))
+    main = head.groupBy("hash", "root").agg(F.count("*").alias("n")).groupBy("hash").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("hash", "main")
+    one = head.join(main, "hash").where("root <> main").drop("main")
+    two = head.select("hash", *[F.col(c).alias(f"_{c}") for c in ("rank", "key", "root", "shingles", "sig")])
+    common = 1 + F.least(size - F.col("rank"), F.col("_shingles") - F.col("_rank"))
+    fits = (F.col("root") != F.col("_root")) & (common >= (size + F.col("_shingles")) * F.lit(least / (1 + least)) - 1e-6)
+    both = one.join(two, "hash").where(fits & (F.bit_count(F.col("sig").bitwiseXOR(F.col("_sig"))) <= bits_apart(least)))
+    return both.select(F.least("key", "_key").alias("a"), F.greatest("key", "_key").alias("b")).distinct()
+
+
 def crowded(points: DataFrame, prints: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """(points without crowds, pairs (a, b) of crowded keys): a crowd is over `most` keys with one fingerprint in a table.
 
     Two keys of a crowd stay in its place. Its members meet all keys with which they share a band of least hashes: each bucket ties its
-    keys to the one of most distinct shingles, by aggregates, so that no task holds a crowd.
+    keys to the one of most distinct shingles, by aggregates, so that no task holds a crowd. That joins most of a crowd at little cost;
+    all_links() has all the rest.
     """
     none = points.sparkSession.createDataFrame([], "a long, b long")
-    hot = cut(points.groupBy("t", "fp").agg(F.count("*").alias("n")).where(F.col("n") > most).select("t", "fp"))
+    hot = crowds(points, most)
     if hot.isEmpty():
         return points, none
     crowd = points.join(hot, ["t", "fp"], "left_semi")
@@ -468,21 +523,35 @@ def alike(prints: DataFrame, least: float, bits: int, radius: int = 4, most_shar
     A key's score is the number of keys that share its fingerprints, over all tables: of copies of one text that differ
     from each other more than from it, the text itself has the greatest, and all are paired with it. First each key is
     compared with the foremost of its candidates; then the balls are met again, and only pairs that are not in one
-    component yet are made and compared. So a large group of copies of one text costs about a comparison a copy.
+    component yet are made and compared. So a large group of copies of one text costs about a comparison a copy. Last, all pairs are
+    compared that these leave out and that are not in one component by then: of buckets that were paired by stars, and of crowds.
     """
     points = cut(prints.select("key", "shingles", "sig", F.posexplode("prints").alias("t", "fp")).distinct())
     counts = points.groupBy("t", "fp").agg(F.count("*").alias("n"))
     score = points.join(counts, ["t", "fp"]).groupBy("key").agg(F.sum("n").alias("score"))
-    points, banded = crowded(cut(points.join(score, "key")), prints, most_shared)
+    every = cut(points.join(score, "key"))
+    points, banded = crowded(every, prints, most_shared)
     near = links(points.drop("shingles", "sig"), radius, width=bits, best=True).groupBy("a", "b").agg(F.max("score").alias("score"), F.sum("company").alias("company"))
     foremost = cut(near.groupBy("a").agg(F.max_by("b", F.struct("score", "company", "b")).alias("b")))
     best = cut(foremost.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(banded).distinct())
     sure = cut(verified(best, prints, least))
-    roots = connected(sure).select(F.col("node").alias("key"), "root")
+
+    def rooted(rows: DataFrame, sure: DataFrame) -> DataFrame:
+        roots = connected(sure).select(F.col("node").alias("key"), "root")
+        return rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+
     # keys that met nobody meet nobody the second time
-    apart = points.join(foremost.select(F.col("a").alias("key")), "key", "left_semi").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    met = links(cut(apart), radius, width=bits, ratio=least, apart=bits_apart(least))
-    more = verified(cut(met.join(best, ["a", "b"], "left_anti")), prints, least)
+    some = points.join(foremost.select(F.col("a").alias("key")), "key", "left_semi")
+    met = cut(links(cut(rooted(some, sure)), radius, width=bits, ratio=least, apart=bits_apart(least), marked=True))
+    done = best.unionByName(met.where("a < b"))
+    sure = cut(sure.unionByName(verified(cut(met.where("a < b").join(best, ["a", "b"], "left_anti")), prints, least)))
+    roots = connected(sure).select(F.col("node").alias("key"), "root")
+    left, crowd = met.where("a = b").select(F.col("a").alias("key")), near_crowds(every, roots, radius, bits, most_shared)
+    keys = cut((left if crowd is None else left.unionByName(crowd)).distinct())
+    if keys.isEmpty():
+        return roots
+    found = all_links(cut(rooted(keys, sure)), prints, least)
+    more = verified(cut(found.join(done, ["a", "b"], "left_anti")), prints, least)
     return connected(sure.unionByName(more)).select(F.col("node").alias("key"), "root")
 
 

@@ -609,6 +609,54 @@ def test_crowds_of_one_fingerprint(spark):
     assert {(i, j) for i, j in combinations(got, 2) if got[i] == got[j]} == {(i, j) for i, j in combinations(got, 2) if want[i] == want[j]}
 
 
+def made_prints(spark, pairs, n, fp):
+    """prints of n keys with unlike sets of 50 hashes, but for pairs, which share 46 of 54; no two have a band in common."""
+    rng, rows, sets = np.random.default_rng(60), [], {}
+    for k in range(1, n + 1):
+        sets[k] = rng.choice(1 << 32, 50, replace=False)
+    for a, b in pairs:
+        sets[b] = np.concatenate([sets[a][:46], sets[b][:4]])
+    for k, x in sets.items():
+        x = np.unique(x.astype("<u4"))
+        rows.append((k, [fp(k)] * 6, bytearray(x.tobytes()), bytearray(), len(x), simhash.signature(simhash.least_hashes(x)), [k * 100 + i for i in range(simhash.BANDS)]))
+    return spark.createDataFrame(rows, simhash.PRINTS).repartition(3)
+
+
+def together(prints, **options):
+    roots = {}
+    for r in simhash.alike(prints, 0.8, 48, **options).collect():
+        roots.setdefault(r.root, set()).add(r.key)
+    return sorted(map(sorted, roots.values()))
+
+
+def test_large_buckets_lose_no_pair(spark):
+    """Neither with the two foremost keys nor with a neighbour: stars and a chain do not compare these pairs."""
+    pairs = [(3, 9), (4, 11), (5, 15)]
+    for fp in (lambda k: 77, lambda k: 77 ^ 1 << k % 3):
+        assert together(made_prints(spark, pairs, 20, fp)) == [list(p) for p in pairs]
+
+
+def test_crowds_lose_no_pair(spark):
+    """Pairs that share no band of least hashes, in a crowd and with a key beside it."""
+    got = together(made_prints(spark, [(3, 9), (4, 11), (5, 20), (6, 21)], 21, lambda k: 77 if k < 20 else 77 ^ (15 if k == 20 else 31) << 20), most_shared=10)
+    assert got == [[3, 9], [4, 11], [5, 20]]
+
+
+def test_all_links_are_few_and_have_every_pair(spark):
+    """Of 200 copies of one text with up to a fifth of it replaced, each its own root; few pairs more than those that are alike."""
+    rng, sets = np.random.default_rng(61), []
+    base = rng.choice(1 << 32, 120, replace=False)
+    for k in range(200):
+        new = base.copy()
+        gone = int(rng.integers(2, 24))
+        new[rng.choice(120, gone, replace=False)] = rng.choice(1 << 32, gone)
+        sets.append(np.unique(new.astype("<u4"))[: int(rng.integers(100, 121))])
+    rows = [(k, [0], bytearray(x.tobytes()), bytearray(), len(x), simhash.signature(simhash.least_hashes(x)), [0]) for k, x in enumerate(sets)]
+    found = [(r.a, r.b) for r in simhash.all_links(spark.range(200).selectExpr("id as key", "id as root"), spark.createDataFrame(rows, simhash.PRINTS), 0.8).collect()]
+    want = {(a, b) for a, b in combinations(range(200), 2) if simhash.shared(sets[a], sets[b]) >= 0.8}
+    assert len(want) > 100 and want <= set(found) and len(found) == len(set(found)) < 200 * 199 / 4
+
+
 def test_portions_keep_buckets_whole(monkeypatch):
     monkeypatch.setattr(simhash, "AT_ONCE", 100)
     value, who = np.random.default_rng(59).integers(0, 300, 2000).astype(np.uint64), np.arange(2000)

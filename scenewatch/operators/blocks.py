@@ -176,39 +176,62 @@ def strips(blocks: DataFrame, channels: list[str], tile: int, step: int, block:
         return out
 
     def of(batches):
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for r in pdf.itertuples(index=False):
-                planes = [np.asarray(getattr(r, n)).reshape(r.h, r.w) for n in ("valid", *channels)]
-                for by, y1, y2 in part(r.by, r.y0, r.h):
-                    for bx, x1, x2 in part(r.bx, r.x0, r.w):
-                        if (by, bx) != (r.by, r.bx):
-                            cut_ = [np.ascontiguousarray(p[y1 - r.y0 : y2 - r.y0, x1 - r.x0 : x2 - r.x0]).ravel() for p in planes]
-                            rows.append((r.tile_id, by, bx, y1, x1, y2 - y1, x2 - x1, *cut_))
+            for tile_id, own_y, own_x, y0, x0, h, w, *data in rows_in(pa.Table.from_batches([batch])):
+                planes = [p.reshape(h, w) for p in data]
+                for by, y1, y2 in part(own_y, y0, h):
+                    for bx, x1, x2 in part(own_x, x0, w):
+                        if (by, bx) != (own_y, own_x):
+                            rows.append((tile_id, by, bx, y1, x1, y2 - y1, x2 - x1, *[p[y1 - y0 : y2 - y0, x1 - x0 : x2 - x0].ravel() for p in planes]))
             if rows:
-                yield pd.DataFrame(rows, columns=[*FRAME, "valid", *channels])
+                first, lists = zip(*((r[: len(FRAME)], r[len(FRAME) :]) for r in rows))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(zip(*first), schema)), *map(list_array, zip(*lists))], schema=schema)
 
     fields = f"tile_id {kind}, by int, bx int, y0 int, x0 int, h int, w int, valid array<boolean>, " + ", ".join(f"`{c}` array<float>" for c in channels)
-    return blocks.select(*FRAME, "valid", *channels).mapInPandas(of, fields)
+    schema = to_arrow_schema(T.StructType.fromDDL(fields))
+    return blocks.select(*FRAME, "valid", *channels).mapInArrow(of, fields)
 
 
 def score_blocks(blocks: DataFrame, scorer: Scorer | Callable[[np.ndarray], np.ndarray], channels: list[str], tile: int, bound: int = 0, overlap: int = 0, means: list[float] | None = None, batch: int = 4, block: int = SIDE) -> DataFrame:
     """(tile_id, wy, wx, y0, x0, h, w, valid, scores): each window with a valid pixel, and one array of scores for each output k.
 
     scoring.make_windows() and score_windows() on blocks: a window is made where it begins, from its block and strips of others, so that
-    strips are all that is shuffled if blocks are parted by PLACE already. Padding and invalid pixels are the channel means, or 0.
+    strips are all that is shuffled if blocks are parted by PLACE already. Blocks smaller than SIDE come in squares of about SIDE, as a
+    group costs the same however little it holds; their windows go to the model and to Spark together, a few million values at most.
+    Padding and invalid pixels are the channel means, or 0.
     """
     step = step_of(tile, bound, overlap)
     fill = np.array(means if means else [0.0] * len(channels), np.float32)
     predict = scorer.predict if hasattr(scorer, "predict") else scorer
     field = blocks.schema["tile_id"]
 
+    at_once = batch * max(1, (1 << 21) // (batch * len(channels) * tile * tile))
+
     def of(own: pa.Table, near: pa.Table) -> pa.Table:
-        parts = [r for t in (own, near) for r in rows_in(t)]
-        tile_id, by, bx = parts[0][:3]
-        ys, xs = origins(by, block, step), origins(bx, block, step)
-        rows = windows(parts, tile_id, ys, xs) if ys and xs else []
-        return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+        places: dict[tuple, list[list]] = {}
+        for t in (own, near):
+            for row in rows_in(t):
+                places.setdefault(tuple(row[1:3]), []).append(row)
+        held, out = [], []
+        for (by, bx), parts in places.items():
+            ys, xs = origins(by, block, step), origins(bx, block, step)
+            held += windows(parts, parts[0][0], ys, xs) if ys and xs else []
+            while len(held) >= at_once:
+                out.append(scored(held[:at_once]))
+                held = held[at_once:]
+        return pa.Table.from_batches([*out, *([scored(held)] if held else [])], schema)
+
+    def scored(held: list[tuple]) -> pa.RecordBatch:
+        tile_id, y, x, valid, planes = zip(*held)
+        input_, n, size = np.stack(planes), len(held), tile * tile
+        out = np.concatenate([np.asarray(predict(input_[k : k + batch]), np.float32) for k in range(0, n, batch)])
+        y, x = np.array(y, np.int32), np.array(x, np.int32)
+        full = np.full(n, tile, np.int32)
+        ends = lambda m, size: pa.array(np.arange(m + 1, dtype=np.int32) * size)
+        each_k = pa.ListArray.from_arrays(ends(n * out.shape[1], size), pa.array(out.ravel()))
+        lists = [pa.ListArray.from_arrays(ends(n, size), pa.array(np.stack(valid).ravel())), pa.ListArray.from_arrays(ends(n, out.shape[1]), each_k)]
+        return pa.RecordBatch.from_arrays([pa.array(tile_id, schema[0].type), *map(pa.array, (y // step, x // step, y, x, full, full)), *lists], schema=schema)
 
     def windows(parts: list[list], tile_id: object, ys: range, xs: range) -> list[tuple]:
         shape = (ys[-1] + tile - ys[0], xs[-1] + tile - xs[0])
@@ -223,13 +246,7 @@ def score_blocks(blocks: DataFrame, scorer: Scorer | Callable[[np.ndarray], np.n
             for c, values in enumerate(data):
                 planes[c][to][ok] = values.reshape(h, w)[at][ok]
         at = [(y, x, (slice(y - ys[0], y - ys[0] + tile), slice(x - xs[0], x - xs[0] + tile))) for y in ys for x in xs]
-        at = [w for w in at if valid[w[2]].any()]
-        rows = []
-        for k in range(0, len(at), batch):
-            some = at[k : k + batch]
-            out = np.asarray(predict(np.stack([planes[:, s[0], s[1]] for _, _, s in some])), np.float32)
-            rows += [(tile_id, y // step, x // step, y, x, tile, tile, valid[s].ravel(), [p.ravel() for p in scores]) for (y, x, s), scores in zip(some, out)]
-        return rows
+        return [(tile_id, y, x, valid[s], planes[:, s[0], s[1]]) for y, x, s in at if valid[s].any()]
 
     whole = blocks.select(*FRAME, "valid", *channels)
     sent = strips(blocks, channels, tile, step, block)
@@ -237,13 +254,28 @@ def score_blocks(blocks: DataFrame, scorer: Scorer | Callable[[np.ndarray], np.n
     sent = sent.select(*[F.col(c).alias(f"_{c}" if c in PLACE else c) for c in sent.columns])
     fields = f"tile_id {field.dataType.simpleString()}, wy int, wx int, y0 int, x0 int, h int, w int, valid array<boolean>, scores array<array<float>>"
     schema = to_arrow_schema(T.StructType.fromDDL(fields))
-    return whole.groupBy(*PLACE).cogroup(sent.groupBy(*[f"_{c}" for c in PLACE])).applyInArrow(of, fields)
+    many = max(1, SIDE // block)
+
+    def square(prefix: str) -> list[Column]:
+        return [F.col(f"{prefix}{c}") if c == "tile_id" or many == 1 else F.floor(F.col(f"{prefix}{c}") / many) for c in PLACE]
+
+    return whole.groupBy(*square("")).cogroup(sent.groupBy(*square("_"))).applyInArrow(of, fields)
 
 
 def rows_in(table: pa.Table) -> list[list]:
     """The rows of a table, lists of numbers as arrays."""
-    columns = [c.combine_chunks() for c in table.columns]
-    return [[v.values.to_numpy(zero_copy_only=False) if isinstance(v, pa.ListScalar) else v.as_py() for v in (c[i] for c in columns)] for i in range(table.num_rows)]
+    columns = []
+    for c in (c.combine_chunks() for c in table.columns):
+        if pa.types.is_list(c.type):
+            values, ends = c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy().tolist()
+            columns.append([values[a:b] for a, b in zip(ends, ends[1:])])
+        else:
+            columns.append(c.to_pylist())
+    return [list(r) for r in zip(*columns)]
+
+
+def list_array(rows: tuple[np.ndarray, ...]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)], dtype=np.int32)), pa.array(np.concatenate(rows)))
 
 
 def window_cells(windows: DataFrame) -> DataFrame:

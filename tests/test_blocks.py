@@ -150,3 +150,15 @@ def test_pixels_that_are_not_there_cost_nothing(pixels):
         assert len(holes) == 1 and not any(holes[0])
     maths = blocks.cube(made, ["B04"], "L1C", "none")._jdf.queryExecution().optimizedPlan().toString()
     assert ".there THEN" in maths
+
+
+def test_windows_of_many_blocks_go_to_the_model_together(spark):
+    """Blocks with few windows fill a call of the model, whichever blocks they come from."""
+    rows = [(t, y, x, float(t + y * 4 + x)) for t in range(6) for y in range(4) for x in range(4)]
+    made = blocks.to_blocks(spark.createDataFrame(rows, "tile_id int, y int, x int, v float"), ["v"], 2).withColumn("valid", F.col("there"))
+
+    def calls(windows):
+        return np.full_like(windows[:, :1], len(windows))
+
+    found = blocks.score_blocks(made, calls, ["v"], 2, batch=4, block=2)
+    assert [r.scores[0][0] for r in found.collect()] == [4] * 24

@@ -9,22 +9,22 @@ so a task's work is bounded however the fingerprints cluster.
 
 near_duplicates() links by one 64-bit fingerprint and its radius alone. without_near_duplicates() asks for a similarity
 of sets of word shingles: several shorter fingerprints of word pairs, which few changed words hardly move, give the
-candidates, a word of 64 bits turns the unlike ones away inside the region's task, sketches of the shingles decide clear cases,
-and all shingles the rest. A fingerprint that very many texts share (a template) is parted by their shingles' least hashes. Both and the
-stars of large buckets only join most at little cost: all_links() makes every pair that is left.
+candidates, each text is compared with its foremost one by sketches of the shingles, or all of them where these do not decide. A
+fingerprint that very many texts share (a template) is parted by their shingles' least hashes. Both only join most at little cost:
+open_keys() are the texts that still meet one of another component, and all_links() makes every pair of them that can be alike.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
@@ -36,7 +36,7 @@ SEED = 42
 MOST, AT_ONCE = 4_000_000, 1_000_000
 #: The same for fingerprints of 64 bits, of which an even region has some 4 million variants at any size: only clusters have more.
 WIDE = 6_000_000
-#: Buckets of up to so many members make all their pairs, larger ones stars and a chain.
+#: Buckets of up to so many members make or try all their pairs, larger ones make stars and a chain, or are open as a whole.
 SMALL = 6
 #: Least hashes of shingles in a sketch; how far from the limit an estimate by sketches decides (six deviations at most).
 SKETCH, MARGIN = 256, 0.15
@@ -186,21 +186,16 @@ def best_meetings(value: np.ndarray, who: np.ndarray, names: np.ndarray, score:
     return who[own], partner[own], company[partner[own]].astype(np.int64)
 
 
-def meetings(value: np.ndarray, who: np.ndarray, names: np.ndarray, score: np.ndarray, root: np.ndarray | None = None, marked: bool = False) -> np.ndarray:
+def meetings(value: np.ndarray, who: np.ndarray, names: np.ndarray, score: np.ndarray) -> np.ndarray:
     """Pairs (n, 2) of rows that share a value, each once: enough of them to connect all rows of every bucket.
 
-    With root, pairs of rows of one root are left out, as they are connected already. Buckets of up to SMALL rows give all their pairs. In larger ones the two rows of the greatest score (then with the
+    Buckets of up to SMALL rows give all their pairs. In larger ones the two rows of the greatest score (then with the
     most company in the region, then of the least name) are paired with all others, and neighbours in that order with
-    each other; `marked` adds a pair of itself for each row of such a bucket.
+    each other.
     """
     who, many, first, place, _, _ = ranked(value, who, names, score)
     if not len(who):
         return np.zeros((0, 2), np.int64)
-    if root is not None:  # buckets of one root only say nothing new
-        begin = np.flatnonzero(place == 0)
-        new = np.repeat(np.minimum.reduceat(root[who], begin) != np.maximum.reduceat(root[who], begin), many[begin])
-        moved = np.cumsum(~new)[first]
-        who, many, first, place = who[new], many[new], (first - moved)[new], place[new]
     pairs = []
     for k in range(1, SMALL):
         i = np.flatnonzero((many <= SMALL) & (place + k < many))
@@ -211,43 +206,60 @@ def meetings(value: np.ndarray, who: np.ndarray, names: np.ndarray, score: np.nd
     i = np.flatnonzero((many > SMALL) & (place > 2))
     pairs.append((who[i - 1], who[i]))
     a, b = (np.concatenate(x) for x in zip(*pairs))
-    if root is not None:
-        a, b = a[root[a] != root[b]], b[root[a] != root[b]]
-    if marked:
-        a, b = (np.concatenate([x, who[many > SMALL]]) for x in (a, b))
     packed = np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b))
     return np.stack([packed // len(names), packed % len(names)], axis=1)
 
 
-def links(points: DataFrame, radius: int = 4, bits: int | None = None, most: int = MOST, width: int = 64, best: bool = False, ratio: float = 0.0, apart: int = 64, marked: bool = False) -> DataFrame:
-    """(a, b), a < b: keys whose fingerprints in one table are at most `radius` (even) bits apart.
+def open_rows(value: np.ndarray, who: np.ndarray, root: np.ndarray, lead: np.ndarray, own: np.ndarray, half: int, fits: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Whether each row shares a value with one of another root that fits it; in buckets of over SMALL rows with any of another root.
 
-    points has distinct (t, key, fp, score) without nulls. All members of a variant's bucket are within the radius of each
-    other; the links of meetings() connect them all, and so connect what all pairs within the radius connect. Where
-    points has a root, keys of one root are not linked again, and where it has a size, shingles, only keys whose lesser size is
-    `ratio` of the greater at least, as sets that share so much have, and where it has a sig, only keys whose sigs differ in at
-    most `apart` bits. With `marked` there is a row (a, a) for each key of a bucket of which not all pairs are made. With `best` the rows are (a, b, score, company): for each
-    key a and region only the foremost key b that it meets.
+    lead are the bits above the region's low ones, and own tells whether they are the region's. Rows that differ in at most `half` of
+    them meet in the region of either, so a row is told in its own region, and elsewhere only where its bucket differs in more.
     """
-    half = radius // 2
-    if radius != 2 * half:
+    found = np.zeros(len(root), bool)
+    order = np.argsort(value)
+    value, who = value[order], who[order]
+    begin = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    size = np.diff(np.append(begin, len(value)))
+    several = np.minimum.reduceat(root[who], begin) != np.maximum.reduceat(root[who], begin)
+    far = np.bitwise_count(np.bitwise_or.reduceat(lead[who], begin) ^ np.bitwise_and.reduceat(lead[who], begin)) > half
+    kept = np.repeat(several, size)
+    size, far, who = size[several], np.repeat(far[several], size[several]), who[kept]
+    told, many = own[who] | far, np.repeat(size, size)
+    place = np.arange(len(who)) - np.repeat(np.cumsum(size) - size, size)
+    found[who[told & (many > SMALL)]] = True
+    for k in range(1, SMALL):
+        i = np.flatnonzero((many <= SMALL) & (place + k < many))
+        i = i[(told[i] | told[i + k]) & (root[who[i]] != root[who[i + k]])]
+        i = i[fits(who[i], who[i + k])]
+        for j in (i, i + k):
+            found[who[j[told[j]]]] = True
+    return found
+
+
+def by_region(points: DataFrame, radius: int, bits: int | None, most: int, width: int) -> GroupedData:
+    """points by the regions in which keys at most `radius` (even) bits apart share a variant."""
+    if radius % 2:
         raise ValueError("the radius must be even: balls of half of it meet in the middle")
     tables = max(1, points.select("t").distinct().count())
     bits = bits or region_bits(points.count() / tables)
-    rooted, sized, signed = ("root" in points.columns, "shingles" in points.columns, "sig" in points.columns)
+    return regions(points, radius // 2, bits, most, width=width).groupBy("t", "low", "region")
+
+
+def links(points: DataFrame, radius: int = 4, bits: int | None = None, most: int = MOST, width: int = 64, best: bool = False) -> DataFrame:
+    """(a, b), a < b: keys whose fingerprints in one table are at most `radius` (even) bits apart.
+
+    points has distinct (t, key, fp, score) without nulls. All members of a variant's bucket are within the radius of each
+    other; the links of meetings() connect them all, and so connect what all pairs within the radius connect. With `best` the
+    rows are (a, b, score, company): for each key a and region only the foremost key b that it meets.
+    """
+    half = radius // 2
 
     def meet(table: pa.Table) -> pa.Table:
         key, score = table.column("key").to_numpy(), table.column("score").to_numpy()
-        root = table.column("root").to_numpy() if rooted else None
-        found = np.unique(np.concatenate([meetings(*part, key, score, root, marked) for part in portions(*variants(table, half))]), axis=0)
-        if sized:
-            n = table.column("shingles").to_numpy()[found]
-            found = found[n.min(axis=1) >= ratio * n.max(axis=1)]
-        if signed:
-            sig = table.column("sig").to_numpy()[found]
-            found = found[np.bitwise_count(sig[:, 0] ^ sig[:, 1]) <= apart]
+        found = np.unique(np.concatenate([meetings(*part, key, score) for part in portions(*variants(table, half))]), axis=0)
         pair = key[found]
-        pair = pair if marked else pair[pair[:, 0] != pair[:, 1]]
+        pair = pair[pair[:, 0] != pair[:, 1]]
         return pa.table({"a": pair.min(axis=1), "b": pair.max(axis=1)})
 
     def meet_best(table: pa.Table) -> pa.Table:
@@ -257,10 +269,33 @@ def links(points: DataFrame, radius: int = 4, bits: int | None = None, most: int
         row, partner, company = (c[order][np.flatnonzero(np.diff(row[order], prepend=-1))] for c in (row, partner, company))
         return pa.table({"a": key[row], "b": key[partner], "score": score[partner], "company": company}).filter(pa.array(key[row] != key[partner]))
 
-    grouped = regions(points, half, bits, most, width=width).groupBy("t", "low", "region")
+    grouped = by_region(points, radius, bits, most, width)
     return grouped.applyInArrow(meet_best, "a long, b long, score long, company long") if best else grouped.applyInArrow(meet, "a long, b long").distinct()
 
 
+def open_keys(points: DataFrame, least: float, radius: int = 4, bits: int | None = None, most: int = MOST, width: int = 64) -> DataFrame:
+    """(key): all keys with one of another root at most `radius` bits away in a table that can share `least` of its shingles.
+
+    points has distinct (t, key, fp, root, shingles, sig). Sizes and signatures tell whether two keys can; in large buckets every key
+    counts. No pairs leave a task, only a row for each key and region, so a cluster makes no more rows than it has keys and regions.
+    """
+    half, apart = radius // 2, bits_apart(least)
+
+    def meet(table: pa.Table) -> pa.Table:
+        key, root, n, sig, fp = (table.column(c).to_numpy() for c in ("key", "root", "shingles", "sig", "fp"))
+        low = table.column("low")[0].as_py()
+        lead = fp.view(np.uint64) >> np.uint64(low) if low < 64 else np.zeros(len(fp), np.uint64)
+        own = table.column("left").to_numpy() == half
+
+        def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-6) & (np.bitwise_count(sig[a] ^ sig[b]) <= apart)
+
+        found = reduce(np.logical_or, (open_rows(*part, root, lead, own, half, fits) for part in portions(*variants(table, half))))
+        return pa.table({"key": np.unique(key[found])})
+
+    return by_region(points, radius, bits, most, width).applyInArrow(meet, "key long").distinct()
+
+
 def roots_of(prints: DataFrame, radius: int) -> DataFrame:
     """(fp, root): each distinct fingerprint with one that stands for its component."""
     classes = cut(prints.select("fp").distinct())
@@ -483,11 +518,13 @@ def all_links(keys: DataFrame, prints: DataFrame, least: float) -> DataFrame:
     own = prints.join(few(keys.select("key")), "key", "left_semi").groupBy("key").agg(F.first(F.struct("sketch", "rest", "shingles", "sig")).alias("x"))
     own = cut(own)
     rows = cut(own.select("key", "x.sketch", "x.rest").mapInArrow(listed, "key long, hash long"))
-    order = Window.partitionBy("key").orderBy("n", "hash")
-    rare = rows.join(rows.groupBy("hash").agg(F.count("*").alias("n")), "hash").withColumn("rank", F.row_number().over(order))
-    size = F.col("shingles")
+    common = rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    size, of_key = F.col("shingles"), Window.partitionBy("key")
     known = own.select("key", "x.shingles", "x.sig").join(keys, "key")
-    head = cut(rare.join(known, "key").where((F.col("n") > 1) & (F.col("rank") <= size - F.ceil(size * least - 1e-6) + 1)).select("hash", "rank", "key", "root", "shingles", "sig"))
+    # the hashes of one key alone come first
+    rank = size - F.count("*").over(of_key) + F.row_number().over(of_key.orderBy("n", "hash"))
+    rare = rows.join(common, "hash").join(known, "key").withColumn("rank", rank)
+    head = cut(rare.where(F.col("rank") <= size - F.ceil(size * least - 1e-6) + 1).select("hash", "rank", "key", "root", "shingles", "sig"))
     main = head.groupBy("hash", "root").agg(F.count("*").alias("n")).groupBy("hash").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("hash", "main")
     one = head.join(main, "hash").where("root <> main").drop("main")
     two = head.select("hash", *[F.col(c).alias(f"_{c}") for c in ("rank", "key", "root", "shingles", "sig")])
@@ -522,9 +559,8 @@ def alike(prints: DataFrame, least: float, bits: int, radius: int = 4, most_shar
 
     A key's score is the number of keys that share its fingerprints, over all tables: of copies of one text that differ
     from each other more than from it, the text itself has the greatest, and all are paired with it. First each key is
-    compared with the foremost of its candidates; then the balls are met again, and only pairs that are not in one
-    component yet are made and compared. So a large group of copies of one text costs about a comparison a copy. Last, all pairs are
-    compared that these leave out and that are not in one component by then: of buckets that were paired by stars, and of crowds.
+    compared with the foremost of its candidates, so a large group of copies of one text costs about a comparison a copy. Then the
+    balls are met again, and all pairs are compared of keys that have a candidate in another component, or are near a crowd.
     """
     points = cut(prints.select("key", "shingles", "sig", F.posexplode("prints").alias("t", "fp")).distinct())
     counts = points.groupBy("t", "fp").agg(F.count("*").alias("n"))
@@ -536,22 +572,18 @@ def alike(prints: DataFrame, least: float, bits: int, radius: int = 4, most_shar
     best = cut(foremost.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(banded).distinct())
     sure = cut(verified(best, prints, least))
 
-    def rooted(rows: DataFrame, sure: DataFrame) -> DataFrame:
-        roots = connected(sure).select(F.col("node").alias("key"), "root")
+    def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
         return rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
     # keys that met nobody meet nobody the second time
-    some = points.join(foremost.select(F.col("a").alias("key")), "key", "left_semi")
-    met = cut(links(cut(rooted(some, sure)), radius, width=bits, ratio=least, apart=bits_apart(least), marked=True))
-    done = best.unionByName(met.where("a < b"))
-    sure = cut(sure.unionByName(verified(cut(met.where("a < b").join(best, ["a", "b"], "left_anti")), prints, least)))
+    some = points.join(foremost.select(F.col("a").alias("key")), "key", "left_semi").drop("score")
     roots = connected(sure).select(F.col("node").alias("key"), "root")
-    left, crowd = met.where("a = b").select(F.col("a").alias("key")), near_crowds(every, roots, radius, bits, most_shared)
+    left, crowd = open_keys(cut(rooted(some, roots)), least, radius, width=bits), near_crowds(every, roots, radius, bits, most_shared)
     keys = cut((left if crowd is None else left.unionByName(crowd)).distinct())
     if keys.isEmpty():
         return roots
-    found = all_links(cut(rooted(keys, sure)), prints, least)
-    more = verified(cut(found.join(done, ["a", "b"], "left_anti")), prints, least)
+    found = all_links(cut(rooted(keys, roots)), prints, least)
+    more = verified(cut(found.join(best, ["a", "b"], "left_anti")), prints, least)
     return connected(sure.unionByName(more)).select(F.col("node").alias("key"), "root")
 
 

@@ -642,6 +642,41 @@ def test_crowds_lose_no_pair(spark):
     assert got == [[3, 9], [4, 11], [5, 20]]
 
 
+def test_a_cluster_makes_no_pairs_by_the_square(spark, monkeypatch):
+    """200 copies of one text, each with other words replaced, are near by SimHash and share about 0.6 with each other."""
+    rng, rows, sets = np.random.default_rng(62), [], {}
+    base = rng.choice(1 << 32, 120, replace=False)
+    pairs = [(3, 9), (50, 120), (77, 199)]
+    for k in range(200):
+        sets[k] = np.concatenate([rng.choice(base, 105, replace=False), rng.choice(1 << 32, 15)])
+    for a, b in pairs:
+        sets[b] = np.concatenate([sets[a][:116], sets[b][116:]])
+    flips = list(combinations(range(48), 2))
+    for k, x in sets.items():
+        x, (i, j) = np.unique(x.astype("<u4")), flips[5 * k]
+        rows.append((k, [77 ^ 1 << i ^ 1 << j] * 6, bytearray(x.tobytes()), bytearray(), len(x), simhash.signature(simhash.least_hashes(x)), [k * 100 + i for i in range(simhash.BANDS)]))
+    made, verified = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda found, *rest: (made.append(found.count()), verified(found, *rest))[1])
+    assert together(spark.createDataFrame(rows, simhash.PRINTS).repartition(3)) == [list(p) for p in pairs]
+    assert sum(made) < 3 * len(rows)
+
+
+@pytest.mark.parametrize("most", [2000, simhash.MOST])
+def test_open_keys_are_all_that_meet_another_root(spark, most):
+    """Against all pairs, in regions parted once and further; leading bits differ in up to four."""
+    rng, near = np.random.default_rng(63), lambda f: f ^ sum(1 << int(b) for b in rng.choice(48, rng.integers(0, 4), replace=False))
+    fps = [near(int(c)) for c in rng.integers(0, 1 << 48, 60) for _ in range(int(rng.integers(1, 6)))]
+    fps += [fps[0] ^ m << 44 for m in (3, 5, 14, 15)] + [near(1 << 47) for _ in range(60)]
+    sig = [int(rng.integers(0, 2)) * ((1 << 30) - 1) for _ in fps]
+    rows = [(0, k, f, k // 2, 100 if k % 5 else 60, s) for k, (f, s) in enumerate(zip(fps, sig))]
+    met = [(x, y) for x, y in combinations(rows, 2) if x[3] != y[3] and (x[2] ^ y[2]).bit_count() <= 4]
+    want = {k for x, y in met if x[4] == y[4] and x[5] == y[5] for k in (x[1], y[1])}
+    found = [r.key for r in simhash.open_keys(spark.createDataFrame(rows, "t int, key long, fp long, root long, shingles long, sig long"), 0.8, 4, 7, most, 48).collect()]
+    assert len(found) == len(set(found)) and want <= set(found) <= {k for x, y in met for k in (x[1], y[1])}
+    crowd = set(range(len(fps) - 60, len(fps)))
+    assert len(want - crowd) > 50 and set(found) - crowd < {k for x, y in met for k in (x[1], y[1])} - crowd
+
+
 def test_all_links_are_few_and_have_every_pair(spark):
     """Of 200 copies of one text with up to a fifth of it replaced, each its own root; few pairs more than those that are alike."""
     rng, sets = np.random.default_rng(61), []

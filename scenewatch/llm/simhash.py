@@ -29,13 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
 from scenewatch.llm.common import SPACE_BYTES, byte_slices, cut, fold_tables, mixed, need, removed, tokens, whole, whole_id, written
-from scenewatch.operators.graph import connected
+from scenewatch.operators.graph import connected, swept
 
 SEED = 42
 #: Variants that a region may hold, and how many of them its task sorts at once: some 200 MB.
 MOST, AT_ONCE = 4_000_000, 1_000_000
 #: The same for fingerprints of 64 bits, of which an even region has some 4 million variants at any size: only clusters have more.
 WIDE = 6_000_000
+#: Rows of a region whose task makes the variants part by part, so many on average, and its variants in all: some ten seconds.
+HELD, WHOLE = 900_000, 120_000_000
 #: Buckets of up to so many members make or try all their pairs, larger ones make stars and a chain, or are open as a whole.
 SMALL = 6
 #: Least hashes of shingles in a sketch; how far from the limit an estimate by sketches decides (six deviations at most).
@@ -97,6 +99,17 @@ def region_bits(count: int, per_region: int = 2000) -> int:
     return min(40, max(7, math.ceil(math.log2(max(1, count / per_region)))))
 
 
+def held_bits(count: int, half: int) -> int:
+    """Leading bits, as few as can be, such that a region has about HELD rows of count fingerprints at most.
+
+    A fingerprint is sent to each region within `half` flips of these bits, so fewer of them are fewer rows to shuffle.
+    """
+    bits = 6
+    while bits < 40 and count * sum(math.comb(bits, k) for k in range(half + 1)) > HELD << bits:
+        bits += 1
+    return bits
+
+
 @lru_cache(maxsize=256)
 def masks_of(low: int, k: int) -> np.ndarray:
     """All masks of `low` bits with k of them set."""
@@ -133,10 +146,13 @@ def regions(points: DataFrame, half: int, bits: int, most: int = MOST, step: int
     return reduce(DataFrame.unionByName, done, rows)
 
 
-def variants(table: pa.Table, half: int) -> tuple[np.ndarray, np.ndarray]:
+def region_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, int]:
+    """(fp, left, low) of the rows of one region."""
+    return table.column("fp").to_numpy().view(np.uint64), table.column("left").to_numpy(), table.column("low")[0].as_py()
+
+
+def variants(fp: np.ndarray, left: np.ndarray, low: int, half: int) -> tuple[np.ndarray, np.ndarray]:
     """(value, row): the variants in the low bits of each row of one region."""
-    low = table.column("low")[0].as_py()
-    fp, left = table.column("fp").to_numpy().view(np.uint64), table.column("left").to_numpy()
     rest = fp & np.uint64((1 << low) - 1)
     value, owner = [], []
     for k in range(half + 1):
@@ -156,6 +172,24 @@ def portions(value: np.ndarray, who: np.ndarray) -> Iterator[tuple[np.ndarray, n
         yield value[own], who[own]
 
 
+def parted(fp: np.ndarray, left: np.ndarray, low: int, half: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, tuple[np.ndarray, np.ndarray]]]:
+    """(rows, left, low, portion): a region parted by as many further bits as leave about AT_ONCE variants in each part.
+
+    What regions() does by rows for tasks, this does inside one, so that it holds the variants of one part only. A portion's rows
+    count in `rows`, which the part has, with the flips left for the lowest `low` bits.
+    """
+    ball = np.array(list(accumulate(math.comb(low, k) for k in range(half + 1))), np.int64)
+    by = min(low, 10, max(0, int(ball[left].sum()) // AT_ONCE).bit_length())
+    low -= by
+    head = fp >> np.uint64(low) & np.uint64((1 << by) - 1) if low < 64 else np.zeros(len(fp), np.uint64)
+    for part in range(1 << by):
+        rest = left - np.bitwise_count(head ^ np.uint64(part))
+        rows = np.flatnonzero(rest >= 0)
+        if len(rows):
+            for portion in portions(*variants(fp[rows], rest[rows], low, half)):
+                yield rows, rest[rows], low, portion
+
+
 def ranked(value: np.ndarray, who: np.ndarray, names: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
     """(who, size, first, place, rank, company) of the rows that share a value with others, bucket by bucket and by rank.
 
@@ -168,8 +202,8 @@ def ranked(value: np.ndarray, who: np.ndarray, names: np.ndarray, score: np.ndar
     several = np.repeat(size > 1, size)
     size, value, who = size[size > 1], value[several], who[several].astype(np.int64)
     company = np.bincount(who, np.repeat(size, size) - 1, len(names))
-    rank = np.empty(len(names), np.int64)
-    rank[np.lexsort((names, -company, -score))] = np.arange(len(names))
+    rank, own = np.empty(len(names), np.int64), np.flatnonzero(company)
+    rank[own[np.lexsort((names[own], -company[own], -score[own]))]] = np.arange(len(own))
     who = who[np.lexsort((rank[who], value))]
     first = np.repeat(np.cumsum(size) - size, size)
     return who, np.repeat(size, size), first, np.arange(len(who)) - first, rank, company
@@ -241,8 +275,9 @@ def by_region(points: DataFrame, radius: int, bits: int | None, most: int, width
     """points by the regions in which keys at most `radius` (even) bits apart share a variant."""
     if radius % 2:
         raise ValueError("the radius must be even: balls of half of it meet in the middle")
-    tables = max(1, points.select("t").distinct().count())
-    bits = bits or region_bits(points.count() / tables)
+    if not bits:
+        tables = max(1, points.select("t").distinct().count())
+        bits = region_bits(points.count() / tables)
     return regions(points, radius // 2, bits, most, width=width).groupBy("t", "low", "region")
 
 
@@ -257,17 +292,24 @@ def links(points: DataFrame, radius: int = 4, bits: int | None = None, most: int
 
     def meet(table: pa.Table) -> pa.Table:
         key, score = table.column("key").to_numpy(), table.column("score").to_numpy()
-        found = np.unique(np.concatenate([meetings(*part, key, score) for part in portions(*variants(table, half))]), axis=0)
+        found = np.unique(np.concatenate([meetings(*part, key, score) for part in portions(*variants(*region_of(table), half))]), axis=0)
         pair = key[found]
         pair = pair[pair[:, 0] != pair[:, 1]]
         return pa.table({"a": pair.min(axis=1), "b": pair.max(axis=1)})
 
     def meet_best(table: pa.Table) -> pa.Table:
         key, score = table.column("key").to_numpy(), table.column("score").to_numpy()
-        row, partner, company = (np.concatenate(c) for c in zip(*(best_meetings(*part, key, score) for part in portions(*variants(table, half)))))
-        order = np.lexsort((key[partner], -company, -score[partner], row))
-        row, partner, company = (c[order][np.flatnonzero(np.diff(row[order], prepend=-1))] for c in (row, partner, company))
-        return pa.table({"a": key[row], "b": key[partner], "score": score[partner], "company": company}).filter(pa.array(key[row] != key[partner]))
+        partner, company = np.full(len(key), -1), np.zeros(len(key), np.int64)
+        for rows, _, _, part in parted(*region_of(table), half):
+            row, other, n = best_meetings(*part, key[rows], score[rows])
+            row, other = rows[row], rows[other]
+            best, most = partner[row], company[row]
+            tied = score[other] == score[best]
+            better = (best < 0) | (score[other] > score[best]) | tied & (n > most) | tied & (n == most) & (key[other] < key[best])
+            partner[row[better]], company[row[better]] = other[better], n[better]
+        row = np.flatnonzero(partner >= 0)
+        row = row[key[row] != key[partner[row]]]
+        return pa.table({"a": key[row], "b": key[partner[row]], "score": score[partner[row]], "company": company[row]})
 
     grouped = by_region(points, radius, bits, most, width)
     return grouped.applyInArrow(meet_best, "a long, b long, score long, company long") if best else grouped.applyInArrow(meet, "a long, b long").distinct()
@@ -282,20 +324,31 @@ def open_keys(points: DataFrame, least: float, radius: int = 4, bits: int | None
     half, apart = radius // 2, bits_apart(least)
 
     def meet(table: pa.Table) -> pa.Table:
-        key, root, n, sig, fp = (table.column(c).to_numpy() for c in ("key", "root", "shingles", "sig", "fp"))
-        low = table.column("low")[0].as_py()
-        lead = fp.view(np.uint64) >> np.uint64(low) if low < 64 else np.zeros(len(fp), np.uint64)
-        own = table.column("left").to_numpy() == half
+        key, root, n, sig = (table.column(c).to_numpy() for c in ("key", "root", "shingles", "sig"))
+        fp, left, low = region_of(table)
+        found = np.zeros(len(key), bool)
 
         def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-6) & (np.bitwise_count(sig[a] ^ sig[b]) <= apart)
 
-        found = reduce(np.logical_or, (open_rows(*part, root, lead, own, half, fits) for part in portions(*variants(table, half))))
+        for rows, rest, below, part in parted(fp, left, low, half):
+            lead = fp[rows] >> np.uint64(below) if below < 64 else np.zeros(len(rows), np.uint64)
+            told = open_rows(*part, root[rows], lead, rest == half, half, lambda a, b: fits(rows[a], rows[b]))  # noqa: B023
+            found[rows[told]] = True
         return pa.table({"key": np.unique(key[found])})
 
     return by_region(points, radius, bits, most, width).applyInArrow(meet, "key long").distinct()
 
 
+def each_table(points: DataFrame, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What found() gives for the points of each table, one after the other: of what it shuffles only one table's is on disk."""
+    parts = []
+    for t in sorted(r.t for r in points.select("t").distinct().collect()):
+        parts.append(cut(found(points.where(F.col("t") == t))))
+        swept(points.sparkSession)
+    return reduce(DataFrame.unionByName, parts) if parts else found(points)
+
+
 def roots_of(prints: DataFrame, radius: int) -> DataFrame:
     """(fp, root): each distinct fingerprint with one that stands for its component."""
     classes = cut(prints.select("fp").distinct())
@@ -551,7 +604,7 @@ def crowded(points: DataFrame, prints: DataFrame, most: int) -> tuple[DataFrame,
     met = rows.join(rows.join(crowd.select("key").distinct(), "key", "left_semi").select("i", "band").distinct(), ["i", "band"], "left_semi")
     hubs = met.groupBy("i", "band").agg(F.max_by("key", F.struct("shingles", "key")).alias("hub"), F.count("*").alias("n")).where("n > 1")
     stars = met.join(hubs, ["i", "band"]).where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
-    return points.join(hot, ["t", "fp"], "left_anti").select(*points.columns).unionByName(first.select(*points.columns)), cut(stars)
+    return cut(points.join(hot, ["t", "fp"], "left_anti").select(*points.columns).unionByName(first.select(*points.columns))), cut(stars)
 
 
 def alike(prints: DataFrame, least: float, bits: int, radius: int = 4, most_shared: int = SHARED) -> DataFrame:
@@ -567,7 +620,15 @@ def alike(prints: DataFrame, least: float, bits: int, radius: int = 4, most_shar
     score = points.join(counts, ["t", "fp"]).groupBy("key").agg(F.sum("n").alias("score"))
     every = cut(points.join(score, "key"))
     points, banded = crowded(every, prints, most_shared)
-    near = links(points.drop("shingles", "sig"), radius, width=bits, best=True).groupBy("a", "b").agg(F.max("score").alias("score"), F.sum("company").alias("company"))
+    totals = F.max("score").alias("score"), F.sum("company").alias("company")
+
+    def met(own: DataFrame) -> DataFrame:
+        return links(own, radius, held_bits(own.count(), radius // 2), WHOLE, bits, best=True).groupBy("a", "b").agg(*totals)
+
+    def still_open(own: DataFrame) -> DataFrame:
+        return open_keys(own, least, radius, held_bits(own.count(), radius // 2), WHOLE, bits)
+
+    near = each_table(points.drop("shingles", "sig"), met).groupBy("a", "b").agg(*totals)
     foremost = cut(near.groupBy("a").agg(F.max_by("b", F.struct("score", "company", "b")).alias("b")))
     best = cut(foremost.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(banded).distinct())
     sure = cut(verified(best, prints, least))
@@ -578,7 +639,7 @@ def alike(prints: DataFrame, least: float, bits: int, radius: int = 4, most_shar
     # keys that met nobody meet nobody the second time
     some = points.join(foremost.select(F.col("a").alias("key")), "key", "left_semi").drop("score")
     roots = connected(sure).select(F.col("node").alias("key"), "root")
-    left, crowd = open_keys(cut(rooted(some, roots)), least, radius, width=bits), near_crowds(every, roots, radius, bits, most_shared)
+    left, crowd = each_table(cut(rooted(some, roots)), still_open), near_crowds(every, roots, radius, bits, most_shared)
     keys = cut((left if crowd is None else left.unionByName(crowd)).distinct())
     if keys.isEmpty():
         return roots

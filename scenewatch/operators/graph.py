@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -33,6 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Has Spark delete what nothing refers to any more, shuffle files above all: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): every node of links (a, b) with the least node of its component; nodes of any ordered type.
 

@@ -700,6 +700,53 @@ def test_portions_keep_buckets_whole(monkeypatch):
     assert sum(len(set(v.tolist())) for v, _ in parts) == len(set(value.tolist())) and all((value[w] == v).all() for v, w in parts)
 
 
+def test_rows_of_a_fingerprint_stay_few_as_tables_grow():
+    """Regions stay coarse, as their tasks part them further; with 67 rows a fingerprint 2,450,000 texts (6 GB) did not fit the disk."""
+    sent = lambda bits: sum(math.comb(bits, k) for k in range(3))
+    for n in (0, 40_000, 210_000, 2_450_000):
+        bits = simhash.held_bits(n, 2)
+        assert sent(bits) == 22 and n * sent(bits) <= simhash.HELD << bits
+    assert sent(simhash.held_bits(12_250_000, 2)) < sent(simhash.region_bits(12_250_000))
+
+
+def test_parts_of_a_region_hold_each_variant_once(monkeypatch):
+    """Against whole balls, of rows that came with all flips left and with fewer; all rows of a variant are in one portion."""
+    monkeypatch.setattr(simhash, "AT_ONCE", 300)
+    rng = np.random.default_rng(64)
+    fp, left = rng.integers(0, 1 << 12, 80).astype(np.uint64), rng.integers(0, 3, 80).astype(np.int32)
+    got, parts = Counter(), set()
+    for rows, rest, low, (value, who) in simhash.parted(fp, left, 10, 2):
+        assert low < 10 and all(((fp[rows[w]] ^ v) & np.uint64((1 << low) - 1)).item().bit_count() <= rest[w] for v, w in zip(value, who))
+        # a row with all its flips left is in the part of its own bits
+        own = {int(h) for h in fp[rows[rest == left[rows]]] >> np.uint64(low) & np.uint64((1 << 10 - low) - 1)}
+        assert len(own) <= 1
+        parts |= own
+        got.update(rows[who].tolist())
+    assert got == Counter({k: sum(math.comb(10, j) for j in range(left[k] + 1)) for k in range(80)}) and len(parts) > 4
+
+
+def test_foremost_keys_are_those_of_one_region(spark):
+    """A region parted in its task gives each key one partner, the one of the greatest score that it meets."""
+    rng = np.random.default_rng(65)
+    centres = rng.integers(0, 1 << 48, 40)
+    rows = [(t, k, int(centres[k % 40]) ^ sum(1 << int(b) for b in rng.choice(48, rng.integers(0, 3), replace=False)), int(rng.integers(0, 1000))) for t in (0, 1) for k in range(200)]
+    points = spark.createDataFrame(rows, "t int, key long, fp long, score long")
+    apart = {(t, a[1], b[1]): (a[2] ^ b[2]).bit_count() for t in (0, 1) for a, b in combinations([r for r in rows if r[0] == t], 2)}
+    for t in (0, 1):
+        score = {r[1]: r[3] for r in rows if r[0] == t}
+        best = {}
+        for r in simhash.links(points.where(F.col("t") == t), 4, 1, simhash.WHOLE, 48, best=True).collect():
+            assert apart[t, min(r.a, r.b), max(r.a, r.b)] <= 4 and r.score == score[r.b]
+            best[r.a] = max(best.get(r.a, -1), r.score)
+        want = {}
+        for (u, a, b), d in apart.items():
+            if u == t and d <= 4:
+                want[a], want[b] = max(want.get(a, -1), score[b]), max(want.get(b, -1), score[a])
+        assert best == want
+    both = simhash.each_table(points, lambda own: own.groupBy("t").agg(F.count("*").alias("n")))
+    assert sorted(map(tuple, both.collect())) == [(0, 200), (1, 200)] and simhash.each_table(points.where("t > 1"), lambda own: own.select("key")).count() == 0
+
+
 def test_ids_must_be_numbers(spark):
     docs = spark.createDataFrame([("a", "x")], "doc_id string, text string")
     for f in (simhash.without_near_duplicates, simhash.near_duplicates):

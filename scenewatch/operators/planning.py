@@ -40,15 +40,17 @@ def day_nodes(first: Column, last: Column, levels: int) -> Column:
     return F.concat(*out)
 
 
-def plan_jobs(jobs: DataFrame, scenes: DataFrame, start: str = "start", end: str = "end", most: int = 100_000, sent: int = 100_000, alike: int = 1000, even: int = 1000) -> DataFrame:
+def plan_jobs(jobs: DataFrame, scenes: DataFrame, start: str = "start", end: str = "end", most: int = 100_000, sent: int = 100_000, alike: int = 1000, even: int = 1000, chunk: int = 1000) -> DataFrame:
     """Each job with every scene of its days, both ends included, with at most its cloud.
 
     Jobs of one period and cloud have the same scenes: some `alike` of them go through the join as one bundle, and are told apart after
     it, so that the join's work is that of distinct requests and only the pairs themselves grow with both tables.
     A period is cut into nodes of a tree of days, and a scene lies in one node of each level, so an equality join meets exactly the scenes of
     the period; levels are as many as the longest period needs, two for up to 63 days. Up to `sent` jobs, counted first, go to
-    every task; up to `even` of them leave scenes where they are, more make so many pairs a scene that scenes are dealt out evenly first. More jobs are joined by a shuffle, in which a day of over `most` scenes is parted by a hash
-    and its jobs go to each part; days are few whatever the data.
+    every task; up to `even` of them leave scenes where they are, more make so many pairs a scene that scenes are dealt out evenly first,
+    in chunks of one day, some `chunk` scenes or fewer if tasks would have less than 8 chunks: a bundle meets a whole chunk, so that its jobs come again and again with few scenes between, and
+    a columnar file holds runs and repeats instead of a number for each pair. More jobs are joined by a shuffle, in which a day of over
+    `most` scenes is parted by a hash and its jobs go to each part; days are few whatever the data.
     """
     same = [start, end, "cloud"]
     n, longest, largest = jobs.groupBy(*same).agg(F.count("*").alias("n")).agg(F.sum("n"), F.max(F.datediff(end, start)), F.max("n")).first()
@@ -61,18 +63,29 @@ def plan_jobs(jobs: DataFrame, scenes: DataFrame, start: str = "start", end: str
     bundles = jobs.groupBy(*same, salt.alias("_salt")).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in own or same])).alias("_jobs"))
     node = lambda level, at: at.cast("long") * 32 + level
     nodes = bundles.select(*same, "_salt", "_jobs", F.explode(day_nodes(F.col(start), F.col(end), levels)).alias("_d")).select("*", node(F.col("_d.level"), F.col("_d.at")).alias("_n")).drop("_d").withColumnRenamed("cloud", "cloud_limit")
-    at = F.array(*[node(F.lit(k), F.floor(F.unix_date("date") / 8**k)) for k in range(levels)])
-    dated = scenes.where("date is not null").withColumn("_n", F.explode(at))
-    if even < (n or 0) <= sent:
-        dated = scenes.where("date is not null").repartition(int(scenes.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn("_n", F.explode(at))
-    if (n or 0) <= sent:
+    at = lambda day: F.array(*[node(F.lit(k), F.floor(day / 8**k)) for k in range(levels)])
+    day = F.unix_date("date")
+    dated = scenes.where("date is not null").withColumn("_n", F.explode(at(day)))
+    days = scenes.where("date is not null").groupBy(day.alias("_day")).agg(F.count("*").alias("n"))
+    named = [c for c in ("captured_at", "tile_id", "img_data_path", "date") if c in scenes.columns]
+    if (n or 0) <= min(even, sent):
         near = F.broadcast(nodes).alias("j").join(dated.alias("s"), "_n")
+    elif n <= sent:
+        sizes = {r[0]: r[1] for r in days.collect()}
+        tasks = int(scenes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        each = max(1, min(chunk, sum(sizes.values()) // (8 * tasks)))
+        counts = [(k, -(-v // each)) for k, v in sizes.items()]
+        tasks = max(tasks, sum(v for _, v in counts) // 100)  # a task holds its scenes: some 100 chunks
+        chunks = scenes.sparkSession.createDataFrame(counts, "_day int, _parts int")
+        dealt = scenes.withColumn("_day", day).join(F.broadcast(chunks), "_day").withColumn("_c", F.pmod(F.xxhash64(*named), "_parts").cast("int")).repartition(tasks, "_day", "_c")
+        spots = chunks.select("_day", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_c")).repartition(tasks, "_day", "_c").withColumn("_n", F.explode(at(F.col("_day"))))
+        spots = spots.join(F.broadcast(nodes), "_n").alias("j")
+        near = spots.join(dealt.hint("shuffle_hash").alias("s"), (F.col("j._day") == F.col("s._day")) & (F.col("j._c") == F.col("s._c")))
     else:
-        days = scenes.where("date is not null").groupBy("date").agg(F.count("*").alias("n"))
-        busy = days.withColumn("_n", F.explode(at)).groupBy("_n").agg(F.ceil(F.sum("n") / most).cast("int").alias("_parts")).where("_parts > 1")
+        busy = days.withColumn("_n", F.explode(at(F.col("_day")))).groupBy("_n").agg(F.ceil(F.sum("n") / most).cast("int").alias("_parts")).where("_parts > 1")
         parts = F.broadcast(busy)  # nodes of a calendar, not of scenes
         dealt = nodes.join(parts, "_n", "left").withColumn("_p", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-        part = F.pmod(F.xxhash64(*[c for c in ("captured_at", "tile_id", "img_data_path", "date") if c in scenes.columns]), F.coalesce("_parts", F.lit(1))).cast("int")
+        part = F.pmod(F.xxhash64(*named), F.coalesce("_parts", F.lit(1))).cast("int")
         near = dealt.alias("j").join(dated.join(parts, "_n", "left").withColumn("_p", part).drop("_parts").alias("s"), ["_n", "_p"])
     theirs = [F.col(f"s.`{c}`") for c in scenes.columns]
     pairs = near.where(F.col("s.cloud") <= F.col("j.cloud_limit")).select(F.explode("j._jobs").alias("_job"), *[F.col(f"j.`{c}`").alias(f"_{k}") for k, c in enumerate([start, end, "cloud_limit"])], *theirs)

@@ -516,6 +516,21 @@ def test_jobs_alike_are_joined_as_bundles(spark):
     assert "Generate explode" in planning.plan_jobs(jobs, rows)._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
 
 
+def test_pairs_of_jobs_and_scenes_come_in_runs(spark, tmp_path):
+    """Jobs of one request come again with each scene of a chunk, so a written pair takes a fraction of a byte; with all jobs of one scene
+    after another it took four, and 60 times the tables did not fit the disk. A chunk's scenes are in one task, all others too."""
+    rows = scenes(spark, [("a", f"2024-01-{1 + k % 20:02d}", k * 7 % 101, f"s{k:04d}") for k in range(600)])
+    raw = spark.range(40_000).selectExpr("id as job_id", "id % 10 as a", "cast(id * 7 % 101 as int) as cloud")
+    jobs = raw.select("job_id", F.date_add(F.lit("2024-01-03").cast("date"), F.col("a").cast("int")).alias("start"), F.lit("2024-01-14").cast("date").alias("end"), "cloud")
+    planning.plan_jobs(jobs, rows).select("job_id", F.col("safe_name").substr(2, 4).cast("long").alias("event_id")).write.parquet(f"{tmp_path}/pairs")
+    found = spark.read.parquet(f"{tmp_path}/pairs")
+    per = {(a, c): n for a, c, n in raw.groupBy("a", "cloud").count().collect()}
+    want = sum(n for k in range(600) for (a, c), n in per.items() if 3 + a <= 1 + k % 20 <= 14 and k * 7 % 101 <= c)
+    assert found.count() == found.distinct().count() == want > 2_000_000
+    size = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert (size - 4 * 8 * 40_000) / want < 0.5  # without each file's list of jobs
+
+
 def test_many_small_windows_are_scored_in_one_call_of_a_task(spark):
     """A group is no call of its own: rows of many windows come together, a null key is a scene too, invalid pixels are the mean."""
     rng = np.random.default_rng(5)

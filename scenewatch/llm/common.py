@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -95,6 +96,13 @@ def byte_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, in
         at = stop
 
 
+def given_back() -> None:
+    """Has this process give the memory that it has freed back to the system: Python workers live on beside Spark between tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
+
+
 class Powers:
     """Powers of an odd base modulo 2**64 and their inverses, grown as longer texts come."""
 

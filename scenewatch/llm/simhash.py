@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from scenewatch.llm.common import SPACE_BYTES, byte_slices, cut, fold_tables, mixed, need, removed, tokens, whole, whole_id, written
+from scenewatch.llm.common import SPACE_BYTES, byte_slices, cut, fold_tables, given_back, mixed, need, removed, tokens, whole, whole_id, written
 from scenewatch.operators.graph import connected, swept
 
 SEED = 42
@@ -44,6 +44,8 @@ SMALL = 6
 SKETCH, MARGIN = 256, 0.15
 #: Keys that may share a fingerprint before they are parted by bands of least hashes; bands, and hashes in each.
 SHARED, BANDS, BAND = 2000, 16, 4
+#: Bytes of text that a task fingerprints at once: the votes take some 500 times as much, and few of them stay in the cache.
+SLICE = 1 << 16
 #: Keys that are sent to every task, 8 bytes each; more are joined by a shuffle.
 SENT = 2_000_000
 GAP, SAME = fold_tables(SPACE_BYTES)
@@ -309,6 +311,7 @@ def links(points: DataFrame, radius: int = 4, bits: int | None = None, most: int
             partner[row[better]], company[row[better]] = other[better], n[better]
         row = np.flatnonzero(partner >= 0)
         row = row[key[row] != key[partner[row]]]
+        given_back()
         return pa.table({"a": key[row], "b": key[partner[row]], "score": score[partner[row]], "company": company[row]})
 
     grouped = by_region(points, radius, bits, most, width)
@@ -335,6 +338,7 @@ def open_keys(points: DataFrame, least: float, radius: int = 4, bits: int | None
             lead = fp[rows] >> np.uint64(below) if below < 64 else np.zeros(len(rows), np.uint64)
             told = open_rows(*part, root[rows], lead, rest == half, half, lambda a, b: fits(rows[a], rows[b]))  # noqa: B023
             found[rows[told]] = True
+        given_back()
         return pa.table({"key": np.unique(key[found])})
 
     return by_region(points, radius, bits, most, width).applyInArrow(meet, "key long").distinct()
@@ -484,7 +488,7 @@ def shingled(docs: DataFrame, size: int, tables: int, bits: int) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, rows in byte_slices(batch.column(0)):  # a slice at a time, so that little is held
+            for first, end, data, rows in byte_slices(batch.column(0), SLICE):  # a slice at a time, so that little is held
                 h, at, key = words_of(data, rows)
                 found = []
                 for x in hashes(h, at, size):
@@ -494,6 +498,7 @@ def shingled(docs: DataFrame, size: int, tables: int, bits: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, tables, dtype=np.int32)), pa.array(flat))
                 own = [c.slice(first, end - first) for c in batch.columns[1:]]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(key), lists, *(pa.array(list(c), k) for c, k in zip(zip(*found), kinds))], names=names)
+        given_back()
 
     rows = need(docs, "text", "doc_id").select(F.coalesce(F.col("text").cast("string"), F.lit("")), whole_id(docs).alias("doc_id"), F.xxhash64("text").alias("h"))
     return rows.mapInArrow(of, f"doc_id long, h long, {PRINTS}")
@@ -522,12 +527,14 @@ def verified(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
             open_ = [not exact and abs(value - least) <= MARGIN for value, exact in told]
             alike = pa.array([None if o else value >= least for (value, _), o in zip(told, open_)], pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], alike], names=["a", "b", "alike"])
+        given_back()
 
     def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [[np.frombuffer(x.as_py() + more.as_py(), "<u4") for x, more in zip(batch.column(k), batch.column(k + 1))] for k in (2, 4)]
             alike = [shared(x, y) >= least for x, y in zip(*sets)]
             yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
+        given_back()
 
     told = cut(of_keys(pairs, "sketch", "shingles").mapInArrow(roughly, "a long, b long, alike boolean"))
     sure = told.where("alike").select("a", "b")
